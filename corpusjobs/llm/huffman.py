@@ -155,20 +155,25 @@ def read_block(block: bytes, tables: tuple[np.ndarray, np.ndarray]) -> Iterator[
 # -- jobs -----------------------------------------------------------------------------------------
 
 
-def id_counts(docs: DataFrame, vocabulary: str, end: int) -> dict[int, int]:
+def id_counts(ids: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
     """Counts of all ids of the corpus: a histogram per task, summed by id; as many rows as the vocabulary has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
-        total = np.zeros(encode.size, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in by_bytes(batches, 0):
-            texts = batch.column(0).to_pylist()
-            total[end] += len(texts)
-            total += np.bincount(np.frombuffer(b"".join(map(encode, texts)), "<u4"), minlength=len(total))
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total[ids])], ["id", "n"])
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=size)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found])], ["id", "n"])
+
+    counts = np.zeros(size, np.int64)
+    for row in ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        counts[row.id] = row.n
+    return counts
+
 
-    return {r.id: r.n for r in docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = WORD_BPE, end: int = END, parts: int | None = None, block: int = BLOCK) -> None:
@@ -176,11 +181,6 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = encoder(vocabulary).size
-    counts = np.zeros(size, np.int64)
-    for i, n in id_counts(docs, vocabulary, end).items():
-        counts[i] = n
-    lengths = code_lengths(counts)
-    spark.createDataFrame([(bytearray(lengths.tobytes()), LIMIT)], "lengths binary, longest int").coalesce(1).write.parquet(f"{path}/codes")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
     tail = np.array([end], "<u4").tobytes()
@@ -215,8 +215,14 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     if bounds:
         part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("doc_id"))), F.lit(0))
     ranged = docs.withColumn("part", part.cast("int")).mapInArrow(tokenised, "doc_id long, ids binary, part int")
-    ordered = ranged.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "ids")
+    # The texts are coded once: the counts and then the blocks come from these ids.
+    ranged.write.option("compression", "zstd").parquet(f"{path}/ids")
+    ids = spark.read.parquet(f"{path}/ids")
+    lengths = code_lengths(id_counts(ids, kind, size))
+    spark.createDataFrame([(bytearray(lengths.tobytes()), LIMIT)], "lengths binary, longest int").coalesce(1).write.parquet(f"{path}/codes")
+    ordered = ids.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(blocks, "part int, block int, start long, n_ids long, bytes binary").write.parquet(f"{path}/blocks")
+    removed(spark, f"{path}/ids")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

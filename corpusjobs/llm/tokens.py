@@ -1,22 +1,29 @@
 """Token ids of whole texts by the tokenizers library.
 
-The tokenizer's normaliser turns white space into spaces and its pre-tokenizer drops them, so no pre-token
-spans a space or a line feed and the ids of a text are those of its pieces between spaces and line feeds,
-in order. Each worker therefore encodes a distinct piece once and keeps its ids; texts are still encoded
-whole, and every id comes from the library.
+The tokenizer splits a text into pre-tokens and codes each apart from the others. Every id comes from the
+library, but a worker has each distinct pre-token coded once and remembers its ids. Texts of printable ASCII
+and the letters of Latin-1 are split by the tokenizer's own pattern, written for that alphabet; in all other
+texts the unit is the piece between spaces and line feeds, which no pre-token spans, and the library splits it.
 """
 
 from __future__ import annotations
 
 import importlib
+import json
 import os
+import re
 from functools import cache
 
 import numpy as np
 
-#: Pieces that a worker remembers, and the length up to which a piece is remembered.
-REMEMBERED, LONGEST = 1 << 19, 64
+#: Units that a worker remembers, and the length up to which a unit is remembered.
+REMEMBERED, LONGEST = 1 << 20, 64
 WORD_BPE = "word_bpe_49k.json"
+#: The normaliser and the pattern of WORD_BPE, and the pattern over the plain alphabet.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile(r"[\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]*")
+PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 def vocabulary(name: str) -> str:
@@ -30,32 +37,59 @@ class Encoder:
     def __init__(self, name: str):
         from tokenizers import Tokenizer
 
+        with open(vocabulary(name), encoding="utf-8") as f:
+            made = json.load(f)
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in made["added_tokens"]) or r"(?!)")
+        suffix = made["model"].get("end_of_word_suffix")
+        split = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        # Only this normaliser and pattern are known to be the same over the plain alphabet.
+        self.plain = bool(suffix) and (made.get("normalizer") or {}).get("normalizers") == NORMAL and split == PATTERN
+        self.last = np.zeros(self.size, bool)
+        if self.plain:
+            self.last[[i for token, i in made["model"]["vocab"].items() if token.endswith(suffix)]] = True
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def new(self, pieces: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(got.ids, "<u4").tobytes()
+    def coded(self, units: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    def __call__(self, text: str | None) -> bytes:
-        pieces = (text or "").replace("\n", " ").split(" ")
-        known = self.known
-        missing = {x for x in pieces if x not in known}
-        if not missing:
-            return b"".join(map(known.__getitem__, pieces))
+    def coded_words(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, coded together; the last id of a pre-token is one that ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self.coded(words)
+        raw, at, out = ids.tobytes(), 0, []
+        for end in (4 * ends).tolist():
+            out.append(raw[at:end])
+            at = end
+        return out
+
+    def joined(self, units: list[str], known: dict[str, bytes], code) -> bytes:
+        try:
+            return b"".join(map(known.__getitem__, units))
+        except KeyError:
+            pass
+        missing = {x for x in units if x not in known}
         if len(known) + len(missing) > REMEMBERED:
             known.clear()
-            missing = set(pieces)
-        self.new(sorted(missing))
-        ids = b"".join(map(known.__getitem__, pieces))
-        for x in missing:
+            missing = set(units)
+        new = sorted(missing)
+        known.update(zip(new, code(new), strict=True))
+        ids = b"".join(map(known.__getitem__, units))
+        for x in new:
             if len(x) > LONGEST:
                 del known[x]
         return ids
 
+    def __call__(self, text: str | None) -> bytes:
+        text = text or ""
+        if self.plain and PLAIN.fullmatch(text) and not ("<|" in text and self.special.search(text)):
+            return self.joined(PLAIN_PATTERN.findall(text.lower()), self.words, self.coded_words)
+        return self.joined(text.replace("\n", " ").split(" "), self.pieces, self.coded)
+
 
 @cache
 def encoder(name: str = WORD_BPE) -> Encoder:
