@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, flac, huffman, packing, simhash
+from . import decontam, flac, huffman, lines, packing, pii, simhash, token_trie, toxicity, warc
 from .common import table
 
 
@@ -14,10 +15,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_trie.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(flac.media(table(spark, sf_dir, "documents")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,15 +40,33 @@ def op7_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.token_files(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.fit(docs))
+
+
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a damaged replica of all pages: of every 53rd page the first byte of the body is another one."""
+    pages = table(spark, sf_dir, "pages")
+    hurt = (F.col("page_id") % 53 == 7) & F.col("html").startswith("<")
+    damaged = pages.withColumn("html", F.when(hurt, F.concat(F.lit("#"), F.substring("html", 2, 2147483647))).otherwise(F.col("html")))
+    return warc.audit(warc.tree(warc.records(pages)), warc.tree(warc.records(damaged)))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_token_counts": op2_token_counts,
+    "op3_line_dedup": op3_line_dedup,
     "op4_flac": op4_flac,
+    "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_huffman": op7_huffman,
+    "op8_pii": op8_pii,
+    "op9_warc_fixity": op9_warc_fixity,
     "op10_packing": op10_packing,
 }
 
@@ -53,4 +85,12 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6}
+#: Records in files of 1,024 page ids; lengths of a record as warc.record_bytes() writes it.
+OP9 = """
+WITH r AS (SELECT page_id // 1024 AS file, page_id AS id, html,
+  strlen('WARC/1.0WARC-Type: resourceWARC-Target-URI: Content-Type: text/htmlContent-Length: ') + 12 + strlen(coalesce(url, '')) + length(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + strlen(coalesce(html, '')) + 4 AS size FROM pages),
+o AS (SELECT *, row_number() OVER w - 1 AS record_no, CAST(sum(size) OVER w AS BIGINT) AS "end" FROM r WINDOW w AS (PARTITION BY file ORDER BY id ROWS UNBOUNDED PRECEDING))
+SELECT file, record_no, id, "end" - size AS start, "end", "end" AS other_end, 'changed' AS status FROM o WHERE id % 53 = 7 AND html LIKE '<%'
+"""
+
+ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op9_warc_fixity": OP9}

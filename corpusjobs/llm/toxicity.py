@@ -25,7 +25,7 @@ from .common import by_bytes
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 DIM, SCALE, GRAMS = 8, 30.0, (3, 4, 5, 6)
 #: Texts in which an n-gram must occur, and n-grams of the vocabulary at most.
-LEAST, VOCABULARY = 4, 1 << 14
+LEAST, VOCABULARY = 4, 1 << 10
 #: Labelled rows of each class that training takes at most, by the order of a hash of their id.
 SAMPLE = 2000
 REMEMBERED = 1 << 20
