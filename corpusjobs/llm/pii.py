@@ -302,7 +302,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["part"])
 
     some = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    picked = some.orderBy(F.xxhash64("text"), "text").limit(sample)
+    hashed = some.select("text", F.xxhash64("text").alias("h"))
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # only hashes are sorted
+    picked = hashed.filter(F.col("h") <= F.lit(last)).select("text")
     parts = sorted(r.part for r in picked.mapInArrow(run, "part string").distinct().collect())
     rng = random.Random(3)
     cases = counterexamples(rng)
