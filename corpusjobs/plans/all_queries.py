@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, pairing_queries, triage_queries
+from . import corpus_queries, lexing_queries, pairing_queries, triage_queries
 
-QUERIES = {**triage_queries.QUERIES, **corpus_queries.QUERIES, **pairing_queries.QUERIES}
-ORACLES = {**triage_queries.ORACLES, **corpus_queries.ORACLES, **pairing_queries.ORACLES}
+QUERIES = {**triage_queries.QUERIES, **corpus_queries.QUERIES, **pairing_queries.QUERIES, **lexing_queries.QUERIES}
+ORACLES = {**triage_queries.ORACLES, **corpus_queries.ORACLES, **pairing_queries.ORACLES, **lexing_queries.ORACLES}
