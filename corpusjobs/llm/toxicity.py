@@ -173,9 +173,8 @@ def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the rows that score 0.5 or more; all columns stay. Null and empty texts stay."""
-    model = fit(docs, labels, id_col, text_col, **options)
 
     @F.pandas_udf("double")
     def score(texts):
