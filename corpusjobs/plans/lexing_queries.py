@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexing as X
+from ..functions import profiles as P
+from ..functions import statements as S
 from ..operators import diverse
 from .views import cte, view
 
@@ -69,3 +71,43 @@ def j13_graft(spark, sf_dir):
 def d4_select_diverse(spark, sf_dir):
     rows = view(spark, sf_dir, "seeds").select(F.col("seed_no").alias("id"), "content")
     return diverse.select_diverse(rows, 20, 5)
+
+
+@query()
+def x10_x11_php_statements(spark, sf_dir):
+    own = code(spark, sf_dir).filter("type = 'php'")
+    units = own.select("seed_no", F.posexplode(X.vectorised(S.php_statements, "array<string>")("content")).alias("unit", "statement"))
+    both = X.vectorised(lambda s: list(S.php_defines_uses(s, P.PHP_SKIP)), "array<array<string>>")
+    return units.withColumn("names", both("statement")).select("seed_no", "unit", "statement", F.array_join(F.get("names", F.lit(0)), "|").alias("defines"), F.array_join(F.get("names", F.lit(1)), "|").alias("uses"))
+
+
+@query()
+def j17_mutations(spark, sf_dir):
+    """Three variants of each seed; the chances are raised so that most differ."""
+    changed = X.vectorised(lambda t, s: S.mutate(t, s, boost=300), "string")
+    variants = code(spark, sf_dir).select("seed_no", "content", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("variant"))
+    return variants.select("seed_no", "variant", changed("content", F.concat_ws("|", "seed_no", "variant")).alias("content"))
+
+
+@query()
+def j11_dataflow_bridges(spark, sf_dir):
+    """Python seeds in pairs: a name of the first is bridged into the second."""
+    own = code(spark, sf_dir).filter("type = 'cpython'").select("seed_no", "content")
+    pairs = own.selectExpr("seed_no AS id_lo", "seed_no + 4 AS id_hi", "content AS a").join(own.selectExpr("seed_no AS id_hi", "content AS b"), "id_hi")
+    joined = X.vectorised(lambda a, b, seed: X.bridge(a, b, X.python_groups(a), X.python_groups(b), 1, seed), "string")
+    return pairs.select("id_lo", "id_hi", joined("a", "b", F.concat_ws("-", "id_lo", "id_hi")).alias("bridged"))
+
+
+@query()
+def j15_interleaved(spark, sf_dir):
+    """PHP seeds in pairs of neighbours: their statements in one order that respects what each defines and uses."""
+    own = code(spark, sf_dir).filter("type = 'php'").select("seed_no", "content")
+    pairs = own.selectExpr("seed_no AS id_lo", "seed_no + 4 AS id_hi", "content AS a").join(own.selectExpr("seed_no AS id_hi", "content AS b"), "id_hi")
+
+    def ordered(a: str, b: str, seed: str) -> str:
+        units = [(side, s, *map(set, S.php_defines_uses(s, P.PHP_SKIP))) for side, t in enumerate((a, b)) for s in S.php_statements(t)]
+        deps = [{i for i, (one, _, made, _) in enumerate(units) if i != j and any(n in used for n in made if one == side or not n.startswith("$"))} for j, (side, _, _, used) in enumerate(units)]
+        order = X.interleave([(s, s) for _, s, _, _ in units], deps, seed)
+        return "\n".join(units[i][1] for i in order)
+
+    return pairs.select("id_lo", "id_hi", X.vectorised(ordered, "string")("a", "b", F.concat_ws("-", "id_lo", "id_hi")).alias("program"))
