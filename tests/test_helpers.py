@@ -158,3 +158,19 @@ def test_unknown_ids_fail(spark):
 @pytest.mark.parametrize(("text", "want"), [("--FILE--\n a \n--EXPECT--\nx", "a"), ("--TEST--\nx", None), ("none", None), ("--FILE--\nto the end\n", "to the end")])
 def test_phpt_file(spark, text, want):
     assert one(spark, text, C.phpt_file) == want
+
+
+@pytest.mark.parametrize(("language", "text", "want"), [
+    ("php", "class A extends B implements C, D {\n} interface I {", [("class", "A", "extends B implements C, D"), ("interface", "I", "")]),
+    ("cpython", "class A(B, C):\n    class D:\n  pass", [("class", "A", "B, C"), ("class", "D", "")]),
+    ("swift", "struct S<T>: P, Q {\n}\nenum E {", [("struct", "S", "P, Q"), ("enum", "E", "")]),
+    ("haskell", "class (Eq a) => Show a where\n f :: a", [("class", "Show", "")]),
+    ("flang", "TYPE, extends(base) :: t\n type :: u", [("type", "t", ", extends(base)"), ("type", "u", "")]),
+    ("clang", "template <class T> struct A : B {", [("struct", "A", "B")]),
+])
+def test_declaration_headers(spark, language, text, want):
+    assert [tuple(h) for h in one(spark, text, lambda c: P.declaration_headers(c, language))] == want
+
+
+def test_fortran_types(spark):
+    assert one(spark, "INTEGER(4), intent(in) :: a, b\nreal*8 :: C\ndouble  precision :: a", P.fortran_types) == {"B": "integer(4)", "C": "real*8", "A": "double precision"}
