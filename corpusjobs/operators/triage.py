@@ -134,8 +134,8 @@ def match_issues(found_clusters: DataFrame, issues: DataFrame, shown: int = 5) -
     """(signature, nth, term, total, top): for each search text the issues whose title or body holds all its phrases.
 
     Issues are met by the rarest whole word of a text and checked by its phrases; top has up to `shown` numbers,
-    ascending. A text without a whole word between two others is met by all its issues' words that hold it, so
-    words at the ends of a phrase, which may be parts of longer ones, are only used where no inner word exists.
+    ascending. Words at the ends of a phrase may be parts of longer ones, so they are only used, by the words
+    that hold them, where no inner word exists.
     """
     terms = found_clusters.select("signature", F.posexplode(search_terms(F.col("signature"))).alias("nth", "term")).withColumn("phrases", phrases(F.col("term")))
     body = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))
@@ -147,7 +147,11 @@ def match_issues(found_clusters: DataFrame, issues: DataFrame, shown: int = 5) -
     keyed = terms.withColumn("inner", inner)
     by_word = keyed.filter(F.size("inner") > 0).select("signature", "nth", F.explode("inner").alias("token")).join(common, "token", "left").groupBy("signature", "nth").agg(F.min_by("token", F.coalesce("n", F.lit(0))).alias("token"))
     part = keyed.filter(F.size("inner") == 0).select("signature", "nth", F.get(F.transform("phrases", lambda p: F.lower(p)), F.lit(0)).alias("part"))
-    edge = part.withColumn("bit", F.regexp_extract("part", "[a-z0-9_]+", 0)).join(F.broadcast(common.select("token")), F.contains(F.col("token"), F.col("bit"))).select("signature", "nth", "token")
+    # A word at the end of a phrase may be part of a longer one: those meet by their first three letters.
+    grams = F.flatten(F.transform(F.array(*map(F.lit, range(4))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - n + 1, F.lit(1))), lambda i: F.substring("token", i, n))))
+    longer = common.select("token", F.explode(F.array_distinct(grams)).alias("gram"))
+    bit = F.regexp_extract("part", "[a-z0-9_]+", 0)
+    edge = part.select("signature", "nth", bit.alias("bit"), F.substring(bit, 1, 3).alias("gram")).join(longer, "gram").filter(F.contains("token", F.col("bit"))).select("signature", "nth", "token")
     met = by_word.select("signature", "nth", "token").unionByName(edge).join(posted, "token").select("signature", "nth", "number").distinct()
     hits = met.join(terms, ["signature", "nth"]).join(whole, "number").filter(F.forall("phrases", lambda p: F.contains(F.lower("said"), F.lower(p))))
     counted = hits.groupBy("signature", "nth").agg(F.count("*").alias("total"), F.slice(F.sort_array(F.collect_list("number")), 1, shown).alias("top"))
