@@ -174,3 +174,10 @@ def test_declaration_headers(spark, language, text, want):
 
 def test_fortran_types(spark):
     assert one(spark, "INTEGER(4), intent(in) :: a, b\nreal*8 :: C\ndouble  precision :: a", P.fortran_types) == {"B": "integer(4)", "C": "real*8", "A": "double precision"}
+
+
+def test_fortran_and_php_texts(spark):
+    assert one(spark, "PROGRAM a\n real function f(x) ! function no\nend function f\nsub&\n  &x\nsubroutine s(y)", P.fortran_names) == ["A", "F", "S"]
+    assert one(spark, "x = y + 1.5e3 // 'it''s'", lambda c: P.normalize_fortran(c, ("IF",))) == "_ = _ + 0 // '_'"
+    assert one(spark, "a('// no', \"# no\"); // c\n/* d\n*/ b; # e", P.strip_php) == "a('// no', \"# no\"); \n b; "
+    assert one(spark, 'f(x, "a\\"b", 0x1FuL, 2.5f) + int', P.normalize_c) == '_(_, "_", 0, 0) + int'
