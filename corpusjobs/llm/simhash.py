@@ -29,6 +29,8 @@ GOLAY, LENGTH, SEED = 0b101011100011, 23, 42
 THRESHOLD, SIDE = 3, 2
 #: Fingerprints of one anchor that one task compares; larger anchors are dealt out as pairs of parts.
 CELL = 1 << 15
+#: Fingerprints of one anchor that are compared as a matrix.
+MATRIX = 1 << 10
 
 
 # -- fingerprints ---------------------------------------------------------------------------------
@@ -157,8 +159,15 @@ def forest(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
+def block_links(rows: np.ndarray, columns: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each row with the columns behind it; the columns begin with the rows."""
+    at = np.flatnonzero(differing(rows[:, None], columns[None, :]) <= threshold)
+    i, j = np.divmod(at, len(columns))
+    return rows[i[i < j]], columns[j[i < j]]
+
+
 def cell_links(keys: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys: all pairs of short runs at once, a spanning forest of longer ones."""
+    """Links within runs of equal keys: all of them, or a spanning forest where there are many."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, len(keys)))
     a, b = [fps[:0]], [fps[:0]]
@@ -173,7 +182,12 @@ def cell_links(keys: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.nd
         a.append(fps[at[near]])
         b.append(fps[at[near] + lag])
     for s, n in zip(starts[~short], sizes[~short], strict=True):
-        x, y = forest(fps[s : s + n], threshold)
+        own = fps[s : s + n]
+        x = y = own[:0]
+        if n <= MATRIX:
+            x, y = map(np.concatenate, zip(*(block_links(own[at : at + 128], own[at:], threshold) for at in range(0, n, 128)), strict=True))
+        if n > MATRIX or len(x) > 4 * n:
+            x, y = forest(own, threshold)
         a.append(x)
         b.append(y)
     return np.concatenate(a), np.concatenate(b)
