@@ -110,15 +110,17 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 200, rate: f
     bags, y = [bags[i] for i in keep], y[keep]
     names = vocabulary(bags, y, least, most)
     number = {g: i for i, g in enumerate(names)}
-    text_of, gram_of, part = [], [], []
-    for i, (own, share) in enumerate(bags):
+    own_grams, own_parts = [], []
+    for own, share in bags:
+        parts: dict[int, float] = {}
         for x, s in zip(own, share.tolist(), strict=True):
-            parts = grams(x)
-            found = [number[g] for g in parts if g in number]
-            gram_of += found
-            part += [s / len(parts)] * len(found)
-        text_of += [i] * (len(gram_of) - len(text_of))
-    text_of, gram_of, part = np.array(text_of, np.int64), np.array(gram_of, np.int64), SCALE * np.array(part)
+            found = grams(x)
+            for g in found:
+                if (i := number.get(g)) is not None:
+                    parts[i] = parts.get(i, 0.0) + s / len(found)
+        own_grams.append(np.fromiter(parts.keys(), np.int64, len(parts)))
+        own_parts.append(np.fromiter(parts.values(), np.float64, len(parts)))
+    text_of, gram_of, part = np.repeat(np.arange(len(bags)), list(map(len, own_grams))), np.concatenate(own_grams), SCALE * np.concatenate(own_parts)
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (len(names), dim)), rng.normal(0, 0.5, (dim, 2)), np.zeros(2)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
