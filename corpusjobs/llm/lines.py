@@ -1,16 +1,20 @@
 """Fuzzy line deduplication.
 
-Lines are normalised (A-Z in lower case, white space, controls and ASCII punctuation as one space); a line of at
-least MIN_WORDS words takes part, shorter ones stay as they are. Every distinct normalised line has a SimHash of 48
-bits over its words (of 64 bits, 3 would allow for fewer edits). Of m blocks of bits, lines that differ in 3 bits
-or fewer agree on at least m - 3 (pigeonhole), so lines meet on every choice of m - 3 blocks; m grows with the
-number of lines, which keeps the cells small and changes no result. Of those that meet within 3 bits the edit similarity of the texts is verified, and the connected groups of verified links,
-together with equal lines, keep the occurrence that comes first by (document id, line number).
+Lines are normalised (A-Z in lower case, white space, controls and ASCII punctuation as one space). A line of at least
+MIN_WORDS words, or of as many characters as MIN_WORDS words of five letters have, takes part. Every distinct
+normalised line has a SimHash of 128 bits over its words; a word over LONG bytes, as whole lines are in scripts without
+spaces, stands for its runs of GRAM characters. The bits are cut into m blocks in several fixed orders, and lines
+meet where one block agrees: within each order no pair of fewer than m differing bits is lost (pigeonhole), and each
+further order finds more of the rest. Short lines, whose bits one edit moves most, have more orders.
+Of lines that meet within BITS bits the edit similarity of the texts is verified, and the connected groups of verified
+links, together with equal lines, keep the occurrence that comes first by (document id, line number).
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import chain, combinations
 
 import numpy as np
@@ -20,11 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, components, cut, stored
-from .simhash import compared
 
-MIN_WORDS, SIMILARITY, WIDTH, BITS = 5, 0.8, 48, 3
-#: Distinct lines up to which 4 and 5 blocks are used; 6 beyond.
-FEW, MANY = 1 << 22, 1 << 30
+MIN_WORDS, SIMILARITY, WIDTH, BITS = 5, 0.8, 128, 32
+LONG, GRAM = 24, 3
+#: Distinct lines up to which 9 blocks are used, and orders of the bits; 7 blocks and more orders beyond.
+FEW, ORDERS, MORE_ORDERS = 1 << 23, 4, 8
+#: Further orders, and characters of the longest lines that have them.
+SHORT_ORDERS, SHORT = 8, 80
+#: Lines of one cell that one task compares; larger cells are dealt out as pairs of parts.
+CELL = 1 << 14
 #: Normalisation of UTF-8 bytes; a line feed stays.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c == 10 or c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 REMEMBERED = 1 << 20
@@ -32,10 +40,10 @@ REMEMBERED = 1 << 20
 FILTER = 1 << 25
 
 
-def blocks(m: int) -> list[tuple[int, int]]:
-    """First bit and width of m blocks."""
-    edges = [WIDTH * i // m for i in range(m + 1)]
-    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+def orders(m: int, n: int) -> list[list[np.ndarray]]:
+    """The bits of m blocks in each of n fixed orders."""
+    mixed = [np.random.default_rng(seed).permutation(WIDTH) for seed in range(n)]
+    return [[bits[WIDTH * i // m : WIDTH * (i + 1) // m] for i in range(m)] for bits in mixed]
 
 
 def normal_lines(text: str | None) -> list[list[bytes]]:
@@ -43,55 +51,207 @@ def normal_lines(text: str | None) -> list[list[bytes]]:
     return [line.split() for line in (text or "").encode("utf-8", "surrogatepass").translate(NORMAL).split(b"\n")]
 
 
+def features(words: list[bytes]) -> set[bytes]:
+    """The distinct words, so that frequent words do not outweigh the rest; a long one by its runs of GRAM characters."""
+    out = set(words)
+    for word in [x for x in out if len(x) > LONG]:
+        out.remove(word)
+        text = word.decode("utf-8", "surrogatepass")
+        out.update(text[i : i + GRAM].encode("utf-8", "surrogatepass") for i in range(max(1, len(text) - GRAM + 1)))
+    return out
+
+
 def simhashes(lines: list[list[bytes]]) -> np.ndarray:
-    """SimHash over the distinct words of each list (none empty), so that frequent words do not outweigh the rest."""
-    lines = list(map(set, lines))
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    words = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(lines)), np.uint64, int(sizes.sum())).astype("<u8")
-    ones = np.add.reduceat(np.unpackbits(words.view(np.uint8).reshape(-1, 8)[:, : WIDTH // 8], axis=1, bitorder="little"), np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
-    out = np.zeros((len(lines), 64), np.uint8)
-    out[:, :WIDTH] = 2 * ones > sizes[:, None]
-    return np.packbits(out, axis=1, bitorder="little").view("<i8").reshape(-1)
+    """Two longs for the features of each list (none empty)."""
+    out = []
+    for at in range(0, len(lines), 2000):
+        found = list(map(features, lines[at : at + 2000]))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chain.from_iterable(found))), np.uint8).reshape(-1, WIDTH // 8)
+        ones = np.add.reduceat(np.unpackbits(hashes, axis=1), np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
+        out.append(np.packbits(2 * ones > sizes[:, None], axis=1).view("<i8"))
+    return np.concatenate(out)
+
 
+def takes_part(words: list[bytes], min_words: int) -> bool:
+    """Whether a line is long enough, in words or, as in text without spaces, in characters."""
+    return len(words) >= min_words or len(b"".join(words)) >= 5 * min_words and len(b"".join(words).decode("utf-8", "surrogatepass")) >= 5 * min_words
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no, key, fp, size) of the lines that take part; key is a 64-bit hash of the normalised line, size its characters."""
-    names = ["doc_id", "line_no", "key", "fp", "size"]
+
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
+    """(doc_id, line_no, key, f1, f2, size) of the lines that take part; key is a 64-bit hash of the normalised line,
+    f1 and f2 its SimHash, size its characters. With `short` also all shorter lines that are not empty, without a SimHash."""
+    names = ["doc_id", "line_no", "key", "f1", "f2", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1, 1 << 20):
-            ids, numbers, lines = [], [], []
+            ids, numbers, lines, part = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for number, found in enumerate(normal_lines(text)):
-                    if len(found) >= min_words:
+                    if found and ((fuzzy := takes_part(found, min_words)) or short):
                         ids.append(doc)
                         numbers.append(number)
                         lines.append(found)
+                        part.append(fuzzy)
             if lines:
                 joined = list(map(b" ".join, lines))
                 keys = np.fromiter(map(xxhash.xxh64_intdigest, joined), np.uint64, len(joined)).view(np.int64)
                 sizes = [len(x.decode("utf-8", "surrogatepass")) for x in joined]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys), pa.array(simhashes(lines)), pa.array(sizes, pa.int32())], names)
+                none, fps = ~np.array(part), simhashes(lines)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys), *(pa.array(fps[:, i], pa.int64(), mask=none) for i in (0, 1)), pa.array(sizes, pa.int32())], names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, line_no int, key long, f1 long, f2 long, size int")
+
+
+# -- candidates -----------------------------------------------------------------------------------
+
+CELLS = "kind int, a long, b long, cell long, key long, f1 long, f2 long, size int, root long"
+LINK, PART, DENSE = 0, 1, 2
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, line_no int, key long, fp long, size int")
+def celled(lines: DataFrame, chosen: list[list[np.ndarray]], first: int) -> DataFrame:
+    """(cell, key, f1, f2, size, root) of every line for each block of the chosen orders, which are numbered from `first`."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 20000):
+                part = batch.slice(at, 20000)
+                fps = np.stack([part.column(i).to_numpy() for i in (1, 2)], axis=1)
+                bits = np.unpackbits(fps.astype("<i8").view(np.uint8).reshape(-1, WIDTH // 8), axis=1)
+                for i, block in enumerate(chain.from_iterable(chosen)):
+                    cell = (first << 8 | i) << 32 | bits[:, block].astype(np.int64) @ (1 << np.arange(len(block), dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), *part.columns, part.column(0)], ["cell", "key", "f1", "f2", "size", "root"])
+
+    return lines.select("key", "f1", "f2", "size").mapInArrow(run, "cell long, key long, f1 long, f2 long, size int, root long")
+
+
+def alike(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], similarity: float) -> np.ndarray:
+    """Whether lines (key, f1, f2, size, root) are within BITS bits, of fitting lengths and of different roots."""
+    bits = np.bitwise_count((x[1] ^ y[1]).view(np.uint64)) + np.bitwise_count((x[2] ^ y[2]).view(np.uint64))
+    near = bits <= BITS
+    return near & (np.abs(x[3] - y[3]) <= np.maximum(x[3], y[3]) * (1 - similarity) + 1e-9) & (x[4] != y[4]) if near.any() else near
+
+
+def cell_pairs(own: tuple[np.ndarray, ...], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All candidate pairs of one cell that is sorted by size, some rows at a time."""
+    n = len(own[0])
+    for at in range(0, n - 1, 128):
+        upto = min(at + 128, n)
+        last = np.searchsorted(own[3], int(own[3][upto - 1] / similarity) + 1, side="right")
+        i, j = np.nonzero(alike(tuple(c[at:upto, None] for c in own), tuple(c[None, at:last] for c in own), similarity))
+        i, j = i[i < j], j[i < j]
+        yield own[0][at + i], own[0][at + j]
+
+
+def spanning(own: tuple[np.ndarray, ...], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs that span the components of all candidate pairs of one cell."""
+    left = np.arange(len(own[0]))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            near = alike(tuple(c[x : x + 1] for c in own), tuple(c[left] for c in own), similarity)
+            if near.any():
+                got = left[near]
+                yield np.full(len(got), own[0][x]), own[0][got]
+                queue.extend(got)
+                left = left[~near]
+
+
+def compared(cells: DataFrame, similarity: float, most: int = CELL, whole: bool = False) -> DataFrame:
+    """Rows by `kind`: LINK, a candidate pair (a, b) of keys; PART, the lines of a cell over `most` once for each pair
+    of its parts, to be compared next; DENSE, the lines of a cell with over four times as many pairs as lines, for
+    which only spanning pairs are given yet. With `whole` no cell counts as dense."""
+
+    def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        none = [pa.nulls(len(a), t) for t in (*[pa.int64()] * 4, pa.int32(), pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), LINK, np.int32)), pa.array(a), pa.array(b), *none], schema)
+
+    def lines_of(kind: int, cell: int, own: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        n = len(own[0])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[pa.nulls(n, pa.int64())] * 2, pa.array(np.full(n, cell)), *map(pa.array, own)], schema)
+
+    schema = "kind a b cell key f1 f2 size root".split()
+
+    def ended(cell: np.int64, own: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        n = len(own[0])
+        if n > most:
+            half = most // 2
+            for i, j in combinations(range(-(-n // half)), 2):
+                low, high = (tuple(c[k * half : (k + 1) * half] for c in own) for k in (i, j))
+                if j == i + 1 or high[3][0] <= low[3][-1] / similarity + 1:
+                    name = np.int64(xxhash.xxh64_intdigest(f"{cell} {i} {j}") >> 1)
+                    yield lines_of(PART, name, tuple(map(np.concatenate, zip(low, high, strict=True))))
+            return
+        found, count = [], 0
+        for pair in cell_pairs(own, similarity):
+            found.append(pair)
+            count += len(pair[0])
+            if whole and count > 1 << 16:
+                yield links(*map(np.concatenate, zip(*found, strict=True)))
+                found, count = [], 0
+            elif not whole and n > 16 and count > 4 * n:
+                found = list(spanning(own, similarity))
+                yield lines_of(DENSE, cell, own)
+                break
+        if found:
+            yield links(*map(np.concatenate, zip(*found, strict=True)))
 
-def near(fps: DataFrame, n: int, bits: int = BITS) -> DataFrame:
-    """Links (a, b) between the n distinct fingerprints `fp` that hold together all within `bits` (3 at most): those
-    that agree on a choice of blocks meet and are compared."""
-    m = 4 if n <= FEW else 5 if n <= MANY else 6
-    keys = []
-    for i, chosen in enumerate(combinations(blocks(m), m - 3)):
-        key = F.lit(i).cast("long")
-        for at, width in chosen:
-            key = key * (1 << width) + F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
-        keys.append(key)
-    found = cut(compared(fps.select(F.explode(F.array(*keys)).alias("key"), "fp"), bits, 1 << 15))
-    links = found.filter("key IS NULL").select("a", "b")
-    more = found.filter("key IS NOT NULL").select("key", F.col("a").alias("fp"))
-    if not more.isEmpty():
-        links = links.unionByName(compared(more, bits, 1 << 16).select("a", "b"))
-    return links.distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []  # the lines of the cell that goes on in the next batch
+        cell = None
+        small: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            cells, *rest = (c.to_numpy() for c in batch.columns)
+            edges = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1], [True]))).tolist() if len(cells) else []
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if held and cells[s] != cell:
+                    own = tuple(map(np.concatenate, zip(*held, strict=True))) if len(held) > 1 else held[0]
+                    if len(own[0]) > 1:
+                        yield from packed(small, ended(cell, own))
+                    held = []
+                cell = cells[s]
+                held.append(tuple(c[s:e] for c in rest))
+        if held:
+            yield from packed(small, ended(cell, tuple(map(np.concatenate, zip(*held, strict=True)))))
+        if small:
+            yield pa.Table.from_batches(small).combine_chunks().to_batches()[0]
+
+    def packed(small: list[pa.RecordBatch], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                small.append(batch)
+            if sum(map(len, small[-1:])) > 4096 or len(small) >= 256:
+                yield pa.Table.from_batches(small).combine_chunks().to_batches()[0]
+                small.clear()
+
+    columns = ["cell", "key", "f1", "f2", "size", "root"]
+    return cells.select(*columns).repartition("cell").sortWithinPartitions("cell", "size").mapInArrow(run, CELLS)
+
+
+def all_compared(cells: DataFrame, similarity: float, whole: bool = False) -> list[DataFrame]:
+    """The rows of compared(), with the cells that were too large compared too."""
+    found = cut(compared(cells, similarity, whole=whole))
+    more = found.filter(f"kind = {PART}")
+    return [found] if more.isEmpty() else [found, cut(compared(more, similarity, 2 * CELL, whole))]
+
+
+def candidates(lines: DataFrame, n: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of the n lines (key, f1, f2, size), and the lines of the dense cells.
+
+    The orders are taken one after another, so that only one order's cells are on disk.
+    """
+    m, count = (9, ORDERS) if n <= FEW else (7, MORE_ORDERS)
+    every = orders(m, count + SHORT_ORDERS)
+    found = []
+    for i in range(count):
+        found += all_compared(celled(lines, every[i : i + 1], i), similarity)
+        gc.collect()
+        lines.sparkSession.sparkContext._jvm.System.gc()  # the cleaner then drops the shuffle files of this order
+    found += all_compared(celled(lines.filter(F.col("size") <= SHORT), every[count:], count), similarity)
+    rows = reduce(DataFrame.unionByName, found)
+    pairs = rows.filter(f"kind = {LINK}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return cut(pairs.distinct()), rows.filter(f"kind = {DENSE}").select("cell", "key", "f1", "f2", "size")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame, text_col: str, min_words: int) -> DataFrame:
@@ -109,7 +269,7 @@ def line_texts(docs: DataFrame, wanted: DataFrame, text_col: str, min_words: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.frombuffer(sent.value, np.uint32), set()
         for batch in by_bytes(batches, 0, 1 << 20):
-            lines = [b" ".join(x) for text in batch.column(0).to_pylist() for x in normal_lines(text) if len(x) >= min_words]
+            lines = [b" ".join(x) for text in batch.column(0).to_pylist() for x in normal_lines(text) if takes_part(x, min_words)]
             if not lines:
                 continue
             keys = np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64)
@@ -192,27 +352,29 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def groups_of(docs: DataFrame, keys: DataFrame, text_col: str, min_words: int, similarity: float) -> DataFrame:
+    """(node, root) of the keys that verified links connect.
+
+    Of a dense cell only spanning pairs are verified.
+    """
+    fuzzy = keys.filter("f1 IS NOT NULL").select("key", "f1", "f2", "size")
+    pairs, _ = candidates(fuzzy, fuzzy.count(), similarity)
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    texts = stored(line_texts(docs, wanted, text_col, min_words))
+    return cut(components(verified(pairs, texts, similarity)))
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
     """(doc_id, dropped): for each document that loses lines, their numbers from 0, ascending.
 
-    Of the lines of a group all but the first by (doc_id, line number) go. Lines of fewer than min_words words
-    and documents with a null id take no part; rows of one id are treated alike. Where a cell
-    has over four times as many links within 3 bits as fingerprints, a spanning forest stands for them, and
-    lines of one fingerprint are verified against one of them.
+    Of the lines of a group all but the first by (doc_id, line number) go. Lines that are too short for takes_part()
+    take no part, or with `short` as exact copies only. Documents with a null id take no part; rows of one id are
+    treated alike.
     """
     known = docs.filter(F.col(id_col).isNotNull())
-    lines = stored(occurrences(known, id_col, text_col, min_words))
-    keys = stored(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.count("*").alias("n")))
-    of_fp = cut(keys.groupBy("fp").agg(F.min("key").alias("key"), F.min_by("size", "key").alias("size"), F.count("*").alias("n")))
-    links = near(of_fp.select("fp"), of_fp.count())
-    rep = of_fp.select("fp", "key", "size")
-    across = links.join(rep.toDF("a", "ka", "na"), "a").join(rep.toDF("b", "kb", "nb"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"), "na", "nb")
-    own = keys.select("fp", F.col("key").alias("b"), F.col("size").alias("nb"))
-    within_one = own.join(of_fp.filter("n > 1").select("fp", F.col("key").alias("a"), F.col("size").alias("na")), "fp").filter("a <> b").select("a", "b", "na", "nb")
-    # Lines whose lengths lie too far apart are no match; their texts need not be fetched.
-    pairs = cut(across.unionByName(within_one).filter(F.abs(F.col("na") - F.col("nb")) <= F.greatest("na", "nb") * (1 - similarity) + 1e-9).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    groups = cut(components(verified(pairs, stored(line_texts(known, wanted, text_col, min_words)), similarity)))
+    lines = stored(occurrences(known, id_col, text_col, min_words, short))
+    keys = stored(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.min(c).alias(c) for c in ("f1", "f2", "size")), F.count("*").alias("n")))
+    groups = groups_of(known, keys, text_col, min_words, similarity)
     led = groups.join(keys.select(F.col("key").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("led"))
     moved = groups.join(led, "root").select(F.col("node").alias("key"), "led")
     kept = cut(keys.join(moved, "key", "left").filter("n > 1 OR led IS NOT NULL").select("key", F.coalesce("led", "first").alias("kept")))
@@ -220,13 +382,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("dropped"))
 
 
-def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
     """docs with text without its dropped lines, and two more columns, n_lines and dropped (an array, never null).
 
     All rows and columns stay; null and empty texts stay as they are (a null text has 0 lines). The names
     n_lines and dropped must be free.
     """
-    gone = cut(dropped_lines(docs, id_col, text_col, min_words, similarity)).select(F.col("doc_id").alias(id_col), "dropped")
+    gone = cut(dropped_lines(docs, id_col, text_col, min_words, similarity, short)).select(F.col("doc_id").alias(id_col), "dropped")
     lines = F.split(F.col(text_col), "\n", -1)
     none = F.array().cast("array<int>")
     joined = docs.join(gone, id_col, "left").withColumn("n_lines", F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"))) + 1, F.lit(0)).cast("long")).withColumn("dropped", F.coalesce("dropped", none))

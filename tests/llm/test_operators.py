@@ -172,6 +172,27 @@ def test_fuzzy_lines_are_verified(spark):
     assert gone <= {100 + i for i in range(30)} and len(gone) >= 12  # SimHash finds most, verification lets no other line go
 
 
+@pytest.mark.parametrize(("k", "n"), [(5, 1), (10, 1), (20, 2), (40, 4), (100, 10)])
+def test_changed_lines_are_candidates(k, n):
+    """Lines of k words with n of them changed: of those alike enough at least nine of ten meet."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    pairs = []
+    while len(pairs) < 200:
+        a = [word() for _ in range(k)]
+        b = list(a)
+        for i in rng.sample(range(k), n):
+            b[i] = word()
+        x, y = " ".join(a), " ".join(b)
+        if lines.within(x, y, int(max(len(x), len(y)) * 0.2)):
+            pairs.append((x, y))
+    one, two = (lines.simhashes([x.encode().split() for x in side]) for side in zip(*pairs, strict=True))
+    differ = np.unpackbits((one ^ two).view(np.uint8).reshape(-1, 16), axis=1).astype(bool)
+    every = lines.orders(9, lines.ORDERS + lines.SHORT_ORDERS)
+    met = [d.sum() <= lines.BITS and any(not d[b].any() for order in (every if max(map(len, p)) <= lines.SHORT else every[: lines.ORDERS]) for b in order) for d, p in zip(differ, pairs, strict=True)]
+    assert sum(met) >= 180
+
+
 def test_lines_of_odd_rows(odd, empty):
     plain = lambda d: d.select("doc_id", "text")
     got = lines.deduped(plain(odd))
