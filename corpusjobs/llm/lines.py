@@ -355,13 +355,22 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 def groups_of(docs: DataFrame, keys: DataFrame, text_col: str, min_words: int, similarity: float) -> DataFrame:
     """(node, root) of the keys that verified links connect.
 
-    Of a dense cell only spanning pairs are verified.
+    Of a dense cell first only spanning pairs are verified; then all its pairs whose lines are not in one group yet,
+    so nothing is thinned that verification has not decided.
     """
     fuzzy = keys.filter("f1 IS NOT NULL").select("key", "f1", "f2", "size")
-    pairs, _ = candidates(fuzzy, fuzzy.count(), similarity)
+    pairs, dense = candidates(fuzzy, fuzzy.count(), similarity)
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     texts = stored(line_texts(docs, wanted, text_col, min_words))
-    return cut(components(verified(pairs, texts, similarity)))
+    sure = cut(verified(pairs, texts, similarity))
+    groups = cut(components(sure))
+    if dense.isEmpty():
+        return groups
+    # A line of a pair of a dense cell has a spanning pair too, so its text is there.
+    named = dense.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rest = reduce(DataFrame.unionByName, all_compared(named, similarity, whole=True)).filter(f"kind = {LINK}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = cut(rest.distinct().join(pairs, ["a", "b"], "left_anti"))
+    return groups if rest.isEmpty() else cut(components(sure.unionByName(verified(rest, texts, similarity))))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:

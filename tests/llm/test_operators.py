@@ -193,6 +193,18 @@ def test_changed_lines_are_candidates(k, n):
     assert sum(met) >= 180
 
 
+def test_links_are_thinned_only_after_verification(spark):
+    """Lines of one SimHash, of which only two are alike: each is compared with every other."""
+    rng = random.Random(6)
+    words = [f"{c * 3}{i}" for i, c in enumerate("abcdefghijkl")]
+    texts = [" ".join(rng.sample(words, 12)) for _ in range(40)]
+    texts.append(" ".join([*texts[7].split()[1:], texts[7].split()[0]]))
+    alike = {j for i, x in enumerate(texts) for j, y in enumerate(texts) if i < j and lines.within(x, y, int(max(len(x), len(y)) * 0.2))}
+    assert alike == {40}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in lines.dropped_lines(frame).collect()} == alike
+
+
 def test_lines_of_odd_rows(odd, empty):
     plain = lambda d: d.select("doc_id", "text")
     got = lines.deduped(plain(odd))
