@@ -20,7 +20,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = lines.deduped(table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 

@@ -205,6 +205,13 @@ def test_links_are_thinned_only_after_verification(spark):
     assert {r.doc_id for r in lines.dropped_lines(frame).collect()} == alike
 
 
+def test_short_and_unspaced_lines(spark):
+    own = "".join(chr(0x4E00 + 7 * i) for i in range(60))
+    rows = [(1, f"ab cd\n{own}\n\n"), (2, f"AB, cd\n{own[:30]}\u3042{own[31:]}\n\n"), (3, "ab ce")]
+    got = {r.doc_id: r.dropped for r in lines.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string"), short=True).collect()}
+    assert got == {2: [0, 1]}
+
+
 def test_lines_of_odd_rows(odd, empty):
     plain = lambda d: d.select("doc_id", "text")
     got = lines.deduped(plain(odd))
