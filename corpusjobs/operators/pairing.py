@@ -118,7 +118,8 @@ def plan_pairs(seeds: DataFrame, log: DataFrame, n: int, seed: int, scored: Data
     """Up to n pairs (id_lo, id_hi, priority): 0 unfused and compatible, 1 unfused, 2 fused before.
 
     scored: compatible pairs for guided planning. Other pairs are drawn, `draws` partners for each seed in a
-    repeatable order of hashes: the universe of pairs is never formed. One seed is paired with itself; none: no rows.
+    repeatable order of hashes: the universe of pairs is never formed. Where these give too few unfused pairs, seeds with
+    partners left give all of theirs, and fused pairs come last. One seed is paired with itself; none: no rows.
     """
     ids = seeds.select(F.col(id_col).alias("id"))
     count = ids.count()
@@ -131,7 +132,15 @@ def plan_pairs(seeds: DataFrame, log: DataFrame, n: int, seed: int, scored: Data
     pool = made.withColumn("score", F.lit(0).cast("long"))
     if scored is not None:
         pool = pool.unionByName(scored.select("id_lo", "id_hi", F.col("score").cast("long").alias("score")))
-    one = pool.groupBy("id_lo", "id_hi").agg(F.max("score").alias("score")).join(fused, ["id_lo", "id_hi"], "left")
+    marked = lambda p: p.groupBy("id_lo", "id_hi").agg(F.max("score").alias("score")).join(fused, ["id_lo", "id_hi"], "left")
+    one = marked(pool)
+    if one.filter("fused IS NULL").limit(n).count() < n:
+        # Each of 2 n seeds with a partner left gives a pair, and a pair comes from two seeds at most.
+        known = fused.join(ids.distinct().toDF("id_lo"), "id_lo", "left_semi").join(ids.distinct().toDF("id_hi"), "id_hi", "left_semi").select("id_lo", "id_hi")
+        degree = known.unionByName(known.toDF("id_hi", "id_lo")).groupBy(F.col("id_lo").alias("id")).agg(F.count("*").alias("n"))
+        left = ids.distinct().join(degree, "id", "left").filter(F.coalesce("n", F.lit(0)) < ids.distinct().count() - 1).orderBy(draw(seed, F.col("id"))).limit(2 * n).select(F.col("id").alias("id_a"))
+        more = canonical(left.crossJoin(ids.select(F.col("id").alias("id_b")))).join(known, ["id_lo", "id_hi"], "left_anti").unionByName(known)
+        one = marked(pool.unionByName(more.withColumn("score", F.lit(0).cast("long"))))
     rank = F.when(F.col("fused"), 2).when(F.col("score") > 0, 0).otherwise(1)
     return one.withColumn("priority", rank).orderBy("priority", draw(seed, F.col("id_lo"), F.col("id_hi"))).limit(n).select("id_lo", "id_hi", "priority")
 

@@ -53,7 +53,6 @@ FROM part
 """,
     "fused_pairs": r"""
 SELECT l_orderkey AS iteration, l_suppkey AS id_a, l_partkey % (SELECT count(*) FROM supplier) AS id_b FROM lineitem
-WHERE l_linenumber = 1 AND l_orderkey % 10 = 0
 """,
     "bug_corpus": r"""
 SELECT doc_id AS id, source AS project, concat('t', doc_id) AS name, text AS program,

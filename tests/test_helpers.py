@@ -149,6 +149,13 @@ def test_plans_for_few_seeds(spark):
     assert (cover.covered, cover.total, cover.ratio, cover.saturated) == (1, 1, 1.0, True)
 
 
+def test_plans_find_the_last_unfused_pairs(spark):
+    left = {(1, 2), (5, 19), (20, 30)}
+    log = spark.createDataFrame([(a, b) for a in range(1, 31) for b in range(a + 1, 31) if (a, b) not in left], "id_a long, id_b long")
+    plan = [tuple(r) for r in J.plan_pairs(spark.createDataFrame([(i,) for i in range(1, 31)], "id long"), log, 400, 1).collect()]
+    assert {p[:2] for p in plan[:3]} == left and [p[2] for p in plan] == [1] * 3 + [2] * 397
+
+
 def test_unknown_ids_fail(spark):
     corpus = spark.createDataFrame([(1, "{}")], "id long, translations string")
     with pytest.raises(LookupError):
