@@ -389,6 +389,12 @@ def test_best_fit_keeps_every_constraint():
         packing.best_fit(np.array([[101.0, 1, 1]]), caps)
 
 
+@pytest.mark.parametrize(("caps", "most"), [((1000, 10, 1e6), 10), ((1000, 1000, 48), 12)])
+def test_capacities_of_documents_and_cost_bind(caps, most):
+    items = np.tile([2.0, 1.0, 4.0], (120, 1))
+    assert np.bincount(packing.best_fit(items, np.array(caps, float))).max() == most
+
+
 def test_packing(odd, empty):
     for group in (4096, 3):
         got = packing.packed(odd, capacity=100, group=group).toPandas()
