@@ -1,9 +1,10 @@
 """Token ids of whole texts by the tokenizers library.
 
-The tokenizer splits a text into pre-tokens and codes each apart from the others. Every id comes from the
-library, but a worker has each distinct pre-token coded once and remembers its ids. Texts of printable ASCII
-and the letters of Latin-1 are split by the tokenizer's own pattern, written for that alphabet; in all other
-texts the unit is the piece between spaces and line feeds, which no pre-token spans, and the library splits it.
+The tokenizer splits a text into pre-tokens and codes each apart from the others; no pre-token spans white space.
+Every id comes from the library, but a worker has each distinct chunk between white space coded once and remembers
+its ids. Over printable ASCII and the letters of Latin-1 a chunk is split into pre-tokens by the tokenizer's own
+pattern, written for that alphabet, and the library's model codes each of them; chunks of all other texts go through
+the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -12,17 +13,20 @@ import importlib
 import json
 import os
 import re
+import struct
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
 
-#: Units that a worker remembers, and the length up to which a unit is remembered.
-REMEMBERED, LONGEST = 1 << 20, 64
+#: Chunks that a worker remembers, and the length up to which a chunk is remembered; beyond, they are coded anew.
+REMEMBERED, LONGEST = 3 << 19, 64
 WORD_BPE = "word_bpe_49k.json"
 #: The normaliser and the pattern of WORD_BPE, and the pattern over the plain alphabet.
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = re.compile(r"[\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]*")
+#: The plain alphabet in Latin-1, and its letters beyond ASCII as the tokenizer writes their UTF-8 bytes.
+PLAIN = bytes([9, 10, 13, *range(32, 127), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
 PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
@@ -31,6 +35,30 @@ def vocabulary(name: str) -> str:
     return name if os.path.isabs(name) else importlib.import_module("public_tokenizers").path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """Each letter of Latin-1 beyond ASCII as the byte-level pre-tokenizer writes it: printable bytes stand for themselves, others for code points from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    names = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in PLAIN if c >= 128}
+
+
+class Memory(dict):
+    """Ids of chunks, coded when first asked for; at most REMEMBERED chunks of at most LONGEST characters."""
+
+    def __init__(self, code: Callable[[str], bytes]):
+        super().__init__()
+        self.code = code
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.code(chunk)
+        if len(chunk) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as bytes: little-endian unsigned 32-bit integers."""
 
@@ -40,55 +68,38 @@ class Encoder:
         with open(vocabulary(name), encoding="utf-8") as f:
             made = json.load(f)
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self.special = re.compile("|".join(re.escape(x["content"]) for x in made["added_tokens"]) or r"(?!)")
-        suffix = made["model"].get("end_of_word_suffix")
-        split = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
-        # Only this normaliser and pattern are known to be the same over the plain alphabet.
-        self.plain = bool(suffix) and (made.get("normalizer") or {}).get("normalizers") == NORMAL and split == PATTERN
-        self.last = np.zeros(self.size, bool)
-        if self.plain:
-            self.last[[i for token, i in made["model"]["vocab"].items() if token.endswith(suffix)]] = True
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def coded(self, units: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-    def coded_words(self, words: list[str]) -> list[bytes]:
-        """Ids of pre-tokens, coded together; the last id of a pre-token is one that ends a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(words) or ends[-1] != len(ids):
-            return self.coded(words)
-        raw, at, out = ids.tobytes(), 0, []
-        for end in (4 * ends).tolist():
-            out.append(raw[at:end])
-            at = end
-        return out
-
-    def joined(self, units: list[str], known: dict[str, bytes], code) -> bytes:
+        split, *level = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        # Only this normaliser and these pre-tokenizers are known to be the same over the plain alphabet.
+        known = (made.get("normalizer") or {}).get("normalizers") == NORMAL and split.get("pattern", {}).get("Regex") == PATTERN
+        self.plain = known and [x["type"] for x in level] == ["ByteLevel"] and not (level[0]["add_prefix_space"] or level[0]["use_regex"])
+        self.letters = byte_letters()
+        self.chunks, self.others = Memory(self.coded_chunk), Memory(self.coded)
+
+    def coded(self, chunk: str) -> bytes:
+        """By the whole tokenizer."""
+        return np.array(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def coded_chunk(self, chunk: str) -> bytes:
+        """A chunk of the plain alphabet, by the model alone."""
+        parts = PLAIN_PATTERN.findall(chunk)
+        if len(parts) > 1:
+            return b"".join(map(self.chunks.__getitem__, parts))
+        return b"".join(struct.pack("<I", x.id) for part in parts for x in self.model.tokenize(part if part.isascii() else part.translate(self.letters)))
+
+    def is_plain(self, text: str) -> bool:
         try:
-            return b"".join(map(known.__getitem__, units))
-        except KeyError:
-            pass
-        missing = {x for x in units if x not in known}
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = set(units)
-        new = sorted(missing)
-        known.update(zip(new, code(new), strict=True))
-        ids = b"".join(map(known.__getitem__, units))
-        for x in new:
-            if len(x) > LONGEST:
-                del known[x]
-        return ids
+            return self.plain and not text.encode("latin-1").translate(None, PLAIN) and not ("<|" in text and self.special.search(text))
+        except UnicodeEncodeError:
+            return False
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
-        if self.plain and PLAIN.fullmatch(text) and not ("<|" in text and self.special.search(text)):
-            return self.joined(PLAIN_PATTERN.findall(text.lower()), self.words, self.coded_words)
-        return self.joined(text.replace("\n", " ").split(" "), self.pieces, self.coded)
+        if self.is_plain(text):
+            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+        return b"".join(map(self.others.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @cache
