@@ -84,7 +84,8 @@ def harvest_pool(candidates: DataFrame, seed: int, caps: dict[str, int] | None =
     caps = caps or CAPS
     cap = reduce(lambda a, kv: F.when(F.col("bucket") == kv[0], kv[1]).otherwise(a), caps.items(), F.lit(0))
     order = W.partitionBy("source", "bucket").orderBy(draw(seed, F.col("name")), "name")
-    return candidates.filter("rc = 0").withColumn("bucket", bucket).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= cap)
+    # The largest cap is a bound that every task keeps to before its rows are shuffled.
+    return candidates.filter("rc = 0").withColumn("bucket", bucket).withColumn("nth", F.row_number().over(order)).filter((F.col("nth") <= max(caps.values(), default=0)) & (F.col("nth") <= cap))
 
 
 def flat_name(path: Column, prefix: str | None = None) -> Column:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.profiles import base_symbol
 from ..functions.text import draw, let, words
+from .tables import numbered
 
 #: Which technique a language supports.
 NO_STATE = ("rust",)
@@ -29,20 +31,26 @@ def jaccard(a: Column, b: Column) -> Column:
 def similar_pairs(seeds: DataFrame, threshold: float, k: int = 5, id_col: str = "id", content: str = "content") -> DataFrame:
     """D3: (a, b, similarity) of representatives of different shingle sets with a Jaccard similarity at or over the threshold.
 
-    Rows with equal sets are one representative, the smallest id (members() lists them). A pair over the
-    threshold shares one of the first n - ceil(threshold * n) + 1 of each side's n shingles in the order of
-    their frequency (prefix filter), so only those, the rarest, are joined; lengths and then the sets decide.
+    Rows with equal sets are one representative, the smallest id. A pair over the threshold shares one of the first
+    n - ceil(threshold * n) + 1 of each side's n shingles in the order of their frequency, and from there on enough
+    shingles are left on both sides (prefix and position filters). Only ids, sizes and places meet; the sets are
+    fetched for the pairs that are left.
     """
     each = seeds.select(F.col(id_col).alias("id"), F.transform(shingles(F.col(content), k), lambda s: F.xxhash64(s)).alias("raw")).filter(F.size("raw") > 0)
     sets = each.withColumn("s", F.array_sort(F.array_distinct("raw"))).groupBy("s").agg(F.min("id").alias("id"))
-    spread = sets.select("id", F.explode("s").alias("h"))
+    spread = sets.select("id", F.size("s").alias("size"), F.explode("s").alias("h"))
     often = spread.groupBy("h").agg(F.count("*").alias("n"))
-    ordered = spread.join(often, "h").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]).alias("s"))
-    size = F.size("s")
-    prefix = ordered.select("id", "s", size.alias("n"), F.explode(F.slice("s", 1, size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1)).alias("h"))
-    a, b = (prefix.select("h", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "s", "n"))) for p in "ab")
-    met = a.join(b, "h").filter("a_id < b_id").filter((F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - 1e-9)).dropDuplicates(["a_id", "b_id"])
-    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), jaccard(F.col("a_s"), F.col("b_s")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    # A shingle of one set alone cannot meet another; the others keep their places behind it.
+    ranked = spread.join(often, "h").groupBy("id").agg(F.first("size").alias("n"), F.array_sort(F.collect_list(F.struct("n", "h"))).alias("s"))
+    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
+    prefix = ranked.select("id", "n", F.posexplode(F.slice("s", 1, first)).alias("at", "x")).filter("x.n > 1").select("id", "n", "at", F.col("x.h").alias("h"))
+    a, b = (prefix.select("h", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "n", "at"))).hint("merge") for p in "ab")
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
+    enough = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    # The first shared shingle of a pair is the one with the most left behind it, so the filter never drops a pair.
+    met = a.join(b, "h").filter("a_id < b_id").filter((F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - 1e-9) & (enough >= need)).select("a_id", "b_id").distinct()
+    one, two = (sets.select(F.col("id").alias(f"{p}_id"), F.col("s").alias(f"{p}_s")) for p in "ab")
+    return met.join(one, "a_id").join(two, "b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), jaccard(F.col("a_s"), F.col("b_s")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
 def sample_n(rows: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
@@ -73,24 +81,57 @@ def resource_profile(seeds: DataFrame, id_col: str = "id") -> DataFrame:
     return both.select("id", F.lit("produces").alias("role"), F.explode("p").alias("symbol")).unionByName(both.select("id", F.lit("consumes"), F.explode("c")).toDF("id", "role", "symbol"))
 
 
-def compatibility(profiles: DataFrame) -> DataFrame:
-    """(id_lo, id_hi, score): symbols that one produces and the other consumes, both ways; J3: only scores over 0.
-
-    Seeds with equal symbols in equal roles are interchangeable, so symbols are joined between such classes and
-    each class pair is spread to its members last; the join on a hot symbol is as large as its classes, not its
-    seeds.
-    """
+def seed_classes(profiles: DataFrame) -> DataFrame:
+    """(id, kind, marks): seeds with equal symbols in equal roles are one class, named by its smallest id."""
     marked = profiles.groupBy("id").agg(F.sort_array(F.collect_set(F.concat_ws(":", "role", "symbol"))).alias("marks"))
     kinds = marked.groupBy("marks").agg(F.min("id").alias("kind"))
-    member = marked.join(kinds, "marks").select("id", "kind")
+    return marked.join(kinds, "marks").select("id", "kind", "marks")
+
+
+def compatible_classes(classes: DataFrame) -> DataFrame:
+    """(k1, k2, score, pairs), k1 <= k2: symbols that a seed of one class produces and one of the other consumes, both
+    ways, and how many pairs of different seeds the two classes have; J3: only scores over 0.
+
+    Symbols are joined between classes, so the join on a hot symbol is as large as its classes, not its seeds, and the
+    pairs are counted, never formed.
+    """
+    kinds = classes.groupBy("kind").agg(F.first("marks").alias("marks"), F.count("*").alias("seeds"))
     own = kinds.select("kind", F.explode("marks").alias("mark")).select("kind", F.substring_index("mark", ":", 1).alias("role"), F.expr("substring(mark, instr(mark, ':') + 1)").alias("symbol"))
     made, used = own.filter("role = 'produces'").select("symbol", F.col("kind").alias("x")), own.filter("role = 'consumes'").select("symbol", F.col("kind").alias("y"))
     met = made.join(used, "symbol").groupBy(F.least("x", "y").alias("k1"), F.greatest("x", "y").alias("k2")).agg(F.count("*").alias("n"))
-    # Of two seeds of one kind each way counts, but the join within a kind sees it once.
-    scored = met.withColumn("score", F.when(F.col("k1") == F.col("k2"), 2 * F.col("n")).otherwise(F.col("n")))
-    a, b = member.select(F.col("id").alias("i"), F.col("kind").alias("k1")), member.select(F.col("id").alias("j"), F.col("kind").alias("k2"))
-    pairs = scored.join(a, "k1").join(b, "k2").filter("k1 <> k2 OR i < j")
-    return pairs.select(F.least("i", "j").alias("id_lo"), F.greatest("i", "j").alias("id_hi"), "score")
+    # Of two seeds of one class each way counts, but the join within a class sees it once.
+    a, b = (kinds.select(F.col("kind").alias(k), F.col("seeds").alias(n)) for k, n in (("k1", "n1"), ("k2", "n2")))
+    same = F.col("k1") == F.col("k2")
+    pairs = F.when(same, F.expr("n1 * (n1 - 1) div 2")).otherwise(F.col("n1") * F.col("n2"))
+    return met.join(a, "k1").join(b, "k2").select("k1", "k2", F.when(same, 2 * F.col("n")).otherwise(F.col("n")).alias("score"), pairs.alias("pairs")).filter("pairs > 0")
+
+
+def guided_pairs(classes: DataFrame, log: DataFrame, n: int) -> DataFrame:
+    """J5, guided: up to n pairs (id_lo, id_hi, score) of compatible seeds that the log does not hold, the best scores first.
+
+    Of two classes the log's own pairs are counted, so it is known which classes have pairs left, and only of those that
+    are needed pairs are formed, by their number: as many as are wanted, and as the log may hold, no more. Pairs of equal
+    score come by their classes, then by the places of their seeds in them.
+    """
+    placed = numbered(classes.select("id", "kind"), "kind", "id")
+    starts = placed.groupBy("kind").agg(F.min("number").alias("start"), F.count("*").alias("seeds"))
+    seat = placed.join(starts, "kind").select("id", "kind", (F.col("number") - F.col("start")).alias("seat"))
+    a, b = (seat.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "kind"))) for p in "ab")
+    known = canonical(log)
+    logged = known.join(a, known.id_lo == F.col("a_id")).join(b, known.id_hi == F.col("b_id")).groupBy(F.least("a_kind", "b_kind").alias("k1"), F.greatest("a_kind", "b_kind").alias("k2")).agg(F.count("*").alias("logged"))
+    ranked = compatible_classes(classes).join(logged, ["k1", "k2"], "left").withColumn("logged", F.coalesce("logged", F.lit(0))).filter("pairs > logged").orderBy(F.desc("score"), "k1", "k2").limit(n)
+    before = F.coalesce(F.sum(F.col("pairs") - F.col("logged")).over(W.orderBy(F.desc("score"), "k1", "k2").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # over n rows at most
+    needed = ranked.withColumn("before", before).filter(F.col("before") < n)
+    rows = needed.select("k1", "k2", "score", F.explode(F.sequence(F.lit(0).cast("long"), F.least("pairs", F.lit(n) - F.col("before") + F.col("logged")) - 1)).alias("t"))
+    n2 = starts.select(F.col("kind").alias("k2"), F.col("seeds").alias("n2"))
+    # Pair t of a class with itself: seats i < j with j (j - 1) / 2 + i = t.
+    root = F.floor((1 + F.sqrt(1 + 8 * F.col("t"))) / 2).cast("long")
+    j = F.when(root * (root - 1) / 2 > F.col("t"), root - 1).when((root + 1) * root / 2 <= F.col("t"), root + 1).otherwise(root)
+    same = F.col("k1") == F.col("k2")
+    seats = rows.join(n2, "k2").withColumn("j", j).select("k1", "k2", "score", F.when(same, F.expr("t - j * (j - 1) div 2")).otherwise(F.expr("t div n2")).alias("s1"), F.when(same, F.col("j")).otherwise(F.expr("t % n2")).alias("s2"), "t")
+    one, two = (seat.select(F.col("kind").alias(k), F.col("seat").alias(s), F.col("id").alias(i)) for k, s, i in (("k1", "s1", "i"), ("k2", "s2", "j")))
+    formed = seats.join(one, ["k1", "s1"]).join(two, ["k2", "s2"]).select(F.least("i", "j").alias("id_lo"), F.greatest("i", "j").alias("id_hi"), "score", "k1", "k2", "t")
+    return formed.join(known, ["id_lo", "id_hi"], "left_anti").orderBy(F.desc("score"), "k1", "k2", "t").limit(n).select("id_lo", "id_hi", "score")
 
 
 # -- pair logs ------------------------------------------------------------------------------------
@@ -117,7 +158,7 @@ def pair_coverage(n_seeds: DataFrame, log: DataFrame) -> DataFrame:
 def plan_pairs(seeds: DataFrame, log: DataFrame, n: int, seed: int, scored: DataFrame | None = None, id_col: str = "id", draws: int = 4) -> DataFrame:
     """Up to n pairs (id_lo, id_hi, priority): 0 unfused and compatible, 1 unfused, 2 fused before.
 
-    scored: compatible pairs for guided planning. Other pairs are drawn, `draws` partners for each seed in a
+    scored: compatible pairs (id_lo, id_hi, score) for guided planning, as guided_pairs() gives them. Other pairs are drawn, `draws` partners for each seed in a
     repeatable order of hashes: the universe of pairs is never formed. Where these give too few unfused pairs, seeds with
     partners left give all of theirs, and fused pairs come last. One seed is paired with itself; none: no rows.
     """
@@ -190,7 +231,7 @@ def name_conflicts(pairs: DataFrame, names: DataFrame) -> DataFrame:
     return pairs.join(a, "id_lo").join(b, "id_hi").select("id_lo", "id_hi", F.array_sort(F.array_intersect("na", "nb")).alias("conflicts"))
 
 
-def renamed(text: Column, names: Column, suffix: str = "_ffl") -> Column:
+def renamed(text: Column, names: Column, suffix: str = "_b") -> Column:
     """The text with each whole-word name suffixed, longest names first."""
     ordered = F.array_sort(names, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
     return F.aggregate(ordered, text, lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"\b"), n, F.lit(r"\b")), F.concat(n, F.lit(suffix))))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signatures as G
 from ..functions.text import all_found, found, let, strip, words
+from .tables import numbered
 
 #: Words that name a kind of crash.
 KEYWORDS = ("SUMMARY:", "Assertion:", "ASAN:", "LLVM ERROR:", "compiler panic:", "compiler fatal:", "internal compiler error:", "Fatal Python error:", "INTERNAL PANIC:", "Check failed:", "Fatal error:", "Segmentation fault", "Bus error", "SIGSEGV", "SIGABRT")
@@ -34,20 +35,31 @@ def first_seen(crashes: DataFrame, known: DataFrame | None = None, order: str =
     return seen if known is None else seen.join(known.select(F.col("signature").alias("key")).distinct(), "key", "left_anti")
 
 
-def clusters(reports: DataFrame, name: str = "name", text: str = "text", project: str = "project") -> DataFrame:
-    """(signature, members, size) of saved outputs, whose signature is found anew by the project's own cascade."""
+def cluster_members(reports: DataFrame, name: str = "name", text: str = "text", project: str = "project") -> DataFrame:
+    """(signature, member) of saved outputs, whose signature is found anew by the project's own cascade."""
     own = F.lit(None).cast("string")
     for p, cascade in G.CASCADES.items():
         own = F.when(F.col(project) == p, cascade(F.lit(""), F.coalesce(F.col(text), F.lit("")))).otherwise(own)
     found_anew = F.coalesce(F.when(own != "", own), F.concat(F.lit("(unrecognized) "), F.col(name).cast("string")))
-    return reports.select(found_anew.alias("signature"), F.col(name).alias("member")).groupBy("signature").agg(F.sort_array(F.collect_list("member")).alias("members"), F.count("*").alias("size"))
+    return reports.select(found_anew.alias("signature"), F.col(name).cast("string").alias("member"))
+
+
+def clusters(members: DataFrame, shown: int = 6) -> DataFrame:
+    """(signature, size, first): how many members a signature has, and the `shown` smallest of them.
+
+    Both are found in the tasks before anything is shuffled, so a signature of a crash storm stays cheap.
+    """
+    sizes = members.groupBy("signature").agg(F.count("*").alias("size"))
+    nth = F.row_number().over(W.partitionBy("signature").orderBy("member"))
+    first = members.withColumn("nth", nth).filter(F.col("nth") <= shown).groupBy("signature").agg(F.sort_array(F.collect_list("member")).alias("first"))
+    return sizes.join(first, "signature")
 
 
 def cluster_report(found_clusters: DataFrame, shown: int = 6) -> DataFrame:
     """Clusters by size descending (ties: smallest member), their rank, the first members and how many more."""
-    order = W.orderBy(F.desc("size"), F.col("members")[0])
     more = F.when(F.col("size") > shown, F.concat(F.lit(" +"), (F.col("size") - shown).cast("string"), F.lit(" more"))).otherwise("")
-    return found_clusters.select(F.row_number().over(order).alias("rank"), "signature", "size", F.concat(F.array_join(F.slice("members", 1, shown), ", "), more).alias("shown"))
+    ranked = numbered(found_clusters.withColumn("least", F.get("first", F.lit(0))), F.desc("size"), F.col("least"), name="rank")
+    return ranked.select((F.col("rank") + 1).alias("rank"), "signature", "size", F.concat(F.array_join(F.slice("first", 1, shown), ", "), more).alias("shown"))
 
 
 def bare_text(signature: Column) -> Column:
@@ -73,20 +85,42 @@ def match_key(signature: Column) -> Column:
     return let(frames(signature), lambda chain: F.when(F.size(chain) > 0, F.concat(F.lit("frames:"), F.array_join(chain, " > "))).otherwise(text))
 
 
-def signatures_match(left: DataFrame, right: DataFrame, signature: str = "signature") -> DataFrame:
-    """T5: pairs of rows whose signatures match, as an equi-join; right's columns get the prefix r_."""
-    other = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns), match_key(F.col(signature)).alias("match_key"))
-    return left.withColumn("match_key", match_key(F.col(signature))).join(other, "match_key").drop("match_key")
+def signature_classes(rows: DataFrame, signature: str = "signature") -> DataFrame:
+    """T5: (match_key, first, n): the classes of matching signatures, which their key names, with the smallest signature and the number of rows.
+
+    Two rows match if match_key() gives them one key; pairs are never formed.
+    """
+    return rows.select(match_key(F.col(signature)).alias("match_key"), F.col(signature).alias("s")).filter("match_key IS NOT NULL").groupBy("match_key").agg(F.min("s").alias("first"), F.count("*").alias("n"))
+
+
+def matched(left: DataFrame, right: DataFrame, signature: str = "signature") -> DataFrame:
+    """T5: rows of left whose signature matches that of any row of right."""
+    keys = right.select(match_key(F.col(signature)).alias("__key")).filter("__key IS NOT NULL").distinct()
+    return left.join(keys, match_key(left[signature]) == F.col("__key"), "left_semi")
+
+
+def keyword_keys(signature: Column) -> Column:
+    """What two signatures must share one of: their own text, or a crash keyword; missing ones match their own kind of missing, null or empty."""
+    own = F.when(signature.isNull(), F.lit("null:")).otherwise(F.concat(F.lit("text:"), signature))
+    return F.concat(F.array(own), F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.coalesce(F.contains(signature, k), F.lit(False))))
+
+
+def keyword_classes(rows: DataFrame, signature: str = "signature") -> DataFrame:
+    """(key, first, n) for each of the keys of the rows: the smallest signature and the number of rows that share the key."""
+    return rows.select(F.explode(keyword_keys(F.col(signature))).alias("key"), F.col(signature).alias("s")).groupBy("key").agg(F.min("s").alias("first"), F.count("*").alias("n"))
 
 
-def keyword_match(left: DataFrame, right: DataFrame, signature: str = "signature", key: str = "id") -> DataFrame:
-    """(left, right) ids of rows whose signatures are equal, both missing, or share a crash keyword.
+def keyword_matched(left: DataFrame, right: DataFrame, signature: str = "signature") -> DataFrame:
+    """Rows of left that match any row of right: equal, both missing alike, or with a crash keyword in common.
 
-    Two missing values match if they are the same kind of missing: both null or both empty.
+    The keys of right's rows are told apart in two: its keywords are a few, its texts are joined.
     """
-    keys = lambda: F.concat(F.array(F.when(F.col(signature).isNull(), F.lit("null:")).otherwise(F.concat(F.lit("text:"), F.col(signature)))), F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.coalesce(F.contains(F.col(signature), k), F.lit(False))))
-    a, b = (d.select(F.col(key).alias(n), F.explode(keys()).alias("k")) for d, n in ((left, "left"), (right, "right")))
-    return a.join(b, "k").select("left", "right").distinct()
+    keys = right.select(F.explode(keyword_keys(F.col(signature))).alias("__key")).distinct()
+    words = F.coalesce(F.array_intersect(keyword_keys(F.col(signature)), F.lit(list(KEYWORDS))), F.array().cast("array<string>"))
+    said = {r["__key"] for r in keys.filter(F.col("__key").isin(*KEYWORDS)).collect()}
+    marked = left.withColumn("__word", F.arrays_overlap(words, F.array(*map(F.lit, sorted(said)))) if said else F.lit(False)).withColumn("__own", F.get(keyword_keys(F.col(signature)), F.lit(0)))
+    by_text = marked.filter("NOT __word").join(keys, F.col("__own") == F.col("__key"), "left_semi")
+    return marked.filter("__word").unionByName(by_text).select(*left.columns)
 
 
 def short_name(frame: Column) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, lexing_queries, pairing_queries, triage_queries
+from . import corpus_queries, language_queries, lexing_queries, pairing_queries, storage_queries, triage_queries
 
-QUERIES = {**triage_queries.QUERIES, **corpus_queries.QUERIES, **pairing_queries.QUERIES, **lexing_queries.QUERIES}
-ORACLES = {**triage_queries.ORACLES, **corpus_queries.ORACLES, **pairing_queries.ORACLES, **lexing_queries.ORACLES}
+MODULES = (triage_queries, corpus_queries, pairing_queries, lexing_queries, language_queries, storage_queries)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

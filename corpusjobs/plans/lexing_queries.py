@@ -29,16 +29,6 @@ def code(spark, sf_dir):
     return view(spark, sf_dir, "code_seeds")
 
 
-@query()
-def x4_live_counts(spark, sf_dir):
-    return code(spark, sf_dir).select("seed_no", F.array_join(X.columns()["live_counts"]("content", "type").cast("array<string>"), ",").alias("counts"))
-
-
-@query()
-def x5_complex_states(spark, sf_dir):
-    return code(spark, sf_dir).select("seed_no", F.explode(X.columns()["complex_states"]("content", "type")).alias("p")).select("seed_no", "p.line_idx", "p.category", "p.indent")
-
-
 @query()
 def x8_same_line_groups(spark, sf_dir):
     groups = X.columns()["same_line_groups"]("content", "type")
@@ -63,7 +53,7 @@ def j13_graft(spark, sf_dir):
     """C seeds in pairs: what follows line 1 of the second goes behind line 2 of the first."""
     own = code(spark, sf_dir).filter("type = 'clang'").select("seed_no", "content")
     pairs = own.selectExpr("seed_no AS id_lo", "seed_no + 4 AS id_hi", "content AS a").join(own.selectExpr("seed_no AS id_hi", "content AS b"), "id_hi")
-    put = X.columns()["graft"]("a", "b", F.lit(2), F.lit("  "), F.lit(1), F.lit("// state fusion"))
+    put = X.graft(F.col("a"), F.col("b"), F.lit(2), F.lit("  "), F.lit(1), F.lit("// state fusion"))
     return pairs.select("id_lo", "id_hi", put.alias("grafted"))
 
 

@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import profiles as P
 from ..operators import pairing as J
-from ..operators import stats
-from .triage_queries import signed
 from .views import cte, view
 
 QUERIES, ORACLES = {}, {}
@@ -153,10 +151,27 @@ def j1_resource_profile(spark, sf_dir):
     return resources(spark, sf_dir)
 
 
-@query(RESOURCES + ", m AS (SELECT a.id AS x, b.id AS y FROM r a JOIN r b ON a.role = 'produces' AND b.role = 'consumes' AND a.symbol = b.symbol AND a.id <> b.id), s AS (SELECT least(x, y) AS lo, greatest(x, y) AS hi, count(*) AS score FROM m GROUP BY 1, 2) SELECT score, count(*) AS pairs, CAST(sum(lo) AS BIGINT) AS lo, CAST(sum(hi) AS BIGINT) AS hi FROM s GROUP BY score")
+#: Pairs of classes with equal symbols in equal roles, from all pairs of seeds.
+CLASSES = RESOURCES + """, g AS (SELECT id, string_agg(role || ':' || symbol, '|' ORDER BY role || ':' || symbol) AS marks FROM r GROUP BY id), k AS (SELECT id, min(id) OVER (PARTITION BY marks) AS kind, row_number() OVER (PARTITION BY marks ORDER BY id) - 1 AS seat, count(*) OVER (PARTITION BY marks) AS seeds FROM g),
+m AS (SELECT a.id AS x, b.id AS y FROM r a JOIN r b ON a.role = 'produces' AND b.role = 'consumes' AND a.symbol = b.symbol AND a.id <> b.id), s AS (SELECT least(x, y) AS lo, greatest(x, y) AS hi, count(*) AS score FROM m GROUP BY 1, 2),
+f AS (SELECT lo, hi, score, CASE WHEN a.kind <= b.kind THEN a.kind ELSE b.kind END AS k1, greatest(a.kind, b.kind) AS k2, CASE WHEN a.kind <= b.kind THEN a.seat ELSE b.seat END AS s1, CASE WHEN a.kind <= b.kind THEN b.seat ELSE a.seat END AS s2, CASE WHEN a.kind <= b.kind THEN b.seeds ELSE a.seeds END AS n2 FROM s JOIN k a ON a.id = lo JOIN k b ON b.id = hi) """
+
+
+@query(CLASSES + "SELECT k1, k2, any_value(score) AS score, count(*) AS pairs FROM f GROUP BY k1, k2")
 def j2_j3_compatibility(spark, sf_dir):
-    """All compatible pairs, told by their number and the sums of their ids for each score."""
-    return J.compatibility(resources(spark, sf_dir)).groupBy("score").agg(F.count("*").alias("pairs"), F.sum("id_lo").alias("lo"), F.sum("id_hi").alias("hi"))
+    """The compatible classes of seeds with their score and number of pairs."""
+    return J.compatible_classes(J.seed_classes(resources(spark, sf_dir)))
+
+
+SEED_LOG = "SELECT l_partkey AS id_a, (l_partkey * 7 + l_suppkey * 4) % (SELECT count(*) FROM part) AS id_b FROM lineitem"
+
+
+@query(CLASSES + f", c AS (SELECT DISTINCT least(id_a, id_b) AS lo, greatest(id_a, id_b) AS hi FROM ({SEED_LOG}) WHERE id_a <> id_b) SELECT lo AS id_lo, hi AS id_hi, score FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lo = f.lo AND c.hi = f.hi) ORDER BY score DESC, k1, k2, CASE WHEN k1 = k2 THEN greatest(s1, s2) * (greatest(s1, s2) - 1) // 2 + least(s1, s2) ELSE s1 * n2 + s2 END LIMIT 300")
+def j5_guided_pairs(spark, sf_dir):
+    """The 300 compatible pairs of seeds with the best scores that the log does not hold."""
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part")}
+    log = spark.sql("WITH part AS (SELECT * FROM {part}), lineitem AS (SELECT * FROM {lineitem}) " + SEED_LOG, **tables)
+    return J.guided_pairs(J.seed_classes(resources(spark, sf_dir)), log, 300)
 
 
 PAIRS = cte("fused_pairs") + ", c AS (SELECT DISTINCT least(id_a, id_b) AS id_lo, greatest(id_a, id_b) AS id_hi FROM fused_pairs WHERE id_a <> id_b) "
@@ -232,7 +247,3 @@ def j16_declaration_pairs(spark, sf_dir):
     return J.declaration_pairs(own.selectExpr("seed_no AS id_lo", "seed_no + 4 AS id_hi"), heads.select("id", F.col("h.name").alias("host")), heads.select("id", F.col("h.name").alias("donor"), F.col("h.template").alias("template")))
 
 
-@query()
-def a6_run_status(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.count("*").alias("n"))
-    return stats.run_status(signed(spark, sf_dir), J.pair_coverage(n, view(spark, sf_dir, "fused_pairs")))

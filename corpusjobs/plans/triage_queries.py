@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signatures as G
-from ..operators import stats, triage
+from ..operators import pairing, stats, triage
 from .views import cte, view
 
 #: DuckDB SQL of the cascades for the projects that the view `runs` has.
@@ -91,11 +91,11 @@ def t1_first_seen(spark, sf_dir):
     return triage.first_seen(crashes(spark, sf_dir))
 
 
-@query(RUNS + "SELECT signature AS key, min(run_id) AS first, count(*) AS n FROM signed WHERE crashed AND run_id % 3 <> 0 AND signature NOT IN (SELECT signature FROM signed WHERE crashed AND run_id % 3 = 0) GROUP BY 1")
+@query(RUNS + ", c AS (SELECT coalesce(signature, 'NoSig_' || run_id) AS key, run_id, project FROM signed WHERE crashed) SELECT key, min(run_id) AS first, count(*) AS n FROM c WHERE key NOT IN (SELECT key FROM c WHERE project = 'clang') GROUP BY key")
 def t1_first_seen_after_known(spark, sf_dir):
-    """New signatures among two thirds of the runs, when those of the other third are known."""
+    """New signatures of all runs, when those of one project are known."""
     all_crashes = crashes(spark, sf_dir)
-    return triage.first_seen(all_crashes.filter("run_id % 3 <> 0"), all_crashes.filter("run_id % 3 = 0").select("signature"))
+    return triage.first_seen(all_crashes, all_crashes.filter("project = 'clang'").select("signature"))
 
 
 #: The project's own cascade alone, as saved outputs are read.
@@ -112,14 +112,14 @@ def reports(spark, sf_dir):
     return crashes(spark, sf_dir).select(F.col("run_id").cast("string").alias("name"), "project", F.col("stderr").alias("text"))
 
 
-@query(OWN + "SELECT signature, array_to_string(members, ',') AS members, size FROM c")
+@query(OWN + "SELECT signature, CAST(run_id AS VARCHAR) AS member FROM o")
 def t2_clusters(spark, sf_dir):
-    return triage.clusters(reports(spark, sf_dir)).select("signature", F.array_join("members", ",").alias("members"), "size")
+    return triage.cluster_members(reports(spark, sf_dir))
 
 
 @query(OWN + "SELECT row_number() OVER (ORDER BY size DESC, members[1]) AS rank, signature, size, array_to_string(members[1:6], ', ') || CASE WHEN size > 6 THEN ' +' || (size - 6) || ' more' ELSE '' END AS shown FROM c")
 def t3_cluster_report(spark, sf_dir):
-    return triage.cluster_report(triage.clusters(reports(spark, sf_dir)))
+    return triage.cluster_report(triage.clusters(triage.cluster_members(reports(spark, sf_dir))))
 
 
 def distinct_signatures(spark, sf_dir):
@@ -135,17 +135,31 @@ def t4_frames(spark, sf_dir):
     return distinct_signatures(spark, sf_dir).select("signature", F.array_join(triage.frames(F.col("signature")), "|").alias("frames"))
 
 
-@query(FRAMES + "SELECT a.signature, b.signature AS r_signature FROM k a JOIN k b ON a.signature = b.signature OR len(a.frames) > 0 AND a.frames = b.frames")
+@query(FRAMES + "SELECT CASE WHEN len(frames) > 0 THEN 'frames:' || array_to_string(frames, ' > ') ELSE 'text:' || signature END AS match_key, min(signature) AS first, count(*) AS n FROM k GROUP BY 1")
 def t5_signatures_match(spark, sf_dir):
-    own = distinct_signatures(spark, sf_dir)
-    return triage.signatures_match(own, own)
+    return triage.signature_classes(distinct_signatures(spark, sf_dir))
 
 
-@query(RUNS + """, d AS (SELECT DISTINCT signature FROM signed WHERE crashed), k AS (SELECT signature, list_filter(['SUMMARY:', 'Assertion:', 'ASAN:', 'LLVM ERROR:', 'internal compiler error:', 'Segmentation fault', 'SIGSEGV', 'SIGABRT'], lambda x: contains(signature, x)) AS w FROM d)
-SELECT a.signature AS left, b.signature AS right FROM k a JOIN k b ON a.signature = b.signature OR list_has_any(a.w, b.w)""")
+SHARED = """, k AS (SELECT run_id, signature, list_filter(['SUMMARY:', 'Assertion:', 'ASAN:', 'LLVM ERROR:', 'compiler panic:', 'compiler fatal:', 'internal compiler error:', 'Fatal Python error:', 'INTERNAL PANIC:', 'Check failed:', 'Fatal error:', 'Segmentation fault', 'Bus error', 'SIGSEGV', 'SIGABRT'], lambda x: contains(signature, x)) AS w FROM signed WHERE crashed) """
+
+
+@query(RUNS + SHARED + "SELECT key, min(signature) AS first, count(*) AS n FROM (SELECT signature, unnest(list_concat(['text:' || signature], w)) AS key FROM k) GROUP BY key")
 def t6_keyword_match(spark, sf_dir):
-    own = distinct_signatures(spark, sf_dir).withColumn("id", F.col("signature"))
-    return triage.keyword_match(own, own)
+    return triage.keyword_classes(crashes(spark, sf_dir))
+
+
+@query(RUNS + SHARED + ", z AS (SELECT * FROM k WHERE run_id % 50 = 3), y AS (SELECT DISTINCT unnest(w) AS x FROM z) SELECT run_id, signature FROM k WHERE run_id % 50 = 4 AND (signature IN (SELECT signature FROM z) OR EXISTS (SELECT 1 FROM y WHERE contains(k.signature, y.x)))")
+def t6_keyword_matched(spark, sf_dir):
+    """Crashes of some runs that match those of some others."""
+    own = crashes(spark, sf_dir).select("run_id", "signature")
+    return triage.keyword_matched(own.filter("run_id % 50 = 4"), own.filter("run_id % 50 = 3"))
+
+
+@query(RUNS + ", k AS (SELECT run_id, project, signature, CASE WHEN starts_with(signature, 'Stack dump:') THEN 'f' || regexp_extract(signature, '\\[(.*)\\]\\s*$', 1) ELSE 't' || signature END AS key FROM signed WHERE crashed) SELECT run_id, signature FROM k WHERE project = 'clang' AND key IN (SELECT key FROM k WHERE project <> 'clang')")
+def t5_matched(spark, sf_dir):
+    """Crashes of one project whose signatures match those of any other."""
+    own = crashes(spark, sf_dir).select("run_id", "project", "signature")
+    return triage.matched(own.filter("project = 'clang'"), own.filter("project <> 'clang'")).select("run_id", "signature")
 
 
 TERMS = FRAMES + r""", w AS (SELECT *, string_split(regexp_extract(signature, '^(ASAN|UBSAN|LLVM ERROR|Assertion):\s*(.*)$', 2), ' ') AS words, list_transform(frames, lambda x: regexp_extract(x, '([A-Za-z_~][A-Za-z0-9_]*)$', 1)) AS names FROM k),
@@ -286,3 +300,12 @@ UNION ALL SELECT id, project, name, CAST(i AS INTEGER), json_keys(translations)[
 def a10_corpus_entry(spark, sf_dir):
     corpus = view(spark, sf_dir, "bug_corpus")
     return stats.corpus_entry(corpus, corpus.agg(F.max("id")).first()[0])
+
+
+@query(cte("runs", "fused_pairs") + SIGNED + """, p AS (SELECT count(*) AS covered FROM (SELECT DISTINCT least(id_a, id_b), greatest(id_a, id_b) FROM fused_pairs WHERE id_a <> id_b)), n AS (SELECT CAST(count(*) * (count(*) - 1) / 2 AS DOUBLE) AS total FROM supplier),
+o AS (SELECT count(*) AS samples, CAST(epoch(max(CAST(ts AS TIMESTAMP))) - epoch(min(CAST(ts AS TIMESTAMP))) AS DOUBLE) AS elapsed, count(DISTINCT signature) AS signatures, round(100.0 * (1 - count(*) FILTER (syntax_error) / count(*)), 6) AS valid_rate FROM signed)
+SELECT samples, round(elapsed, 3) AS elapsed, round(samples / elapsed, 6) AS samples_per_second, signatures, valid_rate, covered, round(100.0 * least(covered, total) / total, 6) AS percent, round(covered / elapsed, 6) AS pairs_per_second FROM o, p, n""")
+def a6_run_status(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.count("*").alias("n"))
+    status = stats.run_status(signed(spark, sf_dir), pairing.pair_coverage(n, view(spark, sf_dir, "fused_pairs")))
+    return status.withColumn("elapsed", F.round("elapsed", 3)).select("samples", "elapsed", F.round("samples_per_second", 6).alias("samples_per_second"), "signatures", F.round("valid_rate", 6).alias("valid_rate"), "covered", F.round("percent", 6).alias("percent"), F.round("pairs_per_second", 6).alias("pairs_per_second"))

@@ -50,6 +50,34 @@ SELECT p_partkey AS seed_no, concat('t/', p_partkey, '.src') AS identifier,
     ELSE concat('<?php', chr(10), '$a', p_size % 6, ' = 1;', chr(10), '$b = $a', p_size % 6, ' + 2; // $c', chr(10),
       'function h', p_size % 4, '() { return $b; }') END AS content
 FROM part
+""",
+    "more_code": r"""
+SELECT p_partkey AS seed_no, CASE p_partkey % 6 WHEN 0 THEN 'go' WHEN 1 THEN 'mlir' WHEN 2 THEN 'wgsl' WHEN 3 THEN 'swift' WHEN 4 THEN 'haskell' ELSE 'flang' END AS type,
+  CASE p_partkey % 6
+    WHEN 0 THEN concat('package main', chr(10), 'var x', p_size % 5, ' int', chr(10), 'var y', p_partkey % 7, ' pkg.Kind', chr(10), 'type S', p_size % 4, ' struct {}', chr(10), 'func Max[T comparable](a T) {', chr(10),
+      chr(9), 'a', p_size % 6, ' := ', p_size, CASE WHEN p_size % 2 = 0 THEN '.5' ELSE '' END, chr(10), chr(9), 'b := Make', p_size % 3, '(3)', chr(10), chr(9), 'c := "q', p_partkey, '"', chr(10), chr(9), 'x', p_size % 5, ' := 3', chr(10), '}')
+    WHEN 1 THEN concat('// RUN: mlir-opt %s', chr(10), 'func.func @f', p_size % 7, '(%a: i32) {', chr(10), '  %c = arith.constant ', p_size, ' : i32', chr(10), '  %d = arith.constant ', p_partkey % 9, '.5 : f64', chr(10),
+      '  // note ', p_size % 3, chr(10), '  %m = memref.alloc() : memref<', p_size % 4, 'xf32>', chr(10), '  // CHECK-NEXT: x', chr(10), '}', chr(10), 'func @g() {}')
+    WHEN 2 THEN concat('struct P', p_size % 5, ' { a: f32 }', chr(10), 'var<private> g', p_size % 3, ' : array<i32, ', p_size % 4 + 1, '>;', chr(10), 'fn main', p_partkey % 8, '() {', chr(10), '  var k', p_size % 6, ' : u32 = 2u;', chr(10), '}')
+    WHEN 3 THEN concat(CASE WHEN p_size % 2 = 0 THEN concat('// RUN: swiftc', chr(10)) ELSE '' END, 'let a', p_size % 5, ' = ', p_size, chr(10), 'var b: Int = 2', chr(10), 'let c = "s', p_partkey, '"', chr(10), 'var d = [1]', chr(10), 'let e', p_size % 3, ' = true', chr(10), 'let f = g(1)')
+    WHEN 4 THEN concat('{-# LANGUAGE Opt', p_size % 3, ' #-}', chr(10), 'module M where', chr(10), 'import Data.IORef', chr(10), 'import M', p_size % 4, chr(10), 'data D', p_size % 5, ' = D', chr(10), 'v', p_size % 6, ' = ', p_size, ' -- w = 1', chr(10),
+      'f', p_size % 3, ' :: Int -> Int', chr(10), 'f', p_size % 3, ' x = x', chr(10), 'main = do', chr(10), '  r', p_size % 4, ' <- newIORef 0', chr(10), '  writeIORef r', p_size % 4, ' 1', chr(10), '  putStrLn "q = ', p_partkey, '"')
+    ELSE concat('program p', p_size % 5, chr(10), '  integer :: a, b', p_size % 4, chr(10), '  real(8), intent(in) :: C', p_size % 3, ' ! real :: no', chr(10), '  character(', p_partkey % 9 + 1, ') :: s', chr(10), '  a = ', p_size, chr(10), 'end program') END AS content,
+  concat('x', chr(10), 'TYPES:{"a', p_size % 5, '": ["int", "str"], "b": "T', p_size % 4, '"}', chr(10), '__TYPES_START__', CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('{"v', p_size % 7, '": "K', p_partkey % 5, '"}') END, '__TYPES_END__', chr(10)) AS printed,
+  concat(chr(27), '[3', p_size % 8, 'm', p_name, chr(27), '[0m end') AS coloured
+FROM part
+""",
+    "more_runs": r"""
+SELECT event_id AS run_id, CASE event_id % 4 WHEN 0 THEN 'swift' WHEN 1 THEN 'haskell' WHEN 2 THEN 'flang' ELSE 'lfortran' END AS project,
+  CASE WHEN k % 7 = 6 THEN 'Segmentation fault' ELSE '' END AS stdout,
+  CASE event_id % 4
+    WHEN 0 THEN CASE k % 4 WHEN 0 THEN concat('SUMMARY: AddressSanitizer: heap-overflow f', k % 9, chr(10), 'x') WHEN 1 THEN concat('a', chr(10), 'Assertion failed: (x', k % 5, ' > 0), file S.cpp') WHEN 2 THEN concat('1.', chr(9), 'While evaluating request TypeCheck', k % 3, '(a.swift)') ELSE concat('error: no such module M', k % 6) END
+    WHEN 1 THEN CASE k % 5 WHEN 0 THEN concat('ghc: panic! (the ', chr(39), 'impossible', chr(39), ' happened)', chr(10), '  GHC version 9.', k % 4, chr(10), chr(9), 'refineFrom', chr(10), 'more', chr(10), 'last') WHEN 1 THEN concat('GHC internal error: bad f', k % 6) WHEN 2 THEN concat('x', chr(10), 'RTS invariant broken ', k % 3) WHEN 3 THEN concat('ASSERT failed! file x', k % 4, '.hs') ELSE 'ghc: Out of Memory' END
+    WHEN 2 THEN CASE k % 4 WHEN 0 THEN concat('SUMMARY: UndefinedBehaviorSanitizer: bad-cast f', k % 5) WHEN 1 THEN concat('LLVM ERROR: cannot select ', k % 4)
+      WHEN 2 THEN concat('Stack dump:', chr(10), '0.', chr(9), 'Program arguments: flang', chr(10), '1.', chr(9), '<eof> parser ', k % 3, chr(10), ' #0 0x00007f1 llvm::sys::PrintStackTrace(raw) (lib+0x1)', chr(10), ' #1 0x00007f2 Fortran::lower::f', k % 4, '(int) (lib+0x2)', chr(10), ' #2 0x00007f3 main(int) (lib+0x3)') ELSE 'Aborted (core dumped)' END
+    ELSE CASE k % 5 WHEN 0 THEN concat('Traceback (most recent call last):', chr(10), '  File "a.cpp", line 1, in main_app', chr(10), '  File "b.cpp", line 2, in LCompilers::visit_', k % 4, chr(10), 'Segfault: Signal SIGSEGV') WHEN 1 THEN concat('Internal Compiler Error: Unhandled exception', chr(10), 'AssertFailed: f', k % 3, chr(10)) WHEN 2 THEN concat('terminate called after throwing an instance of ', chr(39), 'std::E', k % 3, chr(39)) WHEN 3 THEN concat('runtime_error: bad index ', k % 5) ELSE 'Unknown Exception' END
+  END AS stderr
+FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) e WHERE event_type = 'error'
 """,
     "fused_pairs": r"""
 SELECT l_orderkey AS iteration, l_suppkey AS id_a, l_partkey % (SELECT count(*) FROM supplier) AS id_b FROM lineitem

@@ -42,9 +42,9 @@ def load_seeds(spark: SparkSession, path: str, metadata: str = METADATA) -> Data
     return rows.withColumn("metadata", F.struct(parsed.alias("m"))["m"].withField("filename", F.col("identifier")))
 
 
-def read_crash_reports(spark: SparkSession, path: str) -> DataFrame:
-    """The known signatures: of every .md file below path the one in its first 1024 characters."""
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
+def read_crash_reports(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
+    """The known signatures: of every file below path whose name fits, .md as a rule, the one in its first 1024 characters."""
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     return texts.select(found(F.substring("value", 1, 1024), r"\*\*Signature:\*\*\s*`([^`]+)`").alias("signature")).filter("signature IS NOT NULL").distinct()
 
 
@@ -58,16 +58,16 @@ def run_log_text(runs: DataFrame) -> DataFrame:
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """The runs of log files; a part marked as empty is an empty text."""
-    pieces = spark.read.text(path, lineSep="\n" + RULE + "\n")
-    # A block is its head, between two rules, and what follows; both lie in one file, in order.
-    at = pieces.select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"))
-    heads = at.filter(F.col("value").rlike(r"^\[\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\] Iteration #\d+$"))
-    bodies = at.filter(F.col("value").startswith("[SEED ID]")).select("file", (F.col("n") - 1).alias("n"), F.col("value").alias("body"))
-    text = lambda name, until: let(F.regexp_extract("body", rf"(?s)--- {name} ---\n(.*?){until}", 1), lambda x: F.when(x == EMPTY, "").otherwise(x))
-    field = lambda name: found(F.col("body"), rf"(?m)^\[{name}\]\s*(.*)$")
-    return heads.join(bodies, ["file", "n"]).select(
-        F.regexp_extract("value", r"#(\d+)$", 1).cast("long").alias("run_id"), F.to_timestamp(F.regexp_extract("value", r"^\[([^\]]+)\]", 1)).alias("ts"), field("SEED ID").alias("seed_id"), field("RETURN CODE").cast("int").alias("return_code"),
+    """The runs of log files; a part marked as empty is an empty text.
+
+    A record goes from one head to the next, so a run is whole however the files are split. Years begin with 2.
+    """
+    blocks = spark.read.text(path, lineSep=f"\n{RULE}\n[2").select(F.concat(F.lit("2"), "value").alias("block"))
+    head = rf"^(\d{{4}}-\d\d-\d\d \d\d:\d\d:\d\d)\] Iteration #(\d+)\n{RULE}\n"
+    text = lambda name, until: let(F.regexp_extract("block", rf"(?s)\n\n--- {name} ---\n(.*?){until}", 1), lambda x: F.when(x == EMPTY, "").otherwise(x))
+    field = lambda name: found(F.regexp_extract("block", r"(?s)^(.*?)(?:\n\n|\z)", 1), rf"(?m)^\[{name}\]\s*(.*)$")
+    return blocks.filter(F.col("block").rlike(head)).select(
+        F.regexp_extract("block", head, 2).cast("long").alias("run_id"), F.to_timestamp(F.regexp_extract("block", head, 1)).alias("ts"), field("SEED ID").alias("seed_id"), field("RETURN CODE").cast("int").alias("return_code"),
         (field("CRASHED") == "True").alias("crashed"), F.regexp_replace(field("EXEC TIME"), "s$", "").cast("double").alias("exec_time"), field("COMMAND").alias("command"),
         text("SEED CONTENT", r"\n\n--- STDOUT ---").alias("content"), text("STDOUT", r"\n\n--- STDERR ---").alias("stdout"), text("STDERR", r"\n*\z").alias("stderr"),
     )

@@ -84,9 +84,31 @@ def test_truncation():
     assert cut[1:-1] == rows[498:505] and cut[0].startswith("[... 498 lines") and cut[-1].startswith("[... 495 more lines")
 
 
+def test_grafts(spark):
+    rows = [("a\n  b\nc", "x\n    y\n\nz", 1, "  ", 0, "# t"), ("a", "x\ny", 5, "", None, None), ("a\nb", "x", 0, "", 0, "# t"), ("a\nb", "", 0, " ", None, "t"), ("", "x", 0, None, None, None), ("a", "\n\n", 0, " ", None, "t"), (None, "x", 0, "", None, "")]
+    frame = spark.createDataFrame(rows, "h string, d string, hl int, i string, dl int, t string")
+    got = [r.x for r in frame.select(X.graft(*map(F.col, ("h", "d", "hl", "i", "dl", "t"))).alias("x")).collect()]
+    assert got == ["a\n  b\n  y  # t\n\n  z\nc", "a\nx\ny", "a\nb", "a\nb", "x", "a\n  t\n", None]
+
+
+def test_lives_within_braces():
+    """Against a plain walk with a stack of frames."""
+    rng = random.Random(11)
+    for _ in range(300):
+        text = "\n".join(" ".join(rng.choices(["{", "}", "let a = 1;", "let b = 2;", "drop(a);", "drop(b);", "// let c", "x"], k=rng.randint(0, 4))) for _ in range(rng.randint(0, 9)))
+        frames, want, mask = [set()], [], X.lexical_mask(text, "rust")
+        for start, line in X.line_spans(text):
+            code = "".join(c if mask[start + i] else " " for i, c in enumerate(line))
+            for f in frames:
+                f -= {x for x in "ab" if f"drop({x})" in code}
+            frames[-1] |= {x for x in "ab" if f"let {x}" in code}
+            want.append(sum(map(len, frames)))
+            for c in code:
+                frames = [*frames, set()] if c == "{" else frames[:-1] if c == "}" and len(frames) > 1 else frames
+        assert X.live_counts(text, "rust") == want
+
+
 def test_grafts_and_bridges():
-    assert X.graft("a\n  b\nc", "x\n    y\n\nz", 1, "  ", 0, "# t") == "a\n  b\n  y  # t\n\n  z\nc"
-    assert X.graft("a", "x\ny", 5, "", None) == "a\nx\ny" and X.graft("a\nb", "x", 0, "", 0, "# t") == "a\nb"
     assert X.replace_words("r struct r for r", "r", "Q", 2, "s").count("Q") == 2 and "stQuct" not in X.replace_words("r struct", "r", "Q", 1, "s")
     assert X.bridge("a", "b = x", [["p"]], [["x"]], 1, "s") == "a\nfusion = p\nb = fusion" and X.bridge("a", "b", [], [["x"]], 1, "s") == "a\nb"
     order = X.interleave([("a", "x"), ("b", "x"), ("c", "y"), ("d", "z")], [set(), {0}, {3}, {2}], "s")
@@ -132,9 +154,10 @@ def test_profiles(spark):
     assert python.top_level_vars == ["x"] and python.undefined_refs == ["g"] and python.line_count == 5
     assert one(spark, "func.func @f() {\n %0 = arith.constant 1 : i32\n}", P.mlir_profile).functions == ["f"]
     assert one(spark, "// CHECK: arith.addi\n// RUN: mlir-opt\nfunc @test() {}", P.clean_mlir) == "func.func @test() {}"
-    assert one(spark, "x\nFFL_TYPES:{\"a\": [\"int\"], \"b\": \"str\"}", P.python_probe) == {"a": ["int"], "b": ["str"]}
+    assert one(spark, "x\nTYPES:{\"a\": [\"int\"], \"b\": \"str\"}", P.python_probe) == {"a": ["int"], "b": ["str"]}
     swift = one(spark, "// RUN: x\nlet a = 1\nvar b = \"s\"\nlet c = [1]", P.swift_profile)
     assert swift.has_run and swift.var_types == {"a": "Int", "b": "String", "c": "Array"}
+    assert one(spark, " <?php\n$a = 1;\n?> ", P.clean_php) == "$a = 1;" and one(spark, "$a;", P.clean_php) == "$a;"
     assert P.get_profiler("RUST") is P.rust_profile and P.get_profiler("x") is P.generic_profile
 
 
@@ -156,6 +179,37 @@ def test_plans_find_the_last_unfused_pairs(spark):
     assert {p[:2] for p in plan[:3]} == left and [p[2] for p in plan] == [1] * 3 + [2] * 397
 
 
+def test_similar_pairs_equal_all_pairs(spark):
+    rng = random.Random(4)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(40)] for _ in range(12)]
+    rows = [" ".join(w if rng.random() > rate else "zz" for w in b) for b in base for rate in (0, 0, 0.01, 0.02, 0.05)] + ["", None, "a b", "a b"]
+    sets = {}
+    for i, t in enumerate(rows):
+        w = (t or "").split()
+        s = frozenset(" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if w else frozenset()
+        if s:
+            sets.setdefault(s, i)
+    want = {(min(i, j), max(i, j)) for a, i in sets.items() for b, j in sets.items() if i != j and len(a & b) / len(a | b) >= 0.6}
+    got = J.similar_pairs(spark.createDataFrame(list(enumerate(rows)), "id long, content string"), 0.6, 3).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 5
+
+
+def test_guided_pairs_skip_what_is_logged(spark):
+    seeds = [(i, role, s) for i in range(12) for role, s in (("produces", f"p{i % 3}"), ("consumes", f"p{(i + 1) % 3}"))] + [(20, "produces", "p0"), (20, "produces", "p1")]
+    profiles = spark.createDataFrame(seeds, "id long, role string, symbol string")
+    made = {i: {s for j, r, s in seeds if j == i and r == "produces"} for i, _, _ in seeds}
+    used = {i: {s for j, r, s in seeds if j == i and r == "consumes"} for i, _, _ in seeds}
+    score = {(i, j): n for i in made for j in made if i < j and (n := len(made[i] & used[j]) + len(made[j] & used[i]))}
+    classes = J.seed_classes(profiles)
+    assert {r.pairs for r in J.compatible_classes(classes).collect()} and sum(r.pairs for r in J.compatible_classes(classes).collect()) == len(score)
+    logged = sorted(score)[::2]
+    log = spark.createDataFrame([(b, a) for a, b in logged], "id_a long, id_b long")
+    for n in (1, 5, 1000):
+        got = [(r.id_lo, r.id_hi, r.score) for r in J.guided_pairs(classes, log, n).collect()]
+        left = {p: k for p, k in score.items() if p not in logged}
+        assert len(got) == min(n, len(left)) and all(left[a, b] == k for a, b, k in got) and sorted((k for *_, k in got), reverse=True) == sorted(left.values(), reverse=True)[: len(got)]
+
+
 def test_unknown_ids_fail(spark):
     corpus = spark.createDataFrame([(1, "{}")], "id long, translations string")
     with pytest.raises(LookupError):

@@ -65,10 +65,19 @@ def test_matches(spark):
     a = "Stack dump: x [A::f > std::optional<B<C>>::g > lib+0x12]"
     b = "Stack dump: <eof> parser at end of file [A::f > std::optional<B<C>>::g]"
     frame = spark.createDataFrame([(1, a), (2, b), (3, "Stack dump: only a message"), (4, None), (5, ""), (6, "SIGSEGV")], "id int, signature string")
-    got = {(r.id, r.r_id) for r in triage.signatures_match(frame, frame).collect()}
-    assert got == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (6, 6)}
-    near = {(r.left, r.right) for r in triage.keyword_match(spark.createDataFrame([(1, "ASAN: a"), (2, "x ASAN: b"), (3, None), (4, None), (5, "other")], "id int, signature string"), spark.createDataFrame([(1, "ASAN: c"), (3, None), (5, "other")], "id int, signature string")).collect()}
-    assert near == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)}
+    assert {(r.first, r.n) for r in triage.signature_classes(frame).collect()} == {(min(a, b), 2), ("Stack dump: only a message", 1), ("SIGSEGV", 1)}
+    assert {r.id for r in triage.matched(frame, frame.filter("id IN (2, 4, 5)")).collect()} == {1, 2}
+    left = spark.createDataFrame([(1, "ASAN: a"), (2, "x ASAN: b"), (3, None), (4, None), (5, "other"), (6, ""), (7, "SIGSEGV")], "id int, signature string")
+    right = spark.createDataFrame([(1, "ASAN: c"), (3, None), (5, "other")], "id int, signature string")
+    assert {r.id for r in triage.keyword_matched(left, right).collect()} == {1, 2, 3, 4, 5}
+    assert {r.id for r in triage.keyword_matched(left, right.filter("id = 5")).collect()} == {5} and triage.keyword_matched(left, right.limit(0)).count() == 0
+    assert {(r.key, r.n) for r in triage.keyword_classes(left).collect()} == {("ASAN:", 2), ("null:", 2), ("SIGSEGV", 1), ("text:", 1), *((f"text:{r}", 1) for r in ("ASAN: a", "x ASAN: b", "other", "SIGSEGV"))}
+
+
+def test_clusters_show_their_smallest_members(spark):
+    members = spark.createDataFrame([("s", f"m{i:02}") for i in range(9)] + [("t", "a"), ("u", "b")], "signature string, member string").repartition(3)
+    assert {r.signature: (r.size, list(r.first)) for r in triage.clusters(members, 2).collect()} == {"s": (9, ["m00", "m01"]), "t": (1, ["a"]), "u": (1, ["b"])}
+    assert [(r["rank"], r.signature, r.shown) for r in triage.cluster_report(triage.clusters(members, 2), 2).orderBy("rank").collect()] == [(1, "s", "m00, m01 +7 more"), (2, "t", "a"), (3, "u", "b")]
 
 
 def test_first_seen_keeps_runs_without_a_signature(spark):

@@ -42,6 +42,20 @@ def test_run_log_round_trip(spark, tmp_path):
     assert [tuple(r) for r in back.collect()] == [tuple(r) for r in runs.orderBy("run_id").collect()]
 
 
+def test_run_logs_are_whole_however_they_are_split(spark, tmp_path):
+    runs = spark.range(300).selectExpr("id AS run_id", "timestamp'2024-01-02 03:04:05' AS ts", "concat('s', id) AS seed_id", "0 AS return_code", "false AS crashed", "0.5D AS exec_time", "cast(null AS string) AS command", "repeat(concat('line ', id, '\n[2 ='), 20) AS content", "'' AS stdout", "'e' AS stderr")
+    files.run_log_text(runs).coalesce(1).write.text(str(tmp_path / "log"))
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    try:
+        for n in (700, 1001, 4096):
+            spark.conf.set(size, str(n))
+            back = files.read_run_log(spark, str(tmp_path / "log"))
+            assert back.rdd.getNumPartitions() > 20 and sorted((r.run_id, r.content) for r in back.collect()) == sorted((r.run_id, r.content) for r in runs.collect())
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_catalogs(spark, tmp_path):
     (tmp_path / "api.json").write_text(json.dumps({"functions": [{"name": "f", "parameters": [{"name": "a", "type": "int", "is_optional": True, "default_value": "1"}]}, {"name": "g", "num_params": 2}]}))
     functions, parameters = files.load_api_catalog(spark, str(tmp_path / "api.json"))
