@@ -93,6 +93,11 @@ def flat_name(path: Column, prefix: str | None = None) -> Column:
     return F.replace(path, F.lit("/"), F.lit("_")) if prefix is None else F.concat(F.lit(prefix + "_"), F.replace(path, F.lit("/"), F.lit("__")))
 
 
+def flat_copies(files: DataFrame, order: str, path: str = "path", prefix: str | None = None) -> DataFrame:
+    """(name, path) of the files that are copied: of those that share a flat name the first by `order`."""
+    return files.groupBy(flat_name(F.col(path), prefix).alias("name")).agg(F.min_by(path, order).alias("path"))
+
+
 def crash_bundles(crashes: DataFrame) -> DataFrame:
     """One row for each (project, signature): folder, extension and the latest run (project, signature, run_id, extension may be null)."""
     safe = F.regexp_replace("signature", r"[^a-zA-Z0-9_\-.]", "_")

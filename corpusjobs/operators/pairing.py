@@ -240,14 +240,32 @@ def renamed(text: Column, names: Column, suffix: str = "_b") -> Column:
 def statement_edges(units: DataFrame) -> DataFrame:
     """(pair, later, earlier): a unit depends on another of its pair that defines what it uses.
 
-    units: (pair, unit, seed, defines, uses). Names within a seed always count; across the seeds only those
-    that are no variables (no leading $). A unit never depends on itself.
+    units: (pair, unit, seed, defines, uses) and, if it has one, shared: the names that count across the seeds; without
+    it those that are no variables (no leading $). Names within a seed always count. A unit never depends on itself.
     """
+    if "shared" in units.columns:
+        made = units.select("pair", F.col("unit").alias("earlier"), F.col("seed").alias("s1"), "shared", F.explode("defines").alias("name")).withColumn("across", F.array_contains("shared", F.col("name"))).drop("shared")
+        used = units.select("pair", F.col("unit").alias("later"), F.col("seed").alias("s2"), F.explode("uses").alias("name"))
+        return used.join(made, ["pair", "name"]).filter("later <> earlier AND (s1 = s2 OR across)").select("pair", "later", "earlier").distinct()
     made = units.select("pair", F.col("unit").alias("earlier"), F.col("seed").alias("s1"), F.explode("defines").alias("name"))
     used = units.select("pair", F.col("unit").alias("later"), F.col("seed").alias("s2"), F.explode("uses").alias("name"))
     return used.join(made, ["pair", "name"]).filter("later <> earlier AND (s1 = s2 OR NOT startswith(name, '$'))").select("pair", "later", "earlier").distinct()
 
 
+def unit_order_edges(units: DataFrame) -> DataFrame:
+    """J14 for Fortran: within an open program unit each statement comes after the one before it.
+
+    units: (pair, unit, seed, opens), with opens 1 for the head of a program unit, -1 for its end, 0 for any other.
+    """
+    own = W.partitionBy("pair", "seed").orderBy("unit")
+    before = own.rowsBetween(W.unboundedPreceding, -1)
+    total = units.withColumn("total", F.coalesce(F.sum("opens").over(before), F.lit(0)))
+    # An end without a head counts for nothing: the depth is what the total is over its own least value so far.
+    depth = F.col("total") - F.least(F.min("total").over(own.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+    placed = total.withColumn("depth", depth).withColumn("earlier", F.lag("unit").over(own))
+    return placed.filter("depth > 0 AND earlier IS NOT NULL").select("pair", F.col("unit").alias("later"), "earlier")
+
+
 def declaration_pairs(pairs: DataFrame, hosts: DataFrame, donors: DataFrame) -> DataFrame:
     """(id_lo, id_hi, host, donor): each header of the first seed with each other type name of the second; templates as Name<int>.
 

@@ -84,6 +84,16 @@ def s12_flat_names(spark, sf_dir):
     return view(spark, sf_dir, "seeds").select("identifier", C.flat_name(F.col("identifier")).alias("flat"), C.flat_name(F.col("identifier"), "ghc").alias("safe"))
 
 
+COPIES = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('a/', (doc_id - doc_id % 3) / 3, '/x.php') WHEN 1 THEN concat('a_', (doc_id - 1) / 3, '/x.php') ELSE concat('a/', (doc_id - 2) / 3, '_x.php') END AS path FROM documents"
+
+
+@query(f"WITH p AS ({COPIES}) SELECT replace(path, '/', '_') AS name, arg_min(path, doc_id) AS path FROM p GROUP BY 1")
+def s12_flat_copies(spark, sf_dir):
+    """Paths in threes that share a flat name."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return C.flat_copies(spark.sql(f"WITH documents AS (SELECT * FROM {{documents}}) {COPIES}", documents=documents), "doc_id")
+
+
 CRASHES = cte("runs") + ", c AS (SELECT run_id, project, CASE WHEN run_id % 5 = 0 THEN 'ASAN:memory-leak ' || left(stderr, 40) ELSE repeat(stderr, 3) END AS signature FROM runs WHERE return_code <> 0) "
 
 
@@ -161,9 +171,9 @@ def p10_report_filter(spark, sf_dir):
     return joined.filter(C.report_kept(F.col("stderr"), F.col("content"), ["obj3.c"], ["Token"], [("and", "the")])).select("run_id")
 
 
-@query(BUGS + "SELECT id, name FROM bug_corpus WHERE project = 'src2' AND json_extract_string(translations, '$.rust') IS NULL")
+@query(BUGS + "SELECT id, name FROM bug_corpus WHERE json_extract_string(translations, '$.rust') IS NULL")
 def p11_translation_worklist(spark, sf_dir):
-    return C.translation_worklist(view(spark, sf_dir, "bug_corpus"), "rust", "src2").select("id", "name")
+    return C.translation_worklist(view(spark, sf_dir, "bug_corpus"), "rust").select("id", "name")
 
 
 @query(BUGS + "SELECT id FROM bug_corpus WHERE contains(json_extract_string(translations, '$.python'), 'ctypes')")

@@ -115,9 +115,9 @@ def f21_strip_ansi(spark, sf_dir):
 
 
 @query(MORE + r"""SELECT seed_no, replace(array_to_string(list_filter(string_split(content, chr(10)), lambda x: NOT regexp_matches(trim(x), '^// (RUN:|CHECK-NEXT:)')), chr(10)), chr(10) || 'func @', chr(10) || 'func.func @') AS cleaned FROM more_code WHERE type = 'mlir'
-UNION ALL SELECT -seed_no, trim(replace(content, '<?php', ''), chr(10)) FROM (SELECT p_partkey AS seed_no, concat('<?php', chr(10), '$a = ', p_size, ';', chr(10)) AS content FROM part)""")
+UNION ALL SELECT -p_partkey, chr(10) || '$a = ' || p_size || ';' || CASE WHEN p_size % 2 = 0 THEN chr(10) ELSE '' END || chr(10) FROM part""")
 def f22_clean_code(spark, sf_dir):
-    php = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("-p_partkey AS seed_no", "concat('<?php', chr(10), '$a = ', p_size, ';', chr(10), '?>') AS content")
+    php = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("-p_partkey AS seed_no", "concat('<?php', chr(10), '$a = ', p_size, ';', CASE WHEN p_size % 2 = 0 THEN concat(chr(10), 'goto x;') ELSE '' END, chr(10), '?>', chr(10), '===DONE===') AS content")
     return more(spark, sf_dir, "mlir").select("seed_no", P.clean_mlir(F.col("content")).alias("cleaned")).unionByName(php.select("seed_no", P.clean_php(F.col("content")).alias("cleaned")))
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexing as X
+from ..functions import mutations as M
 from ..functions import profiles as P
 from ..functions import statements as S
-from ..operators import diverse
+from ..operators import diverse, pairing
 from .views import cte, view
 
 QUERIES, ORACLES = {}, {}
@@ -41,10 +42,34 @@ def x9_python_groups(spark, sf_dir):
     return code(spark, sf_dir).filter("type = 'cpython'").select("seed_no", F.array_join(F.transform(groups, lambda g: F.array_join(g, "|")), ";").alias("groups"))
 
 
-@query(cte("runs") + "SELECT run_id, CASE WHEN stderr = '' THEN '' ELSE stderr END AS shown FROM runs")
+#: Every document twice, every other one with a crash between; of texts over 1,500 characters 2 lines before the crash and 4 from it are kept, or the last 4.
+LONG = "SELECT doc_id, concat(text, chr(10), CASE WHEN doc_id % 2 = 0 THEN 'x Segmentation fault' ELSE 'none' END, chr(10), text) AS said FROM documents"
+
+
+def truncated_sql(source: str, key: str) -> str:
+    """The SQL of truncation with these bounds over (key, said)."""
+    return f"""o AS ({source}), r AS (SELECT *, CASE WHEN said LIKE '%' || chr(10) THEN string_split(said, chr(10))[:-2] ELSE string_split(said, chr(10)) END AS rows FROM o),
+p AS (SELECT *, len(rows) AS n, list_position(list_transform(rows, lambda x: contains(x, 'Segmentation fault')), true) AS place FROM r),
+q AS (SELECT *, greatest(place - 3, 0) AS first, least(place + 3, n) AS last FROM p)
+SELECT {key}, CASE WHEN length(said) <= 1500 THEN said
+  WHEN place IS NULL OR place = 0 THEN CASE WHEN n <= 4 THEN said ELSE '[... ' || format('{{:,}}', n - 4) || ' lines / ' || format('{{:,}}', length(said) - list_sum(list_transform(rows[-4:], lambda x: length(x) + 1))::BIGINT) || ' bytes of output truncated — no crash signature found; showing tail ...]' || chr(10) || array_to_string(rows[-4:], chr(10)) END
+  ELSE CASE WHEN first > 0 THEN '[... ' || format('{{:,}}', first) || ' lines / ' || format('{{:,}}', list_sum(list_transform(rows[:first], lambda x: length(x) + 1))::BIGINT) || ' bytes of output truncated before crash signature ...]' || chr(10) ELSE '' END
+    || array_to_string(rows[first + 1 : last], chr(10)) || CASE WHEN last < n THEN chr(10) || '[... ' || format('{{:,}}', n - last) || ' more lines truncated after crash report ...]' ELSE '' END END AS shown FROM q"""
+
+
+@query("WITH " + truncated_sql(LONG, "doc_id"))
 def f14_truncated_output(spark, sf_dir):
-    """No output of these tables is long, so each stays as it is; long ones are in the tests."""
-    return view(spark, sf_dir, "runs").select("run_id", X.truncated(F.col("stderr")).alias("shown"))
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    said = spark.sql(f"WITH documents AS (SELECT * FROM {{documents}}) {LONG}", documents=documents)
+    return said.select("doc_id", X.truncated(F.col("said"), 1500, 2, 4).alias("shown"))
+
+
+@query("WITH " + truncated_sql("SELECT doc_id, rtrim(text, chr(10)) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'y Segmentation fault' || chr(10) ELSE '' END AS said FROM documents WHERE text <> ''", "doc_id"))
+def s14_truncated_bundle(spark, sf_dir):
+    """Documents as stderr, a crash as some stdout."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text <> ''")
+    out = F.when(F.col("doc_id") % 3 == 0, "y Segmentation fault\n\n").otherwise("")
+    return documents.select("doc_id", X.bundled(F.col("text"), out, 1500, 2, 4).alias("shown"))
 
 
 @query(cte("code_seeds") + """, p AS (SELECT a.seed_no AS id_lo, b.seed_no AS id_hi, string_split(a.content, chr(10)) AS h, string_split(b.content, chr(10)) AS d FROM code_seeds a JOIN code_seeds b ON b.seed_no = a.seed_no + 4 WHERE a.type = 'clang')
@@ -71,12 +96,54 @@ def x10_x11_php_statements(spark, sf_dir):
     return units.withColumn("names", both("statement")).select("seed_no", "unit", "statement", F.array_join(F.get("names", F.lit(0)), "|").alias("defines"), F.array_join(F.get("names", F.lit(1)), "|").alias("uses"))
 
 
+@query(cte("code_seeds") + r"""SELECT seed_no, unnest([0, 1, 2]) AS unit, unnest([regexp_extract(content, '^(struct [^}]*\})', 1), ';', regexp_extract(content, '(int g[\s\S]*\})', 1)]) AS statement,
+unnest([regexp_extract(content, 'struct (\w+)', 1), '', regexp_extract(content, 'int (g\d)', 1) || '|y']) AS defines, unnest([regexp_extract(content, 'struct (\w+)', 1), '', regexp_extract(content, 'int (g\d)', 1)]) AS shared,
+unnest([array_to_string(list_sort([regexp_extract(content, 'struct (\w+)', 1), 'a']), '|'), '', array_to_string(list_sort(list_distinct([regexp_extract(content, 'int (g\d)', 1), regexp_extract(content, '\+ (g\d)', 1), 'x', 'y', 'z'])), '|')]) AS uses FROM code_seeds WHERE type = 'clang'""")
+def x10_x11_c_statements(spark, sf_dir):
+    own = code(spark, sf_dir).filter("type = 'clang'")
+    units = own.select("seed_no", F.posexplode(X.vectorised(S.c_statements, "array<string>")("content")).alias("unit", "statement"))
+    return named(units, lambda s: list(S.c_defines_uses(s, P.C_KEYWORDS)))
+
+
+def named(units, parts):
+    """units with what each statement defines, shares and uses."""
+    names = X.vectorised(parts, "array<array<string>>")
+    return units.withColumn("names", names("statement")).select("seed_no", "unit", "statement", *(F.array_join(F.get("names", F.lit(i)), "|").alias(n) for i, n in enumerate(("defines", "shared", "uses"))))
+
+
+FORTRAN = cte("more_code") + r""", l AS (SELECT seed_no, line, unit FROM (SELECT seed_no, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS unit FROM more_code WHERE type = 'flang')),
+u AS (SELECT seed_no, unit, line AS statement, CASE WHEN line LIKE 'program %' THEN [upper(regexp_extract(line, '^program (\w+)', 1))] WHEN contains(line, '::') THEN list_transform(string_split(regexp_extract(line, ':: ([\w, ]*\w)', 1), ','), lambda x: upper(trim(x))) WHEN contains(line, '=') THEN ['A'] ELSE [] END AS d,
+  list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(line, '\b([A-Za-z_]\w*)\b', 1), lambda x: upper(x)), lambda x: x NOT IN ('PROGRAM', 'END', 'INTEGER', 'REAL', 'INTENT', 'IN', 'CHARACTER')))) AS s FROM l)
+"""
+
+
+@query(FORTRAN + "SELECT seed_no, unit, statement, array_to_string(list_sort(d), '|') AS defines, CASE WHEN statement LIKE 'program %' THEN d[1] ELSE '' END AS shared, array_to_string(s, '|') AS uses FROM u")
+def x10_x11_fortran_statements(spark, sf_dir):
+    return named(fortran_units(spark, sf_dir), lambda s: list(S.fortran_defines_uses(s)))
+
+
+def fortran_units(spark, sf_dir):
+    own = view(spark, sf_dir, "more_code").filter("type = 'flang'")
+    return own.select("seed_no", F.posexplode(X.vectorised(S.fortran_statements, "array<string>")("content")).alias("unit", "statement"))
+
+
+@query(FORTRAN + """, e AS (SELECT b.seed_no, b.unit AS later, a.unit AS earlier FROM u a JOIN u b ON a.seed_no = b.seed_no AND a.unit <> b.unit AND list_has_any(a.d, b.s)) SELECT seed_no, later, earlier FROM e UNION SELECT seed_no, unit, unit - 1 FROM u WHERE unit > 0""")
+def j14_fortran_edges(spark, sf_dir):
+    """What each statement of a Fortran seed must follow: what it uses, and within a unit the statement before it."""
+    units = fortran_units(spark, sf_dir)
+    found = X.vectorised(lambda s: list(S.fortran_defines_uses(s)), "array<array<string>>")
+    kind = X.vectorised(S.fortran_kind, "string")
+    rows = units.withColumn("names", found("statement")).withColumn("kind", kind("statement")).select(F.col("seed_no").alias("pair"), F.col("seed_no").alias("seed"), "unit", *(F.get("names", F.lit(i)).alias(n) for i, n in enumerate(("defines", "shared", "uses"))), F.when(F.col("kind") == "unit_open", 1).when(F.col("kind") == "unit_close", -1).otherwise(0).alias("opens"))
+    return pairing.statement_edges(rows).unionByName(pairing.unit_order_edges(rows)).distinct().select(F.col("pair").alias("seed_no"), "later", "earlier")
+
+
 @query()
 def j17_mutations(spark, sf_dir):
-    """Three variants of each seed; the chances are raised so that most differ."""
-    changed = X.vectorised(lambda t, s: S.mutate(t, s, boost=300), "string")
-    variants = code(spark, sf_dir).select("seed_no", "content", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("variant"))
-    return variants.select("seed_no", "variant", changed("content", F.concat_ws("|", "seed_no", "variant")).alias("content"))
+    """Twenty variants of each seed, by the rules of its language."""
+    changed = X.vectorised(M.mutate, "string")
+    both = code(spark, sf_dir).select("seed_no", "content", "type").unionByName(view(spark, sf_dir, "more_code").select("seed_no", "content", "type"))
+    variants = both.select("seed_no", "content", "type", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("variant"))
+    return variants.select("seed_no", "variant", "type", changed("content", F.concat_ws("|", "seed_no", "variant"), "type").alias("content"))
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signatures as G
 from ..operators import pairing, stats, triage
+from ..operators.tables import cut
 from .views import cte, view
 
 #: DuckDB SQL of the cascades for the projects that the view `runs` has.
@@ -70,6 +71,11 @@ def crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed(spark, sf_dir).filter("crashed")
 
 
+def known_crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, project and signature of the crashes, found once: a signature is a long expression, which each use would repeat."""
+    return cut(crashes(spark, sf_dir).select("run_id", "project", "signature"))
+
+
 @query(RUNS + "SELECT run_id, crashed, syntax_error FROM signed")
 def p8_p9_run_flags(spark, sf_dir):
     return signed(spark, sf_dir).select("run_id", "crashed", "syntax_error")
@@ -94,7 +100,7 @@ def t1_first_seen(spark, sf_dir):
 @query(RUNS + ", c AS (SELECT coalesce(signature, 'NoSig_' || run_id) AS key, run_id, project FROM signed WHERE crashed) SELECT key, min(run_id) AS first, count(*) AS n FROM c WHERE key NOT IN (SELECT key FROM c WHERE project = 'clang') GROUP BY key")
 def t1_first_seen_after_known(spark, sf_dir):
     """New signatures of all runs, when those of one project are known."""
-    all_crashes = crashes(spark, sf_dir)
+    all_crashes = known_crashes(spark, sf_dir)
     return triage.first_seen(all_crashes, all_crashes.filter("project = 'clang'").select("signature"))
 
 
@@ -145,21 +151,21 @@ SHARED = """, k AS (SELECT run_id, signature, list_filter(['SUMMARY:', 'Assertio
 
 @query(RUNS + SHARED + "SELECT key, min(signature) AS first, count(*) AS n FROM (SELECT signature, unnest(list_concat(['text:' || signature], w)) AS key FROM k) GROUP BY key")
 def t6_keyword_match(spark, sf_dir):
-    return triage.keyword_classes(crashes(spark, sf_dir))
+    return triage.keyword_classes(known_crashes(spark, sf_dir))
 
 
-@query(RUNS + SHARED + ", z AS (SELECT * FROM k WHERE run_id % 50 = 3), y AS (SELECT DISTINCT unnest(w) AS x FROM z) SELECT run_id, signature FROM k WHERE run_id % 50 = 4 AND (signature IN (SELECT signature FROM z) OR EXISTS (SELECT 1 FROM y WHERE contains(k.signature, y.x)))")
+@query(RUNS + SHARED + ", z AS (SELECT * FROM k WHERE run_id % 11 = 3), y AS (SELECT DISTINCT unnest(w) AS x FROM z) SELECT run_id, signature FROM k WHERE run_id % 11 = 4 AND (signature IN (SELECT signature FROM z) OR EXISTS (SELECT 1 FROM y WHERE contains(k.signature, y.x)))")
 def t6_keyword_matched(spark, sf_dir):
     """Crashes of some runs that match those of some others."""
-    own = crashes(spark, sf_dir).select("run_id", "signature")
-    return triage.keyword_matched(own.filter("run_id % 50 = 4"), own.filter("run_id % 50 = 3"))
+    own = known_crashes(spark, sf_dir).select("run_id", "signature")
+    return triage.keyword_matched(own.filter("run_id % 11 = 4"), own.filter("run_id % 11 = 3"))
 
 
-@query(RUNS + ", k AS (SELECT run_id, project, signature, CASE WHEN starts_with(signature, 'Stack dump:') THEN 'f' || regexp_extract(signature, '\\[(.*)\\]\\s*$', 1) ELSE 't' || signature END AS key FROM signed WHERE crashed) SELECT run_id, signature FROM k WHERE project = 'clang' AND key IN (SELECT key FROM k WHERE project <> 'clang')")
+@query(RUNS + ", k AS (SELECT run_id, project, signature, CASE WHEN starts_with(signature, 'Stack dump:') THEN 'f' || regexp_extract(signature, '\\[(.*)\\]\\s*$', 1) ELSE 't' || signature END AS key FROM signed WHERE crashed) SELECT run_id, signature FROM k WHERE run_id % 11 = 4 AND key IN (SELECT key FROM k WHERE run_id % 11 = 3)")
 def t5_matched(spark, sf_dir):
-    """Crashes of one project whose signatures match those of any other."""
-    own = crashes(spark, sf_dir).select("run_id", "project", "signature")
-    return triage.matched(own.filter("project = 'clang'"), own.filter("project <> 'clang'")).select("run_id", "signature")
+    """Crashes of some runs whose signatures match those of some others."""
+    own = known_crashes(spark, sf_dir).select("run_id", "signature")
+    return triage.matched(own.filter("run_id % 11 = 4"), own.filter("run_id % 11 = 3"))
 
 
 TERMS = FRAMES + r""", w AS (SELECT *, string_split(regexp_extract(signature, '^(ASAN|UBSAN|LLVM ERROR|Assertion):\s*(.*)$', 2), ' ') AS words, list_transform(frames, lambda x: regexp_extract(x, '([A-Za-z_~][A-Za-z0-9_]*)$', 1)) AS names FROM k),

@@ -157,7 +157,7 @@ def test_profiles(spark):
     assert one(spark, "x\nTYPES:{\"a\": [\"int\"], \"b\": \"str\"}", P.python_probe) == {"a": ["int"], "b": ["str"]}
     swift = one(spark, "// RUN: x\nlet a = 1\nvar b = \"s\"\nlet c = [1]", P.swift_profile)
     assert swift.has_run and swift.var_types == {"a": "Int", "b": "String", "c": "Array"}
-    assert one(spark, " <?php\n$a = 1;\n?> ", P.clean_php) == "$a = 1;" and one(spark, "$a;", P.clean_php) == "$a;"
+    assert one(spark, " <?php\n$a = 1;\n?> ", P.clean_php) == "\n$a = 1;\n" and one(spark, "<?php\n$a;\ngoto x;\nx:\nb(); ?>\n==DONE==", P.clean_php) == "\n$a;\n\n\nb();\n"
     assert P.get_profiler("RUST") is P.rust_profile and P.get_profiler("x") is P.generic_profile
 
 
