@@ -46,11 +46,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a damaged replica of all pages: of every 53rd page the first byte of the body is another one."""
-    pages = table(spark, sf_dir, "pages")
-    hurt = (F.col("page_id") % 53 == 7) & F.col("html").startswith("<")
-    damaged = pages.withColumn("html", F.when(hurt, F.concat(F.lit("#"), F.substring("html", 2, 2147483647))).otherwise(F.col("html")))
-    return warc.audit(warc.tree(warc.records(pages)), warc.tree(warc.records(damaged)))
+    """Audits a damaged replica of all pages: some records have another first byte, some are longer, some are lost, some are only there.
+
+    Both replicas also hold copies of some pages without an id.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    loose = pages.filter("page_id % 211 = 1").withColumn("page_id", F.lit(None).cast("long"))
+    more = pages.filter("page_id % 89 = 4").withColumn("page_id", -1 - F.col("page_id"))
+    html = F.when((F.col("page_id") % 53 == 7) & F.col("html").startswith("<"), F.concat(F.lit("#"), F.substring("html", 2, 2147483647))).when(F.col("page_id") % 71 == 9, F.concat("html", F.lit(" more"))).otherwise(F.col("html"))
+    damaged = pages.filter("page_id % 101 <> 5").withColumn("html", html).unionByName(more)
+    one, other = (warc.tree(warc.records(x.unionByName(loose))) for x in (pages, damaged))
+    return warc.audit(one, other)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +93,17 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
 
 #: Records in files of 1,024 page ids; lengths of a record as warc.record_bytes() writes it.
 OP9 = """
-WITH r AS (SELECT page_id // 1024 AS file, page_id AS id, html,
-  strlen('WARC/1.0WARC-Type: resourceWARC-Target-URI: Content-Type: text/htmlContent-Length: ') + 12 + strlen(coalesce(url, '')) + length(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + strlen(coalesce(html, '')) + 4 AS size FROM pages),
-o AS (SELECT *, row_number() OVER w - 1 AS record_no, CAST(sum(size) OVER w AS BIGINT) AS "end" FROM r WINDOW w AS (PARTITION BY file ORDER BY id ROWS UNBOUNDED PRECEDING))
-SELECT file, record_no, id, "end" - size AS start, "end", "end" AS other_end, 'changed' AS status FROM o WHERE id % 53 = 7 AND html LIKE '<%'
+WITH p AS (SELECT page_id AS id, url, html FROM pages),
+q AS (SELECT id, url, CASE WHEN id % 53 = 7 AND html LIKE '<%' THEN '#' || html[2:] WHEN id % 71 = 9 THEN html || ' more' ELSE html END AS html FROM p WHERE id % 101 <> 5
+  UNION ALL SELECT -1 - id, url, html FROM p WHERE id % 89 = 4),
+r AS (SELECT side, id, ((id % 1024) + 1024) % 1024 AS place, (id - ((id % 1024) + 1024) % 1024) // 1024 AS file, coalesce(url, '') || chr(10) || coalesce(html, '') AS said,
+  strlen('WARC/1.0WARC-Type: resourceWARC-Target-URI: Content-Type: text/htmlContent-Length: ') + 12 + strlen(coalesce(url, '')) + length(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + strlen(coalesce(html, '')) + 4 AS size
+  FROM (SELECT 'a' AS side, * FROM p UNION ALL SELECT 'b', * FROM q)),
+o AS (SELECT *, CAST(sum(size) OVER (PARTITION BY side, file ORDER BY place ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end" FROM r),
+a AS (SELECT * FROM o WHERE side = 'a'), b AS (SELECT * FROM o WHERE side = 'b')
+SELECT coalesce(a.file, b.file) AS file, coalesce(a.place, b.place) AS place, coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NOT NULL THEN 1 END AS n, a."end" - a.size AS start, a."end" AS "end",
+  CASE WHEN b.id IS NOT NULL THEN 1 END AS other_n, b."end" - b.size AS other_start, b."end" AS other_end, CASE WHEN a.id IS NULL THEN 'extra' WHEN b.id IS NULL THEN 'missing' ELSE 'changed' END AS status
+FROM a FULL JOIN b ON a.id = b.id WHERE a.said IS DISTINCT FROM b.said
 """
 
 ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op9_warc_fixity": OP9}

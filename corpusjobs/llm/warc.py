@@ -1,10 +1,12 @@
 """Merkle fixity audit of WARC files.
 
-Every record of a file is a leaf: the SHA-256 of its bytes together with its range of offsets. Up to FANOUT
-neighbours make a node, whose hash covers the ordered hashes and ranges of its children, up to one root for each
-file. Two replicas are compared by their roots; only below a node that differs are its children looked at, so
-the work below the roots is in proportion to the damage. Everything runs as joins and aggregations on thin
-rows: the bytes of a record are hashed where they are read and never move.
+A file holds a range of ids, and every id has a place in it; the leaf of a place covers the SHA-256 of its record and
+its length. Up to FANOUT neighbours make a node, whose hash covers the places, lengths and hashes of its children, so
+its range of offsets relative to its start, up to one root for each file. Two replicas are compared by their roots;
+only below a node that differs are its children looked at, so the work below the roots is in proportion to the damage.
+A record that is lost, added or longer changes the leaf of its own id and the nodes above, and no other leaf: what
+only moved is not reported. Everything runs as joins and aggregations on thin rows: the bytes of a record are hashed
+where they are read and never move.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Children of a node, and records of a file.
+#: Children of a node, and places of a file.
 FANOUT, PER_FILE = 16, 1024
+#: Records without an id are dealt to so many files by their hash, numbered below this one, which no id leads to.
+LOOSE, BELOW = 1 << 16, -(1 << 62)
 
 
 def record_bytes(uri: Column, body: Column) -> Column:
@@ -30,61 +34,94 @@ def record_bytes(uri: Column, body: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", body_col: str = "html", per_file: int = PER_FILE) -> DataFrame:
-    """(file, id, record): a file holds a range of ids. Rows with a null id make a file of their own, number -1."""
-    own = F.col(id_col).cast("long")
-    return pages.select(F.coalesce(F.floor(own / per_file), F.lit(-1)).cast("long").alias("file"), own.alias("id"), record_bytes(F.col(uri_col), F.col(body_col)).alias("record"))
+    """(file, place, id, record) for every row. Records with a null id are dealt to files of their own by the hash of their bytes.
+
+    A null address or body counts as empty. Other columns are not read.
+    """
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), record_bytes(F.col(uri_col), F.col(body_col)).alias("record"))
+    own, loose = F.pmod("id", F.lit(per_file)), F.xxhash64("record")
+    file = F.when(F.col("id").isNotNull(), F.expr(f"(id - pmod(id, {per_file})) div {per_file}")).otherwise(F.lit(BELOW) - F.pmod(loose, F.lit(LOOSE)))
+    place = F.when(F.col("id").isNotNull(), own).otherwise(F.pmod(F.shiftrightunsigned(loose, 20), F.lit(per_file)))
+    return rows.select(file.alias("file"), place.cast("long").alias("place"), "id", "record")
 
 
 def leaves(found: DataFrame) -> DataFrame:
-    """(file, idx, id, start, end, hash) of (file, id, record): records lie in a file by id, equal ids by hash."""
-    thin = found.select("file", "id", F.octet_length("record").cast("long").alias("size"), F.sha2("record", 256).alias("hash"))
-    order = W.partitionBy("file").orderBy("id", "hash")
-    end = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return thin.select("file", (F.row_number().over(order) - 1).cast("long").alias("idx"), "id", (end - F.col("size")).alias("start"), end.alias("end"), "hash")
+    """(file, idx, id, n, size, hash) of (file, place, id, record): one leaf for each place.
+
+    Several records of one place (of an id that repeats, or without ids) make one leaf with their number, their total
+    length and the sum of their hashes, whatever their order: nothing is collected, so an id may have any number.
+    """
+    digest = F.sha2("record", 256)
+    quarter = lambda i: F.expr(f"try_subtract(cast(conv(substring(digest, {16 * i + 1}, 15), 16, 10) as decimal(38,0)), 0)")
+    thin = found.select("file", "place", "id", F.octet_length("record").cast("long").alias("size"), digest.alias("digest"))
+    parts = [F.sum(quarter(i)).cast("string").alias(f"q{i}") for i in range(4)]
+    grouped = thin.groupBy("file", F.col("place").alias("idx")).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.sum("size").alias("size"), F.min("digest").alias("digest"), *parts)
+    whole = F.when(F.col("n") == 1, F.col("digest")).otherwise(F.sha2(F.concat_ws(":", "n", *(f"q{i}" for i in range(4))).cast("binary"), 256))
+    return grouped.select("file", "idx", "id", "n", "size", whole.alias("hash"))
+
 
+def levels(per_file: int) -> int:
+    """Levels above the leaves."""
+    n = 0
+    while FANOUT**n < per_file:
+        n += 1
+    return n
 
-def tree(found: DataFrame) -> DataFrame:
-    """(file, level, idx, start, end, hash, id): leaves at level 0, one root for each file at its highest level."""
+
+def tree(found: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """(file, level, idx, id, n, size, hash): leaves at level 0, one root for each file at the highest level."""
     level = cut(leaves(found).withColumn("level", F.lit(0)))
-    out, n, last = level, 0, level.agg(F.max("idx")).first()[0] or 0
-    while last:
-        n, last = n + 1, last // FANOUT
-        children = F.sort_array(F.collect_list(F.struct("idx", "start", "end", "hash")))
-        joined = F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["start"], c["end"], c["hash"])), ",")
-        up = level.groupBy("file", F.floor(F.col("idx") / FANOUT).alias("up")).agg(F.min("start").alias("start"), F.max("end").alias("end"), children.alias("children"))
-        level = up.select("file", F.col("up").alias("idx"), F.lit(None).cast("long").alias("id"), "start", "end", F.sha2(joined.cast("binary"), 256).alias("hash"), F.lit(n).alias("level"))
+    out = level
+    for k in range(1, levels(per_file) + 1):
+        children = F.sort_array(F.collect_list(F.struct("idx", "size", "hash")))  # at most FANOUT
+        joined = F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["idx"], c["size"], c["hash"])), ",")
+        up = level.groupBy("file", F.shiftright("idx", FANOUT.bit_length() - 1).alias("up")).agg(F.sum("n").alias("n"), F.sum("size").alias("size"), children.alias("children"))
+        level = up.select("file", F.col("up").alias("idx"), F.lit(None).cast("long").alias("id"), "n", "size", F.sha2(joined.cast("binary"), 256).alias("hash"), F.lit(k).alias("level"))
         out = out.unionByName(level)
     return cut(out)
 
 
-def audit(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Records that differ between two trees, or that only one has: (file, record_no, id, start, end, other_end, status).
+def audit(one: DataFrame, other: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """Places whose records differ between two trees, or that only one has: (file, place, id, n, start, end, other_n, other_start, other_end, status).
 
-    status: changed, missing (the other lacks it) or extra (only the other has it). Both trees have a root for
-    each file at the highest level of the larger tree; a file that only one replica has differs at its root.
-    Equal trees and empty tables give no rows.
+    status: changed, missing (the other lacks it) or extra (only the other has it); start and end are the offsets in
+    each replica's file, null where it has no such record. A file that only one replica has differs at its root. Equal
+    trees and empty tables give no rows. Of an id that repeats all its records are one place.
     """
-    top = max((t.agg(F.max("level")).first()[0] or 0) for t in (one, other))
-    a, b = (t.select("file", "level", "idx", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "start", "end", "hash"))) for t, s in ((one, "a"), (other, "b")))
+    a, b = (t.select("file", "level", "idx", *(F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "size", "hash"))) for t, s in ((one, "a"), (other, "b")))
     differ = None
-    for level in range(top, -1, -1):
-        mine, theirs = a.filter(F.col("level") == level).drop("level"), b.filter(F.col("level") == level).drop("level")
+    for level in range(levels(per_file), -1, -1):
+        mine, theirs = (x.filter(F.col("level") == level).drop("level") for x in (a, b))
         if differ is not None:
             above = cut(differ.select("file", F.col("idx").alias("up")))
-            mine, theirs = (x.withColumn("up", F.floor(F.col("idx") / FANOUT)).join(above, ["file", "up"], "left_semi").drop("up") for x in (mine, theirs))
-        whole = lambda s: F.struct(f"{s}_start", f"{s}_end", f"{s}_hash")
-        differ = mine.join(theirs, ["file", "idx"], "full").filter(F.col("a_hash").isNull() | F.col("b_hash").isNull() | (whole("a") != whole("b")))
+            mine, theirs = (x.withColumn("up", F.shiftright("idx", FANOUT.bit_length() - 1)).join(above, ["file", "up"], "left_semi").drop("up") for x in (mine, theirs))
+        same = F.col("a_hash").eqNullSafe(F.col("b_hash")) & F.col("a_size").eqNullSafe(F.col("b_size"))
+        differ = mine.join(theirs, ["file", "idx"], "full").filter(~same)
+    differ = cut(differ)
+    # Offsets only of files with damage; a file has per_file places at most.
+    hurt = differ.select("file").distinct()
+
+    def placed(t: DataFrame, s: str) -> DataFrame:
+        end = F.sum("size").over(W.partitionBy("file").orderBy("idx").rowsBetween(W.unboundedPreceding, 0))
+        return t.filter("level = 0").join(hurt, "file", "left_semi").select("file", "idx", (end - F.col("size")).alias(f"{s}_start"), end.alias(f"{s}_end"))
+
     status = F.when(F.col("a_hash").isNull(), "extra").when(F.col("b_hash").isNull(), "missing").otherwise("changed")
-    return differ.select("file", F.col("idx").alias("record_no"), F.coalesce("a_id", "b_id").alias("id"), F.coalesce("a_start", "b_start").alias("start"), F.coalesce("a_end", "b_end").alias("end"), F.col("b_end").alias("other_end"), status.alias("status"))
+    both = differ.join(placed(one, "a"), ["file", "idx"], "left").join(placed(other, "b"), ["file", "idx"], "left")
+    return both.select("file", F.col("idx").alias("place"), F.coalesce("a_id", "b_id").alias("id"), F.col("a_n").alias("n"), F.col("a_start").alias("start"), F.col("a_end").alias("end"), F.col("b_n").alias("other_n"), F.col("b_start").alias("other_start"), F.col("b_end").alias("other_end"), status.alias("status"))
 
 
 # -- files ----------------------------------------------------------------------------------------
 
 
-def write_files(found: DataFrame, path: str) -> None:
-    """Write (file, id, record) as one row of bytes for each file: (file, content). A file's bytes are bounded by its records."""
-    rows = found.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("id", F.sha2("record", 256).alias("hash"), "record"))).alias("r"))
-    rows.select("file", F.transform("r", lambda x: x["record"]).alias("r")).select("file", F.aggregate("r", F.lit(b""), lambda a, x: F.concat(a, x)).alias("content")).write.parquet(path)
+def write_files(found: DataFrame, path: str, per_file: int = PER_FILE) -> None:
+    """Write (file, place, id, record) as rows of bytes: (file, part, content).
+
+    A file is one part; one with over four times as many records as places, as of an id that repeats, has more.
+    """
+    large = found.groupBy("file").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * per_file).select("file", F.ceil(F.col("n") / per_file).alias("parts"))
+    dealt = found.join(large, "file", "left").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1))))
+    rows = dealt.groupBy("file", "part").agg(F.sort_array(F.collect_list(F.struct("place", "id", F.sha2("record", 256).alias("hash"), "record"))).alias("r"))
+    rows.select("file", "part", F.transform("r", lambda x: x["record"]).alias("r")).select("file", "part", F.aggregate("r", F.lit(b""), lambda a, x: F.concat(a, x)).alias("content")).write.parquet(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -105,7 +142,7 @@ def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, record_no, start, end, uri, body) of every record of files that write_files() wrote."""
+    """(file, record_no, start, end, uri, body) of every record of files that write_files() wrote; numbers and offsets are within a part."""
     names = ["file", "record_no", "start", "end", "uri", "body"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
