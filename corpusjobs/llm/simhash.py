@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, components, cut
+from .common import by_bytes, components, cut, free_name, joined_by_share
 
 #: Generator polynomial of the binary Golay code, its length, the hash seed.
 GOLAY, LENGTH, SEED = 0b101011100011, 23, 42
 #: Bits by which linked fingerprints may differ, and the share of them on each side of the midpoint.
 THRESHOLD, SIDE = 3, 2
-#: Fingerprints of one anchor that one task compares; larger anchors are dealt out as pairs of parts.
+#: Fingerprints of one anchor that one task compares; larger anchors are dealt out as pairs of parts before the shuffle.
 CELL = 1 << 15
 #: Fingerprints of one anchor that are compared as a matrix.
 MATRIX = 1 << 10
@@ -120,8 +120,25 @@ def anchors(fps: np.ndarray, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(names)
 
 
-def anchored(fps: DataFrame) -> DataFrame:
-    """(key, fp): every fingerprint at each of its anchors."""
+def anchored(fps: DataFrame, parts: dict[int, int] | None = None) -> DataFrame:
+    """(key, fp): every fingerprint at each of its anchors.
+
+    parts: into how many parts the fingerprints of an anchor are dealt; each goes to every pair of parts with its own.
+    """
+    parts = parts or {}
+
+    def dealt(names: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        large = np.isin(names, list(parts))
+        out_names, out_fps = [names[~large]], [fps[~large]]
+        for name in np.unique(names[large]).tolist():
+            own, k = fps[names == name], parts[name]
+            at = ((own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % k
+            for other in range(k):
+                low, high = np.minimum(at, other), np.maximum(at, other)
+                some = at != other
+                out_names.append((name + 1 << 36 | low << 18 | high)[some])
+                out_fps.append(own[some])
+        return np.concatenate(out_names), np.concatenate(out_fps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,11 +146,39 @@ def anchored(fps: DataFrame) -> DataFrame:
             for at in range(0, len(values), 2000):
                 part = values[at : at + 2000]
                 rows, names = anchors(part)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(part[rows])], ["key", "fp"])
+                names, own = dealt(names, part[rows]) if parts else (names, part[rows])
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(own)], ["key", "fp"])
 
     return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
+def large_anchors(fps: DataFrame, cell: int, coarse: int = 12) -> dict[int, int]:
+    """Parts of each anchor with more than `cell` fingerprints: counted in the tasks, then summed.
+
+    Anchors are counted in groups of 2**coarse first, and one by one only in groups with more than `cell` fingerprints.
+    Of n fingerprints, each at about 61 of the 2**24 anchors, under 61 n / `cell` anchors are that large.
+    """
+
+    def counted(shift: int, groups: set[int] | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 << 24 - shift, np.int64)
+            for batch in batches:
+                values = batch.column(0).to_numpy()
+                for at in range(0, len(values), 2000):
+                    total += np.bincount(anchors(values[at : at + 2000])[1] >> shift, minlength=len(total))
+            some = np.flatnonzero(total)
+            if groups is not None:
+                some = some[np.isin(some >> coarse, list(groups))]
+            for at in range(0, len(some), 1 << 16):
+                own = some[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["key", "n"])
+
+        return fps.select("fp").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > cell)
+
+    groups = {r.key for r in counted(coarse, None).collect()}
+    return {r.key: -(-2 * r.n // cell) for r in counted(0, groups).collect()} if groups else {}
+
+
 # -- comparison per anchor ------------------------------------------------------------------------
 
 
@@ -193,28 +238,15 @@ def cell_links(keys: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.nd
     return np.concatenate(a), np.concatenate(b)
 
 
-def compared(cells: DataFrame, threshold: int, cell: int) -> DataFrame:
-    """Rows (a, b, key) of cells dealt and sorted by key: links with key null; the fingerprints of a cell over
-    `cell` once for each pair of its parts, with b null and the key of that pair, to be compared next."""
-
-    def batch_of(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
-        empty = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a), empty if b is None else pa.array(b), empty if key is None else pa.array(key)], ["a", "b", "key"])
+def compared(cells: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) of cells (key, fp), each compared in one task."""
 
     def ended(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(keys) == 0:
-            return
-        if len(keys) > cell and keys[0] == keys[-1]:
-            half = cell // 2
-            parts = -(-len(fps) // half)
-            for i, j in combinations(range(parts), 2):
-                both = np.concatenate((fps[i * half : (i + 1) * half], fps[j * half : (j + 1) * half]))
-                yield batch_of(both, None, np.full(len(both), keys[0] << 32 | i * parts + j))
-            return
-        yield batch_of(*cell_links(keys, fps, threshold), None)
+        if len(keys):
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cell_links(keys, fps, threshold))), ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the run that goes on in the next batch
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the cell that goes on in the next batch
         for batch in batches:
             keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if len(keys) == 0:
@@ -222,40 +254,22 @@ def compared(cells: DataFrame, threshold: int, cell: int) -> DataFrame:
             if held and held[0][0][0] == keys[-1]:
                 held.append((keys, fps))
                 continue
-            own = np.searchsorted(keys, keys[-1])
-            if held and held[0][0][0] != keys[0]:
-                yield from ended(*map(np.concatenate, zip(*held, strict=True)))
-                held = []
-            elif held:
-                cont = np.searchsorted(keys, keys[0], side="right")
-                held.append((keys[:cont], fps[:cont]))
-                yield from ended(*map(np.concatenate, zip(*held, strict=True)))
-                keys, fps, own, held = keys[cont:], fps[cont:], own - cont, []
-            big = np.flatnonzero(np.diff(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))) > cell)
-            if len(big) == 0:
-                yield from ended(keys[:own], fps[:own])
-            else:  # an oversized run wholly inside a batch
-                edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-                for s, e in zip(edges[:-1], edges[1:], strict=True):
-                    if s < own:
-                        yield from ended(keys[s:e], fps[s:e])
+            own = np.searchsorted(keys, keys[-1])  # the last cell may go on
+            yield from ended(*map(np.concatenate, zip(*held, (keys[:own], fps[:own]), strict=True)))
             held = [(keys[own:], fps[own:])]
         if held:
             yield from ended(*map(np.concatenate, zip(*held, strict=True)))
 
-    return cells.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long")
+    return cells.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def links(fps: DataFrame, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
     """Links (a, b) between distinct fingerprints `fp` that hold together all that differ in `threshold` bits or fewer."""
     if threshold > THRESHOLD:
         raise ValueError("two sides of 2 bits cover thresholds up to 3")
-    found = cut(compared(anchored(fps), threshold, cell))
-    near = found.filter("key IS NULL").select("a", "b")
-    more = found.filter("key IS NOT NULL").select("key", F.col("a").alias("fp"))
-    if not more.isEmpty():
-        near = near.unionByName(compared(more, threshold, 2 * cell).select("a", "b"))
-    return near.distinct()
+    # Anchors that would be too much for one task are known before anything is shuffled.
+    parts = large_anchors(fps, cell) if fps.count() > cell else {}
+    return compared(anchored(fps, parts), threshold).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, threshold: int = THRESHOLD, cell: int = CELL) -> DataFrame:
@@ -267,19 +281,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives an empty result. Further columns of docs are not read, so their names cannot clash.
     """
     each = cut(fingerprints(docs, id_col, text_col, size))
-    firsts = cut(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    firsts = cut(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     groups = cut(components(links(firsts, threshold, cell)))
     led = groups.join(firsts, groups.node == firsts.fp).groupBy("root").agg(F.min("first").alias("led"))
     moved = groups.join(led, "root").select(F.col("node").alias("fp"), "led")
-    whole = cut(firsts.join(moved, "fp", "left").select("fp", F.coalesce("led", "first").alias("component_id")))
-    return each.join(whole, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    whole = cut(firsts.join(moved, "fp", "left").select("fp", "n", F.coalesce("led", "first").alias("component_id")))
+    return joined_by_share(each, whole, ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest id.
 
-    All columns stay. Rows with a null id are kept (nothing shows which row they are). Where several rows bear
-    the id that stays, all of them stay.
+    All columns stay, whatever their names. Rows with a null id are kept (nothing shows which row they are). Where
+    several rows bear the id that stays, all of them stay. Null and empty texts are one group. An empty table stays empty.
     """
-    kept = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.filter(F.col(id_col).isNull()).unionByName(docs.join(kept, id_col, "left_semi"))
+    kept_id = free_name(docs, "kept_id")
+    kept = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias(kept_id)).distinct()
+    return docs.filter(F.col(id_col).isNull()).unionByName(docs.join(kept, F.col(id_col).cast("long") == F.col(kept_id), "left_semi"))
