@@ -10,6 +10,7 @@ stands for. The vocabulary is made of the n-grams whose presence tells the class
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +27,8 @@ WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 DIM, SCALE, GRAMS = 8, 30.0, (3, 4, 5, 6)
 #: Texts in which an n-gram must occur, and n-grams of the vocabulary at most.
 LEAST, VOCABULARY = 4, 1 << 10
-#: Labelled rows of each class that training takes at most, by the order of a hash of their id.
-SAMPLE = 2000
+#: Labelled ids of each class that training takes at most, by the order of a hash of the id, and distinct words of a training text at most, by the order of a hash of the word.
+SAMPLE, MOST_WORDS = 2000, 1 << 13
 REMEMBERED = 1 << 20
 
 
@@ -96,13 +97,21 @@ def vocabulary(bags: list[tuple[list[str], np.ndarray]], y: np.ndarray, least: i
     return [g for _, g in sorted(found)[:most]]
 
 
-def train(texts: list[str | None], labels: list[int], rounds: int = 200, rate: float = 0.05, decay: float = 1e-5, least: int = LEAST, most: int = VOCABULARY, seed: int = 7, dim: int = DIM) -> Model:
-    """Fit embeddings, softmax and bias jointly (Adam, all texts at once, classes weighted evenly).
+def sampled_bag(text: str | None, most: int = MOST_WORDS) -> tuple[list[str], np.ndarray]:
+    """The bag of a training text; of a text with more distinct words those with the smallest hashes."""
+    own, share = bag(text)
+    if len(own) > most:
+        keep = sorted(range(len(own)), key=lambda i: zlib.crc32(own[i].encode("utf-8", "surrogatepass")))[:most]
+        own, share = [own[i] for i in keep], share[keep] / share[keep].sum()
+    return own, share
+
+
+def train(bags: list[tuple[list[str], np.ndarray]], labels: list[int], rounds: int = 200, rate: float = 0.05, decay: float = 1e-5, least: int = LEAST, most: int = VOCABULARY, seed: int = 7, dim: int = DIM) -> Model:
+    """Fit embeddings, softmax and bias jointly to bags of words (Adam, all bags at once, classes weighted evenly).
 
     Labels are 0 or 1; with one class only, the bias alone tells it.
     """
     y = np.array(labels, np.int64)
-    bags = [bag(t) for t in texts]
     keep = [i for i, (own, _) in enumerate(bags) if own]
     if not keep or y[keep].min() == y[keep].max():
         share = (y.sum() + 1) / (len(y) + 2)
@@ -142,25 +151,39 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 200, rate: f
     return Model(names, *params)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, **options) -> Model:
-    """A model from at most `sample` labelled rows of each class, chosen by a hash of their id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most_words: int = MOST_WORDS, **options) -> Model:
+    """A model from at most `sample` labelled ids of each class, chosen by a hash of the id.
 
-    Only rows whose crc32(id as text) mod 5 is not 0 are learnt from. Ids only choose the rows. Null labels,
-    null ids and labels other than 0 and 1 are left out; without labelled rows the score is an even one.
+    Only ids whose crc32(id as text) mod 5 is not 0 are learnt from, and ids only choose the rows. Of rows that share an
+    id the one with the smallest hash of its text counts, so at most 2 `sample` bags of at most `most_words` words, made
+    in the tasks, reach the driver. Null labels, null ids and labels other than 0 and 1 are left out, an id with both
+    labels counts for each; without labelled rows the score is an even one.
     """
     key = F.col(id_col).cast("string")
-    marked = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col(id_col).isNotNull() & (F.crc32(key.cast("binary")) % 5 != 0)).distinct()
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), key.alias("k")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull() & (F.crc32(F.col("k").cast("binary")) % 5 != 0)).distinct()
     picked = None
     for y in (0, 1):
-        some = marked.filter(F.col("y") == y).orderBy(F.md5(key), "y").limit(sample)
+        some = marked.filter(F.col("y") == y).orderBy(F.md5("k"), "k").limit(sample)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(picked), id_col).select("y", "text").toPandas()
-    rows = rows.sort_values(["y", "text"], na_position="first")
-    return train(rows["text"].tolist(), rows["y"].tolist(), **options)
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 2):
+            made = [sampled_bag(t, most_words) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w for w, _ in made], pa.list_(pa.string())), pa.array([x.tolist() for _, x in made], pa.list_(pa.float64())), batch.column(3)], ["k", "y", "words", "shares", "h"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("k", "y", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"))
+    one = texts.mapInArrow(bags, "k string, y int, words array<string>, shares array<double>, h long").groupBy("k", "y").agg(F.min_by(F.struct("words", "shares"), "h").alias("b"))
+    rows = sorted(one.select("y", "k", "b.words", "b.shares").collect(), key=lambda r: (r.y, r.k))
+    return train([(r.words, np.array(r.shares)) for r in rows], [r.y for r in rows], **options)
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for every row; scores come from the whole text alone. Null and empty texts get the bias."""
+    """(doc_id, score) for every row; scores come from the whole text alone, however long.
+
+    Null and empty texts get the bias. Equal texts have equal scores; repeated rows and null ids stay rows of their own.
+    Other columns are not read.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(model.score, batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
@@ -176,7 +199,7 @@ def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows that score 0.5 or more; all columns stay. Null and empty texts stay."""
+    """docs without the rows that score 0.5 or more; all columns stay, whatever their names. Null and empty texts stay, and so do repeated rows that score less."""
 
     @F.pandas_udf("double")
     def score(texts):
