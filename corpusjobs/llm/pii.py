@@ -16,6 +16,7 @@ import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +31,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Tokens of a candidate segment at most, and documents of the training sample.
-LONGEST, SAMPLE = 24, 2000
+#: Tokens and characters of an entity at most; documents of the training sample, regions of each and characters of a region there.
+LONGEST, MOST_CHARS, SAMPLE, REGIONS, REGION = 24, 320, 2000, 8, 1024
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|.", re.DOTALL)
-HOT = re.compile(r"[0-9@]")
+HOT, GAP = re.compile(r"[0-9@]"), re.compile(r"\s")
 
 Span = tuple[str, int, int]
 
@@ -106,17 +107,16 @@ def base_spans(text: str) -> list[Span]:
 
 
 def regions(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
-    """Maximal runs of words that hold a digit or an at-sign, one space apart, outside the taken spans."""
+    """Maximal runs of words that hold a digit or an at-sign, one space apart, outside the taken spans, however long."""
     blocked = sorted((a, b) for _, a, b in taken)
     start = end = -1
     at = 0
     while m := HOT.search(text, at):
         a = b = m.start()
-        while a > max(at, end) and not text[a - 1].isspace() and b - a < 256:
+        while a > max(at, end) and not text[a - 1].isspace():
             a -= 1
-        while b < len(text) and not text[b].isspace() and b - m.start() < 256:
-            b += 1
-        if start >= 0 and a - end <= 1 and b - start < 1024:
+        b = space.start() if (space := GAP.search(text, b)) else len(text)
+        if start >= 0 and a - end <= 1:
             end = b
         else:
             if start >= 0:
@@ -167,21 +167,29 @@ def features(kind: str, s: str, before: str, after: str, word: str) -> list[str]
     return [f"{kind}|{x}" for x in out]
 
 
+def ending(text: str, bounds: list[int], j: int, word: str) -> Iterator[tuple[int, str, list[str]]]:
+    """(i, kind, features) of each candidate segment from bound i to bound j: at most LONGEST tokens and MOST_CHARS characters."""
+    for i in range(max(0, j - LONGEST), j):
+        if bounds[j] - bounds[i] > MOST_CHARS:
+            continue
+        s = text[bounds[i] : bounds[j]]
+        if s[0].isspace() or s[-1].isspace():
+            continue
+        for kind in KINDS:
+            if fits(kind, s):
+                yield i, kind, features(kind, s, text[bounds[i] - 1 : bounds[i]] or " ", text[bounds[j] : bounds[j] + 1] or " ", word)
+
+
+def bounds_of(text: str, start: int, end: int) -> tuple[list[int], str]:
+    """Token bounds in a region, and the word before it."""
+    left = text[max(0, start - 40) : start].split()
+    return [m.start() for m in TOKEN.finditer(text, start, end)] + [end], left[-1] if left else ""
+
+
 def candidates(text: str, start: int, end: int) -> tuple[list[int], list[list[tuple[int, str, list[str]]]]]:
     """(bounds, by): token bounds in the region; by[j] has (i, kind, features) of each candidate that ends at bound j."""
-    bounds = [m.start() for m in TOKEN.finditer(text, start, end)] + [end]
-    by: list[list[tuple[int, str, list[str]]]] = [[] for _ in bounds]
-    left = text[max(0, start - 40) : start].split()
-    word = left[-1] if left else ""
-    for j in range(1, len(bounds)):
-        for i in range(max(0, j - LONGEST), j):
-            s = text[bounds[i] : bounds[j]]
-            if s[0].isspace() or s[-1].isspace():
-                continue
-            for kind in KINDS:
-                if fits(kind, s):
-                    by[j].append((i, kind, features(kind, s, text[bounds[i] - 1 : bounds[i]] or " ", text[bounds[j] : bounds[j] + 1] or " ", word)))
-    return bounds, by
+    bounds, word = bounds_of(text, start, end)
+    return bounds, [[], *(list(ending(text, bounds, j, word)) for j in range(1, len(bounds)))]
 
 
 # -- the field ------------------------------------------------------------------------------------
@@ -204,13 +212,11 @@ class Field:
 
     def best(self, text: str, start: int, end: int) -> list[Span]:
         """The segments of the best segmentation of a region (ties go to no segment, then to the first)."""
-        bounds, by = candidates(text, start, end)
-        if not any(by):
-            return []
+        bounds, word = bounds_of(text, start, end)
         best, back = [0.0] + [-math.inf] * (len(bounds) - 1), [None] * len(bounds)
         for j in range(1, len(bounds)):
             best[j] = best[j - 1]
-            for i, kind, found in by[j]:
+            for i, kind, found in ending(text, bounds, j, word):
                 if (s := best[i] + self.score(found)) > best[j] + 1e-12:
                     best[j], back[j] = s, (i, kind)
         spans, j = [], len(bounds) - 1
@@ -288,17 +294,18 @@ def counterexamples(rng: random.Random, n: int = 60) -> list[tuple[str, list[Spa
     return [(x, []) for x in out]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """A field from at most `sample` documents with digits or at-signs, by the order of a hash of their text.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, regions_each: int = REGIONS, region: int = REGION) -> Field:
+    """A field from at most `sample` texts with digits or at-signs, by the order of a hash of the text.
 
-    Of each such document only the surroundings of those characters go to the driver.
+    The training sample is bounded: of each such text the first `regions_each` regions, at most `region` characters of
+    each and some before and after go to the driver. Finding spans has no such bounds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 0):
             found = []
             for text in batch.column(0).to_pylist():
-                found += [text[max(0, a - 60) : b + 20] for a, b in regions(text, [])][:8]
+                found += [text[max(0, a - 60) : min(b, a + region) + 20] for a, b in islice(regions(text, []), regions_each)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["part"])
 
     some = docs.select(F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
@@ -332,7 +339,9 @@ def personal_data(docs: DataFrame, field: Field, id_col: str = "doc_id", text_co
     """One row for each row of docs: doc_id, counts of base spans by kind, base_sha256, and all spans.
 
     Spans are kind:start:end by start, then kind, in code points, the end exclusive. A null text counts as
-    empty: no spans. Very long texts are read whole; the work of a candidate region is bounded.
+    empty: no spans. Texts are read whole, and regions of any length are segmented whole, in time and memory linear
+    in their tokens; an added entity has at most LONGEST tokens and MOST_CHARS characters. Repeated rows and null ids
+    stay rows of their own, an empty table gives no rows, and other columns are not read.
     """
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
     kinds = [pa.int64()] * 5 + [pa.string()] * 2
