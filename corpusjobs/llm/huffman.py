@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_bytes, shared_folder
+from .common import by_bytes, removed, shared_folder
 from .tokens import WORD_BPE, encoder
 
 #: Fixed values of the format.
@@ -171,11 +171,6 @@ def id_counts(ids: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
     return counts
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = WORD_BPE, end: int = END, parts: int | None = None, block: int = BLOCK) -> None:
     """Write the ids of all documents, each with `end` after it, in ascending order of ids to path/blocks and the code table to path/codes."""
     spark = docs.sparkSession
@@ -208,19 +203,25 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         if held:
             yield made()
 
-    # Bounds of the parts from all ids, without the texts; a part holds a range of ids.
-    bounds = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
-    bounds = sorted(set(bounds or []))
-    part = F.lit(0)
-    if bounds:
-        part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("doc_id"))), F.lit(0))
+    # Bounds of the parts from all ids, without the texts; a part holds a range of ids. Rows without an id have parts of
+    # their own before them, and an id that fills several parts is dealt over these, so one id never makes a part too large.
+    number = F.monotonically_increasing_id()
+    asked = [F.count("*"), F.count("doc_id")] + ([F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)] if parts > 1 else [])
+    n, known, *cuts = docs.agg(*asked).first()
+    loose = -(-(n - known) * parts // n) if n > known else 0
+    bounds = sorted(cuts[0]) if cuts and cuts[0] else []
+    after = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("doc_id"))) if bounds else F.lit(0)
+    part = F.lit(loose) + after
+    for hot in sorted({x for x in bounds if bounds.count(x) > 1}):
+        part = part + F.when(F.col("doc_id") == hot, F.pmod(number, F.lit(bounds.count(hot)))).otherwise(0)
+    part = F.when(F.col("doc_id").isNull(), F.pmod(number, F.lit(max(loose, 1)))).otherwise(part)
     ranged = docs.withColumn("part", part.cast("int")).mapInArrow(tokenised, "doc_id long, ids binary, part int")
     # The texts are coded once: the counts and then the blocks come from these ids.
     ranged.write.option("compression", "zstd").parquet(f"{path}/ids")
     ids = spark.read.parquet(f"{path}/ids")
     lengths = code_lengths(id_counts(ids, kind, size))
     spark.createDataFrame([(bytearray(lengths.tobytes()), LIMIT)], "lengths binary, longest int").coalesce(1).write.parquet(f"{path}/codes")
-    ordered = ids.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "ids")
+    ordered = ids.repartitionById(loose + len(bounds) + 1, "part").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(blocks, "part int, block int, start long, n_ids long, bytes binary").write.parquet(f"{path}/blocks")
     removed(spark, f"{path}/ids")
 
@@ -251,7 +252,8 @@ def token_files(docs: DataFrame, path: str | None = None, **options) -> DataFram
     """Write docs in the block format (to a new folder in the shared one where no path is given) and read them back.
 
     A null or empty text has the end id only. Rows with a null id come first; rows of the same id follow each
-    other by their ids. An empty table gives no rows. Columns other than the id and the text are not read.
+    other, in the order of their ids within a part. Texts are read whole. An empty table gives no rows. Columns other
+    than the id and the text are not read, so their names cannot clash. The files are the operator's product and stay.
     """
     path = path or f"{shared_folder(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
     write(docs, path, **options)
