@@ -1,4 +1,4 @@
-"""Queries over scans of source text; their rows are held against plain forms in the tests, as SQL cannot express them."""
+"""Queries over scans of source text, with the SQL that DuckDB checks them by, or plain forms in the tests where SQL cannot express them."""
 
 from __future__ import annotations
 
@@ -30,13 +30,14 @@ def code(spark, sf_dir):
     return view(spark, sf_dir, "code_seeds")
 
 
-@query()
+@query(cte("code_seeds") + r"""SELECT seed_no, CASE type WHEN 'php' THEN '$b|' || regexp_extract(content, '(\$a\d)', 1) || '|$c'
+  ELSE regexp_extract(content, 'struct (\w+)', 1) || '|a;' || regexp_extract(content, 'int (g\d)', 1) || '|x|y' || CASE WHEN regexp_extract(content, 'int (g\d)', 1) = regexp_extract(content, '\+ (g\d)', 1) THEN '' ELSE '|' || regexp_extract(content, '\+ (g\d)', 1) END END AS groups FROM code_seeds WHERE type IN ('clang', 'php')""")
 def x8_same_line_groups(spark, sf_dir):
     groups = X.columns()["same_line_groups"]("content", "type")
     return code(spark, sf_dir).filter("type IN ('clang', 'php')").select("seed_no", F.array_join(F.transform(groups, lambda g: F.array_join(g, "|")), ";").alias("groups"))
 
 
-@query()
+@query(cte("code_seeds") + r"""SELECT seed_no, regexp_extract(content, 'return (v\d) \+ (w\d)', 1) || '|' || regexp_extract(content, 'return (v\d) \+ (w\d)', 2) AS groups FROM code_seeds WHERE type = 'cpython'""")
 def x9_python_groups(spark, sf_dir):
     groups = X.columns()["python_groups"]("content")
     return code(spark, sf_dir).filter("type = 'cpython'").select("seed_no", F.array_join(F.transform(groups, lambda g: F.array_join(g, "|")), ";").alias("groups"))
@@ -88,7 +89,8 @@ def d4_select_diverse(spark, sf_dir):
     return diverse.select_diverse(rows, 20, 5)
 
 
-@query()
+@query(cte("code_seeds") + r""", p AS (SELECT seed_no, content, regexp_extract(content, '(\$a\d)', 1) AS a, regexp_extract(content, 'function (h\d)', 1) AS h FROM code_seeds WHERE type = 'php')
+SELECT seed_no, unnest([0, 1, 2]) AS unit, unnest(['<?php' || chr(10) || a || ' = 1;', '$b = ' || a || ' + 2;', '// $c' || chr(10) || 'function ' || h || '() { return $b; }']) AS statement, unnest([a, '$b', h]) AS defines, unnest([a, a || '|$b', '$b|$c|' || h]) AS uses FROM p""")
 def x10_x11_php_statements(spark, sf_dir):
     own = code(spark, sf_dir).filter("type = 'php'")
     units = own.select("seed_no", F.posexplode(X.vectorised(S.php_statements, "array<string>")("content")).alias("unit", "statement"))
@@ -137,6 +139,18 @@ def j14_fortran_edges(spark, sf_dir):
     return pairing.statement_edges(rows).unionByName(pairing.unit_order_edges(rows)).distinct().select(F.col("pair").alias("seed_no"), "later", "earlier")
 
 
+@query(cte("code_seeds") + r""", p AS (SELECT seed_no, seed_no - seed_no % 8 AS pair, regexp_extract(content, '(\$a\d)', 1) AS a, regexp_extract(content, 'function (h\d)', 1) AS h FROM code_seeds WHERE type = 'php'),
+u AS (SELECT pair, seed_no, seed_no * 100 + unnest([0, 1, 2]) AS unit, unnest([a, '$b', h]) AS made, unnest([[a], [a, '$b'], ['$b', '$c', h]]) AS uses FROM p)
+SELECT DISTINCT y.pair, y.unit AS later, x.unit AS earlier FROM u x JOIN u y ON x.pair = y.pair AND x.unit <> y.unit AND list_contains(y.uses, x.made) AND (x.seed_no = y.seed_no OR NOT starts_with(x.made, '$'))""")
+def j14_statement_edges(spark, sf_dir):
+    """PHP seeds in pairs: which of their statements must follow which."""
+    own = code(spark, sf_dir).filter("type = 'php'")
+    units = own.select("seed_no", F.posexplode(X.vectorised(S.php_statements, "array<string>")("content")).alias("unit", "statement"))
+    names = X.vectorised(lambda s: list(S.php_defines_uses(s, P.PHP_SKIP)), "array<array<string>>")
+    rows = units.withColumn("names", names("statement")).select((F.col("seed_no") - F.col("seed_no") % 8).alias("pair"), F.col("seed_no").alias("seed"), (F.col("seed_no") * 100 + F.col("unit")).alias("unit"), F.get("names", F.lit(0)).alias("defines"), F.get("names", F.lit(1)).alias("uses"))
+    return pairing.statement_edges(rows)
+
+
 @query()
 def j17_mutations(spark, sf_dir):
     """Twenty variants of each seed, by the rules of its language."""

@@ -230,16 +230,6 @@ def j12_name_conflicts(spark, sf_dir):
     return J.name_conflicts(own.selectExpr("seed_no AS id_lo", "seed_no + 4 AS id_hi"), names).withColumn("conflicts", joined("conflicts"))
 
 
-PHP_UNITS = r"""u AS (SELECT seed_no - seed_no % 8 AS pair, seed_no, seed_no * 100 + i AS unit, line, regexp_extract_all(line, '(\$[a-z]\w*)\s*=', 1) AS defines, regexp_extract_all(line, '(\$[a-z]\w*)', 1) AS uses FROM (SELECT seed_no, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM code_seeds WHERE type = 'php'))"""
-
-
-@query(CODE + ", " + PHP_UNITS + ", d AS (SELECT pair, seed_no, unit, unnest(defines) AS name FROM u), s AS (SELECT pair, seed_no, unit, unnest(uses) AS name FROM u) SELECT DISTINCT s.pair, s.unit AS later, d.unit AS earlier FROM s JOIN d ON s.pair = d.pair AND s.name = d.name AND s.seed_no = d.seed_no AND s.unit <> d.unit")
-def j14_statement_edges(spark, sf_dir):
-    lines = code(spark, sf_dir, "php").select("seed_no", F.posexplode(F.split("content", "\n")).alias("i", "line"))
-    units = lines.select((F.col("seed_no") - F.col("seed_no") % 8).alias("pair"), (F.col("seed_no") * 100 + F.col("i") + 1).alias("unit"), F.col("seed_no").alias("seed"), F.regexp_extract_all("line", F.lit(r"(\$[a-z]\w*)\s*="), F.lit(1)).alias("defines"), F.regexp_extract_all("line", F.lit(r"(\$[a-z]\w*)"), F.lit(1)).alias("uses"))
-    return J.statement_edges(units)
-
-
 @query(CODE + rf", p AS ({C_PAIRS}), n AS (SELECT seed_no, unnest(regexp_extract_all(content, '\bstruct\s+([A-Za-z_]\w*)\s*\{{', 1)) AS name FROM code_seeds WHERE type = 'clang') SELECT id_lo, id_hi, a.name AS host, b.name AS donor FROM p JOIN n a ON a.seed_no = id_lo JOIN n b ON b.seed_no = id_hi WHERE a.name <> b.name")
 def j16_declaration_pairs(spark, sf_dir):
     own = code(spark, sf_dir, "clang")
