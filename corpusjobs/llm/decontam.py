@@ -6,7 +6,7 @@ shift; a shift above zero skips positions where no pattern can end, a shift of z
 patterns that end with that block, and their words are compared directly.
 
 The tables of the patterns are small for any usual benchmark and are sent to the tasks; a larger benchmark is
-split by its bytes into rounds with bounded tables, whose findings are merged per document.
+split by its bytes into rounds with bounded tables, whose findings are merged for each row of the documents.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, cut, free_name, stored
 
 WINDOW, BLOCK = 13, 2
 #: Bytes of benchmark text whose tables one round sends to the tasks.
@@ -109,37 +109,43 @@ def rounds(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Ite
         yield [(r.item, r.text) for r in own.distinct().collect()]
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", round_bytes: int = ROUND_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *carry, n_words, spans, items) for every document: merged word ranges inside occurrences, and the ids of the items that occur, as strings.
+def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", round_bytes: int = ROUND_BYTES) -> DataFrame:
+    """(doc_id, n_words, spans, items) for every row of docs: merged word ranges inside occurrences, and the ids of the items that occur, as strings.
 
-    Null and empty texts have no words and no spans; items without words never occur. With several rounds the
-    rows of a document are told apart by its id and its text, so repeated equal rows become one there.
+    Null and empty texts have no words and no spans; items without words never occur. Repeated rows, equal ids and
+    null ids stay rows of their own, in one round or several. An empty table of documents gives no rows, an empty
+    benchmark no spans. Texts are read whole, however long. Other columns of either table are not read.
     """
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carry)
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "text")
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = kept.schema["doc_id"].dataType.simpleString()
+    lists = (pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()))
 
-    names = [*(c for c in kept.columns if c != "text"), "n_words", "spans", "items"]
-
-    def run_with(sets: list[Patterns]):
+    def found_in(rows: DataFrame, name: str, kind: str, sets: list[Patterns]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in by_bytes(batches, 1):
                 n, spans, items = zip(*(scan(t, sets) for t in batch.column(1).to_pylist()), strict=True)
                 spans = [[{"start": a, "end": b} for a, b in x] for x in spans]
-                own = [batch.column(i) for i in range(batch.num_columns) if i != 1]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))], names)
-
-        return run
-
-    found = [kept.mapInArrow(run_with(tables(rows)), f"{kind}, n_words long, spans {SPANS}, items array<string>") for rows in rounds(benchmark, item_col, item_text_col, round_bytes)]
-    if len(found) == 1:
-        return found[0]
-    one = reduce(DataFrame.unionByName, found).groupBy("doc_id", *carry, "n_words").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *map(pa.array, (spans, items), lists)], [name, "n_words", "spans", "items"])
+
+        return rows.select(name, "text").mapInArrow(run, f"`{name}` {kind}, n_words long, spans {SPANS}, items array<string>")
+
+    every = rounds(benchmark, item_col, item_text_col, round_bytes)
+    first, second = tables(next(every)), next(every, None)
+    if second is None:
+        return found_in(kept, "doc_id", kind, first)
+    # Rows are numbered, so that each finds its own again; a round's findings are written before the next one's tables are built.
+    numbered = stored(kept.withColumn("row", F.monotonically_increasing_id()))
+    found = [cut(found_in(numbered, "row", "long", first))]
+    while second is not None:
+        found.append(cut(found_in(numbered, "row", "long", tables(second)).filter(F.size("items") > 0)))
+        second = next(every, None)
+    one = reduce(DataFrame.unionByName, found).groupBy("row").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = F.aggregate("spans", F.lit(None).cast(SPANS), lambda out, x: F.when(out.isNull(), F.array(x)).when(x["start"] <= F.element_at(out, -1)["end"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(out, F.array(x))))
-    return one.withColumn("spans", F.coalesce(joined, F.array().cast(SPANS)))
+    return numbered.select("row", "doc_id").join(one, "row").select("doc_id", "n_words", F.coalesce(joined, F.array().cast(SPANS)).alias("spans"), "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated): a document is contaminated if at least a twentieth of its words, and one or more, lie inside occurrences."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated): a document is contaminated if at least a twentieth of its words, and one or more, lie inside occurrences. One row for each row of docs; see occurrences()."""
     found = occurrences(docs, benchmark, **columns)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return found.withColumn("n_hit", hit).select(
@@ -150,6 +156,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", round_bytes: int = ROUND_BYTES) -> DataFrame:
-    """docs without contaminated documents; all columns stay. Rows of an id of which any row is contaminated go together; rows with a null id stay."""
-    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, round_bytes=round_bytes).filter("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    """docs without contaminated documents; all columns stay, whatever their names.
+
+    Rows of an id of which any row is contaminated go together; rows with a null id stay, as do null and empty texts of
+    other ids. Empty tables of documents or benchmark items take nothing away.
+    """
+    bad_id = free_name(docs, "bad_id")
+    bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col, round_bytes=round_bytes).filter("contaminated").select(F.col("doc_id").alias(bad_id)).distinct()
+    return docs.join(bad, F.col(id_col) == F.col(bad_id), "left_anti")
