@@ -28,6 +28,8 @@ FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 SIZES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, 8: 256, 9: 512, 10: 1024, 11: 2048, 12: 4096, 13: 8192, 14: 16384, 15: 32768}
 #: Samples of a frame, and the unit that payloads are filled up to.
 FRAME, UNIT, RATE = 4608, 192, 8000
+#: The linear predictor that streams of texts try beside the fixed ones, as (coefficients, their precision, shift): the mean of eight samples.
+MEAN = ((1,) * 8, 2, 3)
 
 
 # -- checksums ------------------------------------------------------------------------------------
@@ -101,31 +103,41 @@ def best_k(zigzag: np.ndarray) -> tuple[int, int]:
 def predicted(samples: np.ndarray, taps: tuple[int, ...], shift: int = 0) -> np.ndarray:
     """Residuals after the first len(taps) samples."""
     n = len(taps)
+    if set(taps) == {1}:
+        totals = np.concatenate((np.zeros(1, samples.dtype), np.cumsum(samples, dtype=samples.dtype)))
+        return samples[n:] - (totals[n:-1] - totals[: -n - 1] >> shift)
     guess = sum((c * samples[n - 1 - i : len(samples) - 1 - i] for i, c in enumerate(taps)), np.zeros(len(samples) - n, samples.dtype))
     return samples[n:] - (guess >> shift)
 
 
-def subframe(samples: np.ndarray, bits: int, order: int = 0, lpc: tuple[tuple[int, ...], int, int] | None = None) -> np.ndarray:
+def subframe(samples: np.ndarray, bits: int, order: int = 0, lpc: tuple[tuple[int, ...], int, int] | None = None, choose: bool = False) -> np.ndarray:
     """Bits of the cheapest subframe among constant, verbatim and the fixed predictors, or that of the linear
-    predictor lpc = (coefficients, their precision, shift). order: partition order of the residuals."""
+    predictor lpc = (coefficients, their precision, shift): always, or with `choose` where it is cheaper than all others.
+    order: partition order of the residuals."""
     unsigned = samples & ((1 << bits) - 1)
-    if lpc is None and (samples == samples[0]).all():
+    plain = lpc is None or choose
+    linear = lpc is not None and len(samples) > len(lpc[0])
+    if plain and (samples == samples[0]).all():
         return pack_bits(np.array([0, unsigned[0]]), np.array([8, bits]))
-    if lpc is None:
+    if plain:
         tries = [samples]  # a fixed predictor of order n leaves the n-th differences
         for _ in FIXED[1 : len(samples)]:
             tries.append(np.diff(tries[-1]))
         n = min(range(len(tries)), key=lambda i: int(np.abs(tries[i]).sum()))
         z = zigzag(tries[n])
-        if n * bits + best_k(z)[0] + 10 >= bits * len(samples):
+        cost = n * bits + best_k(z)[0] + 10
+        if linear:
+            guessed = zigzag(predicted(samples, lpc[0], lpc[2]))
+            linear = len(lpc[0]) * (bits + lpc[1]) + 9 + best_k(guessed)[0] + 10 < min(cost, bits * len(samples))
+        if not linear and cost >= bits * len(samples):
             return np.concatenate((pack_bits(np.array([2]), np.array([8])), pack_bits(unsigned, np.full(len(samples), bits))))
         head = [np.array([(8 + n) << 1]), np.array([8])]
         warm = n
         extra = np.zeros(0, np.uint8)
-    else:
+    if linear:
         taps, precision, shift = lpc
         warm = len(taps)
-        z = zigzag(predicted(samples, taps, shift))
+        z = guessed if plain else zigzag(predicted(samples, taps, shift))
         head = [np.array([(32 + warm - 1) << 1]), np.array([8])]
         extra = np.concatenate((pack_bits(np.array([precision - 1, shift]), np.array([4, 5])), pack_bits(np.array(taps) & ((1 << precision) - 1), np.full(warm, precision))))
     out = [pack_bits(*head), pack_bits(unsigned[:warm], np.full(warm, bits)), extra, pack_bits(np.array([0, order]), np.array([2, 4]))]
@@ -141,15 +153,15 @@ def zigzag(residuals: np.ndarray) -> np.ndarray:
     return (residuals << 1) ^ (residuals >> 31)
 
 
-def encode(payload: bytes, frame: int = FRAME, order: int = 0, lpc: tuple[tuple[int, ...], int, int] | None = None) -> bytes:
-    """A FLAC stream whose 8-bit samples are the bytes of the payload less 128."""
+def encode(payload: bytes, frame: int = FRAME, order: int = 0, lpc: tuple[tuple[int, ...], int, int] | None = None, choose: bool = False) -> bytes:
+    """A FLAC stream whose 8-bit samples are the bytes of the payload less 128; see subframe() for the choices."""
     samples = np.frombuffer(payload, np.uint8).astype(np.int32) - 128
     frames, points, at = [], [], 0
     for number, start in enumerate(range(0, len(samples), frame)):
         part = samples[start : start + frame]
         head = struct.pack(">HBB", 0xFFF8, 0x70, 1 << 1) + utf8_number(number) + struct.pack(">H", len(part) - 1)
         head += bytes([crc(np.frombuffer(head, np.uint8), CRC8, 8)])
-        body = head + np.packbits(subframe(part, 8, order, lpc)).tobytes()
+        body = head + np.packbits(subframe(part, 8, order, lpc, choose)).tobytes()
         body += struct.pack(">H", crc(np.frombuffer(body, np.uint8), CRC16, 16))
         frames.append(body)
         points.append(struct.pack(">QQH", start, at, len(part)))
@@ -422,12 +434,16 @@ def payload(text: str | None) -> tuple[int, bytes]:
 
 
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frame: int = FRAME) -> DataFrame:
-    """(doc_id, n_bytes, media): every whole text as a FLAC stream. Null and empty texts become one unit of spaces."""
+    """(doc_id, n_bytes, media): every whole text as a FLAC stream, each frame by the cheapest of the predictors and MEAN.
+
+    Null and empty texts become one unit of spaces. Repeated rows and null ids stay rows of their own; equal texts give
+    equal streams. A very long text is one stream of many frames. An empty table gives no rows; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1, AT_ONCE):
             n, loads = zip(*map(payload, batch.column(1).to_pylist()), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([encode(x, frame) for x in loads], pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([encode(x, frame, lpc=MEAN, choose=True) for x in loads], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -444,10 +460,7 @@ def pcm_blocks(streams: DataFrame, id_col: str = "doc_id", media_col: str = "med
             rows = []
             own = [(d, m) for d, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if m is not None]
             for (doc, data), samples in zip(own, decode_all([m for _, m in own]), strict=True):
-                meta = Stream(data)
-                wide = 1 if meta.bits <= 8 else 2
-                for i, (start, _, n) in enumerate(meta.points):
-                    rows.append((doc, i, start, n, wide, samples[start : start + n].astype(f"<i{wide}").tobytes()))
+                rows += [(doc, *block) for block in blocks_of(data, samples)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "block", "sample_offset", "n_samples", "sample_bytes", "pcm"])
 
@@ -461,8 +474,16 @@ def feature(samples: np.ndarray) -> str:
     return f"n={len(samples)} sum={int(samples.sum())} energy={int((samples * samples).sum())} peak={int(np.abs(samples).max())} crossings={int(((samples[1:] < 0) != (samples[:-1] < 0)).sum())} steps={int(np.abs(np.diff(samples)).sum())}"
 
 
+def blocks_of(data: bytes, samples: np.ndarray) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(block, sample_offset, n_samples, sample_bytes, pcm) of the frames of a decoded stream."""
+    meta = Stream(data)
+    wide = 1 if meta.bits <= 8 else 2
+    for i, (start, _, n) in enumerate(meta.points):
+        yield i, start, n, wide, samples[start : start + n].astype(f"<i{wide}").tobytes()
+
+
 def digests(streams: DataFrame) -> DataFrame:
-    """What the streams of media() hold, from their decoded bytes: one row for each of its rows."""
+    """What the streams of media() hold, from their PCM blocks, put together by sample offset: one row for each of its rows."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -470,7 +491,8 @@ def digests(streams: DataFrame) -> DataFrame:
         for batch in by_bytes(batches, 2, AT_ONCE):
             rows, data = [], batch.column(2).to_pylist()
             for doc, n, stream, samples in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), data, decode_all(data), strict=True):
-                raw = (samples + 128).astype(np.uint8).tobytes()
+                pcm = np.frombuffer(b"".join(block[4] for block in sorted(blocks_of(stream, samples), key=lambda b: b[1])), np.int8)
+                raw = (pcm.view(np.uint8) ^ 128).tobytes()
                 rows.append((doc, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), feature(samples)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
