@@ -3,19 +3,23 @@
 Lines are normalised (A-Z in lower case, white space, controls and ASCII punctuation as one space). A line of at least
 MIN_WORDS words, or of as many characters as MIN_WORDS words of five letters have, takes part. Every distinct
 normalised line has a SimHash of 128 bits over its words; a word over LONG bytes, as whole lines are in scripts without
-spaces, stands for its runs of GRAM characters. The bits are cut into m blocks in several fixed orders, and lines
-meet where one block agrees: within each order no pair of fewer than m differing bits is lost (pigeonhole), and each
-further order finds more of the rest. Short lines, whose bits one edit moves most, have more orders.
-Of lines that meet within BITS bits the edit similarity of the texts is verified, and the connected groups of verified
-links, together with equal lines, keep the occurrence that comes first by (document id, line number).
+spaces, stands for its runs of GRAM characters. The bits are cut into blocks in several fixed orders, and lines meet
+where one block agrees: within each order no pair of fewer differing bits than blocks is lost (pigeonhole), and each
+further order finds more of the rest. The width of a block follows from the number of lines, so that about 64 lines meet
+by chance, and the number of orders from that width, so that SHARE of the pairs meet whose bits agree as often as AGREE
+says; short lines, whose bits one edit moves most, have orders of their own.
+Of lines that meet within BITS bits the edit similarity of the texts is verified, the nearest first and no pair that is
+connected by then, and the connected groups of verified links, together with equal lines, keep the occurrence that comes first by (document id, line number).
+
+Lines move as packed records, one row for many lines of one group of cells. Groups are counted first, and one that
+holds too many lines for a task is dealt out as pairs of parts.
 """
 
 from __future__ import annotations
 
-import gc
+import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
-from itertools import chain, combinations
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,263 +27,376 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, components, cut, stored
+from .common import by_bytes, components, cut, free_name, freed, gathered, joined_by_share, packed_rows, removed, stored
 
-MIN_WORDS, SIMILARITY, WIDTH, BITS = 5, 0.8, 128, 32
+MIN_WORDS, SIMILARITY, WIDTH = 5, 0.8, 128
 LONG, GRAM = 24, 3
-#: Distinct lines up to which 9 blocks are used, and orders of the bits; 7 blocks and more orders beyond.
-FEW, ORDERS, MORE_ORDERS = 1 << 23, 4, 8
-#: Further orders, and characters of the longest lines that have them.
-SHORT_ORDERS, SHORT = 8, 80
-#: Lines of one cell that one task compares; larger cells are dealt out as pairs of parts.
-CELL = 1 << 14
+#: Lines that should meet in a cell by chance, the bits of a block at least, and the share of pairs that should meet.
+BY_CHANCE, NARROWEST, SHARE = 64, 8, 0.95
+#: Characters of short lines; how often a bit agrees of pairs that should meet: of all lines, and of short ones.
+SHORT, AGREE, AGREE_SHORT = 160, 0.85, 0.79
+#: Bits by which lines may differ to be compared as texts, and by which short ones may.
+BITS, BITS_SHORT = 32, 36
+#: Lines of a group of cells on average; a group over the second number, but at least a 65,536th of all, is dealt out in parts of the third.
+GROUP, HOT, PART = 1 << 16, 1 << 18, 1 << 15
+#: Words whose hashes are summed at once.
+WORDS = 1 << 15
+#: Lines of a cell up to which cells are compared side by side.
+SIDE = 256
+#: Blocks for which all lines are dealt out at once, so that the records on disk stay at about the size of the texts.
+ROUND = 8
 #: Normalisation of UTF-8 bytes; a line feed stays.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c == 10 or c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 REMEMBERED = 1 << 20
-#: Bits of the filter by which the texts of candidate lines are fetched.
-FILTER = 1 << 25
-
-
-def orders(m: int, n: int) -> list[list[np.ndarray]]:
-    """The bits of m blocks in each of n fixed orders."""
-    mixed = [np.random.default_rng(seed).permutation(WIDTH) for seed in range(n)]
-    return [[bits[WIDTH * i // m : WIDTH * (i + 1) // m] for i in range(m)] for bits in mixed]
-
-
-def normal_lines(text: str | None) -> list[list[bytes]]:
-    """The words of every line."""
-    return [line.split() for line in (text or "").encode("utf-8", "surrogatepass").translate(NORMAL).split(b"\n")]
-
-
-def features(words: list[bytes]) -> set[bytes]:
-    """The distinct words, so that frequent words do not outweigh the rest; a long one by its runs of GRAM characters."""
-    out = set(words)
-    for word in [x for x in out if len(x) > LONG]:
-        out.remove(word)
-        text = word.decode("utf-8", "surrogatepass")
-        out.update(text[i : i + GRAM].encode("utf-8", "surrogatepass") for i in range(max(1, len(text) - GRAM + 1)))
+#: Bits of the filter by which the texts of candidate lines are fetched: 16 for each line, within these bounds.
+FILTER = (1 << 20, 1 << 28)
+
+
+# -- normalised lines -----------------------------------------------------------------------------
+
+
+class Lines:
+    """The non-empty normalised lines of some texts: of each its text's place, its number there, its words and characters."""
+
+    def __init__(self, texts: list[bytes | None]):
+        self.lines: list[bytes] = []
+        text, number, words = [], [], []
+        for i, t in enumerate(texts):
+            for k, line in enumerate((t or b"").translate(NORMAL).split(b"\n")):
+                if own := line.split():
+                    self.lines.append(b" ".join(own))
+                    text.append(i)
+                    number.append(k)
+                    words.append(len(own))
+        self.text, self.number, self.words = (np.array(x, np.int64) for x in (text, number, words))
+        self.size = np.array([len(x) if x.isascii() else len(x.decode("utf-8", "surrogatepass")) for x in self.lines], np.int64)
+
+    def __len__(self) -> int:
+        return len(self.lines)
+
+    def takes_part(self, min_words: int) -> np.ndarray:
+        """Whether a line is long enough, in words or, as in text without spaces, in characters."""
+        return (self.words >= min_words) | (self.size - self.words + 1 >= 5 * min_words)
+
+    def keys(self) -> np.ndarray:
+        """Two longs of a 128-bit hash of each line."""
+        return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.lines)), "<i8").reshape(-1, 2)
+
+    def simhashes(self) -> np.ndarray:
+        """Two longs of the SimHash of each line."""
+        out, bounds, at = [np.zeros((0, 2), np.int64)], np.cumsum(self.words), 0
+        while at < len(self):
+            upto = max(at + 1, int(np.searchsorted(bounds, (bounds[at - 1] if at else 0) + WORDS, side="right")))
+            out.append(simhashes(self.lines[at:upto], self.words[at:upto]))
+            at = upto
+        return np.concatenate(out)
+
+
+def simhashes(lines: list[bytes], words: np.ndarray) -> np.ndarray:
+    """Two longs of the SimHash of each of under 2**24 normalised lines, which have so many words."""
+    data = b" ".join(lines) + b" "
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    lengths = ends - starts
+    line = np.repeat(np.arange(len(lines)), words)
+    found = line.astype(np.uint64) << np.uint64(40) | word_hashes(data, starts, lengths) >> np.uint64(24)
+    long = np.flatnonzero(lengths > LONG)
+    if len(long):
+        more = [found[lengths <= LONG]]
+        for i in long.tolist():
+            text = data[starts[i] : ends[i]].decode("utf-8", "surrogatepass")
+            grams = {text[j : j + GRAM] for j in range(max(1, len(text) - GRAM + 1))}
+            more.append(np.array([xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) >> 24 | int(line[i]) << 40 for g in grams], np.uint64))
+        found = np.concatenate(more)
+    found.sort()
+    found = found[np.concatenate(([True], found[1:] != found[:-1]))]
+    return majority((found >> np.uint64(40)).astype(np.int64), found & np.uint64((1 << 40) - 1), len(lines))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A mixing of unsigned longs in which each bit depends on all (the finaliser of SplitMix64)."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def word_hashes(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the first LONG bytes of each word."""
+    padded = data + bytes(LONG)
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))  # the eight bytes from each position on
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    out = mixed((eight[starts] & masks[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for k in range(8, LONG, 8):
+        more = np.flatnonzero(lengths > k)
+        out[more] = mixed(out[more] * np.uint64(0x9E3779B97F4A7C15) + (eight[starts[more] + k] & masks[np.minimum(lengths[more] - k, 8)]))
     return out
 
 
-def simhashes(lines: list[list[bytes]]) -> np.ndarray:
-    """Two longs for the features of each list (none empty)."""
-    out = []
-    for at in range(0, len(lines), 2000):
-        found = list(map(features, lines[at : at + 2000]))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chain.from_iterable(found))), np.uint8).reshape(-1, WIDTH // 8)
-        ones = np.add.reduceat(np.unpackbits(hashes, axis=1), np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
-        out.append(np.packbits(2 * ones > sizes[:, None], axis=1).view("<i8"))
-    return np.concatenate(out)
+@cache
+def lanes() -> np.ndarray:
+    """By a byte: its eight bits, each in a byte of an unsigned long."""
+    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
 
 
-def takes_part(words: list[bytes], min_words: int) -> bool:
-    """Whether a line is long enough, in words or, as in text without spaces, in characters."""
-    return len(words) >= min_words or len(b"".join(words)) >= 5 * min_words and len(b"".join(words).decode("utf-8", "surrogatepass")) >= 5 * min_words
+def majority(line: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
+    """The SimHash of lines 0 to n - 1, each with one feature or more: a bit is 1 if over half its features have it."""
+    both = np.stack((mixed(features + np.uint64(0x9E3779B97F4A7C15)), mixed(features ^ np.uint64(0xD1B54A32D192ED03))), axis=1).view(np.uint8)
+    both = np.ascontiguousarray(both.T)
+    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    sizes = np.diff(np.append(first, len(line)))
+    chunks = -(-sizes // 255)  # a byte counts to 255
+    at = np.cumsum(chunks) - chunks
+    starts = np.repeat(first, chunks) + 255 * (np.arange(chunks.sum()) - np.repeat(at, chunks))
+    out = np.empty((n, WIDTH // 8), np.uint8)
+    for j in range(WIDTH // 8):
+        ones = np.add.reduceat(lanes().take(both[j]), starts).view(np.uint8).reshape(-1, 8)
+        out[:, j] = np.packbits(2 * np.add.reduceat(ones, at, axis=0, dtype=np.int32) > sizes[:, None], axis=1)[:, 0]
+    return out.view("<i8")
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
-    """(doc_id, line_no, key, f1, f2, size) of the lines that take part; key is a 64-bit hash of the normalised line,
-    f1 and f2 its SimHash, size its characters. With `short` also all shorter lines that are not empty, without a SimHash."""
-    names = ["doc_id", "line_no", "key", "f1", "f2", "size"]
+    """(doc_id, line_no, k1, k2, f1, f2, size) of the lines that take part; k1 and k2 are a 128-bit hash of the normalised
+    line, f1 and f2 its SimHash, size its characters. With `short` also all shorter lines that are not empty, without a SimHash."""
+    names = ["doc_id", "line_no", "k1", "k2", "f1", "f2", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1, 1 << 20):
-            ids, numbers, lines, part = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for number, found in enumerate(normal_lines(text)):
-                    if found and ((fuzzy := takes_part(found, min_words)) or short):
-                        ids.append(doc)
-                        numbers.append(number)
-                        lines.append(found)
-                        part.append(fuzzy)
-            if lines:
-                joined = list(map(b" ".join, lines))
-                keys = np.fromiter(map(xxhash.xxh64_intdigest, joined), np.uint64, len(joined)).view(np.int64)
-                sizes = [len(x.decode("utf-8", "surrogatepass")) for x in joined]
-                none, fps = ~np.array(part), simhashes(lines)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys), *(pa.array(fps[:, i], pa.int64(), mask=none) for i in (0, 1)), pa.array(sizes, pa.int32())], names)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, line_no int, key long, f1 long, f2 long, size int")
+            found = Lines(batch.column(1).cast(pa.binary()).to_pylist())
+            part = found.takes_part(min_words)
+            own = np.arange(len(found)) if short else np.flatnonzero(part)
+            if len(own):
+                keys, fps = found.keys()[own], found.simhashes()[own]
+                ids = batch.column(0).take(pa.array(found.text[own]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found.number[own].astype(np.int32)), *(pa.array(keys[:, i]) for i in (0, 1)), *(pa.array(fps[:, i], mask=~part[own]) for i in (0, 1)), pa.array(found.size[own].astype(np.int32))], names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, line_no int, k1 long, k2 long, f1 long, f2 long, size int")
 
 
 # -- candidates -----------------------------------------------------------------------------------
 
-CELLS = "kind int, a long, b long, cell long, key long, f1 long, f2 long, size int, root long"
-LINK, PART, DENSE = 0, 1, 2
+#: A line in a cell, and one whose group is known.
+RECORD = np.dtype([("cell", "<u4"), ("size", "<u4"), ("id", "<i8"), ("f1", "<i8"), ("f2", "<i8")])
+ROOTED = np.dtype([*RECORD.descr, ("root", "<i8")])
+PAIRS = "a long, b long, bits int"
 
 
-def celled(lines: DataFrame, chosen: list[list[np.ndarray]], first: int) -> DataFrame:
-    """(cell, key, f1, f2, size, root) of every line for each block of the chosen orders, which are numbered from `first`."""
+def blocks_for(n: int, agree: float, share: float = SHARE) -> list[np.ndarray]:
+    """The bits of all blocks for n lines: one whole order, and as many more blocks as let `share` of the pairs meet of whose bits `agree` agree."""
+    width = min(30, max(NARROWEST, math.ceil(math.log2(max(n, 1) / BY_CHANCE))))
+    tables = math.ceil(math.log(1 - share) / math.log(1 - agree**width))
+    each = WIDTH // width
+    out = []
+    for seed in range(-(-tables // each)):
+        bits = np.random.default_rng(seed).permutation(WIDTH)
+        out += [bits[width * i : width * (i + 1)] for i in range(each)]
+    return out[: max(each, tables)]
+
+
+def cells_of(f1: np.ndarray, f2: np.ndarray, blocks: list[np.ndarray]) -> np.ndarray:
+    """The value of each block (columns) for each line (rows)."""
+    weights = np.zeros((WIDTH, len(blocks)), np.float64)
+    for i, block in enumerate(blocks):
+        weights[block, i] = 2.0 ** np.arange(len(block))[::-1]
+    out = np.empty((len(f1), len(blocks)), np.uint32)
+    for at in range(0, len(f1), 2048):
+        own = np.stack((f1[at : at + 2048], f2[at : at + 2048]), axis=1).astype("<i8").view(np.uint8)
+        out[at : at + 2048] = np.unpackbits(own, axis=1).astype(np.float64) @ weights  # whole numbers far below 2**53
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 20000):
-                part = batch.slice(at, 20000)
-                fps = np.stack([part.column(i).to_numpy() for i in (1, 2)], axis=1)
-                bits = np.unpackbits(fps.astype("<i8").view(np.uint8).reshape(-1, WIDTH // 8), axis=1)
-                for i, block in enumerate(chain.from_iterable(chosen)):
-                    cell = (first << 8 | i) << 32 | bits[:, block].astype(np.int64) @ (1 << np.arange(len(block), dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), *part.columns, part.column(0)], ["cell", "key", "f1", "f2", "size", "root"])
-
-    return lines.select("key", "f1", "f2", "size").mapInArrow(run, "cell long, key long, f1 long, f2 long, size int, root long")
-
-
-def alike(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], similarity: float) -> np.ndarray:
-    """Whether lines (key, f1, f2, size, root) are within BITS bits, of fitting lengths and of different roots."""
-    bits = np.bitwise_count((x[1] ^ y[1]).view(np.uint64)) + np.bitwise_count((x[2] ^ y[2]).view(np.uint64))
-    near = bits <= BITS
-    return near & (np.abs(x[3] - y[3]) <= np.maximum(x[3], y[3]) * (1 - similarity) + 1e-9) & (x[4] != y[4]) if near.any() else near
-
-
-def cell_pairs(own: tuple[np.ndarray, ...], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All candidate pairs of one cell that is sorted by size, some rows at a time."""
-    n = len(own[0])
-    for at in range(0, n - 1, 128):
-        upto = min(at + 128, n)
-        last = np.searchsorted(own[3], int(own[3][upto - 1] / similarity) + 1, side="right")
-        i, j = np.nonzero(alike(tuple(c[at:upto, None] for c in own), tuple(c[None, at:last] for c in own), similarity))
-        i, j = i[i < j], j[i < j]
-        yield own[0][at + i], own[0][at + j]
-
-
-def spanning(own: tuple[np.ndarray, ...], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs that span the components of all candidate pairs of one cell."""
-    left = np.arange(len(own[0]))
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            near = alike(tuple(c[x : x + 1] for c in own), tuple(c[left] for c in own), similarity)
-            if near.any():
-                got = left[near]
-                yield np.full(len(got), own[0][x]), own[0][got]
-                queue.extend(got)
-                left = left[~near]
-
-
-def compared(cells: DataFrame, similarity: float, most: int = CELL, whole: bool = False) -> DataFrame:
-    """Rows by `kind`: LINK, a candidate pair (a, b) of keys; PART, the lines of a cell over `most` once for each pair
-    of its parts, to be compared next; DENSE, the lines of a cell with over four times as many pairs as lines, for
-    which only spanning pairs are given yet. With `whole` no cell counts as dense."""
-
-    def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        none = [pa.nulls(len(a), t) for t in (*[pa.int64()] * 4, pa.int32(), pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), LINK, np.int32)), pa.array(a), pa.array(b), *none], schema)
-
-    def lines_of(kind: int, cell: int, own: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        n = len(own[0])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *[pa.nulls(n, pa.int64())] * 2, pa.array(np.full(n, cell)), *map(pa.array, own)], schema)
-
-    schema = "kind a b cell key f1 f2 size root".split()
-
-    def ended(cell: np.int64, own: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        n = len(own[0])
-        if n > most:
-            half = most // 2
-            for i, j in combinations(range(-(-n // half)), 2):
-                low, high = (tuple(c[k * half : (k + 1) * half] for c in own) for k in (i, j))
-                if j == i + 1 or high[3][0] <= low[3][-1] / similarity + 1:
-                    name = np.int64(xxhash.xxh64_intdigest(f"{cell} {i} {j}") >> 1)
-                    yield lines_of(PART, name, tuple(map(np.concatenate, zip(low, high, strict=True))))
-            return
-        found, count = [], 0
-        for pair in cell_pairs(own, similarity):
-            found.append(pair)
-            count += len(pair[0])
-            if whole and count > 1 << 16:
-                yield links(*map(np.concatenate, zip(*found, strict=True)))
-                found, count = [], 0
-            elif not whole and n > 16 and count > 4 * n:
-                found = list(spanning(own, similarity))
-                yield lines_of(DENSE, cell, own)
-                break
-        if found:
-            yield links(*map(np.concatenate, zip(*found, strict=True)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []  # the lines of the cell that goes on in the next batch
-        cell = None
-        small: list[tuple[np.ndarray, np.ndarray]] = []
+def allowed(size: np.ndarray) -> np.ndarray:
+    """Bits by which a line may differ from one as long or longer."""
+    return np.where(size <= SHORT, BITS_SHORT, BITS).astype(np.uint8)
+
+
+def side_by_side(group: np.ndarray, ends: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places (i, j) and bits of near lines of fitting lengths in cells that are sorted by size; ends has where each line's cell ends, `at` the lines to look from."""
+    f1, f2, size = (np.ascontiguousarray(group[c]).view(t) for c, t in (("f1", np.uint64), ("f2", np.uint64), ("size", np.uint32)))
+    most, lag = allowed(size), 1
+    upto, least = ends[at], size[at]
+    while len(at):
+        other = at + lag
+        stays = other < upto
+        stays[stays] = size[other[stays]] * similarity - 1e-9 <= least[stays]  # the next ones are longer still
+        if not stays.all():
+            at, other, upto, least = at[stays], other[stays], upto[stays], least[stays]
+        apart = np.bitwise_count(f1[at] ^ f1[other]) + np.bitwise_count(f2[at] ^ f2[other])
+        near = np.flatnonzero(apart <= most[at])
+        if len(near):
+            yield at[near], other[near], apart[near]
+        lag += 1
+
+
+def within_cell(group: np.ndarray, start: int, end: int, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same for one large cell, some rows at a time."""
+    f1, f2, size = (np.ascontiguousarray(group[c][start:end]).view(t) for c, t in (("f1", np.uint64), ("f2", np.uint64), ("size", np.uint32)))
+    most, n = allowed(size), end - start
+    for at in range(0, n - 1, 64):
+        upto = min(at + 64, n)
+        last = int(np.searchsorted(size, int(size[upto - 1] / similarity) + 1, side="right"))
+        apart = np.bitwise_count(f1[at:upto, None] ^ f1[None, at:last]) + np.bitwise_count(f2[at:upto, None] ^ f2[None, at:last])
+        i, j = np.nonzero(apart <= most[at:upto, None])
+        keep = (i < j) & (size[at + j] * similarity - 1e-9 <= size[at + i])
+        i, j = i[keep], j[keep]
+        yield start + at + i, start + at + j, apart[i, j]
+
+
+def nearest_of(n: int, found: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of pairs (i, j, bits) of n lines, some at a time, the one with the fewest bits of each line (ties: the first found)."""
+    best, partner = np.full(n, 255, np.uint8), np.full(n, -1)
+    for i, j, bits in found:
+        for one, two in ((i, j), (j, i)):
+            order = np.argsort(bits, kind="stable")[::-1]  # of a line that comes several times the last one written has the fewest
+            closer = order[bits[order] < best[one[order]]]
+            best[one[closer]], partner[one[closer]] = bits[closer], two[closer]
+    own = np.flatnonzero(partner >= 0)
+    return own, partner[own], best[own]
+
+
+def group_links(group: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, bits) of a group of records: of each line in each cell the nearest, or of rooted records all with different roots."""
+    rooted = "root" in group.dtype.names
+    group = group[np.argsort(group["cell"].astype(np.uint64) << np.uint64(32) | group["size"])]
+    cell = group["cell"]
+    edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+    sizes = np.diff(edges)
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    ends = np.repeat(edges[1:], sizes)
+
+    def found() -> Iterator[tuple[np.ndarray, ...]]:
+        yield from side_by_side(group, ends, np.flatnonzero((sizes > 1)[run] & (sizes <= SIDE)[run]), similarity)
+        for k in np.flatnonzero(sizes > SIDE).tolist():
+            yield from within_cell(group, int(edges[k]), int(edges[k + 1]), similarity)
+
+    def batch(i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+        a, b = group["id"][i], group["id"][j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bits.astype(np.int32))], ["a", "b", "bits"])
+
+    if not rooted:
+        yield batch(*nearest_of(len(group), found()))
+        return
+    root = np.ascontiguousarray(group["root"])
+    for i, j, bits in found():
+        other = root[i] != root[j]
+        if other.any():
+            yield batch(i[other], j[other], bits[other])
+
+
+def met(lines: DataFrame, blocks: list[np.ndarray], n: int, similarity: float, group: int = GROUP, hot: int = HOT, part: int = PART) -> DataFrame:
+    """(a, b, bits) of n lines (id, f1, f2, size) for the given blocks, a < b: the nearest of each line in each cell; with
+    a column root all that have different roots."""
+    rooted = "root" in lines.columns
+    kind = ROOTED if rooted else RECORD
+    width = len(blocks[0])
+    leading = min(width, max(0, math.ceil(math.log2(max(n, 1) / group))))  # bits of a block that name a group of cells
+    low = np.uint32(width - leading)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(blocks), 1 << leading), np.int64)
+        for batch in gathered(batches, 1 << 16):
+            cells = cells_of(*(batch.column(i).to_numpy() for i in (0, 1)), [b[:leading] for b in blocks]) if leading else np.zeros((batch.num_rows, len(blocks)), np.uint32)
+            for i in range(len(blocks)):
+                total[i] += np.bincount(cells[:, i], minlength=1 << leading)
+        flat = total.ravel()
+        some = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], ["name", "n"])
+
+    limit = max(hot, n >> 16)
+    large = lines.select("f1", "f2").mapInArrow(counted, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).filter(F.col("n") > limit).collect() if n > limit else []
+    parts = {r.name: -(-r.n // part) for r in large}  # under 65,536 groups of each block can be that large
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, 1 << 17):
+            ids, f1, f2, size, *roots = (c.to_numpy() for c in batch.columns)
+            cells = cells_of(f1, f2, blocks)
+            for i in range(len(blocks)):
+                record = np.empty(len(ids), kind)
+                if rooted:
+                    record["root"] = roots[0]
+                record["cell"], record["size"], record["id"], record["f1"], record["f2"] = cells[:, i], size, ids, f1, f2
+                names = cells[:, i] >> low
+                order = np.argsort(names.astype(np.uint16) if leading <= 16 else names, kind="stable")
+                record, names = record[order], names[order]
+                edges = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1], [True]))).tolist()
+                rows = []
+                for s, e in zip(edges[:-1], edges[1:], strict=True):
+                    name, own = int(names[s]) + (i << leading), record[s:e]
+                    if name not in parts:
+                        rows.append((name, 0, own.tobytes()))
+                        continue
+                    of = (mixed(own["id"].astype(np.uint64)) % np.uint64(parts[name])).astype(np.int64)
+                    for p in range(parts[name]):
+                        if len(mine := own[of == p]):
+                            rows += [(name, 1 + min(p, q) * parts[name] + max(p, q), mine.tobytes()) for q in range(parts[name]) if q != p]
+                yield from packed_rows(rows)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
         for batch in batches:
-            cells, *rest = (c.to_numpy() for c in batch.columns)
-            edges = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1], [True]))).tolist() if len(cells) else []
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if held and cells[s] != cell:
-                    own = tuple(map(np.concatenate, zip(*held, strict=True))) if len(held) > 1 else held[0]
-                    if len(own[0]) > 1:
-                        yield from packed(small, ended(cell, own))
+            for name, pair, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if held and (name, pair) != now:
+                    yield from group_links(np.frombuffer(b"".join(held), kind), similarity)
                     held = []
-                cell = cells[s]
-                held.append(tuple(c[s:e] for c in rest))
+                now = (name, pair)
+                held.append(data)
         if held:
-            yield from packed(small, ended(cell, tuple(map(np.concatenate, zip(*held, strict=True)))))
-        if small:
-            yield pa.Table.from_batches(small).combine_chunks().to_batches()[0]
-
-    def packed(small: list[pa.RecordBatch], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                small.append(batch)
-            if sum(map(len, small[-1:])) > 4096 or len(small) >= 256:
-                yield pa.Table.from_batches(small).combine_chunks().to_batches()[0]
-                small.clear()
-
-    columns = ["cell", "key", "f1", "f2", "size", "root"]
-    return cells.select(*columns).repartition("cell").sortWithinPartitions("cell", "size").mapInArrow(run, CELLS)
+            yield from group_links(np.frombuffer(b"".join(held), kind), similarity)
 
+    rows = lines.select("id", "f1", "f2", "size", *(["root"] if rooted else [])).mapInArrow(dealt, "name long, pair long, data binary")
+    return rows.repartition("name", "pair").sortWithinPartitions("name", "pair").mapInArrow(compare, PAIRS)
 
-def all_compared(cells: DataFrame, similarity: float, whole: bool = False) -> list[DataFrame]:
-    """The rows of compared(), with the cells that were too large compared too."""
-    found = cut(compared(cells, similarity, whole=whole))
-    more = found.filter(f"kind = {PART}")
-    return [found] if more.isEmpty() else [found, cut(compared(more, similarity, 2 * CELL, whole))]
 
+def candidates(lines: DataFrame, n: int, n_few: int, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b, bits) of lines (id, f1, f2, size and, if known, root), a < b, by the blocks for n lines, of them n_few short ones.
 
-def candidates(lines: DataFrame, n: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) of the n lines (key, f1, f2, size), and the lines of the dense cells.
-
-    The orders are taken one after another, so that only one order's cells are on disk.
+    Blocks are taken some at a time, so that only their records are on disk.
     """
-    m, count = (9, ORDERS) if n <= FEW else (7, MORE_ORDERS)
-    every = orders(m, count + SHORT_ORDERS)
+    few = lines.filter(F.col("size") <= SHORT)
     found = []
-    for i in range(count):
-        found += all_compared(celled(lines, every[i : i + 1], i), similarity)
-        gc.collect()
-        lines.sparkSession.sparkContext._jvm.System.gc()  # the cleaner then drops the shuffle files of this order
-    found += all_compared(celled(lines.filter(F.col("size") <= SHORT), every[count:], count), similarity)
-    rows = reduce(DataFrame.unionByName, found)
-    pairs = rows.filter(f"kind = {LINK}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return cut(pairs.distinct()), rows.filter(f"kind = {DENSE}").select("cell", "key", "f1", "f2", "size")
+    for some, m, agree in ((lines, n, AGREE), (few, n_few, AGREE_SHORT)):
+        blocks, each = blocks_for(m, agree), max(ROUND, ROUND * n // max(m, 1))
+        if "root" in lines.columns:
+            each = len(blocks)  # few lines are left
+        for at in range(0, len(blocks) if m else 0, each):
+            found.append(cut(met(some, blocks[at : at + each], m, similarity)))
+            freed(lines.sparkSession)
+    if not found:
+        found = [lines.sparkSession.createDataFrame([], PAIRS)]
+    return cut(reduce(DataFrame.unionByName, found).distinct())
+
+
+# -- verification ---------------------------------------------------------------------------------
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame, text_col: str, min_words: int) -> DataFrame:
-    """(key, line): the normalised lines of the wanted `key`s, and of a few more.
+    """(id, line): the normalised lines of the wanted (id, k1, k2).
 
-    The keys are told to the tasks by a bit filter of fixed size, so only lines that pass it move. A fuller
+    The keys are told to the tasks by a bit filter of bounded size, so only lines that pass it move. A fuller
     filter lets more lines pass, never fewer.
     """
-    bit = f"pmod(key, {FILTER})"
+    bits = min(FILTER[1], max(FILTER[0], 1 << math.ceil(math.log2(16 * wanted.count() + 1))))
+    bit = f"pmod(k1, {bits})"
     masks = wanted.selectExpr(f"cast(shiftright({bit}, 5) as int) AS word", f"shiftleft(1L, cast({bit} & 31 as int)) AS mask").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    words = np.zeros(FILTER >> 5, np.uint32)
+    words = np.zeros(bits >> 5, np.uint32)
     words[masks["word"].to_numpy(np.int64)] = masks["mask"].to_numpy(np.int64).astype(np.uint32)
     sent = docs.sparkSession.sparkContext.broadcast(words.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.frombuffer(sent.value, np.uint32), set()
+        filled, seen = np.frombuffer(sent.value, np.uint32), set()
         for batch in by_bytes(batches, 0, 1 << 20):
-            lines = [b" ".join(x) for text in batch.column(0).to_pylist() for x in normal_lines(text) if takes_part(x, min_words)]
-            if not lines:
+            found = Lines(batch.column(0).cast(pa.binary()).to_pylist())
+            if not len(found):
                 continue
-            keys = np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64)
-            at = (keys & np.uint64(FILTER - 1)).astype(np.int64)
-            own = [i for i in np.flatnonzero(bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).tolist() if keys[i] not in seen]
+            keys, part = found.keys(), found.takes_part(min_words)
+            at = keys[:, 0] & (bits - 1)
+            near = np.flatnonzero(part & (filled[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)).tolist()
+            own = [i for i, k in zip(near, keys[near, 0].tolist(), strict=True) if k not in seen]
             if len(seen) < REMEMBERED:  # only spares rows
-                seen.update(keys[own].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(keys[own].view(np.int64)), pa.array([lines[i].decode("utf-8", "surrogatepass") for i in own], pa.string())], ["key", "line"])
+                seen.update(keys[own, 0].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[own, 0]), pa.array(keys[own, 1]), pa.array([found.lines[i].decode("utf-8", "surrogatepass") for i in own], pa.string())], ["k1", "k2", "line"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "key long, line string").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    some = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "k1 long, k2 long, line string")
+    return some.join(wanted, ["k1", "k2"]).groupBy("id").agg(F.first("line").alias("line"))
 
 
 def within(x: str, y: str, most: int) -> bool:
@@ -307,12 +424,23 @@ def within(x: str, y: str, most: int) -> bool:
         return True
     if not x or not y:
         return False
-    # Few changed words bound the distance from above, each by its letters and a space.
-    xs, ys = x.split(" "), y.split(" ")
-    changed = edits(xs, ys, most // 2)
-    if changed is not None and sum(sorted(map(len, xs + ys), reverse=True)[:changed]) + changed <= most:
-        return True
-    return edits(x, y, most) is not None
+    return script_cost(x.split(" "), y.split(" ")) <= most or edits(x, y, most) is not None
+
+
+def script_cost(x: list[str], y: list[str]) -> int:
+    """The cost of one way to edit words x into y, a bound of the edit distance from above: words are left out, put in or exchanged."""
+    i = j = cost = 0
+    n, m = len(x), len(y)
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+        elif i + 1 < n and x[i + 1] == y[j]:
+            cost, i = cost + len(x[i]) + 1, i + 1
+        elif j + 1 < m and x[i] == y[j + 1]:
+            cost, j = cost + len(y[j]) + 1, j + 1
+        else:
+            cost, i, j = cost + max(len(x[i]), len(y[j])), i + 1, j + 1
+    return cost + sum(map(len, x[i:])) + n - i + sum(map(len, y[j:])) + m - j
 
 
 def edits(x: Sequence, y: Sequence, most: int) -> int | None:
@@ -340,66 +468,92 @@ def edits(x: Sequence, y: Sequence, most: int) -> int | None:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose lines have an edit similarity of `similarity` or more: 1 - distance / longer length."""
+    """The pairs (a, b) of lines with an edit similarity of `similarity` or more: 1 - distance / longer length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 2):
             lines = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            alike = pa.array([within(x, y, int(max(len(x), len(y)) * (1 - similarity) + 1e-9)) for x, y in lines], pa.bool_())
-            yield batch.select(["a", "b"]).filter(alike)
+            near = pa.array([within(x, y, int(max(len(x), len(y)) * (1 - similarity) + 1e-9)) for x, y in lines], pa.bool_())
+            yield batch.select(["a", "b"]).filter(near)
 
-    one, two = texts.select(F.col("key").alias("a"), F.col("line").alias("x")), texts.select(F.col("key").alias("b"), F.col("line").alias("y"))
+    one, two = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def groups_of(docs: DataFrame, keys: DataFrame, text_col: str, min_words: int, similarity: float) -> DataFrame:
-    """(node, root) of the keys that verified links connect.
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, bits) the one with the fewest bits of each line, once."""
+    best = lambda c: pairs.groupBy(c).agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b")
+    return best("a").unionByName(best("b")).distinct()
 
-    Of a dense cell first only spanning pairs are verified; then all its pairs whose lines are not in one group yet,
-    so nothing is thinned that verification has not decided.
+
+def groups_of(docs: DataFrame, keys: DataFrame, text_col: str, min_words: int, similarity: float, tables: list[str]) -> DataFrame:
+    """(node, root) of the ids of lines that verified links connect.
+
+    Of the first pass the nearest pair of each line is verified, then every other pair that is not connected yet; of the
+    second pass all that are not. Nothing is thinned that verification has not decided.
     """
-    fuzzy = keys.filter("f1 IS NOT NULL").select("key", "f1", "f2", "size")
-    pairs, dense = candidates(fuzzy, fuzzy.count(), similarity)
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = stored(line_texts(docs, wanted, text_col, min_words))
-    sure = cut(verified(pairs, texts, similarity))
+    fuzzy = keys.filter("f1 IS NOT NULL").select("id", "f1", "f2", "size")
+    n, n_few = fuzzy.agg(F.count("*"), F.count_if(F.col("size") <= SHORT)).first()
+    pairs = candidates(fuzzy, n, n_few, similarity)
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = cut(keys.join(ids, "id", "left_semi").select("id", "k1", "k2", "f1", "f2", "size"))
+    texts = stored(line_texts(docs, wanted.select("id", "k1", "k2"), text_col, min_words), tables)
+
+    def known(rows: DataFrame, groups: DataFrame, line: str, name: str) -> DataFrame:
+        own = rows.join(groups.select(F.col("node").alias(line), F.col("root").alias(name)), line, "left")
+        return own.withColumn(name, F.coalesce(name, line))
+
+    tried = cut(nearest(pairs))
+    sure = cut(verified(tried, texts, similarity))
     groups = cut(components(sure))
-    if dense.isEmpty():
-        return groups
-    # A line of a pair of a dense cell has a spanning pair too, so its text is there.
-    named = dense.join(groups.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rest = reduce(DataFrame.unionByName, all_compared(named, similarity, whole=True)).filter(f"kind = {LINK}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(rest.distinct().join(pairs, ["a", "b"], "left_anti"))
-    return groups if rest.isEmpty() else cut(components(sure.unionByName(verified(rest, texts, similarity))))
+    rest = known(known(pairs.join(tried, ["a", "b"], "left_anti"), groups, "a", "x"), groups, "b", "y").filter("x <> y")
+    more = cut(verified(rest.select("a", "b"), texts, similarity))
+    if not more.isEmpty():
+        sure = cut(sure.unionByName(more))
+        groups = cut(components(sure))
+    again = cut(known(wanted.select("id", "f1", "f2", "size"), groups, "id", "root"))
+    left = candidates(again, n, n_few, similarity).select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    more = cut(verified(left, texts, similarity))
+    return groups if more.isEmpty() else cut(components(sure.unionByName(more)))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
     """(doc_id, dropped): for each document that loses lines, their numbers from 0, ascending.
 
-    Of the lines of a group all but the first by (doc_id, line number) go. Lines that are too short for takes_part()
-    take no part, or with `short` as exact copies only. Documents with a null id take no part; rows of one id are
-    treated alike.
+    Of the lines of a group all but the first by (doc_id, line number) go. Lines that are too short to take part
+    stay, or with `short` take part as exact copies. Documents with a null id take no part; rows of one id are
+    treated alike. Null and empty texts and empty tables have no lines. Columns other than the id and the text are
+    not read.
     """
+    tables: list[str] = []
     known = docs.filter(F.col(id_col).isNotNull())
-    lines = stored(occurrences(known, id_col, text_col, min_words, short))
-    keys = stored(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.min(c).alias(c) for c in ("f1", "f2", "size")), F.count("*").alias("n")))
-    groups = groups_of(known, keys, text_col, min_words, similarity)
-    led = groups.join(keys.select(F.col("key").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("led"))
-    moved = groups.join(led, "root").select(F.col("node").alias("key"), "led")
-    kept = cut(keys.join(moved, "key", "left").filter("n > 1 OR led IS NOT NULL").select("key", F.coalesce("led", "first").alias("kept")))
-    gone = lines.select("key", "doc_id", "line_no").join(kept, "key").filter("NOT (doc_id = kept.doc_id AND line_no = kept.line_no)")
-    return gone.select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("dropped"))
+    lines = stored(occurrences(known, id_col, text_col, min_words, short), tables)
+    distinct = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.min(c).alias(c) for c in ("f1", "f2", "size")), F.count("*").alias("n"))
+    keys = stored(distinct.withColumn("id", F.monotonically_increasing_id()), tables)
+    groups = groups_of(known, keys, text_col, min_words, similarity, tables)
+    named = groups.join(keys.select(F.col("id").alias("node"), "first"), "node")
+    led = named.groupBy("root").agg(F.min("first").alias("led"))
+    moved = groups.join(led, "root").select(F.col("node").alias("id"), "led")
+    kept = cut(keys.join(moved, "id", "left").filter("n > 1 OR led IS NOT NULL").select("k1", "k2", "n", F.coalesce("led", "first").alias("kept")))
+    gone = joined_by_share(lines.select("k1", "k2", "doc_id", "line_no"), kept, ["k1", "k2"], "n").filter("NOT (doc_id = kept.doc_id AND line_no = kept.line_no)")
+    out = cut(gone.select("doc_id", "line_no").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("dropped")))
+    for path in tables:
+        removed(docs.sparkSession, path)
+    return out
 
 
-def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:
+def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, short: bool = False, count_col: str = "n_lines", dropped_col: str = "dropped") -> DataFrame:
     """docs with text without its dropped lines, and two more columns, n_lines and dropped (an array, never null).
 
-    All rows and columns stay; null and empty texts stay as they are (a null text has 0 lines). The names
-    n_lines and dropped must be free.
+    All rows and columns stay; null and empty texts stay as they are (a null text has 0 lines); see dropped_lines()
+    for the rest. A column of docs that bears the name of one of the two more is replaced; count_col and dropped_col
+    choose other names.
     """
-    gone = cut(dropped_lines(docs, id_col, text_col, min_words, similarity, short)).select(F.col("doc_id").alias(id_col), "dropped")
-    lines = F.split(F.col(text_col), "\n", -1)
-    none = F.array().cast("array<int>")
-    joined = docs.join(gone, id_col, "left").withColumn("n_lines", F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"))) + 1, F.lit(0)).cast("long")).withColumn("dropped", F.coalesce("dropped", none))
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
-    return joined.withColumn(text_col, F.when(F.size("dropped") == 0, F.col(text_col)).otherwise(left)).select(*docs.columns, "n_lines", "dropped")
+    gone_id, gone_lines = free_name(docs, "gone_id"), free_name(docs, "gone_lines")
+    gone = dropped_lines(docs, id_col, text_col, min_words, similarity, short).select(F.col("doc_id").alias(gone_id), F.col("dropped").alias(gone_lines))
+    joined = docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left")
+    own, text = F.coalesce(gone_lines, F.array().cast("array<int>")), F.col(text_col)
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(own, i)), "\n")
+    count = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1, F.lit(0)).cast("long")
+    columns = {c: F.col(c) for c in docs.columns} | {text_col: F.when(F.size(own) == 0, text).otherwise(left)} | {count_col: count, dropped_col: own}
+    return joined.select(*(c.alias(name) for name, c in columns.items()))

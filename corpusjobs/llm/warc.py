@@ -52,7 +52,7 @@ def leaves(found: DataFrame) -> DataFrame:
     length and the sum of their hashes, whatever their order: nothing is collected, so an id may have any number.
     """
     digest = F.sha2("record", 256)
-    quarter = lambda i: F.expr(f"try_subtract(cast(conv(substring(digest, {16 * i + 1}, 15), 16, 10) as decimal(38,0)), 0)")
+    quarter = lambda i: F.expr(f"cast(conv(substring(digest, {16 * i + 1}, 15), 16, 10) as decimal(20,0))")
     thin = found.select("file", "place", "id", F.octet_length("record").cast("long").alias("size"), digest.alias("digest"))
     parts = [F.sum(quarter(i)).cast("string").alias(f"q{i}") for i in range(4)]
     grouped = thin.groupBy("file", F.col("place").alias("idx")).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.sum("size").alias("size"), F.min("digest").alias("digest"), *parts)
