@@ -36,7 +36,7 @@ BY_CHANCE, NARROWEST, SHARE = 64, 8, 0.95
 #: Characters of short lines; how often a bit agrees of pairs that should meet: of all lines, and of short ones.
 SHORT, AGREE, AGREE_SHORT = 160, 0.85, 0.79
 #: Bits by which lines may differ to be compared as texts, and by which short ones may.
-BITS, BITS_SHORT = 32, 36
+BITS, BITS_SHORT = 28, 33
 #: Lines of a group of cells on average; a group over the second number, but at least a 65,536th of all, is dealt out in parts of the third.
 GROUP, HOT, PART = 1 << 16, 1 << 18, 1 << 15
 #: Words whose hashes are summed at once.
