@@ -28,7 +28,7 @@ DIM, SCALE, GRAMS = 8, 30.0, (3, 4, 5, 6)
 #: Texts in which an n-gram must occur, and n-grams of the vocabulary at most.
 LEAST, VOCABULARY = 4, 1 << 10
 #: Labelled ids of each class that training takes at most, by the order of a hash of the id, and distinct words of a training text at most, by the order of a hash of the word.
-SAMPLE, MOST_WORDS = 2000, 1 << 13
+SAMPLE, MOST_WORDS = 2000, 1 << 12
 REMEMBERED = 1 << 20
 
 
@@ -169,12 +169,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 2):
             made = [sampled_bag(t, most_words) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w for w, _ in made], pa.list_(pa.string())), pa.array([x.tolist() for _, x in made], pa.list_(pa.float64())), batch.column(3)], ["k", "y", "words", "shares", "h"])
+            packed = [pa.array(["\n".join(w) for w, _ in made], pa.string()), pa.array([x.astype("<f8").tobytes() for _, x in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed, batch.column(3)], ["k", "y", "words", "shares", "h"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("k", "y", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"))
-    one = texts.mapInArrow(bags, "k string, y int, words array<string>, shares array<double>, h long").groupBy("k", "y").agg(F.min_by(F.struct("words", "shares"), "h").alias("b"))
-    rows = sorted(one.select("y", "k", "b.words", "b.shares").collect(), key=lambda r: (r.y, r.k))
-    return train([(r.words, np.array(r.shares)) for r in rows], [r.y for r in rows], **options)
+    one = texts.mapInArrow(bags, "k string, y int, words string, shares binary, h long").groupBy("k", "y").agg(F.min_by(F.struct("words", "shares"), "h").alias("b"))
+    # As Arrow columns, in the order of labels and ids: rows of lists would take many times the memory of the driver.
+    rows = one.select("y", "k", "b.words", "b.shares").toArrow().sort_by([("y", "ascending"), ("k", "ascending")])
+    made = [(w.split("\n") if w else [], np.frombuffer(x, "<f8")) for w, x in zip(rows.column("words").to_pylist(), rows.column("shares").to_pylist(), strict=True)]
+    return train(made, rows.column("y").to_pylist(), **options)
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
