@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the given tables, and SQL for those that SQL can express."""
+"""Queries of the operators over the given tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, flac, huffman, lines, packing, pii, simhash, token_trie, toxicity, warc
-from .common import table
+from . import decontam, flac, huffman, lines, packing, pii, simhash, suffixes, token_trie, toxicity, warc
+from .common import cut, removed, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths: list[str] = []
+    left = suffixes.without_repeats(table(spark, sf_dir, "documents"), paths)
+    kept = F.coalesce("kept", F.lit(b""))
+    found = cut(left.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length(kept)).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256")))
+    for p in paths:
+        removed(spark, p)
+    return found
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -74,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_packing": op10_packing,
+    "op12_suffix_dedup": op12_suffix_dedup,
 }
 
 #: Words and windows as in decontam.py; positions of a document's words that lie in an occurrence are counted.
@@ -106,4 +117,19 @@ SELECT coalesce(a.file, b.file) AS file, coalesce(a.place, b.place) AS place, co
 FROM a FULL JOIN b ON a.id = b.id WHERE a.said IS DISTINCT FROM b.said
 """
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op9_warc_fixity": OP9}
+#: Bytes as hexadecimal digits, cut into pieces of 512 bytes with the 49 after them; a removed run begins at a start that no start of the 50 bytes before it reaches.
+OP12 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, CAST(i AS BIGINT) AS base, substr(h, 2 * i + 1, 2 * (512 + 49)) AS t FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 512)) AS i FROM d)),
+w AS (SELECT doc_id, base + j AS pos, substr(t, CAST(2 * j + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, base, t, unnest(range(0, least(512, length(t) // 2 - 49))) AS j FROM p)),
+f AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE doc_id > least),
+g AS (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 50 THEN 0 ELSE 1 END AS new FROM f),
+r AS (SELECT doc_id, n, min(pos) AS a, max(pos) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS n FROM g) GROUP BY doc_id, n),
+e AS (SELECT r.doc_id, r.n, r.a, r.b, coalesce(lag(r.b) OVER (PARTITION BY r.doc_id ORDER BY r.n), 0) AS before FROM r),
+k AS (SELECT e.doc_id, string_agg(substr(d.h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY n) AS head, max(b) AS tail, sum(b - a) AS gone, count(*) AS n FROM e JOIN d USING (doc_id) GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE head || substr(h, CAST(2 * tail + 1 AS BIGINT)) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op9_warc_fixity": OP9, "op12_suffix_dedup": OP12}
