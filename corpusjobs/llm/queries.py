@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, flac, huffman, lines, packing, pii, simhash, suffixes, token_trie, toxicity, warc
+from . import decontam, flac, huffman, lines, packing, pii, simhash, spelling, suffixes, token_trie, toxicity, warc
 from .common import cut, removed, table
 
 
@@ -73,6 +73,10 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_fixity": op9_warc_fixity,
     "op10_packing": op10_packing,
     "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: Words and windows as in decontam.py; positions of a document's words that lie in an occurrence are counted.
@@ -132,4 +137,21 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone,
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op9_warc_fixity": OP9, "op12_suffix_dedup": OP12}
+#: CRC-32 byte by byte over a table made of its polynomial; near words by strings with one letter out.
+OP13 = """
+WITH RECURSIVE c AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(3988292384, a // 2) ELSE a // 2 END) AS v FROM range(256) AS x(i))),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]{7,}')) AS run FROM documents),
+h AS (SELECT run, count(*) AS n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, any_value(length(hex(encode(said)))) // 2 + 1), lambda i: CAST('0x' || substr(hex(encode(said)), 2 * i - 1, 2) AS BIGINT))), lambda a, b: xor(t[CAST(xor(a % 256, b) + 1 AS BIGINT)], a // 256))) AS h
+  FROM (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS said FROM r), c GROUP BY run, said, t),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+o AS (SELECT word, n, i, word[: i - 1] || word[i + 1 :] AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM o a JOIN o b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT o.word, o.n, w.word, w.n FROM o JOIN w ON o.less = w.word
+  UNION SELECT w.word, w.n, o.word, o.n FROM o JOIN w ON o.less = w.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM w LEFT JOIN b USING (word)),
+s AS (SELECT word, word AS root, form AS further FROM f UNION ALL SELECT s.word, f.word, f.form FROM s JOIN f ON s.further = f.word)
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM f JOIN s USING (word) WHERE s.further IS NULL
+"""
+
+ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op9_warc_fixity": OP9, "op12_suffix_dedup": OP12, "op13_spelling_variants": OP13}
