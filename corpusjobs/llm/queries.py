@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, flac, huffman, lines, packing, pii, simhash, spelling, suffixes, token_trie, toxicity, warc
+from . import centroids, decontam, flac, huffman, lines, packing, pii, simhash, spelling, suffixes, token_trie, toxicity, warc
 from .common import cut, removed, table
 
 
@@ -63,6 +63,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op11_bisector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clusters(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", F.sha2(F.col("centroid").cast("binary"), 256)).drop("centroid")
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths: list[str] = []
     left = suffixes.without_repeats(table(spark, sf_dir, "documents"), paths)
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_packing": op10_packing,
+    "op11_bisector_clusters": op11_bisector_clusters,
     "op12_suffix_dedup": op12_suffix_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
@@ -122,6 +128,21 @@ SELECT coalesce(a.file, b.file) AS file, coalesce(a.place, b.place) AS place, co
 FROM a FULL JOIN b ON a.id = b.id WHERE a.said IS DISTINCT FROM b.said
 """
 
+#: One assignment and its new centroids, by distances to all centroids; the rounds are chained.
+NEAREST = """SELECT vec_id, x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, x, k.c, CAST(list_sum(list_transform(range(1, 65), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) AS BIGINT) AS d FROM v, {k} AS k) GROUP BY vec_id, x"""
+MOVED = """SELECT k.c, coalesce(y2, y) AS y FROM {k} AS k LEFT JOIN (SELECT c, list(y ORDER BY i) AS y2 FROM (SELECT c, i, CAST((sum(z) - (((sum(z) % count(*)) + count(*)) % count(*))) // count(*) AS BIGINT) AS y FROM (SELECT c, unnest(x) AS z, unnest(range(64)) AS i FROM {a}) GROUP BY c, i) GROUP BY c) USING (c)"""
+OP11 = (
+    """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: isfinite(CAST(e AS DOUBLE)))) = 64),
+k0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x AS y FROM (SELECT x, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT 40)),
+"""
+    + "".join(f"a{i} AS MATERIALIZED ({NEAREST.format(k=f'k{i}')}),\nk{i + 1} AS MATERIALIZED ({MOVED.format(k=f'k{i}', a=f'a{i}')}),\n" for i in range(5))
+    + f"""a5 AS MATERIALIZED ({NEAREST.format(k="k5")})
+SELECT vec_id, CAST(a5.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a5.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256
+FROM a5 JOIN k5 ON a5.c = k5.c
+"""
+)
+
 #: Bytes as hexadecimal digits, cut into pieces of 512 bytes with the 49 after them; a removed run begins at a start that no start of the 50 bytes before it reaches.
 OP12 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -154,4 +175,4 @@ s AS (SELECT word, word AS root, form AS further FROM f UNION ALL SELECT s.word,
 SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM f JOIN s USING (word) WHERE s.further IS NULL
 """
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op9_warc_fixity": OP9, "op12_suffix_dedup": OP12, "op13_spelling_variants": OP13}
+ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op9_warc_fixity": OP9, "op11_bisector_clusters": OP11, "op12_suffix_dedup": OP12, "op13_spelling_variants": OP13}
