@@ -36,7 +36,7 @@ from .common import by_bytes, stored
 
 LENGTH = 50  # bytes of a repeated string
 GRAM = 24  # bytes of a run whose hash is a digit
-CHUNK = 8 << 20  # bytes of text in a chunk; a longer text is one of its own
+CHUNK = 4 << 20  # bytes of text in a chunk; a longer text is one of its own
 PART = 1 << 20  # bytes of text for each part
 MOST_PARTS = 1 << 16
 STRETCH = 64  # suffixes in a stretch
