@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.profiles import base_symbol
 from ..functions.text import draw, let, words
-from .tables import numbered
+from .tables import PART, cut, joined_in_parts, numbered
 
 #: Which technique a language supports.
 NO_STATE = ("rust",)
@@ -28,29 +32,87 @@ def jaccard(a: Column, b: Column) -> Column:
     return let(F.size(F.array_union(a, b)), lambda n: F.when(n == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / n))
 
 
-def similar_pairs(seeds: DataFrame, threshold: float, k: int = 5, id_col: str = "id", content: str = "content") -> DataFrame:
-    """D3: (a, b, similarity) of representatives of different shingle sets with a Jaccard similarity at or over the threshold.
+def shingle_sets(seeds: DataFrame, k: int, id_col: str, content: str) -> DataFrame:
+    """(id, s): the different sets of shingle hashes that are not empty, each with the smallest id that has it."""
+    each = seeds.select(F.col(id_col).alias("id"), F.transform(shingles(F.col(content), k), lambda s: F.xxhash64(s)).alias("raw")).filter(F.size("raw") > 0)
+    return each.withColumn("s", F.array_sort(F.array_distinct("raw"))).groupBy("s").agg(F.min("id").alias("id"))
+
+
+def checked_pairs(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs (a_id, b_id) with a Jaccard similarity at or over the threshold."""
+    one, two = (sets.select(F.col("id").alias(f"{p}_id"), F.col("s").alias(f"{p}_s")) for p in "ab")
+    return met.join(one, "a_id").join(two, "b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), jaccard(F.col("a_s"), F.col("b_s")).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
+def similar_pairs(seeds: DataFrame, threshold: float, k: int = 5, id_col: str = "id", content: str = "content", part: int = PART) -> DataFrame:
+    """D3, exact: (a, b, similarity) of representatives of different shingle sets with a Jaccard similarity at or over the threshold.
 
     Rows with equal sets are one representative, the smallest id. A pair over the threshold shares one of the first
     n - ceil(threshold * n) + 1 of each side's n shingles in the order of their frequency, and from there on enough
-    shingles are left on both sides (prefix and position filters). Only ids, sizes and places meet; the sets are
-    fetched for the pairs that are left.
+    shingles are left on both sides (prefix and position filters). Shingles of one set alone take the first places and
+    are only counted; frequent ones are dealt out in parts. Only ids, sizes and places meet; the sets are fetched for the
+    pairs that are left.
     """
-    each = seeds.select(F.col(id_col).alias("id"), F.transform(shingles(F.col(content), k), lambda s: F.xxhash64(s)).alias("raw")).filter(F.size("raw") > 0)
-    sets = each.withColumn("s", F.array_sort(F.array_distinct("raw"))).groupBy("s").agg(F.min("id").alias("id"))
+    sets = cut(shingle_sets(seeds, k, id_col, content))
     spread = sets.select("id", F.size("s").alias("size"), F.explode("s").alias("h"))
-    often = spread.groupBy("h").agg(F.count("*").alias("n"))
-    # A shingle of one set alone cannot meet another; the others keep their places behind it.
-    ranked = spread.join(often, "h").groupBy("id").agg(F.first("size").alias("n"), F.array_sort(F.collect_list(F.struct("n", "h"))).alias("s"))
-    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    prefix = ranked.select("id", "n", F.posexplode(F.slice("s", 1, first)).alias("at", "x")).filter("x.n > 1").select("id", "n", "at", F.col("x.h").alias("h"))
-    a, b = (prefix.select("h", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "n", "at"))).hint("merge") for p in "ab")
+    often = spread.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    # A shingle of one set alone cannot meet another, and comes before all that can.
+    ranked = spread.join(often.hint("shuffle_hash"), "h").groupBy("id").agg(F.first("size").alias("n"), F.array_sort(F.collect_list(F.struct("n", "h"))).alias("s"))
+    alone = F.col("n") - F.size("s")
+    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1 - alone
+    prefix = ranked.filter(first > 0).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("s", 1, first)).alias("at", "x")).select("id", "n", (F.col("at") + F.col("alone")).alias("at"), F.col("x.h").alias("h"))
+    prefix = cut(prefix)
+    a, b = (prefix.select("h", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "n", "at"))) for p in "ab")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
     enough = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
     # The first shared shingle of a pair is the one with the most left behind it, so the filter never drops a pair.
-    met = a.join(b, "h").filter("a_id < b_id").filter((F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - 1e-9) & (enough >= need)).select("a_id", "b_id").distinct()
-    one, two = (sets.select(F.col("id").alias(f"{p}_id"), F.col("s").alias(f"{p}_s")) for p in "ab")
-    return met.join(one, "a_id").join(two, "b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), jaccard(F.col("a_s"), F.col("b_s")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    met = joined_in_parts(a.hint("merge"), b, "h", part).filter("a_id < b_id").filter((F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - 1e-9) & (enough >= need)).select("a_id", "b_id").distinct()
+    return checked_pairs(met, sets, threshold)
+
+
+#: Bands of hashes and hashes in a band: at a similarity of 0.8 a pair meets with 1 - (1 - 0.8^6)^16 = 0.992.
+BANDS, ROWS = 16, 6
+
+
+def band_keys(bands: int, rows: int):
+    """Arrow function from (id, s) to (id, n, band, key): a hash of each band of the MinHash values of a set."""
+    rng = np.random.default_rng(7)  # fixed multipliers, so that keys are the same in every task and run
+    factors = rng.integers(1, 1 << 63, bands * rows, np.uint64) | np.uint64(1)
+    addends = rng.integers(0, 1 << 63, bands * rows, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sets = batch.column(1)
+            sizes = np.diff(sets.offsets.to_numpy())
+            flat = sets.flatten().to_numpy().view(np.uint64)
+            lead = np.cumsum(sizes) - sizes
+            keys = np.zeros((batch.num_rows, bands), np.uint64)
+            for i, (f, c) in enumerate(zip(factors, addends, strict=True)):
+                mixed = flat * f + c
+                mixed ^= mixed >> np.uint64(32)
+                least = np.minimum.reduceat(mixed * f, lead)
+                band = i // rows
+                keys[:, band] = (keys[:, band] ^ least) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)
+            row = np.repeat(np.arange(batch.num_rows), bands)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(np.repeat(sizes, bands).astype(np.int32)), pa.array(keys.ravel().view(np.int64))], ["id", "n", "key"])
+
+    return run
+
+
+def likely_pairs(seeds: DataFrame, threshold: float, k: int = 5, id_col: str = "id", content: str = "content", bands: int = BANDS, rows: int = ROWS, part: int = PART) -> DataFrame:
+    """D3, by locality-sensitive hashing: as similar_pairs(), but pairs meet by equal bands of MinHash values.
+
+    What is returned is checked exactly, so every pair is right; of the pairs with similarity s a share of
+    1 - (1 - s^rows)^bands is found, whatever their number. Sets are read once; `bands` thin rows of each are joined.
+    """
+    sets = cut(shingle_sets(seeds, k, id_col, content))
+    kind = sets.schema["id"].dataType.simpleString()
+    keys = cut(sets.select("id", "s").mapInArrow(band_keys(bands, rows), f"id {kind}, n int, key long"))
+    a, b = (keys.select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "n"))) for p in "ab")
+    met = joined_in_parts(a.hint("merge"), b, "key", part).filter("a_id < b_id").filter(F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - 1e-9).select("a_id", "b_id").distinct()
+    return checked_pairs(met, sets, threshold)
 
 
 def sample_n(rows: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
@@ -88,17 +150,42 @@ def seed_classes(profiles: DataFrame) -> DataFrame:
     return marked.join(kinds, "marks").select("id", "kind", "marks")
 
 
-def compatible_classes(classes: DataFrame) -> DataFrame:
+def class_symbols(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(symbol, x) of what the classes produce, and (symbol, y) of what they consume."""
+    kinds = classes.groupBy("kind").agg(F.first("marks").alias("marks"))
+    own = kinds.select("kind", F.explode("marks").alias("mark")).select("kind", F.substring_index("mark", ":", 1).alias("role"), F.expr("substring(mark, instr(mark, ':') + 1)").alias("symbol"))
+    return own.filter("role = 'produces'").select("symbol", F.col("kind").alias("x")), own.filter("role = 'consumes'").select("symbol", F.col("kind").alias("y"))
+
+
+def dropped_symbols(classes: DataFrame, most: int) -> DataFrame:
+    """J2, bounded: (symbol, makers, users) of the symbols that make no candidates, as makers times users is over `most`."""
+    made, used = class_symbols(classes)
+    n = made.groupBy("symbol").agg(F.count("*").alias("makers")).join(used.groupBy("symbol").agg(F.count("*").alias("users")), "symbol")
+    return n.filter(F.col("makers") * F.col("users") > most)
+
+
+def compatible_classes(classes: DataFrame, most: int | None = None, part: int = PART) -> DataFrame:
     """(k1, k2, score, pairs), k1 <= k2: symbols that a seed of one class produces and one of the other consumes, both
     ways, and how many pairs of different seeds the two classes have; J3: only scores over 0.
 
-    Symbols are joined between classes, so the join on a hot symbol is as large as its classes, not its seeds, and the
-    pairs are counted, never formed.
+    Symbols are joined between classes, so the join on a hot symbol is as large as its classes, not its seeds; a symbol
+    with more than `part` classes on a side is dealt out in parts. Pairs of seeds are counted, never formed.
+
+    With `most`, the bounded mode, symbols that would make more pairs of classes than that make no candidates, as
+    dropped_symbols() reports; the classes that meet by a rarer symbol are scored by all of their symbols.
     """
     kinds = classes.groupBy("kind").agg(F.first("marks").alias("marks"), F.count("*").alias("seeds"))
-    own = kinds.select("kind", F.explode("marks").alias("mark")).select("kind", F.substring_index("mark", ":", 1).alias("role"), F.expr("substring(mark, instr(mark, ':') + 1)").alias("symbol"))
-    made, used = own.filter("role = 'produces'").select("symbol", F.col("kind").alias("x")), own.filter("role = 'consumes'").select("symbol", F.col("kind").alias("y"))
-    met = made.join(used, "symbol").groupBy(F.least("x", "y").alias("k1"), F.greatest("x", "y").alias("k2")).agg(F.count("*").alias("n"))
+    made, used = class_symbols(classes)
+    lo, hi = F.least("x", "y").alias("k1"), F.greatest("x", "y").alias("k2")
+    if most is None:
+        met = joined_in_parts(made, used, "symbol", part).groupBy(lo, hi).agg(F.count("*").alias("n"))
+    else:
+        out = dropped_symbols(classes, most).select("symbol")
+        rare = joined_in_parts(made.join(out, "symbol", "left_anti"), used, "symbol", part).select(lo, hi).distinct()
+        one, two = (kinds.select(F.col("kind").alias(k), F.col("marks").alias(m)) for k, m in (("k1", "m1"), ("k2", "m2")))
+        of = lambda marks, role: F.transform(F.filter(marks, lambda m: F.startswith(m, F.lit(role + ":"))), lambda m: F.substring(m, len(role) + 2, 2147483647))
+        both = lambda a, b: F.size(F.array_intersect(of(F.col(a), "produces"), of(F.col(b), "consumes")))
+        met = rare.join(one, "k1").join(two, "k2").select("k1", "k2", (both("m1", "m2") + F.when(F.col("k1") == F.col("k2"), 0).otherwise(both("m2", "m1"))).cast("long").alias("n"))
     # Of two seeds of one class each way counts, but the join within a class sees it once.
     a, b = (kinds.select(F.col("kind").alias(k), F.col("seeds").alias(n)) for k, n in (("k1", "n1"), ("k2", "n2")))
     same = F.col("k1") == F.col("k2")

@@ -40,3 +40,30 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "number") -> DataF
     if not base:
         return placed
     return placed.withColumn(name, F.element_at(F.create_map(*base), part) + F.col(name).bitwiseAND((1 << 33) - 1))
+
+
+#: Rows of a key on one side that still meet in one task, and frequent keys that are still broadcast.
+PART, MOST_FREQUENT = 50_000, 10_000
+
+
+def joined_in_parts(left: DataFrame, right: DataFrame, key: str, part: int = PART) -> DataFrame:
+    """left and right joined on a key; a key with more than `part` rows on a side is dealt out as pairs of parts.
+
+    Of such a key each side is cut into parts by a hash of its rows, and each part of one side meets each of the other in a
+    task of its own, so that a task gets about `part` rows of a side at most and every pair of rows meets once. Keys are
+    counted in the tasks first. The frequent ones are broadcast if they are few, else joined.
+    """
+    n = lambda rows, name: rows.groupBy(key).agg(F.count("*").alias(name))
+    parts = lambda c: F.ceil(F.col(c) / part).cast("int")
+    sizes = n(left, "__l").join(n(right, "__r"), key).filter((F.col("__l") > part) | (F.col("__r") > part))
+    frequent = cut(sizes.select(key, parts("__l").alias("__l"), parts("__r").alias("__r")))
+    if frequent.isEmpty():
+        return left.join(right, key)
+    if frequent.count() <= MOST_FREQUENT:
+        frequent = F.broadcast(frequent)
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(*rows.columns), F.coalesce(own, F.lit(1))).alias(f"{own}_at")
+        return rows.join(frequent, key, "left").select(*rows.columns, at, F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce(other, F.lit(1)) - 1).cast("long"))).alias(f"{other}_at"))
+
+    return dealt(left, "__l", "__r").join(dealt(right, "__r", "__l"), [key, "__l_at", "__r_at"]).drop("__l_at", "__r_at")

@@ -113,6 +113,13 @@ def d3_similar_pairs(spark, sf_dir):
     return J.similar_pairs(rows, 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(ORACLES["d3_similar_pairs"])
+def d3_likely_pairs(spark, sf_dir):
+    """The pairs of d3_similar_pairs by bands of MinHash values; with 40 bands of 4 a pair at the threshold is missed once in a billion."""
+    rows = view(spark, sf_dir, "seeds").select(F.col("seed_no").alias("id"), "content")
+    return J.likely_pairs(rows, 0.8, bands=40, rows=4).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(cte("seeds") + "SELECT seed_no FROM seeds ORDER BY md5('11|' || seed_no), seed_no LIMIT 100")
 def d5_sample(spark, sf_dir):
     return J.sample_n(view(spark, sf_dir, "seeds").select("seed_no"), 100, 11, "seed_no")
@@ -163,6 +170,24 @@ def j2_j3_compatibility(spark, sf_dir):
     return J.compatible_classes(J.seed_classes(resources(spark, sf_dir)))
 
 
+#: The symbols of the classes, and of their pairs those that meet by a symbol of few.
+RARER = RESOURCES + """, g AS (SELECT id, string_agg(role || ':' || symbol, '|' ORDER BY role || ':' || symbol) AS marks FROM r GROUP BY id), k AS (SELECT marks, min(id) AS kind, count(*) AS seeds FROM g GROUP BY marks),
+o AS (SELECT kind, role, symbol FROM r JOIN k ON r.id = k.kind), n AS (SELECT symbol, count(*) FILTER (role = 'produces') AS makers, count(*) FILTER (role = 'consumes') AS users FROM o GROUP BY symbol),
+m AS (SELECT least(a.kind, b.kind) AS k1, greatest(a.kind, b.kind) AS k2, symbol FROM o a JOIN o b USING (symbol) WHERE a.role = 'produces' AND b.role = 'consumes') """
+
+
+@query(RARER + "SELECT symbol, makers, users FROM n WHERE makers * users > 40")
+def j2_dropped_symbols(spark, sf_dir):
+    return J.dropped_symbols(J.seed_classes(resources(spark, sf_dir)), 40)
+
+
+@query(RARER + """SELECT k1, k2, CASE WHEN k1 = k2 THEN 2 ELSE 1 END * count(*) AS score, CASE WHEN k1 = k2 THEN any_value(a.seeds * (a.seeds - 1) // 2) ELSE any_value(a.seeds * b.seeds) END AS pairs FROM m JOIN k a ON a.kind = k1 JOIN k b ON b.kind = k2
+GROUP BY k1, k2 HAVING bool_or(symbol IN (SELECT symbol FROM n WHERE makers * users BETWEEN 1 AND 40)) AND pairs > 0""")
+def j2_bounded_compatibility(spark, sf_dir):
+    """The compatible classes that meet by a symbol of at most 40 pairs of classes, scored by all symbols."""
+    return J.compatible_classes(J.seed_classes(resources(spark, sf_dir)), most=40)
+
+
 SEED_LOG = "SELECT l_partkey AS id_a, (l_partkey * 7 + l_suppkey * 4) % (SELECT count(*) FROM part) AS id_b FROM lineitem"
 
 
