@@ -67,3 +67,9 @@ def joined_in_parts(left: DataFrame, right: DataFrame, key: str, part: int = PAR
         return rows.join(frequent, key, "left").select(*rows.columns, at, F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce(other, F.lit(1)) - 1).cast("long"))).alias(f"{other}_at"))
 
     return dealt(left, "__l", "__r").join(dealt(right, "__r", "__l"), [key, "__l_at", "__r_at"]).drop("__l_at", "__r_at")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by the file system that it is in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextvars
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import shared_folder
+from ..operators.tables import cut, removed, shared_folder
 from ..sources import files
 from ..streaming import streams
 from .triage_queries import RUNS, crashes, signed
@@ -17,17 +19,34 @@ QUERIES, ORACLES = {}, {}
 
 
 def query(sql: str):
-    """Register a query and its SQL under its function's name."""
+    """Register a query and its SQL under its function's name; the folders that it makes are removed when its rows are there."""
 
     def put(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
+        @functools.wraps(f)
+        def run(spark, sf_dir):
+            made: list[str] = []
+            token = MADE.set(made)
+            try:
+                return cut(f(spark, sf_dir))
+            finally:
+                MADE.reset(token)
+                for path in made:
+                    removed(spark, path)
+
+        QUERIES[f.__name__], ORACLES[f.__name__] = run, sql
+        return run
 
     return put
 
 
+#: The folders of the query that runs.
+MADE: contextvars.ContextVar[list[str]] = contextvars.ContextVar("made")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.get([]).append(path)
+    return path
 
 
 def one_file_each(rows: DataFrame, file_no: str, path: str, *order: str) -> None:
@@ -128,6 +147,30 @@ def k1_stream_first_seen(spark, sf_dir):
     return streams.stored(spark, f"{path}/out", streams.FIRST).select("key", "first")
 
 
+#: Crashes in five files by time; of each file the first run of a signature.
+SPANS = RUNS + """, crash AS (SELECT coalesce(signature, 'NoSig_' || run_id) AS key, CAST(ts AS TIMESTAMP) AS ts, run_id FROM signed WHERE crashed), z AS (SELECT min(ts) AS a, max(ts) AS b FROM crash),
+filed AS (SELECT key, arg_min(ts, (ts, run_id)) AS ts, arg_min(run_id, (ts, run_id)) AS run, least(4, CAST(floor(5 * (epoch(ts) - epoch(a)) / (epoch(b) - epoch(a))) AS INTEGER)) AS file FROM crash, z GROUP BY key, file), """
+
+
+@query(SPANS.replace("WITH", "WITH RECURSIVE", 1) + """marks AS (SELECT file + 2 AS file, max(max(ts)) OVER (ORDER BY file) - INTERVAL 3 DAY AS mark FROM filed GROUP BY file), o AS (SELECT filed.*, mark, row_number() OVER (PARTITION BY key ORDER BY file) AS i FROM filed LEFT JOIN marks USING (file)),
+step AS (SELECT key, i, ts, run, ts AS since, true AS told FROM o WHERE i = 1 UNION ALL SELECT o.key, o.i, o.ts, o.run, CASE WHEN mark > since + INTERVAL 3 DAY THEN o.ts ELSE since END, coalesce(mark > since + INTERVAL 3 DAY, false) FROM step JOIN o ON o.key = step.key AND o.i = step.i + 1)
+SELECT key, ts, run FROM step WHERE told""")
+def k1_stream_horizon(spark, sf_dir):
+    """Crashes that are news within three days, from five files by time, one a batch; a batch sees what is forgotten two batches later."""
+    runs = crashes(spark, sf_dir).select(F.coalesce("signature", F.concat(F.lit("NoSig_"), "run_id")).alias("signature"), F.col("ts").cast("timestamp").alias("ts"), "run_id")
+    a, b = runs.agg(F.min("ts"), F.max("ts")).first()
+    span = (F.unix_micros("ts") - F.unix_micros(F.lit(a))) / (F.unix_micros(F.lit(b)) - F.unix_micros(F.lit(a)))
+    filed = runs.withColumn("file", F.least(F.lit(4), F.floor(5 * span).cast("int"))).groupBy("signature", "file").agg(F.min(F.struct("ts", "run_id")).alias("x")).select("signature", "x.ts", "x.run_id", "file")
+    path = new_folder(spark, "horizon")
+    filed = cut(filed)
+    for i in range(5):
+        filed.filter(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema("signature string, ts timestamp, run_id long").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    out = streams.stream_first_within(stream, "3 days").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("key string, ts timestamp, run long").parquet(f"{path}/out").select("key", F.col("ts").cast("timestamp_ntz").alias("ts"), "run")
+
+
 @query(RUNS + ", w AS (SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS start, crashed, syntax_error FROM signed) SELECT start, count(*) AS samples, count(*) FILTER (crashed) AS crashes, round(100.0 * (1 - count(*) FILTER (syntax_error) / count(*)), 6) AS valid_rate FROM w GROUP BY start HAVING start + INTERVAL 2 HOUR <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM signed)")
 def k2_stream_status(spark, sf_dir):
     """The windows that the watermark has closed when all runs are read."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -113,3 +114,54 @@ def test_status_stream_drops_late_rows(spark, tmp_path):
     assert drain() == [(0, 2, 1, 50.0)]
     make(("2024-01-01 00:30:00", True, False), ("2024-01-01 09:00:00", False, False)).write.mode("append").parquet(source)
     assert drain() == [(0, 2, 1, 50.0), (5, 1, 0, 100.0)]
+
+
+def test_a_batch_reads_the_state_of_its_own_keys_and_can_be_replayed(spark, tmp_path):
+    runs, source, out, ck = "run_id long, signature string", str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "ck"
+
+    def drain():
+        query = streams.stream_first_seen(spark.readStream.schema(runs).parquet(source), None, out, str(ck)).start()
+        query.awaitTermination()
+        return query, sorted((r.key, r.first, r.n) for r in streams.stored(spark, out, streams.FIRST).collect())
+
+    spark.createDataFrame([(2, "a"), (1, "a"), (3, "b")], runs).coalesce(1).write.parquet(source)
+    assert drain()[1] == [("a", 1, 2), ("b", 3, 1)]
+    spark.createDataFrame([(0, "a"), (5, "c"), (6, None)], runs).coalesce(1).write.mode("append").parquet(source)
+    query, found = drain()
+    assert found == [("NoSig_6", 6, 1), ("a", 1, 2), ("b", 3, 1), ("c", 5, 1)]
+    data = [p for p in query.recentProgress if p.numInputRows]
+    assert sum(p.numInputRows for p in data) == 3 and data[-1].stateOperators[0].numRowsTotal == 4  # the batch's own rows; all keys
+    # As after a failure between the batch's rows and its commit.
+    last = max(int(f.name) for f in (ck / "commits").iterdir() if f.name.isdigit())
+    for f in (ck / "commits").glob(f"*{last}*"):
+        f.unlink()
+    assert drain()[1] == found
+    # What is told does not depend on the table of what was told.
+    shutil.rmtree(f"{out}/batch=0")
+    spark.createDataFrame([(7, "a"), (8, "b"), (9, "d")], runs).coalesce(1).write.mode("append").parquet(source)
+    assert drain()[1] == [("NoSig_6", 6, 1), ("c", 5, 1), ("d", 9, 1)]
+
+
+def test_a_signature_is_news_again_beyond_the_horizon(spark, tmp_path):
+    schema, source = "run_id long, signature string, ts timestamp", str(tmp_path / "in")
+
+    def drain(*rows):
+        spark.createDataFrame(rows, "run_id long, signature string, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(source)
+        found = streams.stream_first_within(spark.readStream.schema(schema).parquet(source), "1 hour")
+        found.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.key, r.run) for r in spark.read.parquet(str(tmp_path / "o")).collect())
+
+    assert drain((1, "a", "2024-01-01 00:00:00"), (2, "b", "2024-01-01 00:10:00"), (3, None, "2024-01-01 00:10:00")) == [("NoSig_3", 3), ("a", 1), ("b", 2)]
+    assert drain((4, "a", "2024-01-01 00:50:00")) == [("NoSig_3", 3), ("a", 1), ("b", 2)]  # within the horizon
+    assert drain((5, "b", "2024-01-01 05:00:00"))[-1:] == [("b", 2)]  # not forgotten yet: the watermark follows the batch
+    assert drain((6, "a", "2024-01-01 05:10:00"), (7, "b", "2024-01-01 01:00:00"))[1:3] == [("a", 1), ("a", 6)]  # forgotten; a late row is dropped
+    assert [k for k, _ in drain((8, "b", "2024-01-01 09:00:00"))].count("b") == 2
+
+
+def test_pair_stream_tells_each_pair_once(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "id_a long, id_b long"
+    for rows in ([(1, 2), (2, 1), (3, 3)], [(2, 1), (5, 4)], [(4, 5), (1, 5)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        streams.stream_pair_coverage(spark.readStream.schema(schema).parquet(source), str(tmp_path / "p"), str(tmp_path / "ck")).start().awaitTermination()
+    told = [tuple(r) for r in streams.stored(spark, str(tmp_path / "p"), streams.PAIR).collect()]
+    assert sorted(told) == [(1, 2), (1, 5), (4, 5)]
