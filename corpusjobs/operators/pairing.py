@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -150,16 +151,23 @@ def seed_classes(profiles: DataFrame) -> DataFrame:
     return marked.join(kinds, "marks").select("id", "kind", "marks")
 
 
-def class_symbols(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def class_kinds(classes: DataFrame) -> DataFrame:
+    """(kind, marks, seeds): a row for each class."""
+    return classes.groupBy("kind").agg(F.first("marks").alias("marks"), F.count("*").alias("seeds"))
+
+
+def class_symbols(kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(symbol, x) of what the classes produce, and (symbol, y) of what they consume."""
-    kinds = classes.groupBy("kind").agg(F.first("marks").alias("marks"))
     own = kinds.select("kind", F.explode("marks").alias("mark")).select("kind", F.substring_index("mark", ":", 1).alias("role"), F.expr("substring(mark, instr(mark, ':') + 1)").alias("symbol"))
     return own.filter("role = 'produces'").select("symbol", F.col("kind").alias("x")), own.filter("role = 'consumes'").select("symbol", F.col("kind").alias("y"))
 
 
 def dropped_symbols(classes: DataFrame, most: int) -> DataFrame:
     """J2, bounded: (symbol, makers, users) of the symbols that make no candidates, as makers times users is over `most`."""
-    made, used = class_symbols(classes)
+    return frequent_symbols(*class_symbols(class_kinds(classes)), most)
+
+
+def frequent_symbols(made: DataFrame, used: DataFrame, most: int) -> DataFrame:
     n = made.groupBy("symbol").agg(F.count("*").alias("makers")).join(used.groupBy("symbol").agg(F.count("*").alias("users")), "symbol")
     return n.filter(F.col("makers") * F.col("users") > most)
 
@@ -174,13 +182,13 @@ def compatible_classes(classes: DataFrame, most: int | None = None, part: int =
     With `most`, the bounded mode, symbols that would make more pairs of classes than that make no candidates, as
     dropped_symbols() reports; the classes that meet by a rarer symbol are scored by all of their symbols.
     """
-    kinds = classes.groupBy("kind").agg(F.first("marks").alias("marks"), F.count("*").alias("seeds"))
-    made, used = class_symbols(classes)
+    kinds = cut(class_kinds(classes))
+    made, used = class_symbols(kinds)
     lo, hi = F.least("x", "y").alias("k1"), F.greatest("x", "y").alias("k2")
     if most is None:
         met = joined_in_parts(made, used, "symbol", part).groupBy(lo, hi).agg(F.count("*").alias("n"))
     else:
-        out = dropped_symbols(classes, most).select("symbol")
+        out = frequent_symbols(made, used, most).select("symbol")
         rare = joined_in_parts(made.join(out, "symbol", "left_anti"), used, "symbol", part).select(lo, hi).distinct()
         one, two = (kinds.select(F.col("kind").alias(k), F.col("marks").alias(m)) for k, m in (("k1", "m1"), ("k2", "m2")))
         of = lambda marks, role: F.transform(F.filter(marks, lambda m: F.startswith(m, F.lit(role + ":"))), lambda m: F.substring(m, len(role) + 2, 2147483647))
@@ -196,29 +204,58 @@ def compatible_classes(classes: DataFrame, most: int | None = None, part: int =
 def guided_pairs(classes: DataFrame, log: DataFrame, n: int) -> DataFrame:
     """J5, guided: up to n pairs (id_lo, id_hi, score) of compatible seeds that the log does not hold, the best scores first.
 
-    Of two classes the log's own pairs are counted, so it is known which classes have pairs left, and only of those that
-    are needed pairs are formed, by their number: as many as are wanted, and as the log may hold, no more. Pairs of equal
-    score come by their classes, then by the places of their seeds in them.
+    Of two classes the log's own pairs are counted, so it is known which classes have pairs left. The pairs of two classes
+    are numbered by the places of their seeds; the k-th number that is not logged is k and as many as the logged ones with
+    at most k free numbers before them. So nothing but the wanted pairs is formed, however many are logged. Pairs of equal
+    score come by their classes, then by number.
     """
+    classes = cut(classes)
     placed = numbered(classes.select("id", "kind"), "kind", "id")
     starts = placed.groupBy("kind").agg(F.min("number").alias("start"), F.count("*").alias("seeds"))
-    seat = placed.join(starts, "kind").select("id", "kind", (F.col("number") - F.col("start")).alias("seat"))
-    a, b = (seat.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "kind"))) for p in "ab")
+    seat = placed.join(starts, "kind").select("id", "kind", (F.col("number") - F.col("start")).alias("seat"), "seeds")
+    a, b = (seat.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "kind", "seat", "seeds"))) for p in "ab")
     known = canonical(log)
-    logged = known.join(a, known.id_lo == F.col("a_id")).join(b, known.id_hi == F.col("b_id")).groupBy(F.least("a_kind", "b_kind").alias("k1"), F.greatest("a_kind", "b_kind").alias("k2")).agg(F.count("*").alias("logged"))
+    first = F.col("a_kind") <= F.col("b_kind")
+    s1, s2 = F.when(first, F.col("a_seat")).otherwise(F.col("b_seat")), F.when(first, F.col("b_seat")).otherwise(F.col("a_seat"))
+    lo, hi = F.least("a_seat", "b_seat"), F.greatest("a_seat", "b_seat")
+    t = F.when(F.col("a_kind") == F.col("b_kind"), F.shiftright(hi * (hi - 1), 1) + lo).otherwise(s1 * F.when(first, F.col("b_seeds")).otherwise(F.col("a_seeds")) + s2)
+    seated = cut(known.join(a, known.id_lo == F.col("a_id")).join(b, known.id_hi == F.col("b_id")).select(F.least("a_kind", "b_kind").alias("k1"), F.greatest("a_kind", "b_kind").alias("k2"), t.alias("t")))
+    logged = seated.groupBy("k1", "k2").agg(F.count("*").alias("logged"))
     ranked = compatible_classes(classes).join(logged, ["k1", "k2"], "left").withColumn("logged", F.coalesce("logged", F.lit(0))).filter("pairs > logged").orderBy(F.desc("score"), "k1", "k2").limit(n)
     before = F.coalesce(F.sum(F.col("pairs") - F.col("logged")).over(W.orderBy(F.desc("score"), "k1", "k2").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # over n rows at most
-    needed = ranked.withColumn("before", before).filter(F.col("before") < n)
-    rows = needed.select("k1", "k2", "score", F.explode(F.sequence(F.lit(0).cast("long"), F.least("pairs", F.lit(n) - F.col("before") + F.col("logged")) - 1)).alias("t"))
+    needed = cut(ranked.withColumn("before", before).filter(F.col("before") < n).select("k1", "k2", "score", F.least(F.col("pairs") - F.col("logged"), F.lit(n) - F.col("before")).alias("want")))
+    order = numbered(seated.join(needed.select("k1", "k2", "want"), ["k1", "k2"]), "k1", "k2", "t", name="place")
+    begin = order.groupBy("k1", "k2").agg(F.min("place").alias("begin"))
+    free = F.col("t") - (F.col("place") - F.col("begin"))
+    gaps = order.join(begin, ["k1", "k2"]).withColumn("k", free).filter("k < want").groupBy("k1", "k2", "k").agg(F.count("*").alias("n"))
+    rows = needed.select("k1", "k2", "score", F.explode(F.sequence(F.lit(0).cast("long"), F.col("want") - 1)).alias("k"))  # n rows at most
+    passed = F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy("k1", "k2").orderBy("k"))
+    rows = rows.join(gaps, ["k1", "k2", "k"], "left").select("k1", "k2", "score", (F.col("k") + passed).alias("t"))
     n2 = starts.select(F.col("kind").alias("k2"), F.col("seeds").alias("n2"))
-    # Pair t of a class with itself: seats i < j with j (j - 1) / 2 + i = t.
-    root = F.floor((1 + F.sqrt(1 + 8 * F.col("t"))) / 2).cast("long")
-    j = F.when(root * (root - 1) / 2 > F.col("t"), root - 1).when((root + 1) * root / 2 <= F.col("t"), root + 1).otherwise(root)
     same = F.col("k1") == F.col("k2")
-    seats = rows.join(n2, "k2").withColumn("j", j).select("k1", "k2", "score", F.when(same, F.expr("t - j * (j - 1) div 2")).otherwise(F.expr("t div n2")).alias("s1"), F.when(same, F.col("j")).otherwise(F.expr("t % n2")).alias("s2"), "t")
+    i, j = corner(F.col("t"))
+    seats = rows.join(n2, "k2").select("k1", "k2", "score", F.when(same, i).otherwise(F.expr("t div n2")).alias("s1"), F.when(same, j).otherwise(F.expr("t % n2")).alias("s2"), "t")
     one, two = (seat.select(F.col("kind").alias(k), F.col("seat").alias(s), F.col("id").alias(i)) for k, s, i in (("k1", "s1", "i"), ("k2", "s2", "j")))
     formed = seats.join(one, ["k1", "s1"]).join(two, ["k2", "s2"]).select(F.least("i", "j").alias("id_lo"), F.greatest("i", "j").alias("id_hi"), "score", "k1", "k2", "t")
-    return formed.join(known, ["id_lo", "id_hi"], "left_anti").orderBy(F.desc("score"), "k1", "k2", "t").limit(n).select("id_lo", "id_hi", "score")
+    return formed.orderBy(F.desc("score"), "k1", "k2", "t").limit(n).select("id_lo", "id_hi", "score")
+
+
+def corner(t: Column) -> tuple[Column, Column]:
+    """(i, j), i < j, with j (j - 1) / 2 + i = t: pairs of numbers in an order of their own."""
+    root = F.floor((1 + F.sqrt(1 + 8 * t)) / 2).cast("long")
+    below = lambda r: F.shiftright(r * (r - 1), 1)
+    j = F.when(below(root) > t, root - 1).when(below(root + 1) <= t, root + 1).otherwise(root)
+    return t - below(j), j
+
+
+def permuted(x: Column, half: int, seed: int) -> Column:
+    """A keyed permutation of the numbers below 4^half: four rounds of a Feistel network."""
+    mask = F.lit((1 << half) - 1).cast("long")
+    left, right = F.shiftright(x, half), x.bitwiseAND(mask)
+    for k in range(4):
+        y = (right + F.lit((seed * 2654435761 + k * 40503) % (1 << 31)).cast("long")) * F.lit(747796405).cast("long")
+        left, right = right, left.bitwiseXOR(F.shiftright(y, 13).bitwiseXOR(y).bitwiseAND(mask))
+    return F.shiftleft(left, half).bitwiseOR(right)
 
 
 # -- pair logs ------------------------------------------------------------------------------------
@@ -242,35 +279,55 @@ def pair_coverage(n_seeds: DataFrame, log: DataFrame) -> DataFrame:
     return n_seeds.select(total.alias("total")).crossJoin(F.broadcast(covered)).select("covered", "total", ratio.alias("ratio"), ((F.col("covered") >= F.col("total")) & (F.col("total") > 0)).alias("saturated"))
 
 
-def plan_pairs(seeds: DataFrame, log: DataFrame, n: int, seed: int, scored: DataFrame | None = None, id_col: str = "id", draws: int = 4) -> DataFrame:
+def unfused_in_order(ids: DataFrame, known: DataFrame, n: int, seed: int) -> DataFrame:
+    """Up to n pairs (id_lo, id_hi, place) that known does not hold, in a random order that the seed gives; ids are distinct.
+
+    Only seeds with partners left are numbered; the pairs of their numbers are listed in the order of a keyed permutation,
+    as many in a round as should hold what is wanted, and those that are known go. Every pair comes once, so that the last
+    unfused one is found, and no more pairs are formed than were looked at.
+    """
+    total = ids.count()
+    degree = known.select("id_lo").unionByName(known.select(F.col("id_hi").alias("id_lo"))).groupBy(F.col("id_lo").alias("id")).agg(F.count("*").alias("n"))
+    seat = numbered(ids.join(degree, "id", "left").filter(F.coalesce("n", F.lit(0)) < total - 1).select("id"), "id")
+    m = seat.count()
+    universe, free = m * (m - 1) // 2, total * (total - 1) // 2 - known.count()
+    half = max(1, (universe.bit_length() + 1) // 2)
+    end, at, parts, have = 1 << (2 * half), 0, [], 0
+    one, two = (seat.select(F.col("id").alias(p), F.col("number").alias(s)) for p, s in (("x", "i"), ("y", "j")))
+    while have < n and at < end and have < free:
+        length = min(end - at, 64 + int(1.2 * (min(n, free) - have + 8) * end / max(free, 1)))
+        i, j = corner(F.col("t"))
+        listed = ids.sparkSession.range(at, at + length).select(F.col("id").alias("place"), permuted(F.col("id"), half, seed).alias("t")).filter(F.col("t") < universe).select("place", i.alias("i"), j.alias("j"))
+        named = listed.join(one, "i").join(two, "j").select(F.least("x", "y").alias("id_lo"), F.greatest("x", "y").alias("id_hi"), "place")
+        parts.append(cut(named.join(known, ["id_lo", "id_hi"], "left_anti").orderBy("place").limit(n - have)))
+        have, at = have + parts[-1].count(), at + length
+    return reduce(DataFrame.unionByName, parts) if parts else known.withColumn("place", F.lit(0).cast("long")).limit(0)
+
+
+def plan_pairs(seeds: DataFrame, log: DataFrame, n: int, seed: int, scored: DataFrame | None = None, id_col: str = "id") -> DataFrame:
     """Up to n pairs (id_lo, id_hi, priority): 0 unfused and compatible, 1 unfused, 2 fused before.
 
-    scored: compatible pairs (id_lo, id_hi, score) for guided planning, as guided_pairs() gives them. Other pairs are drawn, `draws` partners for each seed in a
-    repeatable order of hashes: the universe of pairs is never formed. Where these give too few unfused pairs, seeds with
-    partners left give all of theirs, and fused pairs come last. One seed is paired with itself; none: no rows.
+    scored: compatible pairs (id_lo, id_hi, score) for guided planning, as guided_pairs() gives them, drawn first. Then
+    come unfused pairs in a random order, and fused ones where none is left; logged pairs of other seeds count for
+    nothing. One seed is paired with itself; none: no rows.
     """
-    ids = seeds.select(F.col(id_col).alias("id"))
-    count = ids.count()
-    if count < 2:
+    ids = cut(seeds.select(F.col(id_col).alias("id")).distinct())
+    if ids.count() < 2:
         return ids.select(F.col("id").alias("id_lo"), F.col("id").alias("id_hi"), F.lit(2).alias("priority"))
-    drawn = ids.select("id", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("k")).select("id", F.pmod(F.xxhash64(F.lit(seed), "id", "k"), F.lit(count)).alias("slot"))
-    spot = ids.select(F.col("id").alias("other"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(count)).alias("slot"))
-    made = canonical(drawn.join(spot, "slot").select(F.col("id").alias("id_a"), F.col("other").alias("id_b")))
-    fused = canonical(log).withColumn("fused", F.lit(True))
-    pool = made.withColumn("score", F.lit(0).cast("long"))
+    known = cut(canonical(log).join(ids.toDF("id_lo"), "id_lo", "left_semi").join(ids.toDF("id_hi"), "id_hi", "left_semi").select("id_lo", "id_hi"))
+    drawn = draw(seed, F.col("id_lo"), F.col("id_hi"))
+    plan, have = [], 0
     if scored is not None:
-        pool = pool.unionByName(scored.select("id_lo", "id_hi", F.col("score").cast("long").alias("score")))
-    marked = lambda p: p.groupBy("id_lo", "id_hi").agg(F.max("score").alias("score")).join(fused, ["id_lo", "id_hi"], "left")
-    one = marked(pool)
-    if one.filter("fused IS NULL").limit(n).count() < n:
-        # Each of 2 n seeds with a partner left gives a pair, and a pair comes from two seeds at most.
-        known = fused.join(ids.distinct().toDF("id_lo"), "id_lo", "left_semi").join(ids.distinct().toDF("id_hi"), "id_hi", "left_semi").select("id_lo", "id_hi")
-        degree = known.unionByName(known.toDF("id_hi", "id_lo")).groupBy(F.col("id_lo").alias("id")).agg(F.count("*").alias("n"))
-        left = ids.distinct().join(degree, "id", "left").filter(F.coalesce("n", F.lit(0)) < ids.distinct().count() - 1).orderBy(draw(seed, F.col("id"))).limit(2 * n).select(F.col("id").alias("id_a"))
-        more = canonical(left.crossJoin(ids.select(F.col("id").alias("id_b")))).join(known, ["id_lo", "id_hi"], "left_anti").unionByName(known)
-        one = marked(pool.unionByName(more.withColumn("score", F.lit(0).cast("long"))))
-    rank = F.when(F.col("fused"), 2).when(F.col("score") > 0, 0).otherwise(1)
-    return one.withColumn("priority", rank).orderBy("priority", draw(seed, F.col("id_lo"), F.col("id_hi"))).limit(n).select("id_lo", "id_hi", "priority")
+        own = scored.filter("score > 0").select("id_lo", "id_hi").distinct().join(known, ["id_lo", "id_hi"], "left_anti")
+        plan.append(cut(own.orderBy(drawn).limit(n)).select("id_lo", "id_hi", F.lit(0).alias("priority")))
+        have = plan[0].count()
+    if have < n:
+        taken = known if scored is None else known.unionByName(plan[0].select("id_lo", "id_hi"))
+        plan.append(cut(unfused_in_order(ids, taken, n - have, seed)).select("id_lo", "id_hi", F.lit(1).alias("priority")))
+        have += plan[-1].count()
+    if have < n:
+        plan.append(known.orderBy(drawn).limit(n - have).select("id_lo", "id_hi", F.lit(2).alias("priority")))
+    return reduce(DataFrame.unionByName, plan)
 
 
 def viable_pairs(pairs: DataFrame, declared: DataFrame, technique: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import profiles as P
 from ..operators import pairing as J
-from .views import cte, view
+from .views import VIEWS, cte, view
 
 QUERIES, ORACLES = {}, {}
 
@@ -188,45 +188,73 @@ def j2_bounded_compatibility(spark, sf_dir):
     return J.compatible_classes(J.seed_classes(resources(spark, sf_dir)), most=40)
 
 
-SEED_LOG = "SELECT l_partkey AS id_a, (l_partkey * 7 + l_suppkey * 4) % (SELECT count(*) FROM part) AS id_b FROM lineitem"
-
-
-@query(CLASSES + f", c AS (SELECT DISTINCT least(id_a, id_b) AS lo, greatest(id_a, id_b) AS hi FROM ({SEED_LOG}) WHERE id_a <> id_b) SELECT lo AS id_lo, hi AS id_hi, score FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lo = f.lo AND c.hi = f.hi) ORDER BY score DESC, k1, k2, CASE WHEN k1 = k2 THEN greatest(s1, s2) * (greatest(s1, s2) - 1) // 2 + least(s1, s2) ELSE s1 * n2 + s2 END LIMIT 300")
+@query(CLASSES + f", c AS (SELECT DISTINCT least(id_a, id_b) AS lo, greatest(id_a, id_b) AS hi FROM ({VIEWS['fused_pairs']}) WHERE id_a <> id_b) SELECT lo AS id_lo, hi AS id_hi, score FROM f WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lo = f.lo AND c.hi = f.hi) ORDER BY score DESC, k1, k2, CASE WHEN k1 = k2 THEN greatest(s1, s2) * (greatest(s1, s2) - 1) // 2 + least(s1, s2) ELSE s1 * n2 + s2 END LIMIT 300")
 def j5_guided_pairs(spark, sf_dir):
     """The 300 compatible pairs of seeds with the best scores that the log does not hold."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part")}
-    log = spark.sql("WITH part AS (SELECT * FROM {part}), lineitem AS (SELECT * FROM {lineitem}) " + SEED_LOG, **tables)
-    return J.guided_pairs(J.seed_classes(resources(spark, sf_dir)), log, 300)
+    return J.guided_pairs(J.seed_classes(resources(spark, sf_dir)), view(spark, sf_dir, "fused_pairs"), 300)
 
 
 PAIRS = cte("fused_pairs") + ", c AS (SELECT DISTINCT least(id_a, id_b) AS id_lo, greatest(id_a, id_b) AS id_hi FROM fused_pairs WHERE id_a <> id_b) "
 
 
-@query(PAIRS + ", k AS (SELECT a.s_suppkey AS id_lo, b.s_suppkey AS id_hi FROM supplier a JOIN supplier b ON b.s_suppkey BETWEEN a.s_suppkey + 1 AND a.s_suppkey + 5) SELECT k.* FROM k WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.id_lo = k.id_lo AND c.id_hi = k.id_hi)")
+@query(PAIRS + ", k AS (SELECT a.p_partkey AS id_lo, b.p_partkey AS id_hi FROM part a JOIN part b ON b.p_partkey BETWEEN a.p_partkey + 1 AND a.p_partkey + 50) SELECT k.* FROM k WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.id_lo = k.id_lo AND c.id_hi = k.id_hi)")
 def j4_unfused_pairs(spark, sf_dir):
-    near = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id_lo"), F.explode(F.sequence(F.col("s_suppkey") + 1, F.col("s_suppkey") + 5)).alias("id_hi"))
-    known = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id_hi"))
-    return J.unfused_pairs(near.join(known, "id_hi", "left_semi").select("id_lo", "id_hi"), view(spark, sf_dir, "fused_pairs"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    near = part.select(F.col("p_partkey").alias("id_lo"), F.explode(F.sequence(F.col("p_partkey") + 1, F.col("p_partkey") + 50)).alias("id_hi"))
+    return J.unfused_pairs(near.join(part.select(F.col("p_partkey").alias("id_hi")), "id_hi", "left_semi").select("id_lo", "id_hi"), view(spark, sf_dir, "fused_pairs"))
+
+
+def planned(seed: int, n: int, ids: str, log: str, scored: str | None) -> str:
+    """SQL of a plan: every number below the power of four goes through the rounds, and the pairs of the numbers that are unfused come in their order."""
+    rounds = [f"f0 AS (SELECT place, place >> half AS l, place & ((1 << half) - 1) AS r, half, m FROM z, range(0, (SELECT 1 << (2 * half) FROM z)) AS x(place))"]
+    for k in range(4):
+        y = f"((r + {(seed * 2654435761 + k * 40503) % (1 << 31)}) * 747796405)"
+        rounds.append(f"f{k + 1} AS (SELECT place, r AS l, xor(l, xor({y} >> 13, {y}) & ((1 << half) - 1)) AS r, half, m FROM f{k})")
+    own = f"SELECT DISTINCT id_lo, id_hi FROM ({scored}) s WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.id_lo = s.id_lo AND k.id_hi = s.id_hi) ORDER BY md5('{seed}|' || id_lo || '|' || id_hi) LIMIT {n}" if scored else "SELECT id_lo, id_hi FROM known LIMIT 0"
+    return f"""ids AS (SELECT DISTINCT CAST(id AS BIGINT) AS id FROM ({ids})), known AS (SELECT DISTINCT CAST(least(id_a, id_b) AS BIGINT) AS id_lo, CAST(greatest(id_a, id_b) AS BIGINT) AS id_hi FROM ({log}) WHERE id_a <> id_b AND id_a IN (SELECT id FROM ids) AND id_b IN (SELECT id FROM ids)),
+p0 AS MATERIALIZED ({own}), gone AS (SELECT * FROM known UNION ALL SELECT * FROM p0), degree AS (SELECT id, count(*) AS n FROM (SELECT id_lo AS id FROM gone UNION ALL SELECT id_hi FROM gone) GROUP BY id),
+seat AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS number FROM ids LEFT JOIN degree USING (id) WHERE coalesce(n, 0) < (SELECT count(*) - 1 FROM ids)),
+z AS MATERIALIZED (SELECT m, greatest(1, (length(bin(m * (m - 1) // 2)) + 1) // 2) AS half FROM (SELECT count(*) AS m FROM seat)), {", ".join(rounds)},
+t AS (SELECT place, (l << half) | r AS t FROM f4 WHERE ((l << half) | r) < m * (m - 1) // 2), j AS (SELECT place, t, CAST(floor((1 + sqrt(1 + 8 * t)) / 2) AS BIGINT) AS j FROM t),
+i AS (SELECT place, t - j * (j - 1) // 2 AS i, j FROM (SELECT place, t, CASE WHEN j * (j - 1) // 2 > t THEN j - 1 WHEN j * (j + 1) // 2 <= t THEN j + 1 ELSE j END AS j FROM j)),
+p1 AS MATERIALIZED (SELECT a.id AS id_lo, b.id AS id_hi FROM i JOIN seat a ON a.number = i JOIN seat b ON b.number = j WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.id_lo = a.id AND g.id_hi = b.id) ORDER BY place LIMIT {n} - (SELECT count(*) FROM p0)),
+p2 AS (SELECT id_lo, id_hi FROM known ORDER BY md5('{seed}|' || id_lo || '|' || id_hi) LIMIT {n} - (SELECT count(*) FROM p0) - (SELECT count(*) FROM p1))
+SELECT id_lo, id_hi, 0 AS priority FROM p0 UNION ALL SELECT id_lo, id_hi, 1 FROM p1 UNION ALL SELECT id_lo, id_hi, 2 FROM p2"""
+
 
+NEXT_PART = "SELECT p_partkey AS id_lo, p_partkey + 1 AS id_hi, p_size AS score FROM part WHERE p_size > 40 AND p_partkey + 1 IN (SELECT p_partkey FROM part)"
 
-@query()
+
+@query("WITH " + planned(3, 700, "SELECT p_partkey AS id FROM part", VIEWS["fused_pairs"], NEXT_PART))
 def j5_plan_pairs(spark, sf_dir):
-    seeds = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"))
-    return J.plan_pairs(seeds, view(spark, sf_dir, "fused_pairs"), 200, 3)
+    """700 pairs of parts: neighbours of large size that are not logged, then others that are not."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    scored = spark.sql("WITH part AS (SELECT * FROM {part}) " + NEXT_PART, part=part)
+    return J.plan_pairs(part.select(F.col("p_partkey").alias("id")), view(spark, sf_dir, "fused_pairs"), 700, 3, scored)
+
+
+NATION_LOG = "SELECT s_nationkey AS id_a, s_suppkey % 25 AS id_b FROM supplier"
+
+
+@query("WITH " + planned(5, 290, "SELECT n_nationkey AS id FROM nation", NATION_LOG, None))
+def j5_plan_saturated(spark, sf_dir):
+    """290 of the 300 pairs of nations: all that are not logged, then logged ones."""
+    log = spark.sql("SELECT s_nationkey AS id_a, s_suppkey % 25 AS id_b FROM {supplier}", supplier=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    return J.plan_pairs(spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id")), log.select(*(F.col(c).cast("long").alias(c) for c in log.columns)), 290, 5)
 
 
-N = "(SELECT count(*) FROM supplier)"
+N = "(SELECT count(*) FROM part)"
 
 
 @query(PAIRS + f"SELECT count(*) AS covered, CAST({N} * ({N} - 1) / 2 AS BIGINT) AS total, round(least(count(*), {N} * ({N} - 1) / 2) / ({N} * ({N} - 1) / 2), 6) AS ratio, count(*) >= {N} * ({N} - 1) / 2 AS saturated FROM c")
 def j6_pair_coverage(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.count("*").alias("n"))
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.count("*").alias("n"))
     return J.pair_coverage(n, view(spark, sf_dir, "fused_pairs")).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(PAIRS + "SELECT id_lo, id_hi FROM c WHERE id_lo % 3 > 0 AND id_hi % 3 > 0")
 def j7_viable_pairs(spark, sf_dir):
-    declared = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS id", "s_suppkey % 3 > 0 AS has_declaration")
+    declared = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS id", "p_partkey % 3 > 0 AS has_declaration")
     return J.viable_pairs(J.canonical(view(spark, sf_dir, "fused_pairs")), declared, "declaration")
 
 

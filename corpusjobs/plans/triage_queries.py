@@ -308,10 +308,10 @@ def a10_corpus_entry(spark, sf_dir):
     return stats.corpus_entry(corpus, corpus.agg(F.max("id")).first()[0])
 
 
-@query(cte("runs", "fused_pairs") + SIGNED + """, p AS (SELECT count(*) AS covered FROM (SELECT DISTINCT least(id_a, id_b), greatest(id_a, id_b) FROM fused_pairs WHERE id_a <> id_b)), n AS (SELECT CAST(count(*) * (count(*) - 1) / 2 AS DOUBLE) AS total FROM supplier),
+@query(cte("runs", "fused_pairs") + SIGNED + """, p AS (SELECT count(*) AS covered FROM (SELECT DISTINCT least(id_a, id_b), greatest(id_a, id_b) FROM fused_pairs WHERE id_a <> id_b)), n AS (SELECT CAST(count(*) * (count(*) - 1) / 2 AS DOUBLE) AS total FROM part),
 o AS (SELECT count(*) AS samples, CAST(epoch(max(CAST(ts AS TIMESTAMP))) - epoch(min(CAST(ts AS TIMESTAMP))) AS DOUBLE) AS elapsed, count(DISTINCT signature) AS signatures, round(100.0 * (1 - count(*) FILTER (syntax_error) / count(*)), 6) AS valid_rate FROM signed)
 SELECT samples, round(elapsed, 3) AS elapsed, round(samples / elapsed, 6) AS samples_per_second, signatures, valid_rate, covered, round(100.0 * least(covered, total) / total, 6) AS percent, round(covered / elapsed, 6) AS pairs_per_second FROM o, p, n""")
 def a6_run_status(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.count("*").alias("n"))
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.count("*").alias("n"))
     status = stats.run_status(signed(spark, sf_dir), pairing.pair_coverage(n, view(spark, sf_dir, "fused_pairs")))
     return status.withColumn("elapsed", F.round("elapsed", 3)).select("samples", "elapsed", F.round("samples_per_second", 6).alias("samples_per_second"), "signatures", F.round("valid_rate", 6).alias("valid_rate"), "covered", F.round("percent", 6).alias("percent"), F.round("pairs_per_second", 6).alias("pairs_per_second"))

@@ -80,7 +80,7 @@ SELECT event_id AS run_id, CASE event_id % 4 WHEN 0 THEN 'swift' WHEN 1 THEN 'ha
 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) e WHERE event_type = 'error'
 """,
     "fused_pairs": r"""
-SELECT l_orderkey AS iteration, l_suppkey AS id_a, l_partkey % (SELECT count(*) FROM supplier) AS id_b FROM lineitem
+SELECT l_orderkey AS iteration, l_partkey AS id_a, (l_partkey * 7 + l_suppkey * 4) % (SELECT count(*) FROM part) AS id_b FROM lineitem
 """,
     "bug_corpus": r"""
 SELECT doc_id AS id, source AS project, concat('t', doc_id) AS name, text AS program,

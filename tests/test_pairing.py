@@ -89,3 +89,38 @@ def test_bands_find_what_the_exact_mode_finds(spark):
         likely = {(r.a, r.b): r.similarity for r in J.likely_pairs(df, 0.8, 3, part=part).collect()}
         assert len(exact) > 150 and set(likely.items()) <= set(exact.items()) and len(likely) >= 0.97 * len(exact)
     assert J.likely_pairs(df.limit(0), 0.8).collect() == []
+
+
+def test_the_permutation_is_one(spark):
+    for half, seed in ((1, 0), (3, 7), (6, 123456)):
+        n = 4**half
+        found = [r.y for r in spark.range(n).select(J.permuted(F.col("id"), half, seed).alias("y")).collect()]
+        assert sorted(found) == list(range(n)) and (n < 16 or found != list(range(n)))
+    i, j = J.corner(F.col("id"))
+    assert [(r.i, r.j) for r in spark.range(10).select(i.alias("i"), j.alias("j")).collect()] == [(i, j) for j in range(1, 5) for i in range(j)]
+    big = 10**9 * (10**9 - 1) // 2 - 1
+    assert spark.range(big, big + 1).select(*(c.alias(n) for c, n in zip(J.corner(F.col("id")), "ij", strict=True))).first().asDict() == {"i": 10**9 - 2, "j": 10**9 - 1}
+
+
+def test_plans_find_what_is_left_of_millions(spark):
+    """Of 3,000 seeds 400 have one partner left each; only their pairs are looked at."""
+    n = 3000
+    ids = spark.range(n)
+    left = ids.filter("id % 2 = 0 AND id < 400").select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
+    log = ids.select(F.col("id").alias("id_a"), F.explode(F.sequence(F.col("id") + 1, F.lit(n - 1))).alias("id_b")).filter(f"id_a < {n - 1}")
+    log = log.join(left, (F.col("id_a") == F.col("x")) & (F.col("id_b") == F.col("y")), "left_anti")
+    plan = J.plan_pairs(ids, log, 150, 9).collect()
+    assert len({(r.id_lo, r.id_hi) for r in plan}) == 150 and all(r.priority == 1 and r.id_lo % 2 == 0 and r.id_hi == r.id_lo + 1 and r.id_lo < 400 for r in plan)
+    plan = J.plan_pairs(ids, log, 260, 9).collect()
+    assert [sum(r.priority == p for r in plan) for p in (0, 1, 2)] == [0, 200, 60]
+
+
+def test_guided_pairs_beside_a_log_larger_than_what_is_wanted(spark):
+    """Two classes of 60 seeds each whose first 3,000 pairs are logged."""
+    rows = [(i, "produces" if i < 60 else "consumes", "s") for i in range(120)]
+    classes = J.seed_classes(spark.createDataFrame(rows, "id long, role string, symbol string"))
+    every = [(i, 60 + j) for i in range(60) for j in range(60)]
+    log = spark.createDataFrame([(b, a) for a, b in every[:3000]] + [(0, 1), (500, 2)], "id_a long, id_b long")
+    assert [(r.id_lo, r.id_hi) for r in J.guided_pairs(classes, log, 40).collect()] == every[3000:3040]
+    holes = spark.createDataFrame([p for k, p in enumerate(every) if k % 7], "id_a long, id_b long")
+    assert [(r.id_lo, r.id_hi) for r in J.guided_pairs(classes, holes, 10_000).collect()] == every[::7]
