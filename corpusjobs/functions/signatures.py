@@ -1,11 +1,17 @@
-"""Crash signatures: ordered cascades of patterns per project, and what decides that a run crashed."""
+"""Crash signatures: ordered cascades of rules per project, and what decides that a run crashed.
+
+A cascade is a table of rules; the first that finds something gives the signature. A rule names a text that must be there
+for it to match, so that its pattern is tried on the few outputs that have it. with_signature() adds the signatures of a
+table of runs; a cascade can also be called for one column expression.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import all_found, found, let, lines, strip
@@ -28,14 +34,6 @@ FLANG_NOISE = NOISE.replace("llvm::sys::CleanupOnSignal|", "")
 LFORTRAN_NOISE = r"^(?:main|main_app|loc_segfault_callback_print_stack|loc_abort_callback_print_stack)$"
 
 
-def either(*columns: Column) -> Column:
-    return F.coalesce(*columns)
-
-
-def when(text: Column, part: str, value: str | Column) -> Column:
-    return F.when(F.contains(text, F.lit(part)), F.lit(value) if isinstance(value, str) else value)
-
-
 def tagged(tag: str, value: Column) -> Column:
     """tag followed by the value; null stays null."""
     return F.concat(F.lit(tag), value)
@@ -66,25 +64,62 @@ def syntax_error(err: Column, code: Column, error_codes: tuple[int, ...] = ()) -
 # -- cascades of projects -------------------------------------------------------------------------
 
 
-def base(out: Column, err: Column) -> Column:
-    """G1: the sanitizer summary of stderr, then of stdout."""
-    return either(*(strip(found(t, r"SUMMARY: AddressSanitizer:\s+(.*)")) for t in (err, out)))
+class Rule(NamedTuple):
+    """What a rule reads (err, out, both: stderr and stdout, lined: with a line feed between), the text that must be in it
+    (in any case, if fold), and what it finds: null for nothing."""
 
+    over: str
+    part: str
+    value: Callable[[Column], Column]
+    fold: bool = False
 
-def cpython(out: Column, err: Column) -> Column:
-    """G2. An assertion is quoted by backticks on both sides."""
-    return either(
-        strip(found(err, r"SUMMARY: AddressSanitizer:\s+(.*)")),
-        strip(found(err, r"Fatal Python error:\s+(.*)")),
-        tagged("Assertion: ", strip(found(err, r": Assertion `(.*)` failed"))),
-        when(err, "Bus error", "Bus error"),
-        when(err, "Segmentation fault", "Segmentation fault"),
-        base(out, err),
-    )
+    def of(self, text: Column) -> Column:
+        return F.when(F.contains(F.lower(text) if self.fold else text, F.lit(self.part)), self.value(text)) if self.part else self.value(text)
+
+
+class Cascade:
+    """Rules in order; called with stdout and stderr it is one expression."""
+
+    def __init__(self, *rules: Rule):
+        self.rules = rules
+
+    def __call__(self, out: Column, err: Column) -> Column:
+        texts = F.struct(err.alias("err"), out.alias("out"), F.concat(err, out).alias("both"), F.concat(err, F.lit("\n"), out).alias("lined"))
+        return let(texts, lambda t: F.coalesce(*(r.of(t[r.over]) for r in self.rules)))
 
 
-def sanitizers(text: Column) -> Column:
-    return either(tagged("ASAN: ", strip(found(text, r"SUMMARY: AddressSanitizer:\s+([^\n]+)"))), tagged("UBSAN: ", strip(found(text, r"SUMMARY: UndefinedBehaviorSanitizer:\s+([^\n]+)"))))
+def said_by(over: str, part: str, pattern: str, tag: str = "", most: int | None = None, group: int = 1, fold: bool = False) -> Rule:
+    """The group of the first match, stripped, of `most` characters, with a tag before it."""
+
+    def value(text: Column) -> Column:
+        got = strip(found(text, pattern, group))
+        got = got if most is None else F.substring(got, 1, most)
+        return tagged(tag, got) if tag else got
+
+    return Rule(over, part, value, fold)
+
+
+def named(over: str, part: str, name: str, fold: bool = False) -> Rule:
+    """The name, if the part is there."""
+    return Rule(over, part, lambda _: F.lit(name), fold)
+
+
+#: G1: the sanitizer summary of stderr, then of stdout.
+BASE = tuple(said_by(t, "SUMMARY: AddressSanitizer:", r"SUMMARY: AddressSanitizer:\s+(.*)") for t in ("err", "out"))
+SANITIZERS = (
+    said_by("both", "SUMMARY: AddressSanitizer:", r"SUMMARY: AddressSanitizer:\s+([^\n]+)", "ASAN: "),
+    said_by("both", "SUMMARY: UndefinedBehaviorSanitizer:", r"SUMMARY: UndefinedBehaviorSanitizer:\s+([^\n]+)", "UBSAN: "),
+)
+base = Cascade(*BASE)
+#: G2. An assertion is quoted by backticks on both sides.
+cpython = Cascade(
+    BASE[0],
+    said_by("err", "Fatal Python error:", r"Fatal Python error:\s+(.*)"),
+    said_by("err", ": Assertion `", r": Assertion `(.*)` failed", "Assertion: "),
+    named("err", "Bus error", "Bus error"),
+    named("err", "Segmentation fault", "Segmentation fault"),
+    *BASE,
+)
 
 
 def stack_dump(text: Column, frame: str, offset: str, noise: str) -> Column:
@@ -106,83 +141,69 @@ def stack_dump(text: Column, frame: str, offset: str, noise: str) -> Column:
     return let(F.array_join(F.slice(F.split(rest, "\n", -1), 1, 60), "\n"), of_body)
 
 
-def llvm(out: Column, err: Column, frame: str, offset: str, noise: str) -> Column:
-    return let(F.concat(err, out), lambda text: either(
-        sanitizers(text),
-        tagged("LLVM ERROR: ", strip(found(text, r"LLVM ERROR:\s+([^\n]+)"))),
-        tagged("Assertion: ", strip(found(text, r"Assertion `([^']+)' failed"))),
-        tagged("Stack dump: ", stack_dump(text, frame, offset, noise)),
-        when(text, "Aborted", "Aborted"),
-        when(text, "Segmentation fault", "Segmentation fault"),
-        base(out, err),
-    ))
-
-
-def clang(out: Column, err: Column) -> Column:
-    """Frames are '<n> <binary> 0x<address> <symbol>('."""
-    return llvm(out, err, r"(?m)^\s*\d+\s+\S+\s+0x[0-9a-f]+\s+([A-Za-z_][\w:<>,~ &*]*?)\s*\(", r"(?m)^\s*\d+\s+(\S+)\s+(0x[0-9a-f]+)\s*$", NOISE)
-
-
-def flang(out: Column, err: Column) -> Column:
-    """Frames are '#<n> 0x<address> <symbol>(', libraries '(lib+0x<offset>)'."""
-    return llvm(out, err, r"(?m)^\s*#\d+\s+0x[0-9a-f]+\s+([A-Za-z_][\w:<>,~ &*]*?)\s*\(", r"\(([^()\s]+?)\+(0x[0-9a-f]+)\)", FLANG_NOISE)
-
-
-def php(out: Column, err: Column) -> Column:
-    """G4."""
-    return either(*(strip(found(t, p)) for p in (r"(Assertion: .*)", r"(SUMMARY: .*)") for t in (err, out)), base(out, err))
-
-
-def swift(out: Column, err: Column) -> Column:
-    """G5."""
-    return either(base(out, err), *(strip(found(t, p)) for p in (r"(Assertion failed: .*)", r"\d+\.\s+(While evaluating request [^(]*)") for t in (err, out)))
-
-
-def haskell(out: Column, err: Column) -> Column:
-    """A panic with up to three lines after it, 200 characters."""
-    text = F.concat(err, F.lit("\n"), out)
-    return either(
-        tagged("ghc panic: ", F.substring(strip(found(text, r"ghc: panic!\s*\(the 'impossible' happened\)([^\n]*(?:\n[^\n]*){0,3})")), 1, 200)),
-        tagged("GHC internal error: ", strip(found(text, r"GHC internal error:\s*([^\n]+)"))),
-        tagged("GHC internal error: ", strip(found(text, r"(?i)internal error:\s*([^\n]+)"))),
-        strip(found(text, r"(RTS invariant[^\n]*)")),
-        when(text, "internal inconsistency", "GHC: internal inconsistency"),
-        strip(found(text, r"(ASSERT failed![^\n]*)")),
-        when(text, "Segmentation fault", "ghc: Segmentation fault"),
-        when(F.lower(text), "out of memory", "ghc: out of memory"),
-        base(out, err),
+def llvm(frame: str, offset: str, noise: str) -> Cascade:
+    return Cascade(
+        *SANITIZERS,
+        said_by("both", "LLVM ERROR:", r"LLVM ERROR:\s+([^\n]+)", "LLVM ERROR: "),
+        said_by("both", "Assertion `", r"Assertion `([^']+)' failed", "Assertion: "),
+        Rule("both", "Stack dump:\n", lambda text: tagged("Stack dump: ", stack_dump(text, frame, offset, noise))),
+        named("both", "Aborted", "Aborted"),
+        named("both", "Segmentation fault", "Segmentation fault"),
+        *BASE,
     )
 
 
-def lfortran(out: Column, err: Column) -> Column:
-    """Signals and internal errors carry the first three frames of the traceback but noise."""
-    text = F.concat(err, out)
+#: Frames are '<n> <binary> 0x<address> <symbol>('.
+clang = llvm(r"(?m)^\s*\d+\s+\S+\s+0x[0-9a-f]+\s+([A-Za-z_][\w:<>,~ &*]*?)\s*\(", r"(?m)^\s*\d+\s+(\S+)\s+(0x[0-9a-f]+)\s*$", NOISE)
+#: Frames are '#<n> 0x<address> <symbol>(', libraries '(lib+0x<offset>)'.
+flang = llvm(r"(?m)^\s*#\d+\s+0x[0-9a-f]+\s+([A-Za-z_][\w:<>,~ &*]*?)\s*\(", r"\(([^()\s]+?)\+(0x[0-9a-f]+)\)", FLANG_NOISE)
+#: G4.
+php = Cascade(*(said_by(t, part, f"({part}.*)") for part in ("Assertion: ", "SUMMARY: ") for t in ("err", "out")), *BASE)
+#: G5.
+swift = Cascade(*BASE, *(said_by(t, part, pattern) for part, pattern in (("Assertion failed: ", r"(Assertion failed: .*)"), ("While evaluating request ", r"\d+\.\s+(While evaluating request [^(]*)")) for t in ("err", "out")))
+#: A panic with up to three lines after it, 200 characters.
+haskell = Cascade(
+    said_by("lined", "ghc: panic!", r"ghc: panic!\s*\(the 'impossible' happened\)([^\n]*(?:\n[^\n]*){0,3})", "ghc panic: ", 200),
+    said_by("lined", "GHC internal error:", r"GHC internal error:\s*([^\n]+)", "GHC internal error: "),
+    said_by("lined", "internal error:", r"(?i)internal error:\s*([^\n]+)", "GHC internal error: ", fold=True),
+    said_by("lined", "RTS invariant", r"(RTS invariant[^\n]*)"),
+    named("lined", "internal inconsistency", "GHC: internal inconsistency"),
+    said_by("lined", "ASSERT failed!", r"(ASSERT failed![^\n]*)"),
+    named("lined", "Segmentation fault", "ghc: Segmentation fault"),
+    named("lined", "out of memory", "ghc: out of memory", fold=True),
+    *BASE,
+)
+
+
+def fortran_frames(text: Column) -> Column:
+    """The first three frames of the traceback but noise, in brackets; nothing without any."""
     head = "Traceback (most recent call last):\n"
     at = F.locate(head, text)
     body = F.array_join(F.slice(F.split(F.substring(text, at + len(head), F.length(text)), "\n", -1), 1, 80), "\n")
     names = F.slice(F.filter(F.transform(all_found(body, r", in ([A-Za-z_][\w:<>,~ &*0-9]*)"), strip), lambda n: (n != "") & ~n.rlike(LFORTRAN_NOISE)), 1, 3)
-    frames = F.when((at > 0) & (F.size(names) > 0), F.concat(F.lit(" ["), F.array_join(names, " > "), F.lit("]"))).otherwise(F.lit(""))
+    return F.when(at > 0, let(names, lambda n: F.when(F.size(n) > 0, F.concat(F.lit(" ["), F.array_join(n, " > "), F.lit("]"))).otherwise(F.lit("")))).otherwise(F.lit(""))
+
+
+def internal_error(text: Column) -> Column:
     inner = F.substring(text, F.locate("Internal Compiler Error", text), F.length(text))
     detail = r"\n(\w[\w:]*): (.+)"
-    ice = F.concat(F.lit("ICE"), F.coalesce(F.concat(F.lit(": "), found(inner, detail, 1), F.lit(": "), strip(found(inner, detail, 2))), F.lit("")), frames)
-    return either(
-        sanitizers(text),
-        when(text, "Internal Compiler Error", ice),
-        when(text, "Segfault: Signal SIGSEGV", F.concat(F.lit("SIGSEGV"), frames)),
-        when(text, "Abort: Signal SIGABRT", F.concat(F.lit("SIGABRT"), frames)),
-        tagged("terminate: ", found(text, r"terminate called after throwing an instance of '([^']+)'")),
-        tagged("runtime_error: ", strip(found(text, r"runtime_error:\s*([^\n]+)"))),
-        tagged("std::exception: ", strip(found(text, r"std::exception:\s*([^\n]+)"))),
-        when(text, "Unknown Exception", "Unknown Exception"),
-        when(text, "Aborted", "Aborted"),
-        when(text, "Segmentation fault", "Segmentation fault"),
-        base(out, err),
-    )
+    return F.concat(F.lit("ICE"), F.coalesce(F.concat(F.lit(": "), found(inner, detail, 1), F.lit(": "), strip(found(inner, detail, 2))), F.lit("")), fortran_frames(text))
 
 
-def generic(out: Column, err: Column) -> Column:
-    """What is left when a project's own cascade finds nothing."""
-    return let(F.concat(err, F.lit("\n"), out), lambda text: of_text(text, err))
+#: Signals and internal errors carry the first three frames of the traceback but noise.
+lfortran = Cascade(
+    *SANITIZERS,
+    Rule("both", "Internal Compiler Error", internal_error),
+    Rule("both", "Segfault: Signal SIGSEGV", lambda text: F.concat(F.lit("SIGSEGV"), fortran_frames(text))),
+    Rule("both", "Abort: Signal SIGABRT", lambda text: F.concat(F.lit("SIGABRT"), fortran_frames(text))),
+    Rule("both", "terminate called after throwing", lambda text: tagged("terminate: ", found(text, r"terminate called after throwing an instance of '([^']+)'"))),
+    said_by("both", "runtime_error:", r"runtime_error:\s*([^\n]+)", "runtime_error: "),
+    said_by("both", "std::exception:", r"std::exception:\s*([^\n]+)", "std::exception: "),
+    named("both", "Unknown Exception", "Unknown Exception"),
+    named("both", "Aborted", "Aborted"),
+    named("both", "Segmentation fault", "Segmentation fault"),
+    *BASE,
+)
 
 
 def said(text: Column) -> Column:
@@ -193,42 +214,68 @@ def said(text: Column) -> Column:
     return let(strip(found(text, r"(?i)error:\s+(.{4,120})")), lambda m: F.coalesce(again(m), F.concat(plain(m), at)))
 
 
-def of_text(text: Column, err: Column) -> Column:
-    asan = r"SUMMARY: AddressSanitizer:\s+(\S+).*?in (\S+)\s+(\S+:\d+)"
-    panic = r"panicked at ([^:]+\.rs:\d+:\d+):\s*\n?(.*)"
-    first = F.get(F.filter(F.transform(lines(err), strip), lambda x: (x != "") & ~x.startswith("=")), F.lit(0))
-    return either(
-        F.concat(F.lit("ASAN:"), found(text, asan, 1), F.lit("_in_"), found(text, asan, 2), F.lit("_at_"), found(text, asan, 3)),
-        tagged("ASAN:", F.substring(strip(found(text, r"SUMMARY: AddressSanitizer:\s+(.*)")), 1, 120)),
-        tagged("UBSAN:", F.substring(strip(found(text, r"SUMMARY: UndefinedBehaviorSanitizer:\s+(.*)")), 1, 120)),
-        F.substring(strip(found(text, r"internal compiler error:.*", 0)), 1, 200),
-        F.concat(F.lit("RustPanic:"), strip(found(text, panic, 1)), F.lit(":"), F.substring(strip(found(text, panic, 2)), 1, 80)),
-        tagged("Assertion:", strip(found(text, r"Assertion `(.{1,120})' failed"))),
-        tagged("LLVMAssert:", strip(found(text, r"Assertion failed: \((.{1,120})\)"))),
-        tagged("Unreachable:", strip(found(text, r"llvm_unreachable executed at ([^:]+:\d+)"))),
-        tagged("BackendError:", strip(found(text, r"fatal error: error in backend: (.{1,100})"))),
-        tagged("Error:", said(text)),
-        tagged("Signal:", found(text, r"(?i)signal:\s+(\w+)")),
-        F.when(F.contains(text, F.lit("Segmentation fault")) | F.contains(text, F.lit("SIGSEGV")), "SIGSEGV"),
-        F.when(F.contains(text, F.lit("Aborted")) | F.contains(text, F.lit("SIGABRT")), "SIGABRT"),
-        tagged("Stderr:", F.substring(first, 1, 120)),
-    )
-
-
-def reducer(out: Column, err: Column) -> Column:
-    """The form that reduction compares by."""
-    return either(*(strip(found(t, p)) for p in (r"(SUMMARY: .*)", r"(Assertion[^:]*:.*)") for t in (err, out)))
-
+def groups(pattern: str, *parts: str | int) -> Callable[[Column], Column]:
+    """Fixed texts and groups of the first match, joined."""
+    return lambda text: F.concat(*(F.lit(p) if isinstance(p, str) else strip(found(text, pattern, p)) for p in parts))
+
+
+def first_line(err: Column) -> Column:
+    own = F.get(F.filter(F.transform(lines(err), strip), lambda x: (x != "") & ~x.startswith("=")), F.lit(0))
+    return tagged("Stderr:", F.substring(own, 1, 120))
+
+
+#: Where a panic was.
+PANIC = r"panicked at ([^:]+\.rs:\d+:\d+):\s*\n?(.*)"
+#: What is left when a project's own cascade finds nothing.
+generic = Cascade(
+    Rule("lined", "SUMMARY: AddressSanitizer:", groups(r"SUMMARY: AddressSanitizer:\s+(\S+).*?in (\S+)\s+(\S+:\d+)", "ASAN:", 1, "_in_", 2, "_at_", 3)),
+    said_by("lined", "SUMMARY: AddressSanitizer:", r"SUMMARY: AddressSanitizer:\s+(.*)", "ASAN:", 120),
+    said_by("lined", "SUMMARY: UndefinedBehaviorSanitizer:", r"SUMMARY: UndefinedBehaviorSanitizer:\s+(.*)", "UBSAN:", 120),
+    said_by("lined", "internal compiler error:", r"internal compiler error:.*", most=200, group=0),
+    Rule("lined", "panicked at ", lambda text: F.concat(F.lit("RustPanic:"), strip(found(text, PANIC, 1)), F.lit(":"), F.substring(strip(found(text, PANIC, 2)), 1, 80))),
+    said_by("lined", "Assertion `", r"Assertion `(.{1,120})' failed", "Assertion:"),
+    said_by("lined", "Assertion failed: (", r"Assertion failed: \((.{1,120})\)", "LLVMAssert:"),
+    said_by("lined", "llvm_unreachable executed at ", r"llvm_unreachable executed at ([^:]+:\d+)", "Unreachable:"),
+    said_by("lined", "fatal error: error in backend: ", r"fatal error: error in backend: (.{1,100})", "BackendError:"),
+    Rule("lined", "error:", lambda text: tagged("Error:", said(text)), fold=True),
+    Rule("lined", "signal:", lambda text: tagged("Signal:", found(text, r"(?i)signal:\s+(\w+)")), fold=True),
+    Rule("lined", "", lambda text: F.when(F.contains(text, F.lit("Segmentation fault")) | F.contains(text, F.lit("SIGSEGV")), "SIGSEGV")),
+    Rule("lined", "", lambda text: F.when(F.contains(text, F.lit("Aborted")) | F.contains(text, F.lit("SIGABRT")), "SIGABRT")),
+    Rule("err", "", first_line),
+)
+#: The form that reduction compares by.
+reducer = Cascade(*(said_by(t, part, pattern) for part, pattern in (("SUMMARY: ", r"(SUMMARY: .*)"), ("Assertion", r"(Assertion[^:]*:.*)")) for t in ("err", "out")))
 
 #: A project's own cascade; rust and mlir have none, so the base is theirs.
-CASCADES: dict[str, Callable[[Column, Column], Column]] = {"cpython": cpython, "clang": clang, "php": php, "swift": swift, "haskell": haskell, "flang": flang, "lfortran": lfortran, "rust": base, "mlir": base}
+CASCADES: dict[str, Cascade] = {"cpython": cpython, "clang": clang, "php": php, "swift": swift, "haskell": haskell, "flang": flang, "lfortran": lfortran, "rust": base, "mlir": base}
 
 
-def signature_for(project: Column, out: Column, err: Column, cascades: dict[str, Callable[[Column, Column], Column]] = CASCADES) -> Column:
-    """The project's cascade, then the generic one; null if neither finds anything."""
+def signature_for(project: Column, out: Column, err: Column, cascades: dict[str, Cascade] = CASCADES) -> Column:
+    """G12 as one expression: the project's cascade, then the generic one; null if neither finds anything."""
     out, err = F.coalesce(out, F.lit("")), F.coalesce(err, F.lit(""))
     own = F.lit(None).cast("string")
     for name, cascade in cascades.items():
         own = F.when(project == name, cascade(out, err)).otherwise(own)
     # A signature that is found but empty is no signature.
     return F.coalesce(F.nullif(own, F.lit("")), generic(out, err))
+
+
+def with_signature(rows: DataFrame, project: Column, out: Column, err: Column, only: Column | None = None, name: str = "signature", cascades: dict[str, Cascade] = CASCADES, last: Cascade | None = generic) -> DataFrame:
+    """rows with their signatures by G12 in a new column; without a last cascade by the projects' own alone.
+
+    The texts that rules read are columns of a projection before, the rules of all cascades one of the next, so that their
+    code is generated and split. Only rows for which `only` holds get a signature. It is found once for each row: it is
+    marked as no fixed function of the row, as a condition on it would else be carried below and found there again.
+    """
+    text = lambda c: F.coalesce(c, F.lit("")) if only is None else F.when(only, F.coalesce(c, F.lit("")))
+    read = rows.withColumns({"__project": project, "__err": text(err), "__out": text(out)})
+    read = read.withColumns({"__both": F.concat("__err", "__out"), "__lined": F.concat("__err", F.lit("\n"), "__out")})
+    tried = lambda rules: F.coalesce(*(r.of(F.col(f"__{r.over}")) for r in rules))
+    owners: dict[Cascade, list[str]] = {}
+    for p, cascade in cascades.items():
+        owners.setdefault(cascade, []).append(p)
+    own = reduce(lambda rest, pair: F.when(F.col("__project").isin(*pair[1]), tried(pair[0].rules)).otherwise(rest), owners.items(), F.lit(None).cast("string"))
+    # A signature that is found but empty is no signature.
+    sig = F.nullif(own, F.lit("")) if last is None else F.coalesce(F.nullif(own, F.lit("")), tried(last.rules))
+    once = F.when(F.monotonically_increasing_id() >= 0, sig)
+    return read.withColumn(name, once).drop("__project", "__err", "__out", "__both", "__lined")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signatures as G
 from ..functions.text import all_found, found, let, strip, words
-from .tables import numbered
+from .tables import cut, numbered
 
 #: Words that name a kind of crash.
 KEYWORDS = ("SUMMARY:", "Assertion:", "ASAN:", "LLVM ERROR:", "compiler panic:", "compiler fatal:", "internal compiler error:", "Fatal Python error:", "INTERNAL PANIC:", "Check failed:", "Fatal error:", "Segmentation fault", "Bus error", "SIGSEGV", "SIGABRT")
@@ -21,7 +21,8 @@ BOILERPLATE = r"current parser token|at annotation token|<eof> parser at end of
 def with_signatures(runs: DataFrame) -> DataFrame:
     """runs with crashed, syntax_error and signature (of crashed rows only)."""
     crashed = G.crashed(F.col("project"), F.col("stdout"), F.col("stderr"))
-    return runs.withColumn("crashed", crashed).withColumn("syntax_error", G.syntax_error(F.col("stderr"), F.col("return_code"))).withColumn("signature", F.when(F.col("crashed"), G.signature_for(F.col("project"), F.col("stdout"), F.col("stderr"))))
+    marked = runs.withColumn("crashed", crashed).withColumn("syntax_error", G.syntax_error(F.col("stderr"), F.col("return_code")))
+    return G.with_signature(marked, F.col("project"), F.col("stdout"), F.col("stderr"), F.col("crashed"))
 
 
 def first_seen(crashes: DataFrame, known: DataFrame | None = None, order: str = "run_id") -> DataFrame:
@@ -37,11 +38,9 @@ def first_seen(crashes: DataFrame, known: DataFrame | None = None, order: str =
 
 def cluster_members(reports: DataFrame, name: str = "name", text: str = "text", project: str = "project") -> DataFrame:
     """(signature, member) of saved outputs, whose signature is found anew by the project's own cascade."""
-    own = F.lit(None).cast("string")
-    for p, cascade in G.CASCADES.items():
-        own = F.when(F.col(project) == p, cascade(F.lit(""), F.coalesce(F.col(text), F.lit("")))).otherwise(own)
-    found_anew = F.coalesce(F.when(own != "", own), F.concat(F.lit("(unrecognized) "), F.col(name).cast("string")))
-    return reports.select(found_anew.alias("signature"), F.col(name).cast("string").alias("member"))
+    own = G.with_signature(reports, F.col(project), F.lit(""), F.col(text), name="__own", last=None)
+    found_anew = F.coalesce("__own", F.concat(F.lit("(unrecognized) "), F.col(name).cast("string")))
+    return own.select(found_anew.alias("signature"), F.col(name).cast("string").alias("member"))
 
 
 def clusters(members: DataFrame, shown: int = 6) -> DataFrame:
@@ -164,32 +163,45 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda t: t != ""))
 
 
+def adjacent(tokens: Column) -> Column:
+    """The words of a list and each two that stand together, joined by a blank."""
+    pairs = F.when(F.size(tokens) > 1, F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.size(tokens) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    return F.concat(tokens, pairs)
+
+
 def match_issues(found_clusters: DataFrame, issues: DataFrame, shown: int = 5) -> DataFrame:
     """(signature, nth, term, total, top): for each search text the issues whose title or body holds all its phrases.
 
-    Issues are met by the rarest whole word of a text and checked by its phrases; top has up to `shown` numbers,
-    ascending. Words at the ends of a phrase may be parts of longer ones, so they are only used, by the words
-    that hold them, where no inner word exists.
+    Issues are met by the rarest whole word of a text, or the rarest two that stand together in a phrase, as all its words
+    may be common, and checked by its phrases; top has up to `shown` numbers, ascending, which are chosen in the tasks
+    before anything is shuffled, so that a text that hits every issue stays cheap. Words at the ends of a phrase may be
+    parts of longer ones, so they are only used, by the words that hold them, where no inner word exists.
     """
-    terms = found_clusters.select("signature", F.posexplode(search_terms(F.col("signature"))).alias("nth", "term")).withColumn("phrases", phrases(F.col("term")))
+    terms = cut(found_clusters.select("signature", F.posexplode(search_terms(F.col("signature"))).alias("nth", "term")).withColumn("phrases", phrases(F.col("term"))))
     body = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))
     whole = issues.select("number", body.alias("said"))
-    posted = whole.select("number", F.explode(tokens(F.col("said"))).alias("token"))
-    common = posted.groupBy("token").agg(F.count("*").alias("n"))
-    # A phrase's inner words stand whole in any text that holds the phrase.
-    inner = F.flatten(F.transform("phrases", lambda p: F.filter(F.split(F.lower(F.regexp_replace(F.regexp_replace(p, r"^[A-Za-z0-9_]+", ""), r"[A-Za-z0-9_]+$", "")), r"[^a-z0-9_]+"), lambda t: t != "")))
+    word_list = lambda text: F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda t: t != "")
+    # A phrase's inner words stand whole, and together, in any text that holds the phrase.
+    inner = F.flatten(F.transform("phrases", lambda p: adjacent(word_list(F.regexp_replace(F.regexp_replace(p, r"^[A-Za-z0-9_]+", ""), r"[A-Za-z0-9_]+$", "")))))
     keyed = terms.withColumn("inner", inner)
-    by_word = keyed.filter(F.size("inner") > 0).select("signature", "nth", F.explode("inner").alias("token")).join(common, "token", "left").groupBy("signature", "nth").agg(F.min_by("token", F.coalesce("n", F.lit(0))).alias("token"))
+    asked = keyed.filter(F.size("inner") > 0).select("signature", "nth", F.explode("inner").alias("token"))
     part = keyed.filter(F.size("inner") == 0).select("signature", "nth", F.get(F.transform("phrases", lambda p: F.lower(p)), F.lit(0)).alias("part"))
+    posted = whole.select("number", F.explode(F.array_distinct(adjacent(word_list(F.col("said"))))).alias("token"))
+    used = posted.join(asked.select("token").distinct(), "token", "left_semi")
+    common = used.groupBy("token").agg(F.count("*").alias("n"))
+    by_word = asked.join(common, "token", "left").groupBy("signature", "nth").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     # A word at the end of a phrase may be part of a longer one: those meet by their first three letters.
     grams = F.flatten(F.transform(F.array(*map(F.lit, range(4))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - n + 1, F.lit(1))), lambda i: F.substring("token", i, n))))
-    longer = common.select("token", F.explode(F.array_distinct(grams)).alias("gram"))
+    words_said = whole.select("number", F.explode(tokens(F.col("said"))).alias("token"))
+    longer = words_said.select("token").distinct().select("token", F.explode(F.array_distinct(grams)).alias("gram"))
     bit = F.regexp_extract("part", "[a-z0-9_]+", 0)
     edge = part.select("signature", "nth", bit.alias("bit"), F.substring(bit, 1, 3).alias("gram")).join(longer, "gram").filter(F.contains("token", F.col("bit"))).select("signature", "nth", "token")
-    met = by_word.select("signature", "nth", "token").unionByName(edge).join(posted, "token").select("signature", "nth", "number").distinct()
-    hits = met.join(terms, ["signature", "nth"]).join(whole, "number").filter(F.forall("phrases", lambda p: F.contains(F.lower("said"), F.lower(p))))
-    counted = hits.groupBy("signature", "nth").agg(F.count("*").alias("total"), F.slice(F.sort_array(F.collect_list("number")), 1, shown).alias("top"))
-    return terms.drop("phrases").join(counted, ["signature", "nth"], "left").select("signature", "nth", "term", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("top", F.array().cast("array<long>")).alias("top"))
+    met = by_word.join(used, "token").select("signature", "nth", "number").unionByName(edge.join(words_said, "token").select("signature", "nth", "number")).distinct()
+    hits = cut(met.join(terms, ["signature", "nth"]).join(whole, "number").filter(F.forall("phrases", lambda p: F.contains(F.lower("said"), F.lower(p)))).select("signature", "nth", "number"))
+    total = hits.groupBy("signature", "nth").agg(F.count("*").alias("total"))
+    place = F.row_number().over(W.partitionBy("signature", "nth").orderBy("number"))
+    top = hits.withColumn("place", place).filter(F.col("place") <= shown).groupBy("signature", "nth").agg(F.sort_array(F.collect_list("number")).alias("top"))  # `shown` numbers
+    return terms.drop("phrases").join(total.join(top, ["signature", "nth"]), ["signature", "nth"], "left").select("signature", "nth", "term", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("top", F.array().cast("array<long>")).alias("top"))
 
 
 def best_query(hits: DataFrame) -> DataFrame:

@@ -63,8 +63,13 @@ def query(sql: str | None = None):
     return put
 
 
+def runs_table(spark: SparkSession, sf_dir: str, name: str = "runs") -> DataFrame:
+    """A view of runs as a table: its texts are long expressions, which each mention would repeat."""
+    return cut(view(spark, sf_dir, name))
+
+
 def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triage.with_signatures(view(spark, sf_dir, "runs"))
+    return triage.with_signatures(runs_table(spark, sf_dir))
 
 
 def crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +88,7 @@ def p8_p9_run_flags(spark, sf_dir):
 
 @query(RUNS + "SELECT run_id, project, any_signature AS signature FROM signed")
 def g12_signatures(spark, sf_dir):
-    return view(spark, sf_dir, "runs").select("run_id", "project", G.signature_for(F.col("project"), F.col("stdout"), F.col("stderr")).alias("signature"))
+    return G.with_signature(runs_table(spark, sf_dir), F.col("project"), F.col("stdout"), F.col("stderr")).select("run_id", "project", "signature")
 
 
 @query(RUNS + r""", g AS (SELECT run_id, nullif(trim(regexp_extract(stderr, '(SUMMARY: [^\n]*)', 1)), '') AS a, nullif(trim(regexp_extract(stderr, '(Assertion[^:]*:[^\n]*)', 1)), '') AS b FROM runs)
@@ -215,9 +220,9 @@ def t10_issue_status(spark, sf_dir):
 
 
 def rerun_signatures(spark, sf_dir):
-    again = view(spark, sf_dir, "reruns")
+    again = runs_table(spark, sf_dir, "reruns")
     crashed = G.crashed(F.lit("clang"), F.lit(""), F.col("stderr"))
-    return again.select("bug_id", "label", F.when(crashed, G.signature_for(F.lit("clang"), F.lit(""), F.col("stderr"))).alias("signature"))
+    return G.with_signature(again.withColumn("crashed", crashed), F.lit("clang"), F.lit(""), F.col("stderr"), F.col("crashed"), cascades={"clang": G.clang}).select("bug_id", "label", "signature")
 
 
 ATTRIBUTED = cte("runs", "reruns") + r""", f AS (SELECT bug_id, label, CASE WHEN regexp_matches(stderr, 'SUMMARY: AddressSanitizer|SUMMARY: UndefinedBehaviorSanitizer|LLVM ERROR|Assertion `|Stack dump:|Segmentation fault|Aborted|core dumped') THEN coalesce(

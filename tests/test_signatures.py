@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,37 @@ def test_golden_signatures(spark):
     assert [got[i] for i in range(len(GOLDEN))] == [g[3] for g in GOLDEN]
 
 
+def test_golden_signatures_of_a_table(spark):
+    frame = spark.createDataFrame([(i, *g[:3]) for i, g in enumerate(GOLDEN)], "i int, project string, out string, err string")
+    signed = G.with_signature(frame, F.col("project"), F.col("out"), F.col("err"))
+    assert signed.columns == ["i", "project", "out", "err", "signature"]
+    assert [r.signature for r in signed.orderBy("i").collect()] == [g[3] for g in GOLDEN]
+    odd = G.with_signature(frame, F.col("project"), F.col("out"), F.col("err"), F.col("i") % 2 == 1).filter("signature IS NOT NULL")
+    assert {r.i: r.signature for r in odd.collect()} == {i: g[3] for i, g in enumerate(GOLDEN) if i % 2 and g[3] is not None}
+    own = G.with_signature(frame, F.col("project"), F.col("out"), F.col("err"), cascades={"rust": G.php}, last=None)
+    column = {r.i: r.s for r in frame.select("i", G.php(F.coalesce("out", F.lit("")), F.coalesce("err", F.lit(""))).alias("s")).collect()}
+    assert {r.i: r.signature for r in own.collect()} == {i: (column[i] or None) if g[0] == "rust" else None for i, g in enumerate(GOLDEN)}
+
+
+def test_a_table_of_signatures_is_planned_small(spark):
+    """Each rule stands once in the plan, whatever is asked of the signature."""
+    runs = spark.createDataFrame([("clang", "", "LLVM ERROR: x", 1)], "project string, stdout string, stderr string, return_code int")
+    plan = triage.with_signatures(runs).filter("crashed AND signature IS NOT NULL").groupBy("signature").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("BackendError:") == 1 and len(plan) < 60_000
+
+
+def test_a_text_that_every_issue_holds(spark):
+    said = lambda i: f"Issue {i}: the compiler panic in module m{i % 7} of the pass p{i % 3}, New{i % 5} != Old"
+    issues = spark.createDataFrame([(i, said(i), None if i % 2 else f"body {i}") for i in range(400)], "number long, title string, body string")
+    signatures = ["Assertion: the compiler panic in module", "Assertion: m3 of the pass p1,", "LLVM ERROR: of the pass", "ASAN: New2 != Old", "Assertion: nothing like it", "Segmentation fault"]
+    found = {(r.signature, r.nth): (r.term, r.total, r.top) for r in triage.match_issues(spark.createDataFrame([(s,) for s in signatures], "signature string"), issues).collect()}
+    for term, total, top in found.values():
+        parts = re.findall('"([^"]*)"', term) or [term]
+        hit = [i for i in range(400) if all(p.lower() in (said(i) + ("" if i % 2 else f"\nbody {i}")).lower() for p in parts)]
+        assert (total, top) == (len(hit), hit[:5])
+    assert max(n for _, n, _ in found.values()) == 400 and min(n for _, n, _ in found.values()) == 0
+
+
 @pytest.mark.parametrize(("out", "err", "want"), [("SUMMARY: x", "", True), ("", ": Assertion `", True), ("a", None, False)])
 def test_crashed(spark, out, err, want):
     frame = spark.createDataFrame([(out, err)], "o string, e string")
