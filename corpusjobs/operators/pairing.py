@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.profiles import base_symbol
+from ..functions.profiles import RUST_COPY, base_symbol, leaf_type
 from ..functions.text import draw, let, words
 from .tables import PART, cut, joined_in_parts, numbered
 
@@ -359,16 +359,31 @@ def typed_bridges(pairs: DataFrame, typed: DataFrame, rust: bool = False) -> Dat
 
     For Rust leaf types count, any two numbers match, and a type that does not copy needs a clone.
     """
-    from ..functions.profiles import RUST_COPY, leaf_type
-
-    numbers = [t for t in RUST_COPY if t not in ("bool", "char")]
-    key = F.when(leaf_type(F.col("type")).isin(*numbers), "number").otherwise(leaf_type(F.col("type"))) if rust else F.col("type")
-    keyed = typed.select("id", "name", "type", key.alias("key"))
+    keyed = typed.select("id", "name", "type", rust_key(F.col("type")).alias("key") if rust else F.col("type").alias("key"))
     a, b = (keyed.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "name", "type")), F.col("key")) for p in "ab")
     joined = pairs.join(a, pairs.id_lo == a.a_id).join(b.withColumnRenamed("key", "b_key"), (pairs.id_hi == F.col("b_id")) & (F.col("key") == F.col("b_key")))
     return joined.select("id_lo", "id_hi", F.col("a_name").alias("var_a"), F.col("b_name").alias("var_b"), F.col("a_type").alias("type_a"), (F.lit(rust) & ~leaf_type(F.col("a_type")).isin(*RUST_COPY)).alias("needs_clone"))
 
 
+def rust_key(kind: Column) -> Column:
+    """Equal keys mean compatible Rust types: leaf types, all numbers alike."""
+    numbers = [t for t in RUST_COPY if t not in ("bool", "char")]
+    return F.when(leaf_type(kind).isin(*numbers), "number").otherwise(leaf_type(kind))
+
+
+def ordered_bridges(lets: DataFrame, type_match: bool = True) -> DataFrame:
+    """J10 by the order of the merged statements, for Rust: (pair, from_seed, place_a, place_b, var_a, var_b, type_a, needs_clone).
+
+    lets: (pair, place, seed, name, type): the variables of both seeds of a pair by their places in the merged order. A
+    later variable may be bridged from any earlier one of the other seed, of a compatible type, or of any where types need
+    not match; a value whose type does not copy is cloned, as its own seed may use it later.
+    """
+    keyed = lets.withColumn("key", rust_key(F.col("type")) if type_match else F.lit(""))
+    a, b = (keyed.select("pair", "key", *(F.col(c).alias(f"{p}_{c}") for c in ("place", "seed", "name", "type"))) for p in "ab")
+    met = a.join(b, ["pair", "key"]).filter("a_place < b_place AND a_seed <> b_seed")
+    return met.select("pair", F.col("a_seed").alias("from_seed"), F.col("a_place").alias("place_a"), F.col("b_place").alias("place_b"), F.col("a_name").alias("var_a"), F.col("b_name").alias("var_b"), F.col("a_type").alias("type_a"), (~leaf_type(F.col("a_type")).isin(*RUST_COPY)).alias("needs_clone"))
+
+
 def name_conflicts(pairs: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs with the sorted top-level names that both seeds define; names: (id, names)."""
     a, b = names.select(F.col("id").alias("id_lo"), F.col("names").alias("na")), names.select(F.col("id").alias("id_hi"), F.col("names").alias("nb"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexing as X
@@ -105,7 +109,8 @@ def f11_haskell_profile(spark, sf_dir):
         p = S.haskell_profile(text)
         return ["|".join(x) for x in (p["toplevel_names"], [h["name"] for h in p["state_handles"]], p["state_used"], p["imports"], p["pragmas"])]
 
-    rows = more(spark, sf_dir, "haskell").select("seed_no", X.vectorised(parts, "array<string>")("content").alias("p"))
+    rows = more(spark, sf_dir, "haskell").select("seed_no", "content")
+    rows = X.scanned(rows, p=(X.Scan(parts, "array<string>", X.WORDS), "content"))
     return rows.select("seed_no", *(F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("names", "handles", "used", "imports", "pragmas"))))
 
 
@@ -132,6 +137,18 @@ def u1_u2_profilers(spark, sf_dir):
     return out
 
 
+@query(cte("more_code", "code_seeds") + r""" SELECT seed_no, ['c', 'cpp', 'objc'][seed_no % 3 + 1] AS type, CASE WHEN regexp_matches(content, '\b(?:class|struct|union|enum)\s+[A-Za-z_]\w*') THEN 'declares' ELSE '' END AS said FROM (SELECT seed_no, CASE WHEN seed_no % 5 = 0 THEN replace(content, 'struct', 'strict') ELSE content END AS content FROM code_seeds WHERE type = 'clang')
+UNION ALL SELECT seed_no, ['naga', 'wgslc'][seed_no % 2 + 1], array_to_string(regexp_extract_all(content, 'fn\s+(\w+)', 1), '|') || ';' || regexp_extract(content, 'struct\s+(\w+)', 1) FROM more_code WHERE type = 'wgsl'""")
+def u2_more_profilers(spark, sf_dir):
+    """Seeds under the names of dialects and tools that share a profiler."""
+    pick = lambda *names: F.get(F.array(*map(F.lit, names)), (F.col("seed_no") % len(names)).cast("int")).alias("type")
+    c = code(spark, sf_dir).filter("type = 'clang'").select("seed_no", F.when(F.col("seed_no") % 5 == 0, F.replace("content", F.lit("struct"), F.lit("strict"))).otherwise(F.col("content")).alias("content"), pick("c", "cpp", "objc"))
+    w = more(spark, sf_dir, "wgsl").select("seed_no", "content", pick("naga", "wgslc"))
+    said = [P.profile_seeds(c, t).select("seed_no", "type", F.when(F.col("profile.has_declaration"), "declares").otherwise("").alias("said")) for t in ("c", "CPP", "objc")]
+    said += [P.profile_seeds(w, t).select("seed_no", "type", F.concat_ws(";", F.array_join("profile.functions", "|"), F.array_join("profile.structs", "|")).alias("said")) for t in ("naga", "wgslc")]
+    return reduce(DataFrame.unionByName, said)
+
+
 @query(cte("more_code") + """, m AS (SELECT seed_no, p FROM (SELECT seed_no, map {'a': 'x', 'k' || seed_no % 3: 's'} AS p FROM more_code)) SELECT seed_no, array_to_string(list_sort(list_concat(['a:x'], CASE WHEN seed_no % 4 = 0 THEN ['k' || seed_no % 3 || ':s'] WHEN seed_no % 3 = 1 THEN ['k1:d'] ELSE ['k' || seed_no % 3 || ':s', 'k1:d'] END)), '|') AS merged FROM m""")
 def u4_merged(spark, sf_dir):
     static = F.create_map(F.lit("a"), F.lit("x"), F.concat(F.lit("k"), F.col("seed_no") % 3), F.lit("s"))
@@ -148,7 +165,7 @@ LINES = CODE + r""", l AS (SELECT seed_no, type, i - 1 AS i, line, CASE type WHE
 
 @query(LINES + "SELECT seed_no, string_agg(code, chr(10) ORDER BY i) AS code FROM l GROUP BY seed_no")
 def x1_code_only(spark, sf_dir):
-    return code(spark, sf_dir).select("seed_no", X.columns()["code"]("content", "type").alias("code"))
+    return X.scanned(code(spark, sf_dir).select("seed_no", "content", "type"), code=("code", "content", "type")).select("seed_no", "code")
 
 
 @query(CODE + r"""SELECT seed_no, regexp_replace(regexp_replace(content, '#[^\n]*', ' ', 'g'), '"[^"\n]*"', ' ', 'g') AS bare FROM code_seeds WHERE type = 'cpython'""")
@@ -158,7 +175,7 @@ def x2_strip_python(spark, sf_dir):
 
 @query(MORE + r"""SELECT seed_no, regexp_replace(regexp_replace(regexp_replace(content, '\{-#[^}]*\}', repeat(' ', length(regexp_extract(content, '\{-#[^}]*\}', 0)))), '"[^"]*"', repeat(' ', length(regexp_extract(content, '"[^"]*"', 0)))), '--[^\n]*', repeat(' ', length(regexp_extract(content, '--[^\n]*', 0)))) AS shadow FROM more_code WHERE type = 'haskell'""")
 def x3_haskell_shadow(spark, sf_dir):
-    return more(spark, sf_dir, "haskell").select("seed_no", X.vectorised(S.haskell_shadow, "string")("content").alias("shadow"))
+    return X.scanned(more(spark, sf_dir, "haskell").select("seed_no", "content"), shadow=(X.Scan(S.haskell_shadow, "string", pa.string()), "content")).select("seed_no", "shadow")
 
 
 #: Names that live at each line: in Python and PHP until the next unit, else until the block around the declaration closes.
@@ -173,7 +190,8 @@ v AS (SELECT s.seed_no, s.i, s.line, s.code, s.type, CAST(count(DISTINCT n.name)
 
 @query(LIVE + "SELECT seed_no, string_agg(CAST(live AS VARCHAR), ',' ORDER BY i) AS counts FROM v GROUP BY seed_no")
 def x4_live_counts(spark, sf_dir):
-    return code(spark, sf_dir).select("seed_no", F.array_join(X.columns()["live_counts"]("content", "type").cast("array<string>"), ",").alias("counts"))
+    rows = X.scanned(code(spark, sf_dir).select("seed_no", "content", "type"), counts=("live_counts", "content", "type"))
+    return rows.select("seed_no", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
 
 
 #: Safe lines: blank, or at least half of their letters are code.
@@ -182,19 +200,34 @@ POINTS = LIVE + r""", p AS (SELECT *, max(live) OVER (PARTITION BY seed_no) AS m
 
 @query(POINTS + " SELECT * FROM q")
 def x5_complex_states(spark, sf_dir):
-    return code(spark, sf_dir).select("seed_no", F.explode(X.columns()["complex_states"]("content", "type")).alias("p")).select("seed_no", "p.line_idx", "p.category", "p.indent")
+    return states(spark, sf_dir).select("seed_no", F.explode("p").alias("p")).select("seed_no", "p.line_idx", "p.category", "p.indent")
+
+
+def states(spark, sf_dir):
+    return X.scanned(code(spark, sf_dir).select("seed_no", "content", "type"), p=("complex_states", "content", "type"))
 
 
 @query(POINTS + ", g AS (SELECT seed_no, list(line_idx ORDER BY line_idx) AS places FROM q GROUP BY seed_no) SELECT seed_no, places[CAST('0x' || left(md5('4|' || seed_no), 8) AS BIGINT) % len(places) + 1] AS line_idx FROM g")
 def x6_pick_point(spark, sf_dir):
-    points = code(spark, sf_dir).select("seed_no", X.columns()["complex_states"]("content", "type").alias("p"))
-    return points.filter(F.size("p") > 0).select("seed_no", X.pick_point(F.col("p"), 4, F.col("seed_no"))["line_idx"].alias("line_idx"))
+    return states(spark, sf_dir).filter(F.size("p") > 0).select("seed_no", X.pick_point(F.col("p"), 4, F.col("seed_no"))["line_idx"].alias("line_idx"))
+
+
+@query(cte("code_seeds") + r""", l AS (SELECT seed_no, string_split(content, chr(10)) AS ls, CASE seed_no % 3 WHEN 1 THEN [7, 8] WHEN 2 THEN [] END AS cached FROM code_seeds WHERE type = 'cpython'), d AS (SELECT *, CAST('0x' || left(md5('4|' || seed_no), 8) AS BIGINT) AS d, CAST('0x' || left(md5('6|' || seed_no), 8) AS BIGINT) AS e FROM l)
+SELECT seed_no, CAST(e % len(ls) AS INTEGER) AS any_line, regexp_extract(ls[e % len(ls) + 1], '^[ \t]*', 0) AS indent, CAST(CASE WHEN len(cached) > 0 THEN cached[d % 2 + 1] WHEN cached IS NULL THEN 1 + d % 1 END AS INTEGER) AS line_idx FROM d""")
+def x6_any_and_cached_points(spark, sf_dir):
+    """Any line of Python seeds, and a point where some have cached ones, or none."""
+    rows = states(spark, sf_dir).filter("type = 'cpython'")
+    point = lambda i: F.struct(F.lit(i).alias("line_idx"), F.lit("").alias("category"), F.lit("").alias("matched_text"), F.lit("").alias("indent"))
+    cached = F.when(F.col("seed_no") % 3 == 1, F.array(point(7), point(8))).when(F.col("seed_no") % 3 == 2, F.array().cast(f"array<{X.POINT}>"))
+    some, least = X.any_point(F.col("content"), 6, F.col("seed_no")), F.slice("p", 1, 1)
+    return rows.select("seed_no", some["line_idx"].alias("any_line"), some["indent"].alias("indent"), X.pick_point(least, 4, F.col("seed_no"), cached)["line_idx"].alias("line_idx"))
 
 
 @query(LIVE + ", e AS (SELECT a.seed_no, min(b.i) AS at FROM s a JOIN s b ON a.seed_no = b.seed_no AND a.i = 2 AND b.i >= 2 AND b.depth < a.before WHERE a.type IN ('rust', 'clang') GROUP BY 1) SELECT c.seed_no, CAST(coalesce(e.at, c.n) AS INTEGER) AS line FROM (SELECT seed_no, count(*) AS n FROM s WHERE type IN ('rust', 'clang') GROUP BY 1) c LEFT JOIN e ON e.seed_no = c.seed_no")
 def x7_balanced_end(spark, sf_dir):
     """Where a continuation from the third line closes a bracket that it did not open."""
-    return code(spark, sf_dir).filter("type IN ('rust', 'clang')").select("seed_no", X.columns()["balanced_end"]("content", "type", F.lit(2)).alias("line"))
+    rows = code(spark, sf_dir).filter("type IN ('rust', 'clang')").select("seed_no", "content", "type", F.lit(2).alias("start"))
+    return X.scanned(rows, line=("balanced_end", "content", "type", "start")).select("seed_no", "line")
 
 
 # -- signatures -----------------------------------------------------------------------------------

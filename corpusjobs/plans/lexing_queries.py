@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import lexing as X
@@ -33,14 +34,26 @@ def code(spark, sf_dir):
 @query(cte("code_seeds") + r"""SELECT seed_no, CASE type WHEN 'php' THEN '$b|' || regexp_extract(content, '(\$a\d)', 1) || '|$c'
   ELSE regexp_extract(content, 'struct (\w+)', 1) || '|a;' || regexp_extract(content, 'int (g\d)', 1) || '|x|y' || CASE WHEN regexp_extract(content, 'int (g\d)', 1) = regexp_extract(content, '\+ (g\d)', 1) THEN '' ELSE '|' || regexp_extract(content, '\+ (g\d)', 1) END END AS groups FROM code_seeds WHERE type IN ('clang', 'php')""")
 def x8_same_line_groups(spark, sf_dir):
-    groups = X.columns()["same_line_groups"]("content", "type")
-    return code(spark, sf_dir).filter("type IN ('clang', 'php')").select("seed_no", F.array_join(F.transform(groups, lambda g: F.array_join(g, "|")), ";").alias("groups"))
+    rows = X.scanned(code(spark, sf_dir).filter("type IN ('clang', 'php')").select("seed_no", "content", "type"), groups=("same_line_groups", "content", "type"))
+    return rows.select("seed_no", joined_groups())
+
+
+def joined_groups():
+    return F.array_join(F.transform("groups", lambda g: F.array_join(g, "|")), ";").alias("groups")
+
+
+@query(cte("more_code") + r""", f AS (SELECT seed_no, 'P' || regexp_extract(content, 'program p(\d)', 1) AS p, regexp_extract(content, 'integer :: a, b(\d)', 1) AS b, regexp_extract(content, ':: C(\d)', 1) AS c FROM more_code WHERE type = 'flang')
+SELECT seed_no, unnest([false, true]) AS fixed_form, unnest([p || ';A|B' || b || ';C' || c || ';S|A2|X;C|NOTE', p || ';A|B' || b || ';C' || c || ';S|A2|X']) AS groups FROM f""")
+def x8_fortran_groups(spark, sf_dir):
+    """Fortran seeds with lines that join strings, hold exclamation marks in comments and begin with a C, read in both forms."""
+    more = F.concat("content", F.lit("\n  s = a2 // 'x! y'\nC note = 1 ! d = e"))
+    rows = view(spark, sf_dir, "more_code").filter("type = 'flang'").select("seed_no", more.alias("content"), "type", F.explode(F.array(F.lit(False), F.lit(True))).alias("fixed_form"))
+    return X.scanned(rows, groups=("same_line_groups", "content", "type", "fixed_form")).select("seed_no", "fixed_form", joined_groups())
 
 
 @query(cte("code_seeds") + r"""SELECT seed_no, regexp_extract(content, 'return (v\d) \+ (w\d)', 1) || '|' || regexp_extract(content, 'return (v\d) \+ (w\d)', 2) AS groups FROM code_seeds WHERE type = 'cpython'""")
 def x9_python_groups(spark, sf_dir):
-    groups = X.columns()["python_groups"]("content")
-    return code(spark, sf_dir).filter("type = 'cpython'").select("seed_no", F.array_join(F.transform(groups, lambda g: F.array_join(g, "|")), ";").alias("groups"))
+    return X.scanned(code(spark, sf_dir).filter("type = 'cpython'").select("seed_no", "content"), groups=("python_groups", "content")).select("seed_no", joined_groups())
 
 
 #: Every document twice, every other one with a crash between; of texts over 1,500 characters 2 lines before the crash and 4 from it are kept, or the last 4.
@@ -89,28 +102,29 @@ def d4_select_diverse(spark, sf_dir):
     return diverse.select_diverse(rows, 20, 5)
 
 
+PHP_NAMES = X.Scan(lambda s: list(S.php_defines_uses(s, P.PHP_SKIP)), "array<array<string>>", X.GROUPS)
+
+
 @query(cte("code_seeds") + r""", p AS (SELECT seed_no, content, regexp_extract(content, '(\$a\d)', 1) AS a, regexp_extract(content, 'function (h\d)', 1) AS h FROM code_seeds WHERE type = 'php')
 SELECT seed_no, unnest([0, 1, 2]) AS unit, unnest(['<?php' || chr(10) || a || ' = 1;', '$b = ' || a || ' + 2;', '// $c' || chr(10) || 'function ' || h || '() { return $b; }']) AS statement, unnest([a, '$b', h]) AS defines, unnest([a, a || '|$b', '$b|$c|' || h]) AS uses FROM p""")
 def x10_x11_php_statements(spark, sf_dir):
-    own = code(spark, sf_dir).filter("type = 'php'")
-    units = own.select("seed_no", F.posexplode(X.vectorised(S.php_statements, "array<string>")("content")).alias("unit", "statement"))
-    both = X.vectorised(lambda s: list(S.php_defines_uses(s, P.PHP_SKIP)), "array<array<string>>")
-    return units.withColumn("names", both("statement")).select("seed_no", "unit", "statement", F.array_join(F.get("names", F.lit(0)), "|").alias("defines"), F.array_join(F.get("names", F.lit(1)), "|").alias("uses"))
+    own = X.scanned(code(spark, sf_dir).filter("type = 'php'").select("seed_no", "content"), statements=(X.Scan(S.php_statements, "array<string>", X.WORDS), "content"))
+    units = own.select("seed_no", F.posexplode("statements").alias("unit", "statement"))
+    return X.scanned(units, names=(PHP_NAMES, "statement")).select("seed_no", "unit", "statement", F.array_join(F.get("names", F.lit(0)), "|").alias("defines"), F.array_join(F.get("names", F.lit(1)), "|").alias("uses"))
 
 
 @query(cte("code_seeds") + r"""SELECT seed_no, unnest([0, 1, 2]) AS unit, unnest([regexp_extract(content, '^(struct [^}]*\})', 1), ';', regexp_extract(content, '(int g[\s\S]*\})', 1)]) AS statement,
 unnest([regexp_extract(content, 'struct (\w+)', 1), '', regexp_extract(content, 'int (g\d)', 1) || '|y']) AS defines, unnest([regexp_extract(content, 'struct (\w+)', 1), '', regexp_extract(content, 'int (g\d)', 1)]) AS shared,
 unnest([array_to_string(list_sort([regexp_extract(content, 'struct (\w+)', 1), 'a']), '|'), '', array_to_string(list_sort(list_distinct([regexp_extract(content, 'int (g\d)', 1), regexp_extract(content, '\+ (g\d)', 1), 'x', 'y', 'z'])), '|')]) AS uses FROM code_seeds WHERE type = 'clang'""")
 def x10_x11_c_statements(spark, sf_dir):
-    own = code(spark, sf_dir).filter("type = 'clang'")
-    units = own.select("seed_no", F.posexplode(X.vectorised(S.c_statements, "array<string>")("content")).alias("unit", "statement"))
+    own = X.scanned(code(spark, sf_dir).filter("type = 'clang'").select("seed_no", "content"), statements=(X.Scan(S.c_statements, "array<string>", X.WORDS), "content"))
+    units = own.select("seed_no", F.posexplode("statements").alias("unit", "statement"))
     return named(units, lambda s: list(S.c_defines_uses(s, P.C_KEYWORDS)))
 
 
 def named(units, parts):
     """units with what each statement defines, shares and uses."""
-    names = X.vectorised(parts, "array<array<string>>")
-    return units.withColumn("names", names("statement")).select("seed_no", "unit", "statement", *(F.array_join(F.get("names", F.lit(i)), "|").alias(n) for i, n in enumerate(("defines", "shared", "uses"))))
+    return X.scanned(units, names=(X.Scan(parts, "array<array<string>>", X.GROUPS), "statement")).select("seed_no", "unit", "statement", *(F.array_join(F.get("names", F.lit(i)), "|").alias(n) for i, n in enumerate(("defines", "shared", "uses"))))
 
 
 FORTRAN = cte("more_code") + r""", l AS (SELECT seed_no, line, unit FROM (SELECT seed_no, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS unit FROM more_code WHERE type = 'flang')),
@@ -125,17 +139,16 @@ def x10_x11_fortran_statements(spark, sf_dir):
 
 
 def fortran_units(spark, sf_dir):
-    own = view(spark, sf_dir, "more_code").filter("type = 'flang'")
-    return own.select("seed_no", F.posexplode(X.vectorised(S.fortran_statements, "array<string>")("content")).alias("unit", "statement"))
+    own = X.scanned(view(spark, sf_dir, "more_code").filter("type = 'flang'").select("seed_no", "content"), statements=(X.Scan(S.fortran_statements, "array<string>", X.WORDS), "content"))
+    return own.select("seed_no", F.posexplode("statements").alias("unit", "statement"))
 
 
 @query(FORTRAN + """, e AS (SELECT b.seed_no, b.unit AS later, a.unit AS earlier FROM u a JOIN u b ON a.seed_no = b.seed_no AND a.unit <> b.unit AND list_has_any(a.d, b.s)) SELECT seed_no, later, earlier FROM e UNION SELECT seed_no, unit, unit - 1 FROM u WHERE unit > 0""")
 def j14_fortran_edges(spark, sf_dir):
     """What each statement of a Fortran seed must follow: what it uses, and within a unit the statement before it."""
     units = fortran_units(spark, sf_dir)
-    found = X.vectorised(lambda s: list(S.fortran_defines_uses(s)), "array<array<string>>")
-    kind = X.vectorised(S.fortran_kind, "string")
-    rows = units.withColumn("names", found("statement")).withColumn("kind", kind("statement")).select(F.col("seed_no").alias("pair"), F.col("seed_no").alias("seed"), "unit", *(F.get("names", F.lit(i)).alias(n) for i, n in enumerate(("defines", "shared", "uses"))), F.when(F.col("kind") == "unit_open", 1).when(F.col("kind") == "unit_close", -1).otherwise(0).alias("opens"))
+    names, kind = X.Scan(lambda s: list(S.fortran_defines_uses(s)), "array<array<string>>", X.GROUPS), X.Scan(S.fortran_kind, "string", pa.string())
+    rows = X.scanned(units, names=(names, "statement"), kind=(kind, "statement")).select(F.col("seed_no").alias("pair"), F.col("seed_no").alias("seed"), "unit", *(F.get("names", F.lit(i)).alias(n) for i, n in enumerate(("defines", "shared", "uses"))), F.when(F.col("kind") == "unit_open", 1).when(F.col("kind") == "unit_close", -1).otherwise(0).alias("opens"))
     return pairing.statement_edges(rows).unionByName(pairing.unit_order_edges(rows)).distinct().select(F.col("pair").alias("seed_no"), "later", "earlier")
 
 
@@ -144,10 +157,9 @@ u AS (SELECT pair, seed_no, seed_no * 100 + unnest([0, 1, 2]) AS unit, unnest([a
 SELECT DISTINCT y.pair, y.unit AS later, x.unit AS earlier FROM u x JOIN u y ON x.pair = y.pair AND x.unit <> y.unit AND list_contains(y.uses, x.made) AND (x.seed_no = y.seed_no OR NOT starts_with(x.made, '$'))""")
 def j14_statement_edges(spark, sf_dir):
     """PHP seeds in pairs: which of their statements must follow which."""
-    own = code(spark, sf_dir).filter("type = 'php'")
-    units = own.select("seed_no", F.posexplode(X.vectorised(S.php_statements, "array<string>")("content")).alias("unit", "statement"))
-    names = X.vectorised(lambda s: list(S.php_defines_uses(s, P.PHP_SKIP)), "array<array<string>>")
-    rows = units.withColumn("names", names("statement")).select((F.col("seed_no") - F.col("seed_no") % 8).alias("pair"), F.col("seed_no").alias("seed"), (F.col("seed_no") * 100 + F.col("unit")).alias("unit"), F.get("names", F.lit(0)).alias("defines"), F.get("names", F.lit(1)).alias("uses"))
+    own = X.scanned(code(spark, sf_dir).filter("type = 'php'").select("seed_no", "content"), statements=(X.Scan(S.php_statements, "array<string>", X.WORDS), "content"))
+    units = own.select("seed_no", F.posexplode("statements").alias("unit", "statement"))
+    rows = X.scanned(units, names=(PHP_NAMES, "statement")).select((F.col("seed_no") - F.col("seed_no") % 8).alias("pair"), F.col("seed_no").alias("seed"), (F.col("seed_no") * 100 + F.col("unit")).alias("unit"), F.get("names", F.lit(0)).alias("defines"), F.get("names", F.lit(1)).alias("uses"))
     return pairing.statement_edges(rows)
 
 

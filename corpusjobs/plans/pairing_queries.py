@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import profiles as P
 from ..operators import pairing as J
-from .views import VIEWS, cte, view
+from .views import VIEWS, cte, escaped, view
 
 QUERIES, ORACLES = {}, {}
 
@@ -290,3 +290,41 @@ def j16_declaration_pairs(spark, sf_dir):
     return J.declaration_pairs(own.selectExpr("seed_no AS id_lo", "seed_no + 4 AS id_hi"), heads.select("id", F.col("h.name").alias("host")), heads.select("id", F.col("h.name").alias("donor"), F.col("h.template").alias("template")))
 
 
+
+
+TYPED_MLIR = r"""SELECT seed_no, replace(replace(content, '(%a: i32)', concat('(%a: i32, %m: memref<4x', 'f', CASE WHEN seed_no % 4 < 2 THEN '32' ELSE '64' END, ', strided<[1], offset: 3>>, %t: tensor<2xindex>)')), 'func @g() {}', concat('func.func @g(%v: vector<', seed_no % 5 + 1, 'xi8>) -> (index, i', seed_no % 3 + 1, ') {}')) AS content FROM more_code WHERE type = 'mlir'"""
+
+
+@query(cte("more_code") + f", t AS ({TYPED_MLIR})" + r""", y AS (SELECT seed_no, list_sort(list_distinct(['i32', 'memref<4x' || CASE WHEN seed_no % 4 < 2 THEN 'f32' ELSE 'f64' END || ', strided<[1], offset: 3>>', 'tensor<2xindex>', 'vector<' || seed_no % 5 + 1 || 'xi8>', 'index', 'i' || seed_no % 3 + 1])) AS types FROM t)
+SELECT a.seed_no AS id_lo, b.seed_no AS id_hi, unnest(regexp_extract_all(c.content, 'func\.func @(\w+)', 1)) AS host, array_to_string(list_filter(b.types, lambda x: NOT list_contains(a.types, x)), '|') AS donor FROM y a JOIN y b ON b.seed_no = a.seed_no + 6 JOIN t c ON c.seed_no = a.seed_no WHERE len(list_filter(b.types, lambda x: NOT list_contains(a.types, x))) > 0""")
+def j16_mlir_donors(spark, sf_dir):
+    """MLIR seeds in pairs: the functions of the first, and the types in signatures of the second that the first has in none."""
+    own = spark.sql("WITH more_code AS (SELECT * FROM {more_code}) " + escaped(TYPED_MLIR), more_code=view(spark, sf_dir, "more_code"))
+    typed = own.select("seed_no", F.transform(P.mlir_signatures(F.col("content")), lambda s: s["name"]).alias("names"), P.mlir_donor_types(F.col("content")).alias("types"))
+    a, b = typed.toDF("id_lo", "hosts", "host_types"), typed.select((F.col("seed_no") - 6).alias("id_lo"), F.col("seed_no").alias("id_hi"), F.col("types").alias("donor_types"))
+    new = a.join(b, "id_lo").withColumn("new", F.array_except("donor_types", "host_types")).filter(F.size("new") > 0)
+    return new.select("id_lo", "id_hi", F.explode("hosts").alias("host"), joined("new").alias("donor"))
+
+
+TYPED_FORTRAN = r"""SELECT seed_no, concat('module m', chr(10), '  type :: Base', seed_no % 5, chr(10), '  end type', chr(10), '  TYPE, ', CASE WHEN seed_no % 4 < 2 THEN 'public' ELSE 'Extends (Other)' END, ' :: Child', seed_no % 7, chr(10), '  end type', chr(10), content) AS content FROM more_code WHERE type = 'flang'"""
+
+
+@query(cte("more_code") + f", t AS ({TYPED_FORTRAN})" + r""", h AS (SELECT seed_no, unnest(CASE WHEN seed_no % 4 < 2 THEN ['Base' || seed_no % 5, 'Child' || seed_no % 7] ELSE ['Base' || seed_no % 5] END) AS host FROM t), d AS (SELECT seed_no, unnest(['Base' || seed_no % 5, 'Child' || seed_no % 7]) AS donor FROM t)
+SELECT h.seed_no AS id_lo, d.seed_no AS id_hi, host, donor FROM h JOIN d ON d.seed_no = h.seed_no + 6 WHERE host <> donor""")
+def j16_fortran_extends(spark, sf_dir):
+    """Fortran seeds in pairs: types of the first that extend none yet, and types of the second."""
+    own = spark.sql("WITH more_code AS (SELECT * FROM {more_code}) " + TYPED_FORTRAN, more_code=view(spark, sf_dir, "more_code"))
+    heads = P.declaration_headers(F.col("content"), "flang")
+    hosts = own.select(F.col("seed_no").alias("id"), F.explode(P.extendable(heads)).alias("h")).select("id", F.col("h.name").alias("host"))
+    donors = own.select(F.col("seed_no").alias("id"), F.explode(heads).alias("h")).select("id", F.col("h.name").alias("donor"), F.lit(False).alias("template"))
+    return J.declaration_pairs(own.selectExpr("seed_no AS id_lo", "seed_no + 6 AS id_hi"), hosts, donors)
+
+
+@query(CODE + r""", l AS (SELECT seed_no - (seed_no // 4 % 2) * 4 AS pair, seed_no // 4 % 2 AS side, unnest([regexp_extract(content, 'mut (a\d)', 1), 's', 'z']) AS name, unnest(['i32', 'String', 'u8']) AS type, unnest([4, 5, 5]) AS line FROM code_seeds WHERE type = 'rust'), p AS (SELECT *, 2 * line + side AS place FROM l)
+SELECT a.pair, a.name AS var_a, b.name AS var_b, a.type AS type_a, a.side = 0 AS first_to_second, a.type = 'String' AS needs_clone FROM p a JOIN p b ON a.pair = b.pair AND a.side <> b.side AND (a.type = 'String') = (b.type = 'String') AND a.place < b.place""")
+def j10_ordered_bridges(spark, sf_dir):
+    """Rust seeds in pairs whose lines alternate: which earlier variable of one may stand for a later one of the other."""
+    own = code(spark, sf_dir, "rust").select("seed_no", F.posexplode(F.split("content", "\n")).alias("line", "text")).select("seed_no", "line", P.rust_profile(F.col("text"))["var_types"].alias("types"))
+    side = F.floor(F.col("seed_no") / 4) % 2
+    lets = own.select((F.col("seed_no") - side * 4).alias("pair"), side.alias("seed"), (2 * F.col("line") + side).alias("place"), F.explode("types").alias("name", "type"))
+    return J.ordered_bridges(lets).select("pair", "var_a", "var_b", "type_a", (F.col("from_seed") == 0).alias("first_to_second"), "needs_clone")

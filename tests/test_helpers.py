@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from corpusjobs.functions import text as T
 from corpusjobs.operators import corpus as C
 from corpusjobs.operators import diverse
 from corpusjobs.operators import pairing as J
+from corpusjobs.operators import tables
 
 
 def one(spark, value, expression):
@@ -116,10 +118,9 @@ def test_grafts_and_bridges():
 
 
 def test_columns_give_null_for_what_cannot_be_read(spark):
-    own = X.columns()
     frame = spark.createDataFrame([("a = 1", "python"), (None, "python"), ("", "clang")], "t string, l string")
-    assert [r.x for r in frame.select(own["live_counts"]("t", "l").alias("x")).collect()] == [[1], None, []]
-    assert [r.x for r in frame.select(own["complex_states"]("t", "l").alias("x")).collect()][0][0].category == "live1"
+    found = X.scanned(frame, x=("live_counts", "t", "l"), y=("complex_states", "t", "l")).collect()
+    assert [r.x for r in found] == [[1], None, []] and found[0].y[0].category == "live1"
     assert [r.x for r in frame.select(X.truncated(F.col("t"), 3).alias("x")).collect()][1:] == [None, ""]
 
 
@@ -242,3 +243,36 @@ def test_fortran_and_php_texts(spark):
     assert one(spark, "x = y + 1.5e3 // 'it''s'", lambda c: P.normalize_fortran(c, ("IF",))) == "_ = _ + 0 // '_'"
     assert one(spark, "a('// no', \"# no\"); // c\n/* d\n*/ b; # e", P.strip_php) == "a('// no', \"# no\"); \n b; "
     assert one(spark, 'f(x, "a\\"b", 0x1FuL, 2.5f) + int', P.normalize_c) == '_(_, "_", 0, 0) + int'
+
+
+def test_scans_of_long_and_deep_texts(spark):
+    """A text of 50 MB is scanned whole, beside short ones; one that nests too deep for the parser gives none."""
+    line = "    int x = call(1, \"{ text\"); // }\n"
+    long = "int f() {\n" + line * (50_000_000 // len(line)) + "}\n"
+    rows = spark.createDataFrame([(1, "int a;\n"), (3, "x = 1\n" * 3), (4, None)], "id int, t string")
+    rows = rows.unionByName(spark.range(1).select(F.lit(2).alias("id"), F.concat(F.lit("int f() {\n"), F.repeat(F.lit(line), 50_000_000 // len(line)), F.lit("}\n")).alias("t")))
+    found = X.scanned(rows.withColumn("l", F.lit("c")).withColumn("start", F.lit(1)).coalesce(1), end=("balanced_end", "t", "l", "start"), counts=("live_counts", "t", "l")).select("id", "end", F.size("counts").alias("n"), F.array_max("counts").alias("most")).collect()
+    lines = long.count("\n")
+    assert {r.id: (r.end, r.n, r.most) for r in found if r.id < 4} == {1: (1, 1, 1), 2: (lines - 1, lines, 1), 3: (3, 3, 0)}
+    assert [r.end for r in found if r.id == 4] == [None]
+    deep = spark.createDataFrame([("(" * 100_000, 1), ("a = b", 2)], "t string, id int")
+    assert {r.id: r.g for r in X.scanned(deep, g=("python_groups", "t")).collect()} == {1: [], 2: [["a", "b"]]}
+
+
+def test_parts_of_bytes():
+    batch = pa.RecordBatch.from_pydict({"a": ["x" * n for n in (3, 3, 50, 1, 1, 1)], "n": range(6)})
+    assert [b.column(1).to_pylist() for b in tables.parts_of_bytes(batch, 6)] == [[0, 1], [2], [3, 4, 5]]
+    assert [b.num_rows for b in tables.parts_of_bytes(batch.slice(0, 0), 6)] == [0]
+
+
+def test_fortran_groups():
+    text = "program p\nC  comment with names\n  s = a // b ! c\n  t = 'x!y' // d\nend program"
+    assert X.same_line_groups(text, "flang") == [["P"], ["C", "COMMENT", "WITH", "NAMES"], ["S", "A", "B"], ["T", "X"]]  # comments go before strings
+    assert X.same_line_groups(text, "flang", True) == [["P"], ["S", "A", "B"], ["T", "X"]]
+
+
+def test_points_of_any_line_and_cached_ones(spark):
+    frame = spark.createDataFrame([(1, "a\n\tb", [(5, "c", "", "")]), (2, "", []), (3, "x", None)], f"id int, t string, cached array<{X.POINT}>")
+    own = F.array(F.struct(F.lit(0).alias("line_idx"), F.lit("own").alias("category"), F.lit("").alias("matched_text"), F.lit("").alias("indent")))
+    found = {r.id: (r.p and r.p.category, r.a and (r.a.category, r.a.indent)) for r in frame.select("id", X.pick_point(own, 1, F.col("id"), F.col("cached")).alias("p"), X.any_point(F.col("t"), 1, F.col("id")).alias("a")).collect()}
+    assert found[1][0] == "c" and found[1][1] in (("random", ""), ("random", "\t")) and found[2] == (None, None) and found[3] == ("own", ("random", ""))

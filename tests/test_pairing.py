@@ -124,3 +124,24 @@ def test_guided_pairs_beside_a_log_larger_than_what_is_wanted(spark):
     assert [(r.id_lo, r.id_hi) for r in J.guided_pairs(classes, log, 40).collect()] == every[3000:3040]
     holes = spark.createDataFrame([p for k, p in enumerate(every) if k % 7], "id_a long, id_b long")
     assert [(r.id_lo, r.id_hi) for r in J.guided_pairs(classes, holes, 10_000).collect()] == every[::7]
+
+
+def test_donors_and_hosts(spark):
+    from corpusjobs.functions import profiles as P
+
+    text = "func.func @f(%a: i32, %b: memref<4xf32, strided<[1], offset: 3>>) -> (index, tensor<2xvector<4xi8>>) {\n}\nfunc.func private @g(i64)\nfunc.func @h() {\n}"
+    r = spark.createDataFrame([(text,)], "c string").select(P.mlir_signatures(F.col("c")).alias("s"), P.mlir_donor_types(F.col("c")).alias("t")).first()
+    assert [(x.name, x.types) for x in r.s] == [("f", ["i32", "memref<4xf32, strided<[1], offset: 3>>", "index", "tensor<2xvector<4xi8>>"]), ("h", [])]
+    assert r.t == sorted(r.s[0].types)
+    heads = P.declaration_headers(F.col("c"), "flang")
+    text = "type :: A\nTYPE, extends (B) :: C\n type, public :: D"
+    assert [h.name for h in spark.createDataFrame([(text,)], "c string").select(P.extendable(heads).alias("h")).first().h] == ["A", "D"]
+
+
+def test_later_variables_are_bridged_from_earlier_ones_of_the_other_seed(spark):
+    lets = [(1, 0, "a", "x", "i32"), (1, 1, "b", "y", "u64"), (1, 2, "a", "v", "Vec<i32>"), (1, 3, "a", "w", "String"), (1, 4, "b", "z", "Vec<u8>"), (2, 0, "a", "q", "i32")]
+    df = spark.createDataFrame(lets, "pair int, place int, seed string, name string, type string")
+    found = {(r.var_a, r.var_b): r.needs_clone for r in J.ordered_bridges(df).collect()}
+    assert found[("x", "y")] is False and ("y", "x") not in found and ("x", "v") not in found and all(a != "q" for a, _ in found)
+    every = {(r.var_a, r.var_b): r.needs_clone for r in J.ordered_bridges(df, type_match=False).collect()}
+    assert set(every) == {("x", "y"), ("y", "v"), ("y", "w"), ("x", "z"), ("v", "z"), ("w", "z")} and every[("w", "z")] is True and every[("x", "z")] is False
