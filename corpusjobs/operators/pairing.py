@@ -390,10 +390,21 @@ def name_conflicts(pairs: DataFrame, names: DataFrame) -> DataFrame:
     return pairs.join(a, "id_lo").join(b, "id_hi").select("id_lo", "id_hi", F.array_sort(F.array_intersect("na", "nb")).alias("conflicts"))
 
 
-def renamed(text: Column, names: Column, suffix: str = "_b") -> Column:
-    """The text with each whole-word name suffixed, longest names first."""
-    ordered = F.array_sort(names, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return F.aggregate(ordered, text, lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"\b"), n, F.lit(r"\b")), F.concat(n, F.lit(suffix))))
+#: Characters behind which a name is another's member, in C and PHP.
+NOT_AFTER = {"clang": r"\w.:>", "php": r"->.:'\"` "}
+
+
+def renamed(text: Column, names: Column, suffix: str = "_b", language: str = "clang") -> Column:
+    """The text with each whole-word name suffixed that is no member of another, in one pass for all names; without names as it is."""
+    quoted = F.transform(names, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E")))
+    pattern = F.concat(F.lit(rf"(?<![{NOT_AFTER[language]}])\b("), F.array_join(quoted, "|"), F.lit(r")\b"))
+    return F.when(F.size(names) > 0, F.regexp_replace(text, pattern, F.lit(f"$1{suffix}"))).otherwise(text)
+
+
+def without_conflicts(pairs: DataFrame, names: DataFrame, seeds: DataFrame, suffix: str = "_b") -> DataFrame:
+    """(id_lo, id_hi, conflicts, content): the second seed's content, in which the names that both define are renamed; seeds: (id, content)."""
+    found = name_conflicts(pairs, names)
+    return found.join(seeds.select(F.col("id").alias("id_hi"), "content"), "id_hi").select("id_lo", "id_hi", "conflicts", renamed(F.col("content"), F.col("conflicts"), suffix).alias("content"))
 
 
 def statement_edges(units: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import lexing as X
 from ..functions import profiles as P
 from ..functions import signatures as G
 from ..functions import statements as S
+from ..operators import grafts
 from .views import cte, view
 
 QUERIES, ORACLES = {}, {}
@@ -137,6 +138,13 @@ def u1_u2_profilers(spark, sf_dir):
     return out
 
 
+@query(cte("more_code") + r""", x AS (SELECT seed_no, string_split('import Foo' || seed_no % 5 || chr(10) || content || chr(10) || '  import Bar ' || chr(10) || 'important()', chr(10)) AS ls FROM more_code WHERE type = 'swift')
+SELECT seed_no, array_to_string(list_transform(list_filter(ls, lambda l: starts_with(trim(l), 'import ')), lambda l: trim(l)), '|') AS imports, array_to_string(list_filter(ls, lambda l: NOT starts_with(trim(l), 'import ')), chr(10)) AS body FROM x""")
+def f23_swift_imports(spark, sf_dir):
+    text = F.concat(F.lit("import Foo"), (F.col("seed_no") % 5).cast("string"), F.lit("\n"), "content", F.lit("\n  import Bar \nimportant()"))
+    return more(spark, sf_dir, "swift").select("seed_no", P.split_swift_imports(text).alias("p")).select("seed_no", F.array_join("p.imports", "|").alias("imports"), "p.body")
+
+
 @query(cte("more_code", "code_seeds") + r""" SELECT seed_no, ['c', 'cpp', 'objc'][seed_no % 3 + 1] AS type, CASE WHEN regexp_matches(content, '\b(?:class|struct|union|enum)\s+[A-Za-z_]\w*') THEN 'declares' ELSE '' END AS said FROM (SELECT seed_no, CASE WHEN seed_no % 5 = 0 THEN replace(content, 'struct', 'strict') ELSE content END AS content FROM code_seeds WHERE type = 'clang')
 UNION ALL SELECT seed_no, ['naga', 'wgslc'][seed_no % 2 + 1], array_to_string(regexp_extract_all(content, 'fn\s+(\w+)', 1), '|') || ';' || regexp_extract(content, 'struct\s+(\w+)', 1) FROM more_code WHERE type = 'wgsl'""")
 def u2_more_profilers(spark, sf_dir):
@@ -223,6 +231,22 @@ def x6_any_and_cached_points(spark, sf_dir):
     return rows.select("seed_no", some["line_idx"].alias("any_line"), some["indent"].alias("indent"), X.pick_point(least, 4, F.col("seed_no"), cached)["line_idx"].alias("line_idx"))
 
 
+@query(POINTS + r""", g AS (SELECT seed_no, list({'i': line_idx, 'c': category, 't': indent} ORDER BY line_idx) AS ps FROM q GROUP BY seed_no),
+r AS (SELECT seed_no, type, list(CASE WHEN type = 'php' AND i = 0 THEN '' ELSE line END ORDER BY i) AS ls FROM s WHERE type IN ('clang', 'php') GROUP BY seed_no, type),
+d AS (SELECT r.*, ps[CAST('0x' || left(md5('4|' || seed_no), 8) AS BIGINT) % len(ps) + 1] AS h, ps[CAST('0x' || left(md5('5|' || seed_no), 8) AS BIGINT) % len(ps) + 1].i + 1 AS b FROM r JOIN g USING (seed_no)),
+u AS (SELECT d.*, coalesce((SELECT min(y.i) FROM s x JOIN s y ON y.seed_no = x.seed_no AND y.i >= x.i AND y.depth < x.before WHERE x.seed_no = d.seed_no AND x.i = d.b), len(ls)) AS e FROM d),
+k AS (SELECT a.seed_no AS id_lo, a.seed_no + 4 AS id_hi, unnest(['ab', 'ba']) AS direction, unnest([a.seed_no, a.seed_no + 4]) AS h, unnest([a.seed_no + 4, a.seed_no]) AS o FROM u a WHERE a.seed_no + 4 IN (SELECT seed_no FROM u))
+SELECT id_lo, id_hi, direction, a.h.c AS category, array_to_string(list_concat(list_concat(a.ls[: a.h.i + 1], list_transform(z.ls[z.b + 1 : z.e], lambda x, n: CASE WHEN a.h.t <> '' AND trim(x) <> '' THEN a.h.t || ltrim(x) ELSE x END || CASE WHEN n = 1 THEN '  // state' ELSE '' END)), a.ls[a.h.i + 2 :]), chr(10)) AS grafted FROM k JOIN u a ON a.seed_no = k.h JOIN u z ON z.seed_no = k.o""")
+def j13_whole_grafts(spark, sf_dir):
+    """C and PHP seeds in pairs, both ways: the lines behind a point of one, up to where they would close a bracket, behind a point of the other."""
+    out = []
+    for language in ("clang", "php"):
+        own = code(spark, sf_dir).filter(F.col("type") == language).select(F.col("seed_no").alias("id"), "content")
+        points = grafts.splice_points(own, language, 4)
+        out.append(grafts.grafts(own.selectExpr("id AS id_lo", "id + 4 AS id_hi"), points, "// state"))
+    return out[0].unionByName(out[1])
+
+
 @query(LIVE + ", e AS (SELECT a.seed_no, min(b.i) AS at FROM s a JOIN s b ON a.seed_no = b.seed_no AND a.i = 2 AND b.i >= 2 AND b.depth < a.before WHERE a.type IN ('rust', 'clang') GROUP BY 1) SELECT c.seed_no, CAST(coalesce(e.at, c.n) AS INTEGER) AS line FROM (SELECT seed_no, count(*) AS n FROM s WHERE type IN ('rust', 'clang') GROUP BY 1) c LEFT JOIN e ON e.seed_no = c.seed_no")
 def x7_balanced_end(spark, sf_dir):
     """Where a continuation from the third line closes a bracket that it did not open."""

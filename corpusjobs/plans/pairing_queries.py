@@ -283,6 +283,16 @@ def j12_name_conflicts(spark, sf_dir):
     return J.name_conflicts(own.selectExpr("seed_no AS id_lo", "seed_no + 4 AS id_hi"), names).withColumn("conflicts", joined("conflicts"))
 
 
+@query(CODE + rf""", p AS ({C_PAIRS}), n AS (SELECT seed_no, content, list_distinct(list_concat(regexp_extract_all(content, '\b([A-Za-z_]\w*)\s*\([^;{{}}()]*\)\s*\{{', 1), regexp_extract_all(content, '\bstruct\s+([A-Za-z_]\w*)', 1))) AS names FROM code_seeds WHERE type = 'clang'),
+x AS (SELECT id_lo, id_hi, list_sort(list_intersect(a.names, b.names)) AS c, b.content FROM p JOIN n a ON a.seed_no = id_lo JOIN n b ON b.seed_no = id_hi)
+SELECT id_lo, id_hi, CASE WHEN len(c) = 0 THEN content ELSE regexp_replace(content, '\b(' || array_to_string(c, '|') || ')\b', '\1_b', 'g') END AS content FROM x""")
+def j12_renamed(spark, sf_dir):
+    """C seeds in pairs: the second, with what both define renamed."""
+    own = code(spark, sf_dir, "clang")
+    names = own.select(F.col("seed_no").alias("id"), P.c_names(F.col("content")).alias("names"))
+    return J.without_conflicts(own.selectExpr("seed_no AS id_lo", "seed_no + 4 AS id_hi"), names, own.select(F.col("seed_no").alias("id"), "content")).drop("conflicts")
+
+
 @query(CODE + rf", p AS ({C_PAIRS}), n AS (SELECT seed_no, unnest(regexp_extract_all(content, '\bstruct\s+([A-Za-z_]\w*)\s*\{{', 1)) AS name FROM code_seeds WHERE type = 'clang') SELECT id_lo, id_hi, a.name AS host, b.name AS donor FROM p JOIN n a ON a.seed_no = id_lo JOIN n b ON b.seed_no = id_hi WHERE a.name <> b.name")
 def j16_declaration_pairs(spark, sf_dir):
     own = code(spark, sf_dir, "clang")

@@ -145,3 +145,38 @@ def test_later_variables_are_bridged_from_earlier_ones_of_the_other_seed(spark):
     assert found[("x", "y")] is False and ("y", "x") not in found and ("x", "v") not in found and all(a != "q" for a, _ in found)
     every = {(r.var_a, r.var_b): r.needs_clone for r in J.ordered_bridges(df, type_match=False).collect()}
     assert set(every) == {("x", "y"), ("y", "v"), ("y", "w"), ("x", "z"), ("v", "z"), ("w", "z")} and every[("w", "z")] is True and every[("x", "z")] is False
+
+
+def test_names_of_both_are_renamed_but_not_members(spark):
+    rows = spark.createDataFrame([("foo(); a.foo(); x->foo; ns::foo(foobar, foo); // foo", ["foo", "foobar"]), ("foo", []), ("f$x", ["x"])], "t string, n array<string>")
+    got = [r.x for r in rows.select(J.renamed(F.col("t"), F.col("n")).alias("x")).collect()]
+    assert got == ["foo_b(); a.foo(); x->foo; ns::foo(foobar_b, foo_b); // foo_b", "foo", "f$x_b"]
+    assert spark.range(1).select(J.renamed(F.lit("(foo) $this->foo()"), F.array(F.lit("foo")), "_c", "php").alias("x")).first().x == "(foo_c) $this->foo()"
+
+
+def test_whole_grafts(spark):
+    from corpusjobs.functions import lexing as X
+    from corpusjobs.operators import grafts
+
+    texts = {1: "int f() {\n  int a = 1;\n  int b = a;\n  g(b);\n}\n", 2: "void h() {\n\tlong z = 3;\n\tif (z) {\n\t\tk();\n\t}\n}\nint end;", 3: "", 4: None}
+    seeds = spark.createDataFrame(list(texts.items()), "id long, content string")
+    points = {r.id: r for r in grafts.splice_points(seeds, "clang", 7).collect()}
+    for i, t in texts.items():
+        if t:
+            states = {p[0]: p for p in X.complex_states(t, "clang")}
+            assert points[i].host in states and points[i].begin - 1 in states and points[i].until == X.balanced_end(t, points[i].begin, "clang")
+    assert (points[3].host, points[3].category, points[3].begin, points[3].until) == (0, "fallback", 0, 0)
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 9)], "id_lo long, id_hi long")
+    got = {(r.id_lo, r.id_hi, r.direction): r.grafted for r in grafts.grafts(pairs, grafts.splice_points(seeds, "clang", 7), "// tag").collect()}
+    assert set(got) == {(1, 2, "ab"), (1, 2, "ba"), (1, 3, "ab"), (1, 3, "ba")}
+    for (a, b, way), text in got.items():
+        h, d = (points[a], points[b]) if way == "ab" else (points[b], points[a])
+        own, given = (texts[h.id] or "").splitlines(), (texts[d.id] or "").splitlines()[d.begin : d.until]
+        moved = [h.indent + x.lstrip() if h.indent and x.strip() else x for x in given]
+        if moved:
+            at = next((i for i, x in enumerate(moved) if x.strip()), 0)
+            moved[at] += "  // tag"
+        assert text == "\n".join(own[: h.host + 1] + moved + own[h.host + 1 :])
+    php = spark.createDataFrame([(1, "<?php\n$a = 1;\n$b = $a;\n?>\n")], "id long, content string")
+    r = grafts.splice_points(php, "php", 1).first()
+    assert r.body == "\n$a = 1;\n$b = $a;\n" and r.host == 2
