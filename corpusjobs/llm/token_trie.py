@@ -16,12 +16,14 @@ counts of pieces in the best ways under the last ones. A character that no piece
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ RUN, CONTROLS = re.compile(r"[^\t-\r ]+"), re.compile(r"[\x1c-\x1f]")
 ROUNDS, ADDED, BELOW = 2, 0.1, 10.0
 #: Words of one trie, words that a task remembers or counts at a time, and characters up to which a word goes into a trie.
 BATCH, REMEMBERED, LONGEST = 1 << 16, 1 << 20, 64
+#: Characters of texts with longer words whose words a task counts at a time.
+HELD = 32 << 20
 
 
 @cache
@@ -151,18 +155,45 @@ class Trie:
 
 def long_word(word: str, known: dict[str, int], scores: np.ndarray, longest: int) -> int:
     """Pieces of the best way of a word outside a trie: only the last `longest` scores are held."""
+    return best_way(word, known, scores, longest)[0]
+
+
+def best_way(word: str, known: dict[str, int], scores: np.ndarray, longest: int, last: array | None = None) -> tuple[int, array | None]:
+    """(pieces of the best way, last); with an array `last` the number of the last piece of the best way to each place, -1 for an uncovered character."""
     uncovered = float(scores.min(initial=0.0)) - BELOW
     held = [(0.0, 0)]
     for j in range(1, len(word) + 1):
-        score, n = held[-1][0] + uncovered, held[-1][1] + len(word[j - 1].encode("utf-8", "surrogatepass"))
+        score, n, piece = held[-1][0] + uncovered, held[-1][1] + len(word[j - 1].encode("utf-8", "surrogatepass")), -1
         for back, (s, k) in enumerate(reversed(held), 1):
             number = known.get(word[j - back : j])
             if number is not None and s + scores[number] >= score:
-                score, n = s + scores[number], k + 1
+                score, n, piece = s + scores[number], k + 1, number
         held.append((score, n))
+        if last is not None:
+            last.append(piece)
         if len(held) > longest:
             del held[0]
-    return held[-1][1]
+    return held[-1][1], last
+
+
+def used_in_long(word: str, n: int, known: dict[str, int], sizes: list[int], scores: np.ndarray, longest: int, total: np.ndarray) -> None:
+    """Adds to total how often each piece stands in the best way of a word outside a trie, which counts n times."""
+    _, last = best_way(word, known, scores, longest, array("i"))
+    at = len(word)
+    while at:
+        piece = last[at - 1]
+        if piece < 0:
+            at -= 1
+        else:
+            total[piece] += n
+            at -= sizes[piece]
+
+
+@cache
+def numbers(name: str) -> tuple[dict[str, int], list[int], int]:
+    """Pieces by their text, their sizes, and the longest size."""
+    sizes = list(map(len, pieces(name)))
+    return {p: i for i, p in enumerate(pieces(name))}, sizes, max(sizes, default=1)
 
 
 class Counts:
@@ -170,8 +201,7 @@ class Counts:
 
     def __init__(self, name: str, scores: np.ndarray):
         self.scores, self.back = scores, backward(name)
-        self.known = {p: i for i, p in enumerate(pieces(name))}
-        self.longest = max(map(len, self.known), default=1)
+        self.known, _, self.longest = numbers(name)
         self.memory: dict[str, int] = {}
 
     def learn(self, words: set[str]) -> None:
@@ -205,36 +235,49 @@ def words(text: str | None) -> list[str]:
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) of all documents; words are counted in the tasks first. Words over LONGEST characters teach nothing."""
+    """(word, n) of all documents; words are counted in the tasks first, some MB of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
+        held = 0  # bytes of texts with long words
 
-        def made() -> pa.RecordBatch:
-            own = [(w, n) for w, n in counts.items() if len(w) <= LONGEST]
+        def made() -> Iterator[pa.RecordBatch]:
+            own = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.string()), pa.array([n for _, n in own], pa.int64())], ["word", "n"])
+            yield from by_bytes(iter([own]), 0)
 
         for batch in by_bytes(batches, 0):
             for text in batch.column(0).to_pylist():
-                counts.update(words(text))
-                if len(counts) > REMEMBERED // 4:
-                    yield made()
+                own = words(text)
+                counts.update(own)
+                held += len(text or "") if own and len(max(own, key=len)) > LONGEST else 0
+                if len(counts) > REMEMBERED // 4 or held > HELD:
+                    yield from made()
+                    held = 0
         if counts:
-            yield made()
+            yield from made()
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, text_col: str = "text", name: str = PIECES, rounds: int = ROUNDS) -> np.ndarray:
-    """Log probabilities of the pieces, from all documents. Without documents those to begin with."""
+    """Log probabilities of the pieces, from all words of all documents. Without documents those to begin with."""
     spark, scores, tables = docs.sparkSession, first_scores(len(pieces(name))), []
     counted = stored(word_counts(docs, text_col), tables)
     for _ in range(rounds):
 
         def used(batches: Iterator[pa.RecordBatch], scores: np.ndarray = scores) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(scores))
-            for batch in gathered(batches, BATCH):
+            known, sizes, longest = numbers(name)
+
+            def short() -> Iterator[pa.RecordBatch]:
+                for batch in by_bytes(batches, 0):
+                    long = pc.greater(pc.utf8_length(batch.column(0)), LONGEST)
+                    for word, n in zip(*(c.to_pylist() for c in batch.filter(long).columns), strict=True):
+                        used_in_long(MARK + word, n, known, sizes, scores, longest, total)
+                    yield batch.filter(pc.invert(long))
+
+            for batch in gathered(short(), BATCH):
                 total += Trie([MARK + w for w in batch.column(0).to_pylist()], scores, backward(name)).used(batch.column(1).to_numpy().astype(np.float64))
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
