@@ -118,7 +118,7 @@ class Tables:
 
     def __init__(self, rows: list[tuple[str | None, str]]):
         self.number: dict[str, int] = {}
-        self.items = sorted({item for item, _ in rows}, key=lambda x: (x is None, x))
+        self.items = sorted({item for item, _ in rows}, key=lambda x: (x is not None, x or ""))
         named = {item: i for i, item in enumerate(self.items)}
         flat, sizes = array("i"), []
         for _, text in rows:
