@@ -4,31 +4,31 @@ A word is the bag of its character n-grams, its ends marked; every n-gram of the
 text is the average of the embeddings of its words (a word said n times counts as the root of n), and a linear
 softmax over that average gives the chance of toxicity. Embeddings and softmax are trained jointly by gradient
 descent in numpy. A misspelt word that training never saw still shares most of its n-grams with the word it
-stands for. The vocabulary is made of the n-grams whose presence tells the classes of the sample apart best.
+stands for. The vocabulary is made of the n-grams whose presence tells the classes of the sample apart best; texts of the
+sample are learnt from whole.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, cut
 
 #: Words: runs of letters and digits with inner apostrophes; anything else separates.
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 DIM, SCALE, GRAMS = 8, 30.0, (3, 4, 5, 6)
-#: Texts in which an n-gram must occur, and n-grams of the vocabulary at most.
+#: Texts in which an n-gram must occur, and n-grams of the vocabulary at most: with four times as many held-out rows are told apart worse.
 LEAST, VOCABULARY = 4, 1 << 10
-#: Labelled ids of each class that training takes at most, by the order of a hash of the id, and distinct words of a training text at most, by the order of a hash of the word.
-SAMPLE, MOST_WORDS = 2000, 1 << 12
+#: Labelled ids of each class that training takes at most, by the order of a hash of the id.
+SAMPLE = 2000
 REMEMBERED = 1 << 20
 
 
@@ -82,54 +82,43 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(margin, -30.0), 30.0))))
 
 
-def vocabulary(bags: list[tuple[list[str], np.ndarray]], y: np.ndarray, least: int, most: int) -> list[str]:
-    """N-grams in `least` texts or more, by how far their share of toxic and of clean texts lie apart (in standard errors)."""
-    seen = [Counter(), Counter()]
-    for (own, _), label in zip(bags, y, strict=True):
-        seen[label].update({g for x in own for g in grams(x)})
-    n1, n0 = int(y.sum()), int((1 - y).sum())
-    found = []
-    for g in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][g], seen[0][g]
-        if a + b >= least:
-            p = (a + b) / (n1 + n0)
-            found.append((-abs(a / n1 - b / n0) / (p * (1 - p) + 1e-3) ** 0.5, g))
-    return [g for _, g in sorted(found)[:most]]
+def presence(texts: Iterator[tuple[list[str], int]]) -> dict[str, list[int]]:
+    """In how many clean and toxic texts, given by their distinct words and labels, each n-gram is."""
+    seen: dict[str, list[int]] = {}
+    for own, label in texts:
+        for g in {g for x in own for g in grams(x)}:
+            seen.setdefault(g, [0, 0])[label] += 1
+    return seen
 
 
-def sampled_bag(text: str | None, most: int = MOST_WORDS) -> tuple[list[str], np.ndarray]:
-    """The bag of a training text; of a text with more distinct words those with the smallest hashes."""
-    own, share = bag(text)
-    if len(own) > most:
-        keep = sorted(range(len(own)), key=lambda i: zlib.crc32(own[i].encode("utf-8", "surrogatepass")))[:most]
-        own, share = [own[i] for i in keep], share[keep] / share[keep].sum()
-    return own, share
+def spread(n0: Column, n1: Column, clean: int, toxic: int) -> Column:
+    """How far the share of toxic and of clean texts with an n-gram lie apart, in standard errors."""
+    p = (n0 + n1) / (clean + toxic)
+    return F.abs(n1 / toxic - n0 / clean) / F.sqrt(p * (1 - p) + 1e-3)
 
 
-def train(bags: list[tuple[list[str], np.ndarray]], labels: list[int], rounds: int = 200, rate: float = 0.05, decay: float = 1e-5, least: int = LEAST, most: int = VOCABULARY, seed: int = 7, dim: int = DIM) -> Model:
-    """Fit embeddings, softmax and bias jointly to bags of words (Adam, all bags at once, classes weighted evenly).
+def gram_shares(own: list[str], share: np.ndarray, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of the vocabulary in a text and their shares of it."""
+    parts: dict[int, float] = {}
+    for x, s in zip(own, share.tolist(), strict=True):
+        found = grams(x)
+        for g in found:
+            if (i := number.get(g)) is not None:
+                parts[i] = parts.get(i, 0.0) + s / len(found)
+    return np.fromiter(parts.keys(), np.int32, len(parts)), np.fromiter(parts.values(), np.float32, len(parts))
+
+
+def trained(names: list[str], texts: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rounds: int = 200, rate: float = 0.05, decay: float = 1e-5, seed: int = 7, dim: int = DIM) -> Model:
+    """Fit embeddings of the n-grams `names`, softmax and bias jointly to texts as gram_shares() gives them (Adam, all texts at once, classes weighted evenly).
 
     Labels are 0 or 1; with one class only, the bias alone tells it.
     """
     y = np.array(labels, np.int64)
-    keep = [i for i, (own, _) in enumerate(bags) if own]
-    if not keep or y[keep].min() == y[keep].max():
+    if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return Model([], np.zeros((0, dim)), np.zeros((dim, 2)), np.log([1 - share, share]))
-    bags, y = [bags[i] for i in keep], y[keep]
-    names = vocabulary(bags, y, least, most)
-    number = {g: i for i, g in enumerate(names)}
-    own_grams, own_parts = [], []
-    for own, share in bags:
-        parts: dict[int, float] = {}
-        for x, s in zip(own, share.tolist(), strict=True):
-            found = grams(x)
-            for g in found:
-                if (i := number.get(g)) is not None:
-                    parts[i] = parts.get(i, 0.0) + s / len(found)
-        own_grams.append(np.fromiter(parts.keys(), np.int64, len(parts)))
-        own_parts.append(np.fromiter(parts.values(), np.float64, len(parts)))
-    text_of, gram_of, part = np.repeat(np.arange(len(bags)), list(map(len, own_grams))), np.concatenate(own_grams), SCALE * np.concatenate(own_parts)
+    own_grams, own_parts = zip(*texts, strict=True)
+    text_of, gram_of, part = np.repeat(np.arange(len(y), dtype=np.int32), list(map(len, own_grams))), np.concatenate(own_grams), SCALE * np.concatenate(own_parts).astype(np.float64)
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (len(names), dim)), rng.normal(0, 0.5, (dim, 2)), np.zeros(2)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -151,13 +140,28 @@ def train(bags: list[tuple[list[str], np.ndarray]], labels: list[int], rounds: i
     return Model(names, *params)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most_words: int = MOST_WORDS, **options) -> Model:
+def train(bags: list[tuple[list[str], np.ndarray]], labels: list[int], least: int = LEAST, most: int = VOCABULARY, **options) -> Model:
+    """A model of a few bags of words, for use without tables; see fit(), which chooses n-grams and learns alike."""
+    keep = [(b, y) for b, y in zip(bags, labels, strict=True) if b[0]]
+    n0, n1 = (sum(y == c for _, y in keep) for c in (0, 1))
+    names: list[str] = []
+    if n0 and n1:
+        seen = {g: n for g, n in presence((own, y) for (own, _), y in keep).items() if sum(n) >= least}
+        share = {g: sum(n) / (n0 + n1) for g, n in seen.items()}
+        names = sorted(seen, key=lambda g: (-abs(seen[g][1] / n1 - seen[g][0] / n0) / (share[g] * (1 - share[g]) + 1e-3) ** 0.5, g))[:most]
+    number = {g: i for i, g in enumerate(names)}
+    return trained(names, [gram_shares(*b, number) for b, _ in keep], [y for _, y in keep], **options)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, least: int = LEAST, most: int = VOCABULARY, **options) -> Model:
     """A model from at most `sample` labelled ids of each class, chosen by a hash of the id.
 
     Only ids whose crc32(id as text) mod 5 is not 0 are learnt from, and ids only choose the rows. Of rows that share an
-    id the one with the smallest hash of its text counts, so at most 2 `sample` bags of at most `most_words` words, made
-    in the tasks, reach the driver. Null labels, null ids and labels other than 0 and 1 are left out, an id with both
-    labels counts for each; without labelled rows the score is an even one.
+    id the one with the smallest hash of its text counts, so at most 2 `sample` whole texts are learnt from. Tasks count
+    in how many of them each n-gram is, of which Spark finds the `most` that tell the classes apart best, and give the
+    shares of those in each text; these alone reach the driver. Texts without words, null labels, null ids and labels
+    other than 0 and 1 are left out, an id with both labels counts for each; without labelled rows the score is an even
+    one.
     """
     key = F.col(id_col).cast("string")
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), key.alias("k")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull() & (F.crc32(F.col("k").cast("binary")) % 5 != 0)).distinct()
@@ -165,19 +169,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y in (0, 1):
         some = marked.filter(F.col("y") == y).orderBy(F.md5("k"), "k").limit(sample)
         picked = some if picked is None else picked.unionByName(some)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("k", "y", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"))  # 2 `sample` rows
+    one = cut(texts.groupBy("k", "y").agg(F.min_by("text", F.struct("h", "text")).alias("text")))
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, 1):
+            own = [(list(set(words(t))), y) for y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            seen = presence(iter(own))
+            labels = [sum(y == c for x, y in own if x) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([*seen, None], pa.string()), *(pa.array([*(n[c] for n in seen.values()), labels[c]], pa.int64()) for c in (0, 1))], ["gram", "n0", "n1"])
+
+    found = cut(one.select("y", "text").mapInArrow(counted, "gram string, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    classes = found.filter("gram IS NULL").first()  # the texts of each class
+    names: list[str] = []
+    if classes and classes.n0 and classes.n1:
+        apart = spread(F.col("n0"), F.col("n1"), classes.n0, classes.n1)
+        names = [r.gram for r in found.filter(F.col("gram").isNotNull() & (F.col("n0") + F.col("n1") >= least)).orderBy(F.desc(apart), "gram").limit(most).select("gram").collect()]
+    number = {g: i for i, g in enumerate(names)}
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 2):
-            made = [sampled_bag(t, most_words) for t in batch.column(2).to_pylist()]
-            packed = [pa.array(["\n".join(w) for w, _ in made], pa.string()), pa.array([x.astype("<f8").tobytes() for _, x in made], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed, batch.column(3)], ["k", "y", "words", "shares", "h"])
+            made = [(k, y, *gram_shares(*own, number)) for k, y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (own := bag(t))[0]]
+            if made:
+                k, y, at, part = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(y, pa.int32()), *(pa.array([x.tobytes() for x in own], pa.binary()) for own in (at, part))], ["k", "y", "grams", "parts"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("k", "y", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"))
-    one = texts.mapInArrow(bags, "k string, y int, words string, shares binary, h long").groupBy("k", "y").agg(F.min_by(F.struct("words", "shares"), "h").alias("b"))
     # As Arrow columns, in the order of labels and ids: rows of lists would take many times the memory of the driver.
-    rows = one.select("y", "k", "b.words", "b.shares").toArrow().sort_by([("y", "ascending"), ("k", "ascending")])
-    made = [(w.split("\n") if w else [], np.frombuffer(x, "<f8")) for w, x in zip(rows.column("words").to_pylist(), rows.column("shares").to_pylist(), strict=True)]
-    return train(made, rows.column("y").to_pylist(), **options)
+    rows = one.select("k", "y", "text").mapInArrow(shared, "k string, y int, grams binary, parts binary").toArrow().sort_by([("y", "ascending"), ("k", "ascending")])
+    made = [(np.frombuffer(g, np.int32), np.frombuffer(p, np.float32)) for g, p in zip(rows.column("grams").to_pylist(), rows.column("parts").to_pylist(), strict=True)]
+    return trained(names, made, rows.column("y").to_pylist(), **options)
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,9 +223,10 @@ def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the rows that score 0.5 or more; all columns stay, whatever their names. Null and empty texts stay, and so do repeated rows that score less."""
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        return texts.map(model.score)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, at):
+            yield batch.filter(pa.array([not t or model.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.filter(F.col(text_col).isNull() | (F.octet_length(text_col) == 0) | (score(F.col(text_col)) < 0.5))
+    return docs.mapInArrow(run, docs.schema)

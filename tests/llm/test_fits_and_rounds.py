@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -57,3 +58,37 @@ def test_tables_of_a_round_are_bounded_and_long_items_are_dealt_out(spark):
     found = {r.doc_id: ([tuple(s) for s in r.spans], r.items) for r in D.occurrences(docs, items).collect()}
     assert found[0] == ([(0, 40)], ["1"]) and found[1] == ([(1, 31)], ["1"]) and found[2] == ([], []) and found[4] == ([(4, 2004)], ["1"]) and found[9] == ([(0, 5)], ["2"]) and found[10] == ([], [])
     assert found[5] == ([(5, 25)], [None, "1"])
+
+
+def toxic_texts(seed, n=240):
+    rng = random.Random(seed)
+    plain = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(4, 9))) for _ in range(400)]
+    bad = ["horribleperson", "dreadfulfool", "wretchedvermin", "stinkingrat", "uselesscoward"]
+    return plain, bad, [(i, " ".join(rng.choices(plain, k=40) + (rng.choices(bad, k=2) if i % 2 else [])), i % 2) for i in range(n)]
+
+
+def test_toxicity_learns_from_whole_texts_as_tables_and_as_bags(spark):
+    from corpusjobs.llm import toxicity as X
+
+    plain, bad, rows = toxic_texts(5)
+    rng = random.Random(6)
+    # A word that tells the class stands behind ten thousand others.
+    long = [(1000 + i, " ".join([f"filler{rng.randrange(10**7)}" for _ in range(10_000)] + ["horribleperson"] * 60 if i % 2 else [f"filler{rng.randrange(10**7)}" for _ in range(10_000)]), i % 2) for i in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows + long], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows + long], "doc_id long, toxic int")
+    model = X.fit(docs, labels)
+    learnt = sorted(((y, str(i)), t) for i, t, y in rows + long if zlib.crc32(str(i).encode()) % 5)
+    same = X.train([X.bag(t) for _, t in learnt], [y for (y, _), _ in learnt])
+    assert model.vocabulary == same.vocabulary and np.allclose([model.score(t) for _, t, _ in rows], [same.score(t) for _, t, _ in rows], atol=1e-6)
+    held = [(t, y) for i, t, y in rows + long if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(model.score(t) >= 0.5) == y for t, y in held]) > 0.95
+    # Misspelt forms of toxic words, which training never saw.
+    rng, caught, clean = random.Random(7), 0, 0
+    for _ in range(100):
+        words = rng.choices(plain, k=40)
+        w = rng.choice(bad)
+        at = rng.randrange(2, len(w) - 2)
+        wrong = rng.choice((w[:at] + w[at + 1 :], w[:at] + rng.choice("xyzw") + w[at:], w[:at] + w[at + 1] + w[at] + w[at + 2 :]))
+        caught += model.score(" ".join([*words, wrong, wrong])) >= 0.5
+        clean += model.score(" ".join(words)) < 0.5
+    assert caught >= 65 and clean >= 95  # 72 of 100 at the time of writing
