@@ -151,7 +151,7 @@ def t5_signatures_match(spark, sf_dir):
     return triage.signature_classes(distinct_signatures(spark, sf_dir))
 
 
-SHARED = """, k AS (SELECT run_id, signature, list_filter(['SUMMARY:', 'Assertion:', 'ASAN:', 'LLVM ERROR:', 'compiler panic:', 'compiler fatal:', 'internal compiler error:', 'Fatal Python error:', 'INTERNAL PANIC:', 'Check failed:', 'Fatal error:', 'Segmentation fault', 'Bus error', 'SIGSEGV', 'SIGABRT'], lambda x: contains(signature, x)) AS w FROM signed WHERE crashed) """
+SHARED = """, k AS (SELECT run_id, project, signature, list_filter(['SUMMARY:', 'Assertion:', 'ASAN:', 'LLVM ERROR:', 'compiler panic:', 'compiler fatal:', 'internal compiler error:', 'Fatal Python error:', 'INTERNAL PANIC:', 'Check failed:', 'Fatal error:', 'Segmentation fault', 'Bus error', 'SIGSEGV', 'SIGABRT'], lambda x: contains(signature, x)) AS w FROM signed WHERE crashed) """
 
 
 @query(RUNS + SHARED + "SELECT key, min(signature) AS first, count(*) AS n FROM (SELECT signature, unnest(list_concat(['text:' || signature], w)) AS key FROM k) GROUP BY key")
@@ -159,18 +159,18 @@ def t6_keyword_match(spark, sf_dir):
     return triage.keyword_classes(known_crashes(spark, sf_dir))
 
 
-@query(RUNS + SHARED + ", z AS (SELECT * FROM k WHERE run_id % 11 = 3), y AS (SELECT DISTINCT unnest(w) AS x FROM z) SELECT run_id, signature FROM k WHERE run_id % 11 = 4 AND (signature IN (SELECT signature FROM z) OR EXISTS (SELECT 1 FROM y WHERE contains(k.signature, y.x)))")
+@query(RUNS + SHARED + ", z AS (SELECT * FROM k WHERE project = 'rust'), y AS (SELECT DISTINCT unnest(w) AS x FROM z) SELECT run_id, signature FROM k WHERE project <> 'rust' AND (signature IN (SELECT signature FROM z) OR EXISTS (SELECT 1 FROM y WHERE contains(k.signature, y.x)))")
 def t6_keyword_matched(spark, sf_dir):
-    """Crashes of some runs that match those of some others."""
-    own = known_crashes(spark, sf_dir).select("run_id", "signature")
-    return triage.keyword_matched(own.filter("run_id % 11 = 4"), own.filter("run_id % 11 = 3"))
+    """Crashes of other projects that match those of one by a keyword."""
+    own = known_crashes(spark, sf_dir)
+    return triage.keyword_matched(own.filter("project <> 'rust'").select("run_id", "signature"), own.filter("project = 'rust'").select("signature"))
 
 
-@query(RUNS + ", k AS (SELECT run_id, project, signature, CASE WHEN starts_with(signature, 'Stack dump:') THEN 'f' || regexp_extract(signature, '\\[(.*)\\]\\s*$', 1) ELSE 't' || signature END AS key FROM signed WHERE crashed) SELECT run_id, signature FROM k WHERE run_id % 11 = 4 AND key IN (SELECT key FROM k WHERE run_id % 11 = 3)")
+@query(RUNS + ", k AS (SELECT run_id, project, signature, CASE WHEN starts_with(signature, 'Stack dump:') THEN 'f' || regexp_extract(signature, '\\[(.*)\\]\\s*$', 1) ELSE 't' || signature END AS key FROM signed WHERE crashed) SELECT run_id, signature FROM k WHERE project <> 'rust' AND key IN (SELECT key FROM k WHERE project = 'rust')")
 def t5_matched(spark, sf_dir):
-    """Crashes of some runs whose signatures match those of some others."""
-    own = known_crashes(spark, sf_dir).select("run_id", "signature")
-    return triage.matched(own.filter("run_id % 11 = 4"), own.filter("run_id % 11 = 3"))
+    """Crashes of other projects whose signatures match those of one."""
+    own = known_crashes(spark, sf_dir)
+    return triage.matched(own.filter("project <> 'rust'").select("run_id", "signature"), own.filter("project = 'rust'").select("signature"))
 
 
 TERMS = FRAMES + r""", w AS (SELECT *, string_split(regexp_extract(signature, '^(ASAN|UBSAN|LLVM ERROR|Assertion):\s*(.*)$', 2), ' ') AS words, list_transform(frames, lambda x: regexp_extract(x, '([A-Za-z_~][A-Za-z0-9_]*)$', 1)) AS names FROM k),
