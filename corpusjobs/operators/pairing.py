@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.profiles import RUST_COPY, base_symbol, leaf_type
 from ..functions.text import draw, let, words
+from ..functions.lexing import interleave
 from .tables import PART, cut, joined_in_parts, numbered
 
 #: Which technique a language supports.
@@ -436,6 +437,37 @@ def unit_order_edges(units: DataFrame) -> DataFrame:
     return placed.filter("depth > 0 AND earlier IS NOT NULL").select("pair", F.col("unit").alias("later"), "earlier")
 
 
+def interleaved(units: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
+    """(pair, place, unit, seed, statement): the statements of each pair in one order that its edges allow.
+
+    units: (pair, unit, seed, statement, normal), with the statement in its normal form (F18) for likeness; edges as
+    statement_edges() gives them. Among what is ready one of the three most alike to the last one is drawn; what a cycle
+    holds back comes last, by unit. A task takes one pair at a time, which is as large as its two seeds.
+    """
+
+    def order(key: tuple, own: pa.Table, given: pa.Table) -> pa.Table:
+        own = own.sort_by("unit")
+        number = {u: i for i, u in enumerate(own["unit"].to_pylist())}
+        deps: list[set[int]] = [set() for _ in number]
+        for later, earlier in zip(given["later"].to_pylist(), given["earlier"].to_pylist(), strict=True):
+            if later in number and earlier in number:
+                deps[number[later]].add(number[earlier])
+        texts = list(zip(own["statement"].to_pylist(), own["normal"].to_pylist(), strict=True))
+        found = pa.array(interleave(texts, deps, f"{seed}|{key[0].as_py()}"), pa.int64())
+        placed = own.select(["pair", "unit", "seed", "statement"]).take(found)
+        return placed.add_column(1, "place", pa.array(range(len(found)), pa.int32()))
+
+    kind = {f.name: f.dataType.simpleString() for f in units.schema.fields}
+    schema = f"pair {kind['pair']}, place int, unit {kind['unit']}, seed {kind['seed']}, statement string"
+    both = units.select("pair", "unit", "seed", "statement", "normal").groupBy("pair").cogroup(edges.select(F.col("pair").alias("of"), "later", "earlier").groupBy("of"))
+    return both.applyInArrow(lambda key, own, given: order(key, own, given), schema)
+
+
+def merged_programs(ordered: DataFrame) -> DataFrame:
+    """(pair, program): the statements of each pair by their places, a line each."""
+    return ordered.groupBy("pair").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "statement"))), lambda x: x["statement"]), "\n").alias("program"))  # the statements of one pair
+
+
 def declaration_pairs(pairs: DataFrame, hosts: DataFrame, donors: DataFrame) -> DataFrame:
     """(id_lo, id_hi, host, donor): each header of the first seed with each other type name of the second; templates as Name<int>.
 

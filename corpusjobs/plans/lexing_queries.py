@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexing as X
@@ -10,6 +13,7 @@ from ..functions import mutations as M
 from ..functions import profiles as P
 from ..functions import statements as S
 from ..operators import diverse, pairing
+from ..operators.tables import cut
 from .views import cte, view
 
 QUERIES, ORACLES = {}, {}
@@ -181,16 +185,28 @@ def j11_dataflow_bridges(spark, sf_dir):
     return pairs.select("id_lo", "id_hi", joined("a", "b", F.concat_ws("-", "id_lo", "id_hi")).alias("bridged"))
 
 
-@query()
-def j15_interleaved(spark, sf_dir):
-    """PHP seeds in pairs of neighbours: their statements in one order that respects what each defines and uses."""
-    own = code(spark, sf_dir).filter("type = 'php'").select("seed_no", "content")
-    pairs = own.selectExpr("seed_no AS id_lo", "seed_no + 4 AS id_hi", "content AS a").join(own.selectExpr("seed_no AS id_hi", "content AS b"), "id_hi")
+def paired_units(spark, sf_dir, language):
+    """The statements of seeds in pairs of neighbours, with what they define and use, and their normal forms."""
+    if language == "flang":
+        own = view(spark, sf_dir, "more_code").filter("type = 'flang'").select("seed_no", "content", F.floor(F.col("seed_no") / 12).alias("pair"))
+        scan, names, normal = S.fortran_statements, lambda s: list(S.fortran_defines_uses(s)), P.normalize_fortran(F.col("statement"), S.FORTRAN_KEYWORDS)
+    else:
+        own = code(spark, sf_dir).filter(F.col("type") == language).select("seed_no", "content", F.floor(F.col("seed_no") / 8).alias("pair"))
+        scan, names, normal = (S.php_statements, lambda s: [(x := S.php_defines_uses(s, P.PHP_SKIP))[0], [n for n in x[0] if not n.startswith("$")], x[1]], P.normalize_php(F.col("statement"))) if language == "php" else (S.c_statements, lambda s: list(S.c_defines_uses(s, P.C_KEYWORDS)), P.normalize_c(F.col("statement")))
+    rows = X.scanned(own, statements=(X.Scan(scan, "array<string>", X.WORDS), "content")).select("pair", F.col("seed_no").alias("seed"), F.posexplode("statements").alias("n", "statement"))
+    rows = X.scanned(rows, names=(X.Scan(names, "array<array<string>>", X.GROUPS), "statement")).withColumn("unit", F.col("seed") * 1000 + F.col("n"))
+    return cut(rows.select("pair", "unit", "seed", "statement", normal.alias("normal"), *(F.get("names", F.lit(i)).alias(n) for i, n in enumerate(("defines", "shared", "uses")))))
 
-    def ordered(a: str, b: str, seed: str) -> str:
-        units = [(side, s, *map(set, S.php_defines_uses(s, P.PHP_SKIP))) for side, t in enumerate((a, b)) for s in S.php_statements(t)]
-        deps = [{i for i, (one, _, made, _) in enumerate(units) if i != j and any(n in used for n in made if one == side or not n.startswith("$"))} for j, (side, _, _, used) in enumerate(units)]
-        order = X.interleave([(s, s) for _, s, _, _ in units], deps, seed)
-        return "\n".join(units[i][1] for i in order)
 
-    return pairs.select("id_lo", "id_hi", X.vectorised(ordered, "string")("a", "b", F.concat_ws("-", "id_lo", "id_hi")).alias("program"))
+@query()
+def j15_interleaved(spark, sf_dir):
+    """PHP, C and Fortran seeds in pairs: their statements in one order that respects what each defines and uses."""
+    out = []
+    for language in ("php", "clang", "flang"):
+        units = paired_units(spark, sf_dir, language)
+        edges = pairing.statement_edges(units)
+        if language == "flang":
+            kind = X.scanned(units.select("pair", "unit", "seed", "statement"), kind=(X.Scan(S.fortran_kind, "string", pa.string()), "statement"))
+            edges = edges.unionByName(pairing.unit_order_edges(kind.withColumn("opens", F.when(F.col("kind") == "unit_open", 1).when(F.col("kind") == "unit_close", -1).otherwise(0)))).distinct()
+        out.append(pairing.merged_programs(pairing.interleaved(units, edges, 5)).select(F.lit(language).alias("language"), "pair", "program"))
+    return reduce(DataFrame.unionByName, out)

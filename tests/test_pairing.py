@@ -180,3 +180,30 @@ def test_whole_grafts(spark):
     php = spark.createDataFrame([(1, "<?php\n$a = 1;\n$b = $a;\n?>\n")], "id long, content string")
     r = grafts.splice_points(php, "php", 1).first()
     assert r.body == "\n$a = 1;\n$b = $a;\n" and r.host == 2
+
+
+def test_interleaved_statements_respect_their_edges(spark):
+    from corpusjobs.plans import lexing_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    for language in ("php", "clang", "flang"):
+        units = Q.paired_units(spark, sf, language)
+        edges = J.statement_edges(units)
+        ordered = J.interleaved(units, edges, 5).collect()
+        assert sorted((r.pair, r.unit, r.statement) for r in ordered) == sorted((r.pair, r.unit, r.statement) for r in units.collect())
+        place = {(r.pair, r.unit): r.place for r in ordered}
+        after = {}
+        for r in edges.collect():
+            after.setdefault((r.pair, r.later), set()).add((r.pair, r.earlier))
+
+        def free(u, seen=()):  # not behind a cycle
+            return u not in seen and all(free(v, (*seen, u)) for v in after.get(u, ()))
+
+        checked = [(u, v) for u, own in after.items() for v in own if free(u)]
+        assert all(place[v] < place[u] for u, v in checked) and (checked or language == "flang")
+        seeds = {}
+        for r in sorted(ordered, key=lambda r: (r.pair, r.place)):
+            seeds.setdefault(r.pair, []).append(r.seed)
+        assert any(len(set(x)) > 1 and x != sorted(x) for x in seeds.values())
+        again = J.interleaved(units.repartition(7), edges.repartition(3), 5).collect()
+        assert sorted(map(tuple, again)) == sorted(map(tuple, ordered))
