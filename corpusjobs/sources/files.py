@@ -77,7 +77,7 @@ API = "functions array<struct<name: string, num_params: int, parameters: array<s
 
 
 def load_api_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(functions, parameters) of a JSON catalog; the id of a function is the rank of its name."""
+    """(functions, parameters) of a JSON catalog; the id of a function is a 64-bit hash of its name, so that two names of some ten million may share one."""
     each = spark.read.schema(API).json(path, multiLine=True).select(F.explode("functions").alias("f")).select("f.*").withColumn("id", F.xxhash64("name"))
     functions = each.select("id", "name", F.coalesce("num_params", F.lit(0)).alias("num_params"))
     parameters = each.select(F.col("id").alias("function_id"), F.explode("parameters").alias("p")).select("function_id", "p.name", "p.type", F.coalesce("p.is_optional", F.lit(False)).cast("int").alias("is_optional"), "p.default_value")
@@ -88,7 +88,7 @@ CLASSES = "classes array<struct<name: string, attributes: array<string>, methods
 
 
 def load_class_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes, attributes, methods): a class name is kept once, the members of its repeats are added."""
+    """(classes, attributes, methods): a class name is kept once, by a 64-bit hash of it as id, the members of its repeats are added."""
     each = spark.read.schema(CLASSES).json(path, multiLine=True).select(F.explode("classes").alias("c")).select("c.*").withColumn("id", F.xxhash64("name"))
     return each.select("id", F.col("name").alias("class_name")).distinct(), each.select(F.col("id").alias("class_id"), F.explode("attributes").alias("name")), each.select(F.col("id").alias("class_id"), F.explode("methods").alias("m")).select("class_id", "m.name", "m.params_count")
 

@@ -14,4 +14,4 @@ def test_every_oracle_belongs_to_a_query():
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert oracles.keys() <= queries.keys() and all(map(callable, queries.values()))
     if __spark_entry__.HAS_LLM:
-        assert sum(n.startswith("op") for n in queries) == 10 and "pipeline" in queries
+        assert sum(n.startswith("op") for n in queries) == 13 and "pipeline" in queries

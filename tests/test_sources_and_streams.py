@@ -7,6 +7,7 @@ import shutil
 
 from pyspark.sql import functions as F
 
+from corpusjobs.operators import triage
 from corpusjobs.sources import files
 from corpusjobs.streaming import streams
 
@@ -165,3 +166,12 @@ def test_pair_stream_tells_each_pair_once(spark, tmp_path):
         streams.stream_pair_coverage(spark.readStream.schema(schema).parquet(source), str(tmp_path / "p"), str(tmp_path / "ck")).start().awaitTermination()
     told = [tuple(r) for r in streams.stored(spark, str(tmp_path / "p"), streams.PAIR).collect()]
     assert sorted(told) == [(1, 2), (1, 5), (4, 5)]
+
+
+def test_signatures_are_found_within_a_stream(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "run_id long, project string, stdout string, stderr string, return_code int"
+    rows = [(1, "clang", "", "LLVM ERROR: bad node", 1), (2, "clang", "", "LLVM ERROR: bad node", 1), (3, "cpython", "fine", "", 0), (4, "rust", "", "thread 'rustc' panicked at src/a.rs:1:2:\nno", 101)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
+    signed = triage.with_signatures(spark.readStream.schema(schema).parquet(source)).filter("crashed")
+    streams.stream_first_seen(signed, None, str(tmp_path / "out"), str(tmp_path / "ck")).start().awaitTermination()
+    assert {(r.key, r.first, r.n) for r in streams.stored(spark, str(tmp_path / "out"), streams.FIRST).collect()} == {("LLVM ERROR: bad node", 1, 2), ("RustPanic:src/a.rs:1:2:no", 4, 1)}
