@@ -12,7 +12,7 @@ from ..functions import lexing as X
 from ..functions import mutations as M
 from ..functions import profiles as P
 from ..functions import statements as S
-from ..operators import diverse, pairing
+from ..operators import bridges, diverse, pairing
 from ..operators.tables import cut
 from .views import cte, view
 
@@ -176,13 +176,16 @@ def j17_mutations(spark, sf_dir):
     return variants.select("seed_no", "variant", "type", changed("content", F.concat_ws("|", "seed_no", "variant"), "type").alias("content"))
 
 
-@query()
+@query(cte("code_seeds") + r""", s AS (SELECT seed_no, content, regexp_extract(content, 'return (v\d) ', 1) AS v, regexp_extract(content, '\+ (w\d)', 1) AS w FROM code_seeds WHERE type = 'cpython'),
+p AS (SELECT a.seed_no AS id_lo, b.seed_no AS id_hi, a.seed_no || '-' || b.seed_no AS pair, a.content AS x, b.content AS y, [a.v, a.w] AS ga, [b.v, b.w] AS gb FROM s a JOIN s b ON b.seed_no = a.seed_no + 4),
+d AS (SELECT *, ga[CAST('0x' || left(md5('7|' || pair || '|a|name'), 8) AS BIGINT) % 2 + 1] AS var_a, gb[CAST('0x' || left(md5('7|' || pair || '|b|name'), 8) AS BIGINT) % 2 + 1] AS var_b, CAST('0x' || left(md5('7|' || pair), 8) AS BIGINT) % 100 AS bucket FROM p),
+n AS (SELECT *, CAST(least(CASE WHEN bucket < 89 THEN 1 WHEN bucket < 99 THEN 2 ELSE 3 END, CASE WHEN starts_with(var_b, 'v') THEN 2 ELSE 1 END) AS INTEGER) AS n, strpos(y, chr(10) || var_b) AS one, strpos(y, CASE WHEN starts_with(var_b, 'v') THEN 'return ' ELSE '+ ' END || var_b) + CASE WHEN starts_with(var_b, 'v') THEN 6 ELSE 1 END AS two FROM d),
+m AS (SELECT *, CASE WHEN starts_with(var_b, 'w') THEN false WHEN n >= 2 THEN true ELSE md5('7|' || pair || '|' || one) < md5('7|' || pair || '|' || two) END AS at_one, CASE WHEN starts_with(var_b, 'w') OR n >= 2 THEN true ELSE md5('7|' || pair || '|' || two) < md5('7|' || pair || '|' || one) END AS at_two FROM n)
+SELECT id_lo, id_hi, var_a, var_b, n, x || chr(10) || 'fusion = ' || var_a || '  # dataflow' || chr(10) || CASE WHEN at_one THEN left(y, one) || 'fusion' || y[one + 3 : two] ELSE left(y, two) END || CASE WHEN at_two THEN 'fusion' || y[two + 3 :] ELSE y[two + 1 :] END AS bridged FROM m""")
 def j11_dataflow_bridges(spark, sf_dir):
     """Python seeds in pairs: a name of the first is bridged into the second."""
-    own = code(spark, sf_dir).filter("type = 'cpython'").select("seed_no", "content")
-    pairs = own.selectExpr("seed_no AS id_lo", "seed_no + 4 AS id_hi", "content AS a").join(own.selectExpr("seed_no AS id_hi", "content AS b"), "id_hi")
-    joined = X.vectorised(lambda a, b, seed: X.bridge(a, b, X.python_groups(a), X.python_groups(b), 1, seed), "string")
-    return pairs.select("id_lo", "id_hi", joined("a", "b", F.concat_ws("-", "id_lo", "id_hi")).alias("bridged"))
+    own = X.scanned(code(spark, sf_dir).filter("type = 'cpython'").select(F.col("seed_no").alias("id"), "content"), groups=("python_groups", "content"))
+    return bridges.dataflow_bridges(own.selectExpr("id AS id_lo", "id + 4 AS id_hi"), own, 7, largest=True, tag="# dataflow")
 
 
 def paired_units(spark, sf_dir, language):

@@ -207,3 +207,22 @@ def test_interleaved_statements_respect_their_edges(spark):
         assert any(len(set(x)) > 1 and x != sorted(x) for x in seeds.values())
         again = J.interleaved(units.repartition(7), edges.repartition(3), 5).collect()
         assert sorted(map(tuple, again)) == sorted(map(tuple, ordered))
+
+
+def test_bridges(spark):
+    from corpusjobs.functions import lexing as X
+    from corpusjobs.operators import bridges
+
+    seeds = spark.createDataFrame([(1, "a = b", [["a", "b"], ["c", "d", "e"]]), (2, "x = xx + x; x", [["x"]]), (3, "none", []), (4, None, None)], "id long, content string, groups array<array<string>>")
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 3), (3, 1), (1, 4)], "id_lo long, id_hi long")
+    for largest in (False, True):
+        found = {(r.id_lo, r.id_hi): r for r in bridges.dataflow_bridges(pairs, seeds, 3, largest=largest, tag="# t").collect()}
+        one = found[1, 2]
+        assert one.var_a in ("cde" if largest else "abcde") and one.var_b == "x" and 1 <= one.n <= 3
+        first, second, third = one.bridged.split("\n")
+        assert (first, second) == ("a = b", f"fusion = {one.var_a}  # t") and third.count("fusion") == one.n and third.replace("fusion", "x") == "x = xx + x; x"
+        assert (found[1, 3].bridged, found[3, 1].bridged, found[1, 3].n, found[1, 4].bridged) == ("a = b\nnone", "none\na = b", 0, None)
+    light = spark.createDataFrame([(["a", "b", "a"],)], "n array<string>").select(bridges.each_alone(F.col("n")).alias("g")).first().g
+    assert light == [["a"], ["b"]]
+    php = bridges.dataflow_bridges(pairs.limit(1), seeds, 3, name="$fusion", statement="{name} = {value};").first()
+    assert f"\n$fusion = {php.var_a};\n" in php.bridged and X.replace_words("x", "x", "$fusion", 1, "") == "$fusion"
