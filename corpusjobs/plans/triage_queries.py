@@ -91,6 +91,15 @@ def g12_signatures(spark, sf_dir):
     return G.with_signature(runs_table(spark, sf_dir), F.col("project"), F.col("stdout"), F.col("stderr")).select("run_id", "project", "signature")
 
 
+@query(RUNS + r"""SELECT run_id, coalesce(CASE WHEN project = 'rust' THEN nullif(trim(regexp_extract(stderr, '(SUMMARY: [^\n]*)', 1)), '') WHEN project = 'php' THEN nullif(regexp_extract(stderr, '(Segmentation fault)', 1), '') END,
+  'ASAN:' || nullif(a1, '') || '_in_' || a2 || '_at_' || a3, 'ASAN:' || asan, 'UBSAN:' || left(ubsan, 120), 'RustPanic:' || nullif(panic, '') || ':' || panic_text, 'Assertion:' || assertion,
+  CASE WHEN said <> '' THEN 'Error:' || left(trim(regexp_replace(said, '/\S+', '', 'g')), 100) END, CASE WHEN contains(lined, 'Segmentation fault') THEN 'SIGSEGV' WHEN contains(lined, 'Aborted') THEN 'SIGABRT' END, 'Stderr:' || trim(split_part(stderr, chr(10), 1))) AS signature FROM f""")
+def u3_own_cascades(spark, sf_dir):
+    """Signatures by cascades of one's own: another project's, and one with a rule made for the query."""
+    own = {"rust": G.php, "php": G.Cascade(G.named("err", "Segmentation fault", "Segmentation fault"))}
+    return G.with_signature(runs_table(spark, sf_dir), F.col("project"), F.col("stdout"), F.col("stderr"), cascades=own).select("run_id", "signature")
+
+
 @query(RUNS + r""", g AS (SELECT run_id, nullif(trim(regexp_extract(stderr, '(SUMMARY: [^\n]*)', 1)), '') AS a, nullif(trim(regexp_extract(stderr, '(Assertion[^:]*:[^\n]*)', 1)), '') AS b FROM runs)
 SELECT run_id, coalesce(a, b) AS signature FROM g""")
 def g11_reducer_signatures(spark, sf_dir):
