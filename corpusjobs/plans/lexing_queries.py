@@ -12,7 +12,7 @@ from ..functions import lexing as X
 from ..functions import mutations as M
 from ..functions import profiles as P
 from ..functions import statements as S
-from ..operators import bridges, diverse, pairing
+from ..operators import bridges, diverse, mutants, pairing
 from ..operators.tables import cut
 from .views import cte, view
 
@@ -167,13 +167,29 @@ def j14_statement_edges(spark, sf_dir):
     return pairing.statement_edges(rows)
 
 
+def variants(spark, sf_dir):
+    """Twenty variants of each seed."""
+    both = code(spark, sf_dir).select("seed_no", "content", "type").unionByName(view(spark, sf_dir, "more_code").select("seed_no", "content", "type"))
+    return both.select("seed_no", "content", "type", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("variant")).withColumn("seed", F.concat_ws("|", "seed_no", "variant"))
+
+
 @query()
 def j17_mutations(spark, sf_dir):
-    """Twenty variants of each seed, by the rules of its language."""
-    changed = X.vectorised(M.mutate, "string")
-    both = code(spark, sf_dir).select("seed_no", "content", "type").unionByName(view(spark, sf_dir, "more_code").select("seed_no", "content", "type"))
-    variants = both.select("seed_no", "content", "type", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("variant"))
-    return variants.select("seed_no", "variant", "type", changed("content", F.concat_ws("|", "seed_no", "variant"), "type").alias("content"))
+    """The variants of all seeds after the rules of their languages."""
+    return mutants.mutated(variants(spark, sf_dir)).select("seed_no", "variant", "type", F.col("mutated").alias("content"))
+
+
+#: The chances of the rules, and of the base for languages without rules.
+CHANCES = ", ".join(f"('{name}', {nth}, {rule.chance})" for name, rules in (*M.FAMILIES.items(), ("", M.BASE)) for nth, rule in enumerate(rules))
+
+
+@query(cte("code_seeds", "more_code") + f""", r(language, nth, chance) AS (VALUES {CHANCES}), b AS (SELECT seed_no, type FROM code_seeds UNION ALL SELECT seed_no, type FROM more_code), v AS (SELECT seed_no, type, unnest(range(1, 21)) AS variant FROM b),
+d AS (SELECT seed_no, type, variant, nth FROM v JOIN r ON language = CASE WHEN type IN (SELECT language FROM r) THEN type ELSE '' END WHERE CAST('0x' || left(md5(seed_no || '|' || variant || '|' || nth || '|chance'), 12) AS BIGINT) % 1000 < chance)
+SELECT seed_no, type, CAST(variant AS INTEGER) AS variant, string_agg(CAST(nth AS VARCHAR), ',' ORDER BY nth) AS rules FROM d GROUP BY ALL""")
+def j17_rules_drawn(spark, sf_dir):
+    """The variants that a rule is tried on, with the numbers of their rules."""
+    drawn = variants(spark, sf_dir).withColumn("rules", mutants.rules_drawn(F.col("seed"), F.col("type")))
+    return drawn.filter(F.size("rules") > 0).select("seed_no", "type", "variant", F.array_join("rules", ",").alias("rules"))
 
 
 @query(cte("code_seeds") + r""", s AS (SELECT seed_no, content, regexp_extract(content, 'return (v\d) ', 1) AS v, regexp_extract(content, '\+ (w\d)', 1) AS w FROM code_seeds WHERE type = 'cpython'),

@@ -226,3 +226,17 @@ def test_bridges(spark):
     assert light == [["a"], ["b"]]
     php = bridges.dataflow_bridges(pairs.limit(1), seeds, 3, name="$fusion", statement="{name} = {value};").first()
     assert f"\n$fusion = {php.var_a};\n" in php.bridged and X.replace_words("x", "x", "$fusion", 1, "") == "$fusion"
+
+
+def test_mutants_are_those_of_one_text_at_a_time(spark):
+    from corpusjobs.functions import mutations as M
+    from corpusjobs.operators import mutants
+
+    texts = {"php": "<?php\n$a = 1 + 2;\n$b = 'x' . \"y\";\nif ($a == $b and true) { f((int) $a ?? null); }", "cpython": "x = 1\ny += 'a' * 3\nprint(x.y, None)", "rust": "fn main() {\n  let a = 1i32;\n  f(a);\n}", "haskell": "main = print (1 + 2)\nx = \"s\" ++ show True", "go": "a := 1 + 2 // 'x'", "": "a += 0x1"}
+    rows = [(i, f"{t}|{i}", t, c) for i in range(30) for t, c in texts.items()] + [(99, "k", "php", None), (99, "k", None, "a = 1")]
+    for boost in (1, 100):
+        found = mutants.mutated(spark.createDataFrame(rows, "i int, seed string, type string, content string"), boost=boost).collect()
+        assert len(found) == len(rows)
+        for r in found:
+            assert r.mutated == (None if r.content is None else M.mutate(r.content, r.seed, r.type or "", boost))
+        assert sum(r.mutated != r.content for r in found) > (100 if boost == 100 else -1) and all(r.mutated == r.content for r in found if not r.rules)
