@@ -26,6 +26,8 @@ from .tokens import WORD_BPE, encoder
 
 #: Tokens of a sequence; the id that ends a document; pieces of a group.
 CAPACITY, END, GROUP = 4096, 1, 4096
+#: Chunks of text that a worker remembers: some 80 MB, which stay with it while other jobs run.
+REMEMBERED = 1 << 19
 
 
 def best_fit(items: np.ndarray, capacity: np.ndarray, rule: str = "norm", weights: np.ndarray | None = None) -> np.ndarray:
@@ -74,7 +76,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, REMEMBERED)
         for batch in by_bytes(batches, 1):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

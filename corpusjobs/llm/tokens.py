@@ -19,7 +19,7 @@ from functools import cache
 
 import numpy as np
 
-#: Chunks that a worker remembers, and the length up to which a chunk is remembered; beyond, they are coded anew.
+#: Chunks that a worker remembers unless told otherwise, and the length up to which a chunk is remembered; beyond, they are coded anew.
 REMEMBERED, LONGEST = 3 << 19, 64
 WORD_BPE = "word_bpe_49k.json"
 #: The normaliser and the pattern of WORD_BPE, and the pattern over the plain alphabet.
@@ -44,16 +44,16 @@ def byte_letters() -> dict[int, str]:
 
 
 class Memory(dict):
-    """Ids of chunks, coded when first asked for; at most REMEMBERED chunks of at most LONGEST characters."""
+    """Ids of chunks, coded when first asked for; at most `most` chunks of at most LONGEST characters."""
 
-    def __init__(self, code: Callable[[str], bytes]):
+    def __init__(self, code: Callable[[str], bytes], most: int):
         super().__init__()
-        self.code = code
+        self.code, self.most = code, most
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.code(chunk)
         if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.clear()
             self[chunk] = ids
         return ids
@@ -62,7 +62,7 @@ class Memory(dict):
 class Encoder:
     """Ids of texts as bytes: little-endian unsigned 32-bit integers."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, most: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         with open(vocabulary(name), encoding="utf-8") as f:
@@ -76,7 +76,7 @@ class Encoder:
         known = (made.get("normalizer") or {}).get("normalizers") == NORMAL and split.get("pattern", {}).get("Regex") == PATTERN
         self.plain = known and [x["type"] for x in level] == ["ByteLevel"] and not (level[0]["add_prefix_space"] or level[0]["use_regex"])
         self.letters = byte_letters()
-        self.chunks, self.others = Memory(self.coded_chunk), Memory(self.coded)
+        self.chunks, self.others = Memory(self.coded_chunk, most), Memory(self.coded, most)
 
     def coded(self, chunk: str) -> bytes:
         """By the whole tokenizer."""
@@ -103,6 +103,6 @@ class Encoder:
 
 
 @cache
-def encoder(name: str = WORD_BPE) -> Encoder:
+def encoder(name: str = WORD_BPE, most: int = REMEMBERED) -> Encoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Encoder(name)
+    return Encoder(name, most)

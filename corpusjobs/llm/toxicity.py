@@ -29,7 +29,8 @@ DIM, SCALE, GRAMS = 8, 30.0, (3, 4, 5, 6)
 LEAST, VOCABULARY = 4, 1 << 10
 #: Labelled ids of each class that training takes at most, by the order of a hash of the id.
 SAMPLE = 2000
-REMEMBERED = 1 << 20
+#: Words whose margins a task remembers: some 40 MB.
+REMEMBERED = 1 << 18
 
 
 def grams(word: str) -> list[str]:

@@ -490,6 +490,19 @@ def test_encoder_gives_the_ids_of_the_library():
     assert [np.frombuffer(encode(t), "<u4").tolist() for t in hard] == library_ids(hard)
 
 
+def test_packing_workers_remember_little(monkeypatch):
+    """What a worker keeps between tasks is bounded by packing itself, below what op7 may keep, and ids stay those of the library."""
+    asked = []
+    monkeypatch.setattr(tokens, "Encoder", lambda name, most: asked.append(most))
+    tokens.encoder.__wrapped__(tokens.WORD_BPE, packing.REMEMBERED)
+    monkeypatch.undo()
+    assert asked == [packing.REMEMBERED] and packing.REMEMBERED <= 1 << 19 < tokens.REMEMBERED
+    encode = tokens.Encoder(tokens.WORD_BPE, 50)
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(20)] + ["\u4e2d w1x1 " * 3]
+    assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == library_ids(texts)
+    assert 0 < len(encode.chunks) <= 50 and len(encode.others) <= 50
+
+
 def test_code_lengths_are_optimal_under_the_limit():
     rng = np.random.default_rng(1)
     for limit in (4, 6, 16):
