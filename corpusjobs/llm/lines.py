@@ -5,7 +5,7 @@ MIN_WORDS words, or of as many characters as MIN_WORDS words of five letters hav
 normalised line has a SimHash of 128 bits over its words; a word over LONG bytes, as whole lines are in scripts without
 spaces, stands for its runs of GRAM characters. The bits are cut into blocks in several fixed orders, and lines meet
 where one block agrees: within each order no pair of fewer differing bits than blocks is lost (pigeonhole), and each
-further order finds more of the rest. The width of a block follows from the number of lines, so that about 64 lines meet
+further order finds more of the rest. The width of a block follows from the number of lines, so that about 1,024 lines meet
 by chance, and the number of orders from that width, so that SHARE of the pairs meet whose bits agree as often as AGREE
 says; short lines, whose bits one edit moves most, have orders of their own.
 Of lines that meet within BITS bits the edit similarity of the texts is verified, the nearest first and no pair that is
@@ -31,8 +31,9 @@ from .common import by_bytes, components, cut, free_name, freed, gathered, joine
 
 MIN_WORDS, SIMILARITY, WIDTH = 5, 0.8, 128
 LONG, GRAM = 24, 3
-#: Lines that should meet in a cell by chance, the bits of a block at least, and the share of pairs that should meet.
-BY_CHANCE, NARROWEST, SHARE = 64, 8, 0.95
+#: Lines that should meet in a cell by chance, the bits of a block at least, and the share of pairs that should meet. Wide
+#: cells cost comparisons in the tasks, narrow ones more blocks, for each of which all lines move.
+BY_CHANCE, NARROWEST, SHARE = 1024, 8, 0.95
 #: Characters of short lines; how often a bit agrees of pairs that should meet: of all lines, and of short ones.
 SHORT, AGREE, AGREE_SHORT = 160, 0.85, 0.79
 #: Bits by which lines may differ to be compared as texts, and by which short ones may.
@@ -43,8 +44,8 @@ GROUP, HOT, PART = 1 << 16, 1 << 18, 1 << 15
 WORDS = 1 << 15
 #: Lines of a cell up to which cells are compared side by side.
 SIDE = 256
-#: Blocks for which all lines are dealt out at once, so that the records on disk stay at about the size of the texts.
-ROUND = 8
+#: Blocks for which all lines are dealt out at once, so that the records on disk stay at about half the size of the texts.
+ROUND = 4
 #: Normalisation of UTF-8 bytes; a line feed stays.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c == 10 or c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 REMEMBERED = 1 << 20
@@ -194,13 +195,14 @@ def blocks_for(n: int, agree: float, share: float = SHARE) -> list[np.ndarray]:
 
 def cells_of(f1: np.ndarray, f2: np.ndarray, blocks: list[np.ndarray]) -> np.ndarray:
     """The value of each block (columns) for each line (rows)."""
-    weights = np.zeros((WIDTH, len(blocks)), np.float64)
+    kind = np.float32 if max(map(len, blocks)) <= 24 else np.float64  # whole numbers below 2**24 and 2**53
+    weights = np.zeros((WIDTH, len(blocks)), kind)
     for i, block in enumerate(blocks):
         weights[block, i] = 2.0 ** np.arange(len(block))[::-1]
     out = np.empty((len(f1), len(blocks)), np.uint32)
     for at in range(0, len(f1), 2048):
         own = np.stack((f1[at : at + 2048], f2[at : at + 2048]), axis=1).astype("<i8").view(np.uint8)
-        out[at : at + 2048] = np.unpackbits(own, axis=1).astype(np.float64) @ weights  # whole numbers far below 2**53
+        out[at : at + 2048] = np.unpackbits(own, axis=1).astype(kind) @ weights
     return out
 
 
@@ -235,10 +237,10 @@ def within_cell(group: np.ndarray, start: int, end: int, similarity: float) -> I
         upto = min(at + 64, n)
         last = int(np.searchsorted(size, int(size[upto - 1] / similarity) + 1, side="right"))
         apart = np.bitwise_count(f1[at:upto, None] ^ f1[None, at:last]) + np.bitwise_count(f2[at:upto, None] ^ f2[None, at:last])
-        i, j = np.nonzero(apart <= most[at:upto, None])
+        near = np.flatnonzero(apart <= most[at:upto, None])
+        i, j = np.divmod(near, last - at)
         keep = (i < j) & (size[at + j] * similarity - 1e-9 <= size[at + i])
-        i, j = i[keep], j[keep]
-        yield start + at + i, start + at + j, apart[i, j]
+        yield start + at + i[keep], start + at + j[keep], apart.ravel()[near[keep]]
 
 
 def nearest_of(n: int, found: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -362,7 +364,8 @@ def candidates(lines: DataFrame, n: int, n_few: int, similarity: float) -> DataF
             freed(lines.sparkSession)
     if not found:
         found = [lines.sparkSession.createDataFrame([], PAIRS)]
-    return cut(reduce(DataFrame.unionByName, found).distinct())
+    few_tasks = reduce(DataFrame.unionByName, found).coalesce(max(1, *(x.rdd.getNumPartitions() for x in found)))
+    return cut(few_tasks.distinct())
 
 
 # -- verification ---------------------------------------------------------------------------------
@@ -486,6 +489,18 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return best("a").unionByName(best("b")).distinct()
 
 
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of groups (node, root) that links (x, y) of different roots connect further; lines of no group are roots of their own.
+
+    Only the roots are linked, which are few; as a root is the least of its group, so is the one of what is merged.
+    """
+    above = cut(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    freed(groups.sparkSession)
+    new = above.select(F.col("node").alias("root"), F.col("root").alias("over"))
+    old = groups.join(new, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+    return cut(old.unionByName(above.join(groups, "node", "left_anti").select("node", "root")))
+
+
 def groups_of(docs: DataFrame, keys: DataFrame, text_col: str, min_words: int, similarity: float, tables: list[str]) -> DataFrame:
     """(node, root) of the ids of lines that verified links connect.
 
@@ -503,18 +518,25 @@ def groups_of(docs: DataFrame, keys: DataFrame, text_col: str, min_words: int, s
         own = rows.join(groups.select(F.col("node").alias(line), F.col("root").alias(name)), line, "left")
         return own.withColumn(name, F.coalesce(name, line))
 
+    def linked(found: DataFrame, groups: DataFrame) -> DataFrame:
+        """groups after verification of pairs (a, b) of different groups."""
+        more = cut(verified(found.select("a", "b"), texts, similarity))
+        freed(docs.sparkSession)
+        if more.isEmpty():
+            return groups
+        return merged(groups, known(known(more, groups, "a", "x"), groups, "b", "y").select("x", "y"))
+
+    def apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        return known(known(rows, groups, "a", "x"), groups, "b", "y").filter("x <> y")
+
     tried = cut(nearest(pairs))
     sure = cut(verified(tried, texts, similarity))
     groups = cut(components(sure))
-    rest = known(known(pairs.join(tried, ["a", "b"], "left_anti"), groups, "a", "x"), groups, "b", "y").filter("x <> y")
-    more = cut(verified(rest.select("a", "b"), texts, similarity))
-    if not more.isEmpty():
-        sure = cut(sure.unionByName(more))
-        groups = cut(components(sure))
+    freed(docs.sparkSession)
+    groups = linked(apart(pairs.join(tried, ["a", "b"], "left_anti"), groups), groups)
     again = cut(known(wanted.select("id", "f1", "f2", "size"), groups, "id", "root"))
     left = candidates(again, n, n_few, similarity).select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    more = cut(verified(left, texts, similarity))
-    return groups if more.isEmpty() else cut(components(sure.unionByName(more)))
+    return linked(left, groups)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, short: bool = False) -> DataFrame:

@@ -243,6 +243,33 @@ def test_changed_lines_are_candidates(k, n, among):
     assert sum(met(2 * i, 2 * i + 1) for i in range(200)) >= 180
 
 
+def test_blocks_stay_few_and_their_records_small():
+    """Records that lines make stay near the size of the texts however many lines there are; cells are exact in either float."""
+    for n in (1 << 13, 1 << 21, 1 << 23, 1 << 25):
+        every, few = lines.blocks_for(n, lines.AGREE), lines.blocks_for(n // 3, lines.AGREE_SHORT)
+        assert len(every) + len(few) / 3 <= 60
+        assert lines.ROUND * lines.RECORD.itemsize <= 128
+    rng = np.random.default_rng(3)
+    f1, f2 = (rng.integers(-(1 << 63), (1 << 63) - 1, 500) for _ in range(2))
+    bits = np.unpackbits(np.stack((f1, f2), axis=1).view(np.uint8), axis=1)
+    for width in (8, 24, 30):
+        blocks = [rng.permutation(128)[:width] for _ in range(3)]
+        want = [[int("".join(map(str, row[b])), 2) for b in blocks] for row in bits]
+        assert lines.cells_of(f1, f2, blocks).tolist() == want
+
+
+@pytest.mark.parametrize(("k", "n"), [(5, 1), (10, 1), (20, 2), (40, 4), (100, 10)])
+def test_changed_lines_are_candidates_among_many(k, n):
+    test_changed_lines_are_candidates(k, n, 1 << 25)
+
+
+def test_groups_merge_over_their_roots(spark):
+    groups = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (9, 9), (10, 9)], "node long, root long")
+    links = spark.createDataFrame([(5, 1), (5, 7), (20, 21)], "x long, y long")
+    got = {r.node: r.root for r in lines.merged(groups, links).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 7: 1, 9: 9, 10: 9, 20: 20, 21: 20}
+
+
 def plain_lines(text):
     return [" ".join(re.sub(r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", " ", x.translate(decontam.LOWER)).split(" ")).split() for x in (text or "").split("\n")]
 
