@@ -3,11 +3,13 @@
 Lines are normalised (A-Z in lower case, white space, controls and ASCII punctuation as one space). A line of at least
 MIN_WORDS words, or of as many characters as MIN_WORDS words of five letters have, takes part. Every distinct
 normalised line has a SimHash of 128 bits over its words; a word over LONG bytes, as whole lines are in scripts without
-spaces, stands for its runs of GRAM characters. The bits are cut into blocks in several fixed orders, and lines meet
-where one block agrees: within each order no pair of fewer differing bits than blocks is lost (pigeonhole), and each
-further order finds more of the rest. The width of a block follows from the number of lines, so that about 1,024 lines meet
-by chance, and the number of orders from that width, so that SHARE of the pairs meet whose bits agree as often as AGREE
-says; short lines, whose bits one edit moves most, have orders of their own.
+spaces, stands for its runs of GRAM characters. The bits are cut into blocks in several fixed orders, and lines whose
+bits of one block agree are a group that one task gets. In a group the other bits are cut into inner blocks in the same way,
+and lines meet where an inner block agrees too: of the blocks of one order no pair of fewer differing bits than blocks is
+lost (pigeonhole), and each further block finds more of the rest. Blocks are as wide as groups of about GROUP lines need, inner
+ones as wide as leaves about BY_CHANCE lines that agree by chance. There are as many inner blocks as let INSIDE of the pairs of a
+group meet whose bits agree as often as AGREE says, and as many blocks as let SHARE of all such pairs meet; only for blocks
+do lines move. Short lines, whose bits one edit moves most, have blocks of their own.
 Of lines that meet within BITS bits the edit similarity of the texts is verified, the nearest first and no pair that is
 connected by then, and the connected groups of verified links, together with equal lines, keep the occurrence that comes first by (document id, line number).
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from functools import cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +34,21 @@ from .common import by_bytes, components, cut, free_name, freed, gathered, joine
 
 MIN_WORDS, SIMILARITY, WIDTH = 5, 0.8, 128
 LONG, GRAM = 24, 3
-#: Lines that should meet in a cell by chance, the bits of a block at least, and the share of pairs that should meet. Wide
-#: cells cost comparisons in the tasks, narrow ones more blocks, for each of which all lines move.
-BY_CHANCE, NARROWEST, SHARE = 1024, 8, 0.95
+#: Lines that should agree by chance in an inner block, and the share of pairs that should meet, in a group and of all. Narrow
+#: inner blocks cost comparisons, wide ones more sorting.
+BY_CHANCE, INSIDE, SHARE = 16, 0.9, 0.99
 #: Characters of short lines; how often a bit agrees of pairs that should meet: of all lines, and of short ones.
 SHORT, AGREE, AGREE_SHORT = 160, 0.85, 0.79
 #: Bits by which lines may differ to be compared as texts, and by which short ones may.
 BITS, BITS_SHORT = 28, 33
-#: Lines of a group of cells on average; a group over the second number, but at least a 65,536th of all, is dealt out in parts of the third.
-GROUP, HOT, PART = 1 << 16, 1 << 18, 1 << 15
+#: Lines of a group on average; a group over the second number, but at least a 65,536th of all, is dealt out in parts of the third.
+GROUP, HOT, PART = 1 << 17, 1 << 19, 1 << 17
+#: Bits by which few lines are dealt out too, if groups keep so many lines; a group of so many is compared whole.
+SPREAD, LEAST = 4, 1 << 11
 #: Words whose hashes are summed at once.
 WORDS = 1 << 15
-#: Lines of a cell up to which cells are compared side by side.
-SIDE = 256
+#: Lines of a cell up to which cells are compared side by side, lines that are so compared at once, and pairs handed on at once.
+SIDE, ROWS, PAIRED = 1 << 11, 1 << 15, 1 << 16
 #: Blocks for which all lines are dealt out at once, so that the records on disk stay at about half the size of the texts.
 ROUND = 4
 #: Normalisation of UTF-8 bytes; a line feed stays.
@@ -60,16 +65,20 @@ class Lines:
     """The non-empty normalised lines of some texts: of each its text's place, its number there, its words and characters."""
 
     def __init__(self, texts: list[bytes | None]):
-        self.lines: list[bytes] = []
-        text, number, words = [], [], []
-        for i, t in enumerate(texts):
-            for k, line in enumerate((t or b"").translate(NORMAL).split(b"\n")):
-                if own := line.split():
-                    self.lines.append(b" ".join(own))
-                    text.append(i)
-                    number.append(k)
-                    words.append(len(own))
-        self.text, self.number, self.words = (np.array(x, np.int64) for x in (text, number, words))
+        data = np.frombuffer(b"\n".join([*(t or b"" for t in texts), b""]).translate(NORMAL), np.uint8)
+        gap = data <= 32
+        gap[1:] &= gap[:-1]  # behind another gap, or at the beginning
+        data = data[~gap | (data == 10)]
+        feeds = np.flatnonzero(data == 10)
+        starts = np.concatenate(([0], feeds[:-1] + 1))[: len(feeds)]
+        upto = feeds - (data[feeds - 1] == 32)
+        own = np.flatnonzero(upto > starts)
+        text = data.tobytes()
+        self.lines: list[bytes] = [text[s:e] for s, e in zip(starts[own].tolist(), upto[own].tolist(), strict=True)]
+        counts = np.array([(t or b"").count(b"\n") + 1 for t in texts], np.int64)
+        self.text = np.repeat(np.arange(len(texts)), counts)[own]
+        self.number = own - (np.cumsum(counts) - counts)[self.text]
+        self.words = np.array([x.count(b" ") + 1 for x in self.lines], np.int64)
         self.size = np.array([len(x) if x.isascii() else len(x.decode("utf-8", "surrogatepass")) for x in self.lines], np.int64)
 
     def __len__(self) -> int:
@@ -148,11 +157,12 @@ def majority(line: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
     chunks = -(-sizes // 255)  # a byte counts to 255
     at = np.cumsum(chunks) - chunks
     starts = np.repeat(first, chunks) + 255 * (np.arange(chunks.sum()) - np.repeat(at, chunks))
-    out = np.empty((n, WIDTH // 8), np.uint8)
+    ones = np.empty((len(starts), WIDTH // 8), np.uint64)
     for j in range(WIDTH // 8):
-        ones = np.add.reduceat(lanes().take(both[j]), starts).view(np.uint8).reshape(-1, 8)
-        out[:, j] = np.packbits(2 * np.add.reduceat(ones, at, axis=0, dtype=np.int32) > sizes[:, None], axis=1)[:, 0]
-    return out.view("<i8")
+        ones[:, j] = np.add.reduceat(lanes().take(both[j]), starts)
+    ones = ones.view(np.uint8)
+    ones = ones.astype(np.int32) if len(at) == len(ones) else np.add.reduceat(ones, at, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > sizes[:, None]).view("<i8").reshape(n, 2)
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
@@ -175,22 +185,47 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 # -- candidates -----------------------------------------------------------------------------------
 
-#: A line in a cell, and one whose group is known.
-RECORD = np.dtype([("cell", "<u4"), ("size", "<u4"), ("id", "<i8"), ("f1", "<i8"), ("f2", "<i8")])
+#: A line in a group, and one whose connected group is known.
+RECORD = np.dtype([("size", "<u4"), ("id", "<i8"), ("f1", "<i8"), ("f2", "<i8")])
 ROOTED = np.dtype([*RECORD.descr, ("root", "<i8")])
 PAIRS = "a long, b long, bits int"
 
 
+def group_bits(n: int, group: int = GROUP) -> int:
+    """The bits that deal n lines out to groups."""
+    return min(30, max(0, round(math.log2(max(n, 1) / group)), min(SPREAD, int(math.log2(max(n, 1) / LEAST)))))
+
+
+def needed(agree: float, share: float) -> int:
+    """The number of tries, of which `agree` succeed, of which one should in `share` of all cases."""
+    return 1 if agree >= 1 else math.ceil(math.log(1 - share) / math.log(1 - agree))
+
+
+def cut_bits(bits: np.ndarray, width: int, n: int, *seed: int) -> list[np.ndarray]:
+    """n blocks of some of the bits, without overlap within each order."""
+    each, out = len(bits) // max(width, 1), []
+    for order in range(-(-n // each)):
+        own = np.random.default_rng((*seed, order)).permutation(bits)
+        out += [own[width * i : width * (i + 1)] for i in range(each)]
+    return out[:n]
+
+
+def inner_width(n: int, width: int) -> int:
+    """The bits of an inner block in a group of the n lines for which a block of `width` bits agrees; none if the group is small and compared whole."""
+    return 0 if n <= LEAST << width else min(30 - width, max(0, round(math.log2(max(n, 1) / BY_CHANCE)) - width))
+
+
 def blocks_for(n: int, agree: float, share: float = SHARE) -> list[np.ndarray]:
-    """The bits of all blocks for n lines: one whole order, and as many more blocks as let `share` of the pairs meet of whose bits `agree` agree."""
-    width = min(30, max(NARROWEST, math.ceil(math.log2(max(n, 1) / BY_CHANCE))))
-    tables = math.ceil(math.log(1 - share) / math.log(1 - agree**width))
-    each = WIDTH // width
-    out = []
-    for seed in range(-(-tables // each)):
-        bits = np.random.default_rng(seed).permutation(WIDTH)
-        out += [bits[width * i : width * (i + 1)] for i in range(each)]
-    return out[: max(each, tables)]
+    """The bits of all blocks for n lines: as many as let `share` of the pairs meet of whose bits `agree` agree."""
+    width = group_bits(n)
+    inside = 1 - (1 - agree ** inner_width(n, width)) ** needed(agree ** inner_width(n, width), INSIDE)
+    return cut_bits(np.arange(WIDTH), width, needed(agree**width * inside, share))
+
+
+def inner_blocks(block: np.ndarray, number: int, n: int, agree: float) -> list[np.ndarray]:
+    """The bits of the inner blocks of a group of that block, which has this number, of n lines."""
+    width = inner_width(n, len(block))
+    return cut_bits(np.setdiff1d(np.arange(WIDTH), block), width, needed(agree**width, INSIDE), number, WIDTH)
 
 
 def cells_of(f1: np.ndarray, f2: np.ndarray, blocks: list[np.ndarray]) -> np.ndarray:
@@ -211,27 +246,29 @@ def allowed(size: np.ndarray) -> np.ndarray:
     return np.where(size <= SHORT, BITS_SHORT, BITS).astype(np.uint8)
 
 
-def side_by_side(group: np.ndarray, ends: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+def side_by_side(group: tuple[np.ndarray, ...], ends: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
     """Places (i, j) and bits of near lines of fitting lengths in cells that are sorted by size; ends has where each line's cell ends, `at` the lines to look from."""
-    f1, f2, size = (np.ascontiguousarray(group[c]).view(t) for c, t in (("f1", np.uint64), ("f2", np.uint64), ("size", np.uint32)))
-    most, lag = allowed(size), 1
-    upto, least = ends[at], size[at]
-    while len(at):
-        other = at + lag
-        stays = other < upto
-        stays[stays] = size[other[stays]] * similarity - 1e-9 <= least[stays]  # the next ones are longer still
-        if not stays.all():
-            at, other, upto, least = at[stays], other[stays], upto[stays], least[stays]
-        apart = np.bitwise_count(f1[at] ^ f1[other]) + np.bitwise_count(f2[at] ^ f2[other])
-        near = np.flatnonzero(apart <= most[at])
-        if len(near):
-            yield at[near], other[near], apart[near]
-        lag += 1
-
-
-def within_cell(group: np.ndarray, start: int, end: int, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+    f1, f2, size = group
+    most, far = allowed(size), size * similarity - 1e-9
+    for first in range(0, len(at), ROWS):
+        own, lag = at[first : first + ROWS], 1
+        upto, least = ends[own], size[own]
+        while len(own):
+            other = own + lag
+            stays = other < upto
+            stays[stays] = far[other[stays]] <= least[stays]  # the next ones are longer still
+            if not stays.all():
+                own, other, upto, least = own[stays], other[stays], upto[stays], least[stays]
+            apart = np.bitwise_count(f1[own] ^ f1[other]) + np.bitwise_count(f2[own] ^ f2[other])
+            near = np.flatnonzero(apart <= most[own])
+            if len(near):
+                yield own[near], other[near], apart[near]
+            lag += 1
+
+
+def within_cell(group: tuple[np.ndarray, ...], start: int, end: int, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
     """The same for one large cell, some rows at a time."""
-    f1, f2, size = (np.ascontiguousarray(group[c][start:end]).view(t) for c, t in (("f1", np.uint64), ("f2", np.uint64), ("size", np.uint32)))
+    f1, f2, size = (x[start:end] for x in group)
     most, n = allowed(size), end - start
     for at in range(0, n - 1, 64):
         upto = min(at + 64, n)
@@ -255,48 +292,72 @@ def nearest_of(n: int, found: Iterator[tuple[np.ndarray, ...]]) -> tuple[np.ndar
     return own, partner[own], best[own]
 
 
-def group_links(group: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, bits) of a group of records: of each line in each cell the nearest, or of rooted records all with different roots."""
-    rooted = "root" in group.dtype.names
-    group = group[np.argsort(group["cell"].astype(np.uint64) << np.uint64(32) | group["size"])]
-    cell = group["cell"]
-    edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
-    sizes = np.diff(edges)
-    run = np.repeat(np.arange(len(sizes)), sizes)
-    ends = np.repeat(edges[1:], sizes)
-
-    def found() -> Iterator[tuple[np.ndarray, ...]]:
-        yield from side_by_side(group, ends, np.flatnonzero((sizes > 1)[run] & (sizes <= SIDE)[run]), similarity)
-        for k in np.flatnonzero(sizes > SIDE).tolist():
-            yield from within_cell(group, int(edges[k]), int(edges[k + 1]), similarity)
+def gathered_pairs(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same pairs, more of them at a time."""
+    held, n = [], 0
+    for own in found:
+        held.append(own)
+        n += len(own[0])
+        if n >= PAIRED:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def met_inside(f1: np.ndarray, f2: np.ndarray, size: np.ndarray, inner: list[np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places (i, j) and bits of near lines of a group that agree in one of the inner blocks, once each; lines are sorted by size."""
+    cells = cells_of(f1, f2, inner).T
+    cells = np.ascontiguousarray(cells, np.uint16 if max(map(len, inner)) <= 16 else np.uint32)
+    for k, cell in enumerate(cells):
+        order = np.argsort(cell, kind="stable")
+        cell, group = cell[order], (f1[order].view(np.uint64), f2[order].view(np.uint64), size[order])
+        edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+        sizes = np.diff(edges)
+        every, ends = np.repeat(sizes, sizes), np.repeat(edges[1:], sizes)
+        large = (within_cell(group, int(edges[c]), int(edges[c + 1]), similarity) for c in np.flatnonzero(sizes > SIDE).tolist())
+        for i, j, bits in gathered_pairs(chain(side_by_side(group, ends, np.flatnonzero((every > 1) & (every <= SIDE)), similarity), chain.from_iterable(large))):
+            i, j = order[i], order[j]
+            new = np.ones(len(i), bool)
+            for before in cells[:k]:
+                new &= before[i] != before[j]
+            if new.any():
+                yield i[new], j[new], bits[new]
+
+
+def group_links(group: np.ndarray, inner: list[np.ndarray], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, bits) of a group of records that meet in an inner block: the nearest of each line, or of rooted records all with different roots."""
+    group = group[np.argsort(group["size"], kind="stable")]
+    found = met_inside(*(np.ascontiguousarray(group[c]) for c in ("f1", "f2", "size")), inner, similarity)
 
     def batch(i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
         a, b = group["id"][i], group["id"][j]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bits.astype(np.int32))], ["a", "b", "bits"])
 
-    if not rooted:
-        yield batch(*nearest_of(len(group), found()))
+    if "root" not in group.dtype.names:
+        yield batch(*nearest_of(len(group), found))
         return
     root = np.ascontiguousarray(group["root"])
-    for i, j, bits in found():
+    for i, j, bits in found:
         other = root[i] != root[j]
         if other.any():
             yield batch(i[other], j[other], bits[other])
 
 
-def met(lines: DataFrame, blocks: list[np.ndarray], n: int, similarity: float, group: int = GROUP, hot: int = HOT, part: int = PART) -> DataFrame:
-    """(a, b, bits) of n lines (id, f1, f2, size) for the given blocks, a < b: the nearest of each line in each cell; with
-    a column root all that have different roots."""
+def met(lines: DataFrame, blocks: list[np.ndarray], n: int, similarity: float, group: int = GROUP, hot: int = HOT, part: int = PART, agree: float = AGREE, first: int = 0) -> DataFrame:
+    """(a, b, bits) of n lines (id, f1, f2, size) for the given blocks, a < b, of which the first has that number: the nearest
+    of each line that agrees in a block and an inner block of it; with a column root all that have different roots."""
     rooted = "root" in lines.columns
     kind = ROOTED if rooted else RECORD
     width = len(blocks[0])
-    leading = min(width, max(0, math.ceil(math.log2(max(n, 1) / group))))  # bits of a block that name a group of cells
-    low = np.uint32(width - leading)
+    leading = min(width, group_bits(n, group))  # bits of a block that name a group
+    inner = [[np.concatenate((b[leading:], more)) for more in inner_blocks(b, first + i, n, agree)] for i, b in enumerate(blocks)]
+    blocks = [b[:leading] for b in blocks]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(blocks), 1 << leading), np.int64)
         for batch in gathered(batches, 1 << 16):
-            cells = cells_of(*(batch.column(i).to_numpy() for i in (0, 1)), [b[:leading] for b in blocks]) if leading else np.zeros((batch.num_rows, len(blocks)), np.uint32)
+            cells = cells_of(*(batch.column(i).to_numpy() for i in (0, 1)), blocks)
             for i in range(len(blocks)):
                 total[i] += np.bincount(cells[:, i], minlength=1 << leading)
         flat = total.ravel()
@@ -315,8 +376,8 @@ def met(lines: DataFrame, blocks: list[np.ndarray], n: int, similarity: float, g
                 record = np.empty(len(ids), kind)
                 if rooted:
                     record["root"] = roots[0]
-                record["cell"], record["size"], record["id"], record["f1"], record["f2"] = cells[:, i], size, ids, f1, f2
-                names = cells[:, i] >> low
+                record["size"], record["id"], record["f1"], record["f2"] = size, ids, f1, f2
+                names = cells[:, i]
                 order = np.argsort(names.astype(np.uint16) if leading <= 16 else names, kind="stable")
                 record, names = record[order], names[order]
                 edges = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1], [True]))).tolist()
@@ -337,12 +398,12 @@ def met(lines: DataFrame, blocks: list[np.ndarray], n: int, similarity: float, g
         for batch in batches:
             for name, pair, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if held and (name, pair) != now:
-                    yield from group_links(np.frombuffer(b"".join(held), kind), similarity)
+                    yield from group_links(np.frombuffer(b"".join(held), kind), inner[now[0] >> leading], similarity)
                     held = []
                 now = (name, pair)
                 held.append(data)
         if held:
-            yield from group_links(np.frombuffer(b"".join(held), kind), similarity)
+            yield from group_links(np.frombuffer(b"".join(held), kind), inner[now[0] >> leading], similarity)
 
     rows = lines.select("id", "f1", "f2", "size", *(["root"] if rooted else [])).mapInArrow(dealt, "name long, pair long, data binary")
     return rows.repartition("name", "pair").sortWithinPartitions("name", "pair").mapInArrow(compare, PAIRS)
@@ -360,7 +421,7 @@ def candidates(lines: DataFrame, n: int, n_few: int, similarity: float) -> DataF
         if "root" in lines.columns:
             each = len(blocks)  # few lines are left
         for at in range(0, len(blocks) if m else 0, each):
-            found.append(cut(met(some, blocks[at : at + each], m, similarity)))
+            found.append(cut(met(some, blocks[at : at + each], m, similarity, agree=agree, first=at)))
             freed(lines.sparkSession)
     if not found:
         found = [lines.sparkSession.createDataFrame([], PAIRS)]

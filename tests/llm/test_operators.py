@@ -263,6 +263,37 @@ def test_changed_lines_are_candidates_among_many(k, n):
     test_changed_lines_are_candidates(k, n, 1 << 25)
 
 
+@pytest.mark.parametrize("among", [1 << 13, 1 << 21, 1 << 25, 1 << 30])
+@pytest.mark.parametrize(("k", "n"), [(5, 1), (10, 1), (20, 2), (40, 4), (100, 10)])
+def test_changed_lines_meet_in_groups_and_inside(k, n, among):
+    """Of lines of k words with n of them changed at least nine of ten agree in a block and an inner block of it, though lines move for few blocks."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    pairs = []
+    while len(pairs) < 200:
+        a = [word() for _ in range(k)]
+        b = list(a)
+        for i in rng.sample(range(k), n):
+            b[i] = word()
+        x, y = " ".join(a), " ".join(b)
+        if lines.within(x, y, int(max(len(x), len(y)) * 0.2)):
+            pairs.append((x, y))
+    read = lines.Lines([x.encode() for pair in pairs for x in pair])
+    fps = read.simhashes()
+    apart = np.bitwise_count((fps[::2] ^ fps[1::2]).view(np.uint64)).sum(axis=1)
+    short = (np.maximum(read.size[::2], read.size[1::2]) <= lines.SHORT)
+    meets, moved = np.zeros(200, bool), 0
+    for m, agree, part in ((among, lines.AGREE, np.ones(200, bool)), (among // 3, lines.AGREE_SHORT, short)):
+        blocks = lines.blocks_for(m, agree)
+        moved += len(blocks) * m / among
+        for i, block in enumerate(blocks):
+            inner = [np.concatenate((block, more)) for more in lines.inner_blocks(block, i, m, agree)]
+            cells = lines.cells_of(fps[:, 0].copy(), fps[:, 1].copy(), inner)
+            meets |= part & (cells[::2] == cells[1::2]).any(axis=1)
+    assert (meets & (apart <= np.where(short, lines.BITS_SHORT, lines.BITS))).sum() >= 180
+    assert moved <= (12 if among <= 1 << 21 else 72)  # at 2 million lines 30 before
+
+
 def test_groups_merge_over_their_roots(spark):
     groups = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (9, 9), (10, 9)], "node long, root long")
     links = spark.createDataFrame([(5, 1), (5, 7), (20, 21)], "x long, y long")
