@@ -54,8 +54,8 @@ ROUND = 4
 #: Normalisation of UTF-8 bytes; a line feed stays.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c == 10 or c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 REMEMBERED = 1 << 20
-#: Bits of the filter by which the texts of candidate lines are fetched: 16 for each line, within these bounds.
-FILTER = (1 << 20, 1 << 28)
+#: Bits of the filter by which the texts of candidate lines are fetched: 8 for each line, within these bounds; the driver gets it in so many chunks.
+FILTER, CHUNKS = (1 << 20, 1 << 27), 1 << 10
 
 
 # -- normalised lines -----------------------------------------------------------------------------
@@ -432,28 +432,49 @@ def candidates(lines: DataFrame, n: int, n_few: int, similarity: float) -> DataF
 # -- verification ---------------------------------------------------------------------------------
 
 
+def line_filter(wanted: DataFrame, bits: int) -> bytes:
+    """A filter of so many bits with those set that k1 of the wanted lines names: the lowest bit of a byte is its first.
+
+    Tasks set the bits of whole chunks, so the driver gets CHUNKS rows at most, of the filter's size together.
+    """
+    each = bits // CHUNKS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.unique(batch.column(1).to_numpy())
+            for own in np.split(at, np.flatnonzero(np.diff(at // each)) + 1):
+                if len(own):
+                    chunks.setdefault(int(own[0]) // each, np.zeros(each, bool))[own % each] = True
+        for chunk, ones in chunks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(ones, bitorder="little").tobytes()], pa.binary())], ["chunk", "data"])
+
+    at = F.expr(f"cast(pmod(k1, {bits}) as int)")
+    rows = wanted.select(F.floor(at / each).cast("int").alias("chunk"), at.alias("at")).repartition("chunk").mapInArrow(run, "chunk int, data binary")
+    out = bytearray(bits >> 3)
+    for chunk, data in rows.collect():
+        out[chunk * (each >> 3) : (chunk + 1) * (each >> 3)] = data
+    return bytes(out)
+
+
 def line_texts(docs: DataFrame, wanted: DataFrame, text_col: str, min_words: int) -> DataFrame:
     """(id, line): the normalised lines of the wanted (id, k1, k2).
 
     The keys are told to the tasks by a bit filter of bounded size, so only lines that pass it move. A fuller
     filter lets more lines pass, never fewer.
     """
-    bits = min(FILTER[1], max(FILTER[0], 1 << math.ceil(math.log2(16 * wanted.count() + 1))))
-    bit = f"pmod(k1, {bits})"
-    masks = wanted.selectExpr(f"cast(shiftright({bit}, 5) as int) AS word", f"shiftleft(1L, cast({bit} & 31 as int)) AS mask").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    words = np.zeros(bits >> 5, np.uint32)
-    words[masks["word"].to_numpy(np.int64)] = masks["mask"].to_numpy(np.int64).astype(np.uint32)
-    sent = docs.sparkSession.sparkContext.broadcast(words.tobytes())
+    bits = min(FILTER[1], max(FILTER[0], 1 << math.ceil(math.log2(8 * wanted.count() + 1))))
+    sent = docs.sparkSession.sparkContext.broadcast(line_filter(wanted, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled, seen = np.frombuffer(sent.value, np.uint32), set()
+        filled, seen = np.frombuffer(sent.value, np.uint8), set()
         for batch in by_bytes(batches, 0, 1 << 20):
             found = Lines(batch.column(0).cast(pa.binary()).to_pylist())
             if not len(found):
                 continue
             keys, part = found.keys(), found.takes_part(min_words)
             at = keys[:, 0] & (bits - 1)
-            near = np.flatnonzero(part & (filled[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)).tolist()
+            near = np.flatnonzero(part & (filled[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)).tolist()
             own = [i for i, k in zip(near, keys[near, 0].tolist(), strict=True) if k not in seen]
             if len(seen) < REMEMBERED:  # only spares rows
                 seen.update(keys[own, 0].tolist())

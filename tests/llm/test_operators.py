@@ -395,6 +395,27 @@ def test_links_are_thinned_only_after_verification(spark):
     assert {r.doc_id for r in lines.dropped_lines(frame).collect()} == alike
 
 
+def test_line_texts_are_fetched_by_a_filter_that_is_no_table_of_the_driver(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega", f"w{i}"], k=6)) + f" w{i}" for i in range(6000)]
+    keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode()) for x in texts), "<i8").reshape(-1, 2)
+    own = [i for i in range(6000) if i % 3]
+    wanted = lines.cut(spark.createDataFrame([(i, int(keys[i, 0]), int(keys[i, 1])) for i in own], "id long, k1 long, k2 long"))
+    docs = spark.createDataFrame([(i, "\n".join(texts[i : i + 20])) for i in range(0, 6000, 20)], "doc_id long, text string")
+    frame, sent = type(docs), []
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(frame, name, lambda self, *a, f=getattr(frame, name), **b: (out := f(self, *a, **b), sent.append(len(out)))[0])
+    found = lines.line_texts(docs, wanted, "text", 5)
+    assert max(sent, default=0) <= 1024  # of 4,000 lines, and of any number
+    assert {r.id: r.line for r in found.toLocalIterator()} == {i: texts[i] for i in own}
+    for bits in (1 << 13, 1 << 20):
+        filled = np.unpackbits(np.frombuffer(lines.line_filter(wanted, bits), np.uint8), bitorder="little")
+        assert np.flatnonzero(filled).tolist() == sorted({int(keys[i, 0]) % bits for i in own})
+    assert not any(lines.line_filter(wanted.limit(0), 1 << 13))
+    monkeypatch.setattr(lines, "FILTER", (1 << 13, 1 << 13))  # full, so that most lines pass
+    assert {r.id: r.line for r in lines.line_texts(docs, wanted, "text", 5).toLocalIterator()} == {i: texts[i] for i in own}
+
+
 def test_short_and_unspaced_lines(spark):
     own = "".join(chr(0x4E00 + 7 * i) for i in range(60))
     rows = [(1, f"ab cd\n{own}\n\n"), (2, f"AB, cd\n{own[:30]}\u3042{own[31:]}\n\n"), (3, "ab ce")]
