@@ -416,6 +416,21 @@ def test_line_texts_are_fetched_by_a_filter_that_is_no_table_of_the_driver(spark
     assert {r.id: r.line for r in lines.line_texts(docs, wanted, "text", 5).toLocalIterator()} == {i: texts[i] for i in own}
 
 
+def test_the_line_stage_sends_the_driver_no_row_for_each_line(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    lead = [[f"w{rng.randrange(1 << 30)}" for _ in range(14)] for _ in range(1500)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(lead)] + [(1500 + i, " ".join([*x[:-1], x[-1] + "x"])) for i, x in enumerate(lead)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    frame, sent = type(docs), []
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(frame, name, lambda self, *a, f=getattr(frame, name), **b: (out := f(self, *a, **b), sent.append(len(out)))[0])
+    left = {r.doc_id for r in corpus_pipeline.line_stage(spark, docs, "").toLocalIterator()}
+    assert left >= set(range(1500)) and len(left) <= 1550
+    assert max(sent, default=0) <= 1024  # about 3,000 lines have a like one
+
+
 def test_short_and_unspaced_lines(spark):
     own = "".join(chr(0x4E00 + 7 * i) for i in range(60))
     rows = [(1, f"ab cd\n{own}\n\n"), (2, f"AB, cd\n{own[:30]}\u3042{own[31:]}\n\n"), (3, "ab ce")]
